@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.llm import decontaminate, pii, quality
+from parlance.llm import decontaminate, near_duplicates, pii, quality
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.near_duplicates(_table(spark, sf_dir, "documents"), threshold=0.8, words=4)
+
+
 def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     crf = pii.fit_crf(pii.labelled_examples())
     found = pii.find_personal_data(_table(spark, sf_dir, "documents"), crf)
@@ -35,6 +39,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_near_duplicates": op1_near_duplicates,
         "op3_personal_data": op3_personal_data,
         "op9_quality": op9_quality,
         "op10_decontamination": op10_decontamination,
