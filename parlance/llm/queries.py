@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.llm import decontaminate, near_duplicates, pii, quality
+from parlance.llm import decontaminate, exact_duplicates, mixing, near_duplicates, pii, quality
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,14 @@ def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans")
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken_words(*mixing.mix_sources(_table(spark, sf_dir, "documents")))
+
+
+def op6_exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_duplicates.exact_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     model = quality.fit(quality.training_rows(documents, labels.where(quality.learnable())))
@@ -41,10 +49,25 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_near_duplicates": op1_near_duplicates,
         "op3_personal_data": op3_personal_data,
+        "op5_mixing": op5_mixing,
+        "op6_exact_duplicates": op6_exact_duplicates,
         "op9_quality": op9_quality,
         "op10_decontamination": op10_decontamination,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_exact_duplicates": _EXACT_SQL}
+
+
+_EXACT_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(length(text), 0) AS points, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g') AS body
+  FROM documents)
+SELECT doc_id,
+       first_value(doc_id) OVER (PARTITION BY body ORDER BY points DESC, doc_id) AS keep_id,
+       count(*) OVER (PARTITION BY body) AS group_size,
+       row_number() OVER (PARTITION BY body ORDER BY points DESC, doc_id) = 1 AS kept,
+       sha256(body) AS text_sha256
+FROM d
+"""
