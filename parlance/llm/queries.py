@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.llm import decontaminate, exact_duplicates, mixing, near_duplicates, pii, quality
+from parlance.llm import decontaminate, exact_duplicates, mixing, near_duplicates, packing, pii, quality, token_counts, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,12 +18,20 @@ def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicates(_table(spark, sf_dir, "documents"), threshold=0.8, words=4)
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(tokens.flat_blocks(_table(spark, sf_dir, "documents")))
+
+
 def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     crf = pii.fit_crf(pii.labelled_examples())
     found = pii.find_personal_data(_table(spark, sf_dir, "documents"), crf)
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans")
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_words(*mixing.mix_sources(_table(spark, sf_dir, "documents")))
 
@@ -48,7 +56,9 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_near_duplicates": op1_near_duplicates,
+        "op2_token_counts": op2_token_counts,
         "op3_personal_data": op3_personal_data,
+        "op4_packing": op4_packing,
         "op5_mixing": op5_mixing,
         "op6_exact_duplicates": op6_exact_duplicates,
         "op9_quality": op9_quality,
