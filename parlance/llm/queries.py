@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.llm import decontaminate, exact_duplicates, mixing, near_duplicates, packing, pii, quality, token_counts, tokens
+from parlance.llm import decontaminate, exact_duplicates, mixing, near_duplicates, packing, pii, quality, token_counts, tokens, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +40,14 @@ def op6_exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates.exact_duplicates(_table(spark, sf_dir, "documents"))
 
 
+#: The contract's rules: verdict, host, path.
+RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(_table(spark, sf_dir, "pages"), RULES)
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     model = quality.fit(quality.training_rows(documents, labels.where(quality.learnable())))
@@ -61,6 +69,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_packing": op4_packing,
         "op5_mixing": op5_mixing,
         "op6_exact_duplicates": op6_exact_duplicates,
+        "op8_url_filter": op8_url_filter,
         "op9_quality": op9_quality,
         "op10_decontamination": op10_decontamination,
     }
