@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.llm import decontaminate, exact_duplicates, mixing, near_duplicates, packing, pii, quality, token_counts, tokens, url_filter
+from parlance.llm import decontaminate, exact_duplicates, language, mixing, near_duplicates, packing, pii, quality, token_counts, tokens, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +40,11 @@ def op6_exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates.exact_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = language.fit_trigrams(language.training_rows(_table(spark, sf_dir, "documents")))
+    return language.identify(_table(spark, sf_dir, "pages"), model)
+
+
 #: The contract's rules: verdict, host, path.
 RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
 
@@ -69,6 +74,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_packing": op4_packing,
         "op5_mixing": op5_mixing,
         "op6_exact_duplicates": op6_exact_duplicates,
+        "op7_language": op7_language,
         "op8_url_filter": op8_url_filter,
         "op9_quality": op9_quality,
         "op10_decontamination": op10_decontamination,
