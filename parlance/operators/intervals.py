@@ -24,3 +24,99 @@ def merge_turns(turns: DataFrame, keys: list[str], gap: float = 0, order: str |
     own = [*keys, "speaker"]
     extra = [F.min_by("stream", F.struct("start", "end", *([order] if order else []))).alias("stream")] if "stream" in turns.columns else []
     return islands(turns, own, gap, order).groupBy(*own, "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n"), *extra).drop("island")
+
+
+def regions_of(df: DataFrame, keys: list[str], gap: float = 0, order: str | None = None) -> DataFrame:
+    """The union of intervals per key: maximal covered stretches, bridging gaps up to ``gap``."""
+    return islands(df, keys, gap, order).groupBy(*keys, "island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("island")
+
+
+def concurrency(df: DataFrame, keys: list[str], order: str, least: int = 2) -> DataFrame:
+    """Maximal spans of positive length with at least ``least`` intervals active; an end at t precedes a start at t."""
+    starts = df.select(*keys, F.col("start").alias("t"), F.lit(1).alias("delta"), order)
+    ends = df.select(*keys, F.col("end").alias("t"), F.lit(-1).alias("delta"), order)
+    by = W.partitionBy(*keys).orderBy("t", "delta", order)
+    active = starts.unionByName(ends).withColumn("active", F.sum("delta").over(by.rowsBetween(W.unboundedPreceding, 0)))
+    crossing = active.where((F.col("active") >= least) != (F.col("active") - F.col("delta") >= least))
+    paired = crossing.withColumn("end", F.lead("t").over(by))
+    return paired.where((F.col("active") >= least) & (F.col("end") > F.col("t"))).select(*keys, F.col("t").alias("start"), "end")
+
+
+def slices(df: DataFrame, keys: list[str], counts: list[str]) -> DataFrame:
+    """Elementary slices (keys, start, end, and how many intervals of each kind are active).
+
+    ``df`` has one 0/1 column per name in ``counts`` saying of which kinds an interval is.
+    """
+    marks = df.select(*keys, F.col("start").alias("t"), *(F.col(c) for c in counts)).unionByName(df.select(*keys, F.col("end").alias("t"), *((-F.col(c)).alias(c) for c in counts)))
+    net = marks.groupBy(*keys, "t").agg(*(F.sum(c).alias(c) for c in counts))
+    by = W.partitionBy(*keys).orderBy("t")
+    run = by.rowsBetween(W.unboundedPreceding, 0)
+    out = net.select(*keys, F.col("t").alias("start"), F.lead("t").over(by).alias("end"), *(F.sum(c).over(run).alias(c) for c in counts))
+    return out.where("end is not null")
+
+
+def complement(df: DataFrame, keys: list[str], duration: float, pad: float = 0) -> DataFrame:
+    """Gaps between padded intervals inside [0, duration]; keys without intervals do not appear."""
+    padded = df.select(*keys, F.greatest(F.lit(0), F.col("start") - pad).cast("long").alias("start"), F.least(F.lit(duration), F.col("end") + pad).cast("long").alias("end"))
+    whole = padded.select(*keys).distinct().withColumn("start", F.lit(duration).cast("long")).withColumn("end", F.lit(duration).cast("long"))
+    by = W.partitionBy(*keys).orderBy("start", "end").rowsBetween(W.unboundedPreceding, -1)
+    return padded.unionByName(whole).withColumn("reach", F.coalesce(F.max("end").over(by), F.lit(0).cast("long"))).where("start > reach").select(*keys, F.col("reach").alias("start"), F.col("start").alias("end"))
+
+
+def intersecting(a: DataFrame, b: DataFrame, keys: list[str], cell: int) -> DataFrame:
+    """Pairs (columns of ``a`` and of ``b`` with suffixes _a and _b) that share time, strictly on both sides.
+
+    Both sides are spread over time cells of length ``cell``, so the join is an
+    equi-join on keys and cell even for very long recordings; each pair is kept
+    once, in the cell where the later of its two starts lies.
+    """
+
+    def spread(df: DataFrame, tag: str) -> DataFrame:
+        renamed = df.select(*keys, *(F.col(c).alias(f"{c}_{tag}") for c in df.columns if c not in keys)).where(f"end_{tag} > start_{tag}")
+        return renamed.withColumn("cell", F.explode(F.sequence(F.floor(F.col(f"start_{tag}") / cell), F.floor((F.col(f"end_{tag}") - 1) / cell))))
+
+    joined = spread(a, "a").join(spread(b, "b"), [*keys, "cell"])
+    own = F.floor(F.greatest("start_a", "start_b") / cell) == F.col("cell")
+    return joined.where(own & (F.col("start_a") < F.col("end_b")) & (F.col("end_a") > F.col("start_b"))).drop("cell")
+
+
+def sliding_windows(regions: DataFrame, keys: list[str], win: int, hop: int, least: int) -> DataFrame:
+    """Windows over regions: regions below ``least`` give none, short ones one, long ones a train and a right-aligned last."""
+    length = F.col("end") - F.col("start")
+    regions = regions.where(length >= least)
+    train = F.greatest(F.lit(0), F.ceil((length - win) / hop)).cast("int")
+    heads = F.transform(F.sequence(F.lit(0), train), lambda i: F.when(i < train, F.struct((F.col("start") + i * hop).alias("start"), (F.col("start") + i * hop + win).alias("end"))).otherwise(F.struct(F.greatest(F.col("start"), F.col("end") - win).alias("start"), F.col("end").alias("end"))))
+    return regions.select(*keys, F.explode(heads).alias("w")).select(*keys, F.col("w.start").alias("start"), F.col("w.end").alias("end"))
+
+
+def subtract(a: DataFrame, b: DataFrame, keys: list[str], cell: int) -> DataFrame:
+    """Pieces of the intervals of ``a`` (unique per keys, speaker, start) outside all intervals of ``b`` (disjoint per key)."""
+    own = [*keys, "speaker"]
+    cut = intersecting(a.select(*own, "start", "end"), b, keys, cell).select(*keys, F.col("speaker_a").alias("speaker"), F.col("start_a").alias("start"), F.col("end_a").alias("end"), F.col("start_b").alias("lo"), F.col("end_b").alias("hi"))
+    tails = a.select(*own, "start", "end", F.col("end").alias("lo"), F.col("end").alias("hi"))
+    by = W.partitionBy(*own, "start", "end").orderBy("lo", "hi").rowsBetween(W.unboundedPreceding, -1)
+    pieces = cut.unionByName(tails).withColumn("from", F.coalesce(F.max("hi").over(by), F.col("start")))
+    return pieces.where("lo > from").select(*own, F.col("from").alias("start"), F.col("lo").alias("end"))
+
+
+def run_lengths(frames: DataFrame, keys: list[str]) -> DataFrame:
+    """Maximal runs of equal labels over consecutive frames: (keys, first, last, label)."""
+    by = W.partitionBy(*keys).orderBy("frame")
+    fresh = F.when((F.lag("label").over(by) == F.col("label")) & (F.lag("frame").over(by) == F.col("frame") - 1), 0).otherwise(1)
+    numbered = frames.withColumn("_fresh", fresh).withColumn("_run", F.sum("_fresh").over(by.rowsBetween(W.unboundedPreceding, 0)))
+    return numbered.groupBy(*keys, "_run", "label").agg(F.min("frame").alias("first"), F.max("frame").alias("last")).drop("_run")
+
+
+def smooth_runs(runs: DataFrame, keys: list[str], least: int, passes: int = 3) -> DataFrame:
+    """Absorb runs shorter than ``least`` frames into the longer adjoining run (ties: the left one), up to ``passes`` times."""
+    for _ in range(passes):
+        by = W.partitionBy(*keys).orderBy("first")
+        size = F.col("last") - F.col("first") + 1
+        side = lambda f, near: F.when(near, f(F.struct(size.alias("size"), F.col("label").alias("label"))).over(by))
+        left = side(F.lag, F.lag("last").over(by) == F.col("first") - 1)
+        right = side(F.lead, F.lead("first").over(by) == F.col("last") + 1)
+        taken = F.when(size >= least, F.col("label")).when(left.isNull() & right.isNull(), F.col("label")).when(right.isNull() | (left["size"] >= right["size"]), left["label"]).otherwise(right["label"])
+        runs = runs.withColumn("to", taken).drop("label").withColumnRenamed("to", "label")
+        fresh = F.when((F.lag("label").over(by) == F.col("label")) & (F.lag("last").over(by) == F.col("first") - 1), 0).otherwise(1)
+        runs = runs.withColumn("_fresh", fresh).withColumn("_run", F.sum("_fresh").over(by.rowsBetween(W.unboundedPreceding, 0))).groupBy(*keys, "_run", "label").agg(F.min("first").alias("first"), F.max("last").alias("last")).drop("_run")
+    return runs

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from parlance.plans import conversations
+from parlance.plans import conversations, timelines
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-for _module in (conversations,):
+for _module in (conversations, timelines):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
