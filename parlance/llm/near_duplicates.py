@@ -11,10 +11,11 @@ borrow the register of a bucket drawn for them (optimal densification).
 3. A pair whose collision-corrected Jaccard estimate lies clearly below the
    threshold goes (margin: six standard errors); the others are confirmed on
    the full sets, and confirmed links are joined to components.
-4. Buckets that still hold several components are searched block by block for
-   pairs across components: first the best few of every two components, then,
-   where those failed, all that the sketches allow. So a link between two
-   documents is found unless the bands miss it (chance below 1e-6 at 0.8).
+4. Buckets that still hold several components are searched block by block: the
+   sets of two blocks are intersected at once, every pair across components is
+   looked at, and links that join what is still apart in the block come out for
+   confirmation. So a link between documents is found unless the bands miss it
+   (chance below 1e-6 at 0.8), and no group's pairs are ever written out.
 
 Edge cases: a text without words, empty or null has an empty set and links with
 nothing; a text shorter than a shingle is one shingle; rows of one doc_id are
@@ -41,7 +42,7 @@ BAND_ROWS = 5
 BANDS = 36
 MANTISSA = 10
 _BITS = 64 - int(math.log2(REGISTERS))
-_SPARE = BANDS * BAND_ROWS  # registers from here on take no part in the bands
+_SAMPLE = 1024  # larger sets are compared inside blocks by a sample of about this size or half of it
 _BLOCK = 512
 _SMALL = 64  # sets up to this size go to confirmation without an estimate
 
@@ -169,58 +170,112 @@ def _confirm(threshold: float, words: int):
     return run
 
 
-def _across(threshold: float, best: int | None):
-    """Pairs across components within two blocks of a bucket; with ``best`` only so many of every two components."""
-    need = threshold - 6 * math.sqrt(threshold * (1 - threshold) / (REGISTERS - _SPARE))
-
-    def search(n: np.ndarray, root: np.ndarray, rep: np.ndarray, regs: np.ndarray, side: np.ndarray) -> list[tuple[int, int]]:
-        left_rows, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
-        found: list[tuple[float, int, int]] = []
-        for lo in range(0, len(left_rows), 64):
-            left = left_rows[lo : lo + 64]
-            ok = root[left][:, None] != root[right]
-            ok &= np.minimum(n[left][:, None], n[right]) >= threshold * np.maximum(n[left][:, None], n[right]) - 1e-6
-            if side[0] == 2:
-                ok &= rep[left][:, None] < rep[right]
-            i, j = np.nonzero(ok)
-            if len(i):
-                i, j = left[i], right[j]
-                same = (regs[i] == regs[j]).mean(1)
-                good = (same >= need) | (np.minimum(n[i], n[j]) <= _SMALL)
-                found += zip(same[good].tolist(), i[good].tolist(), j[good].tolist(), strict=True)
-        if best is not None:
-            taken: dict[tuple[int, int], int] = {}
-            few = []
-            for row in sorted(found, key=lambda r: (-r[0], rep[r[1]], rep[r[2]])):
-                pair = (min(root[row[1]], root[row[2]]), max(root[row[1]], root[row[2]]))
-                taken[pair] = taken.get(pair, 0) + 1
-                if taken[pair] <= best:
-                    few.append(row)
-            found = few
-        return [(min(rep[i], rep[j]), max(rep[i], rep[j])) for _, i, j in found]
+def _thinned_sets(texts: DataFrame, words: int) -> DataFrame:
+    """(rep, level, items): the upper halves of a set's hashes; of large sets those whose first ``level`` bits are 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting: list[pa.RecordBatch] = []
+        for batch in batches:
+            levels, items = [], []
+            for t in batch.column("text").to_pylist():
+                upper = (shingle_set(t, words) >> np.uint64(32)).astype(np.uint32)
+                levels.append(min(20, max(0, (len(upper) - 1) // _SAMPLE).bit_length()))
+                items.append(_thin(upper, levels[-1]).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(levels, pa.int32()), pa.array(items, pa.binary())], ["rep", "level", "items"])
+
+    return texts.select("doc_id", "text").mapInArrow(run, "rep long, level int, items binary")
+
+
+def _thin(items: np.ndarray, level: int) -> np.ndarray:
+    return items if not level else items[items >> np.uint32(32 - level) == 0]
+
+
+def _common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections of the left with the right sets, by products of incidence matrices."""
+    values, place, seen = np.unique(np.concatenate([*left, *right]), return_inverse=True, return_counts=True)
+    rows = np.repeat(np.arange(len(left) + len(right)), [len(x) for x in (*left, *right)])
+    shared = seen[place] > 1
+    column = np.cumsum(seen > 1) - 1
+    place, rows = column[place[shared]], rows[shared]
+    order = np.argsort(place, kind="stable")
+    place, rows = place[order], rows[order]
+    out = np.zeros((len(left), len(right)), np.float32)
+    width = max(256, (1 << 22) // (len(left) + len(right)))
+    for lo in range(0, int((seen > 1).sum()), width):
+        a, b = np.searchsorted(place, (lo, lo + width))
+        grid = np.zeros((len(left) + len(right), width), np.float32)
+        grid[rows[a:b], place[a:b] - lo] = 1
+        out += grid[: len(left)] @ grid[len(left) :].T
+    return out
+
+
+def _block_links(threshold: float, n: np.ndarray, root: np.ndarray, level: np.ndarray, items: list[np.ndarray], side: np.ndarray) -> list[tuple[int, int]]:
+    """Places of pairs to confirm: likely links between components that no surer link in the block has joined."""
+    percent = round(100 * threshold)
+    leader = {r: r for r in root.tolist()}
+
+    def find(r: int) -> int:
+        while leader[r] != r:
+            leader[r] = r = leader[leader[r]]
+        return r
+
+    found: list[tuple[float, bool, int, int]] = []
+    for top in np.unique(level).tolist():
+        fit = np.flatnonzero((level == top) | (level == top - 1))
+        left, right = fit[side[fit] != 1], fit[side[fit] != 0]
+        if not len(left) or not len(right):
+            continue
+        ok = (root[left][:, None] != root[right]) & (np.maximum(level[left][:, None], level[right]) == top)
+        ok &= 100 * np.minimum(n[left][:, None], n[right]) >= percent * np.maximum(n[left][:, None], n[right])
+        if side[0] == 2:
+            ok &= left[:, None] < right
+        if not ok.any():
+            continue
+        at = {k: _thin(items[k], top) for k in fit.tolist()}
+        both = _common([at[k] for k in left.tolist()], [at[k] for k in right.tolist()])
+        sizes = n if not top else np.array([len(at.get(k, ())) for k in range(len(n))])
+        union = np.maximum(sizes[left][:, None] + sizes[right] - both, 1)
+        jaccard = both / union
+        margin = 6 * np.sqrt(threshold * (1 - threshold) / union) if top else 3 / union
+        i, j = np.nonzero(ok & (jaccard >= threshold - (margin if top else 0)))
+        sure = jaccard >= threshold + margin
+        found += [(float(jaccard[a, b]), bool(sure[a, b]), int(left[a]), int(right[b])) for a, b in zip(i.tolist(), j.tolist(), strict=True)]
+    out = []
+    for _, sure, a, b in sorted(found, key=lambda f: (-f[1], -f[0], f[2], f[3])):
+        ra, rb = find(int(root[a])), find(int(root[b]))
+        if ra != rb:
+            out.append((a, b))
+            if sure:
+                leader[max(ra, rb)] = min(ra, rb)
+    return out
 
-        def close(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-            place = np.column_stack([rows.column(c).to_numpy() for c in ("key", "i", "j")])
-            edges = np.flatnonzero((np.diff(place, axis=0) != 0).any(1)) + 1
-            regs = np.frombuffer(b"".join(rows.column("spare").to_pylist()), np.uint16).reshape(rows.num_rows, -1)
-            n, root, rep, side = (rows.column(c).to_numpy() for c in ("n", "root", "rep", "side"))
-            out = [x for lo, hi in zip([0, *edges], [*edges, rows.num_rows], strict=True) if hi - lo > 1 for x in search(n[lo:hi], root[lo:hi], rep[lo:hi], regs[lo:hi], side[lo:hi])]
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], ["a", "b"])
 
-        for batch in batches:  # rows come sorted; the last group of a batch may go on in the next
+def _across(threshold: float):
+    """Pairs (a, b) to confirm from rows of two blocks of a bucket, which come sorted by (key, i, j)."""
+
+    def close(rows: pa.RecordBatch) -> pa.RecordBatch:
+        place = np.column_stack([rows.column(c).to_numpy() for c in ("key", "i", "j")])
+        edges = np.flatnonzero((np.diff(place, axis=0) != 0).any(1)) + 1
+        n, root, rep, side, level = (rows.column(c).to_numpy() for c in ("n", "root", "rep", "side", "level"))
+        items = [np.frombuffer(x, np.uint32) for x in rows.column("items").to_pylist()]
+        out = []
+        for lo, hi in zip([0, *edges], [*edges, rows.num_rows], strict=True):
+            if hi - lo > 1:
+                out += [(rep[lo + a], rep[lo + b]) for a, b in _block_links(threshold, n[lo:hi], root[lo:hi], level[lo:hi], items[lo:hi], side[lo:hi])]
+        return pa.RecordBatch.from_arrays([pa.array([min(x) for x in out], pa.int64()), pa.array([max(x) for x in out], pa.int64())], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[pa.RecordBatch] = []
+        for batch in batches:  # the last group of a batch may go on in the next
             if not batch.num_rows:
                 continue
             whole = pa.Table.from_batches([*waiting, batch]).combine_chunks().to_batches()[0]
             place = np.column_stack([whole.column(c).to_numpy() for c in ("key", "i", "j")])
             first = int(np.argmax((place == place[-1]).all(1)))
             if first:
-                yield from close(whole.slice(0, first))
+                yield close(whole.slice(0, first))
             waiting = [whole.slice(first)]
         if waiting:
-            yield from close(waiting[0])
+            yield close(waiting[0])
 
     return run
 
@@ -249,10 +304,8 @@ def near_duplicates(documents: DataFrame, *, threshold: float = 0.8, words: int
     pairs = members.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
     edges = links(pairs, "links-0")
     roots = connected_components(edges, scratch, "roots-0")
-    for k, best in enumerate((4, None), 1):
-        found = links(_open_pairs(members, classes, roots, scratch, k, threshold, best), f"links-{k}")
-        edges = edges.unionByName(found)
-        roots = connected_components(edges, scratch, f"roots-{k}")
+    edges = edges.unionByName(links(_open_pairs(members, classes, texts, roots, scratch, threshold, words), "links-1"))
+    roots = connected_components(edges, scratch, "roots-1")
 
     named = classes.select("n", "hi", "lo", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("n", "hi", "lo", F.coalesce("root", "rep").alias("root"))
     out = sketches.select("doc_id", "n", "hi", "lo").join(named, ["n", "hi", "lo"], "left")
@@ -260,14 +313,27 @@ def near_duplicates(documents: DataFrame, *, threshold: float = 0.8, words: int
     return out.select("doc_id", F.col("n").alias("n_shingles"), root.alias("component_id"), F.coalesce(F.col("doc_id") == root, F.lit(False)).alias("kept"))
 
 
-def _open_pairs(members: DataFrame, classes: DataFrame, roots: DataFrame, scratch: Scratch, k: int, threshold: float, best: int | None) -> DataFrame:
-    """Candidate pairs across components in the buckets that hold more than one."""
-    labelled = members.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "m", F.coalesce("root", "rep").alias("root"))
+def drop_near_duplicates(documents: DataFrame, *, threshold: float = 0.8, words: int = 5) -> DataFrame:
+    """One document of every group of near duplicates, with all its columns.
+
+    Rows are numbered first, so that repeated rows and rows without a doc_id
+    count one by one; of a group the first row stays.
+    """
+    numbered = Scratch(documents.sparkSession, "rows").save(documents.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    found = near_duplicates(numbered.select("_row", "text"), threshold=threshold, words=words, doc_id="_row")
+    return numbered.join(found.where("kept").select(F.col("doc_id").alias("_row")), "_row", "left_semi").select(*documents.columns)
+
+
+def _open_pairs(members: DataFrame, classes: DataFrame, texts: DataFrame, roots: DataFrame, scratch: Scratch, threshold: float, words: int) -> DataFrame:
+    """Pairs to confirm across components in the buckets that hold more than one."""
+    labelled = members.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "n", "m", F.coalesce("root", "rep").alias("root"))
     still = labelled.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("key")
-    spare = F.substring("sketch", 2 * _SPARE + 1, 2 * (REGISTERS - _SPARE))
-    rows = scratch.save(labelled.join(still, "key", "left_semi").join(classes.select("rep", "n", spare.alias("spare")), "rep"), f"open-{k}")
+    open_ = scratch.save(labelled.join(still, "key", "left_semi"), "open")
+    needed = texts.join(open_.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    rows = open_.join(_thinned_sets(needed, words), "rep")
     blocks = F.ceil(F.col("m") / _BLOCK).cast("int")
     spread = rows.withColumn("own", F.pmod(F.xxhash64("rep"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    spread = spread.select("rep", "n", "root", "spare", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"))
+    side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
+    spread = spread.select("rep", "n", "root", "level", "items", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), side.alias("side"))
     grouped = spread.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return grouped.mapInArrow(_across(threshold, best), "a long, b long").distinct()
+    return grouped.mapInArrow(_across(threshold), "a long, b long").distinct()
