@@ -123,7 +123,9 @@ def draw_slots(goals: DataFrame, *, block_words: int, shard_slots: int = 4096, l
     fixed = base.select("place", "blocks", "whole", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1)).alias("shard"))
     counts = fixed.join(drawn, ["place", "shard"], "left").select("place", "blocks", "shard", (F.col("whole") + F.coalesce("extra", F.lit(0))).alias("n"))
     start = F.coalesce(F.sum("n").over(W.partitionBy("place").orderBy("shard").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    runs = counts.withColumn("start", start).where("n > 0")
+    # A few bytes here become very many slots: a set number of partitions keeps them from being merged.
+    parts = max(1, int(goals.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    runs = counts.withColumn("start", start).where("n > 0").repartition(parts, "place", "shard")
     slots = runs.select("place", "blocks", "shard", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("n") - 1)).alias("k")).where(F.col("k") < limit * F.col("blocks"))
     turn = F.floor(F.col("k") / F.col("blocks"))
     return slots.select("place", "shard", turn.alias("turn"), permute(F.pmod("k", "blocks"), F.col("blocks"), F.lit(seed), F.col("place"), turn).alias("block"))
