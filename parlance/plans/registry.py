@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from parlance.plans import conversations, timelines
+from parlance.plans import conversations, texts, timelines
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-for _module in (conversations, timelines):
+for _module in (conversations, timelines, texts):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
