@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from parlance.plans import conversations, texts, timelines
+from parlance.plans import conversations, statistics, texts, timelines
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-for _module in (conversations, timelines, texts):
+for _module in (conversations, timelines, texts, statistics):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
