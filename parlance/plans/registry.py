@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from parlance.plans import conversations, statistics, texts, timelines
+from parlance.plans import conversations, scoring, statistics, texts, timelines, vectors
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-for _module in (conversations, timelines, texts, statistics):
+for _module in (conversations, timelines, texts, statistics, scoring, vectors):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
