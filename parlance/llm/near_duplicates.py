@@ -199,8 +199,9 @@ def _common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     order = np.argsort(place, kind="stable")
     place, rows = place[order], rows[order]
     out = np.zeros((len(left), len(right)), np.float32)
-    width = max(256, (1 << 22) // (len(left) + len(right)))
-    for lo in range(0, int((seen > 1).sum()), width):
+    count = int((seen > 1).sum())
+    width = max(1, min(count, (1 << 22) // (len(left) + len(right))))
+    for lo in range(0, count, width):
         a, b = np.searchsorted(place, (lo, lo + width))
         grid = np.zeros((len(left) + len(right), width), np.float32)
         grid[rows[a:b], place[a:b] - lo] = 1
