@@ -170,15 +170,16 @@ def mixed_texts(documents: DataFrame, *, weights: tuple[float, ...] = (3, 1, 2),
     """
     columns = documents.columns
     scratch = Scratch(documents.sparkSession, "mixed")
-    numbered = scratch.save(documents.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    _, parts, draws = mix_sources(numbered.select("doc_id", "source", "text", "_row"), weights=weights, share=share, limit=limit, block_words=block_words, seed=seed, row="_row")
+    numbered = scratch.save(documents.withColumn("__mixing_row", F.monotonically_increasing_id()), "numbered")
+    _, parts, draws = mix_sources(numbered.select("doc_id", "source", "text", "__mixing_row"), weights=weights, share=share, limit=limit, block_words=block_words, seed=seed, row="__mixing_row")
     hit = parts.select("row", "place", "block", "first", "words").join(draws.select("place", "block", "turn"), ["place", "block"])
     by = W.partitionBy("row", "turn").orderBy("first")
     apart = F.when(F.lag(F.col("first") + F.col("words")).over(by) == F.col("first"), 0).otherwise(1)
     runs = hit.withColumn("apart", apart).withColumn("run", F.sum("apart").over(by)).groupBy("row", "turn", "run").agg(F.min("first").alias("first"), F.sum("words").alias("words"))
     words = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), F.lit(0))
-    joined = numbered.join(runs, numbered["_row"] == runs["row"])
-    text = F.array_join(F.slice(words, (F.col("first") + 1).cast("int"), F.col("words").cast("int")), "")
+    runs = runs.select(F.col("row").alias("__mixing_row"), F.col("first").alias("__mixing_first"), F.col("words").alias("__mixing_words"))
+    joined = numbered.join(runs, "__mixing_row")
+    text = F.array_join(F.slice(words, (F.col("__mixing_first") + 1).cast("int"), F.col("__mixing_words").cast("int")), "")
     piece = joined.withColumn("text", text)
     if "n_chars" in columns:
         piece = piece.withColumn("n_chars", F.length("text").cast(documents.schema["n_chars"].dataType))

@@ -320,9 +320,9 @@ def drop_near_duplicates(documents: DataFrame, *, threshold: float = 0.8, words:
     Rows are numbered first, so that repeated rows and rows without a doc_id
     count one by one; of a group the first row stays.
     """
-    numbered = Scratch(documents.sparkSession, "rows").save(documents.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    found = near_duplicates(numbered.select("_row", "text"), threshold=threshold, words=words, doc_id="_row")
-    return numbered.join(found.where("kept").select(F.col("doc_id").alias("_row")), "_row", "left_semi").select(*documents.columns)
+    numbered = Scratch(documents.sparkSession, "rows").save(documents.withColumn("__near_row", F.monotonically_increasing_id()), "numbered")
+    found = near_duplicates(numbered.select("__near_row", "text"), threshold=threshold, words=words, doc_id="__near_row")
+    return numbered.join(found.where("kept").select(F.col("doc_id").alias("__near_row")), "__near_row", "left_semi").select(*documents.columns)
 
 
 def _open_pairs(members: DataFrame, classes: DataFrame, texts: DataFrame, roots: DataFrame, scratch: Scratch, threshold: float, words: int) -> DataFrame:
