@@ -156,10 +156,14 @@ def mix_sources(documents: DataFrame, *, weights: tuple[float, ...] = (3, 1, 2),
 
 
 def taken_words(placed: DataFrame, parts: DataFrame, draws: DataFrame) -> DataFrame:
-    """(doc_id, size, source_size, target, taken) of each row."""
+    """(doc_id, size, source_size, target, taken) of each row.
+
+    The joins are by sort and merge: draws compress so well as files that their
+    size would pass for that of a table fit to broadcast.
+    """
     uses = draws.groupBy("place", "block").agg(F.count("*").alias("uses"))
-    taken = parts.select("row", "place", "block", "words").join(uses, ["place", "block"]).groupBy("row").agg(F.sum(F.col("words") * F.col("uses")).alias("taken"))
-    return placed.join(taken, "row", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"))
+    taken = parts.select("row", "place", "block", "words").join(uses.hint("merge"), ["place", "block"]).groupBy("row").agg(F.sum(F.col("words") * F.col("uses")).alias("taken"))
+    return placed.join(taken.hint("merge"), "row", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"))
 
 
 def mixed_texts(documents: DataFrame, *, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, limit: int = 2, block_words: int = 512, seed: int = 0) -> DataFrame:
@@ -172,13 +176,13 @@ def mixed_texts(documents: DataFrame, *, weights: tuple[float, ...] = (3, 1, 2),
     scratch = Scratch(documents.sparkSession, "mixed")
     numbered = scratch.save(documents.withColumn("__mixing_row", F.monotonically_increasing_id()), "numbered")
     _, parts, draws = mix_sources(numbered.select("doc_id", "source", "text", "__mixing_row"), weights=weights, share=share, limit=limit, block_words=block_words, seed=seed, row="__mixing_row")
-    hit = parts.select("row", "place", "block", "first", "words").join(draws.select("place", "block", "turn"), ["place", "block"])
+    hit = parts.select("row", "place", "block", "first", "words").join(draws.select("place", "block", "turn").hint("merge"), ["place", "block"])
     by = W.partitionBy("row", "turn").orderBy("first")
     apart = F.when(F.lag(F.col("first") + F.col("words")).over(by) == F.col("first"), 0).otherwise(1)
     runs = hit.withColumn("apart", apart).withColumn("run", F.sum("apart").over(by)).groupBy("row", "turn", "run").agg(F.min("first").alias("first"), F.sum("words").alias("words"))
     words = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), F.lit(0))
     runs = runs.select(F.col("row").alias("__mixing_row"), F.col("first").alias("__mixing_first"), F.col("words").alias("__mixing_words"))
-    joined = numbered.join(runs, "__mixing_row")
+    joined = numbered.join(runs.hint("merge"), "__mixing_row")
     text = F.array_join(F.slice(words, (F.col("__mixing_first") + 1).cast("int"), F.col("__mixing_words").cast("int")), "")
     piece = joined.withColumn("text", text)
     if "n_chars" in columns:
