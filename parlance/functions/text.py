@@ -141,7 +141,12 @@ def word_edits(ref: Column, hyp: Column) -> Column:
     Each distinct word of the pair becomes one character, which the built-in
     distance then compares. 20,000 distinct words fit one pair.
     """
-    names = F.array_distinct(F.concat(ref, hyp))
-    code = lambda w: F.decode(F.unhex(F.lpad(F.hex(F.lit(0x3400) + F.array_position(names, w)), 4, "0")), "UTF-16BE")
-    spell = lambda items: F.array_join(F.transform(items, code), "")
-    return F.levenshtein(spell(ref), spell(hyp)).cast("long")
+    # The one-element array binds the pair and its words once; otherwise they are found anew for every word.
+    pair = F.array(F.struct(ref.alias("ref"), hyp.alias("hyp"), F.array_distinct(F.concat(ref, hyp)).alias("names")))
+
+    def distance(p: Column) -> Column:
+        code = lambda w: F.decode(F.unhex(F.lpad(F.hex(F.lit(0x3400) + F.array_position(p["names"], w)), 4, "0")), "UTF-16BE")
+        spell = lambda items: F.array_join(F.transform(items, code), "")
+        return F.levenshtein(spell(p["ref"]), spell(p["hyp"]))
+
+    return F.get(F.transform(pair, distance), F.lit(0)).cast("long")
