@@ -33,7 +33,7 @@ _FOLD = bytes(
     for b in range(256)
 )
 _LANE = 512
-_BATCH_WORDS = 1 << 20
+_BATCH_WORDS = 1 << 18
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -212,7 +212,7 @@ def find_contamination(
 
 
 def _rows(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
-    """Slices with about a million words at most, or one row."""
+    """Slices with about a quarter of a million words at most, or one row."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64) // 6 + 1
     group = np.cumsum(sizes) // _BATCH_WORDS
     edges = np.flatnonzero(np.diff(group, prepend=-1))
