@@ -131,3 +131,39 @@ def nearest_tonic(hz: float, tonics: tuple[str, ...] = ("B", "C", "C#", "D", "D#
     own = pitch_class(hz)
     apart = lambda t: min((names.index(t) - own) % 12, (own - names.index(t)) % 12)
     return min(tonics, key=apart)
+
+
+def _mel_bank(bands: int = 48, size: int = 1024) -> np.ndarray:
+    """Triangular filters, evenly spaced on the mel scale, over the bins of a spectrum."""
+    mel = lambda hz: 2595 * np.log10(1 + hz / 700)
+    edges = 700 * (10 ** (np.linspace(0, mel(RATE / 2), bands + 2) / 2595) - 1)
+    hz = np.fft.rfftfreq(size, 1 / RATE)
+    up = (hz - edges[:-2, None]) / (edges[1:-1] - edges[:-2])[:, None]
+    down = (edges[2:, None] - hz) / (edges[2:] - edges[1:-1])[:, None]
+    return np.maximum(0, np.minimum(up, down))
+
+
+def timbre(x: np.ndarray, size: int = 1024, hop: int = 256) -> np.ndarray:
+    """97 numbers for the colour of a sound: the mean mel spectrum and its change, both without their mean, and flatness."""
+    x = np.pad(np.asarray(x, float), (0, max(0, size - len(x))))
+    frames = np.lib.stride_tricks.sliding_window_view(x, size)[::hop] * np.hanning(size)
+    power = np.abs(np.fft.rfft(frames, axis=1)) ** 2 + 1e-10
+    mel = 10 * np.log10(power @ _mel_bank().T + 1e-10)
+    mel = np.maximum(mel, mel.max() - 80)
+    shape, change = mel.mean(0), mel.std(0)
+    flatness = np.exp(np.log(power).mean(1)) / power.mean(1)
+    return np.concatenate([(shape - shape.mean()) / 10, (change - change.mean()) / 3, [np.log10(flatness.mean() + 1e-10)]])
+
+
+def soundscape(n: int, bed: np.ndarray, events: list[np.ndarray], seed: int, *, per_minute: float = 8.0, event_db: tuple[float, float] = (0.0, 8.0), level: float = 0.05) -> np.ndarray:
+    """``n`` samples of a looped bed with events laid over it at Poisson times."""
+    rng = np.random.default_rng(seed)
+    start = int(rng.integers(len(bed)))
+    out = np.take(np.asarray(bed, float), np.arange(start, start + n), mode="wrap")
+    out *= level / max(rms(out), 1e-6)
+    for _ in range(rng.poisson(per_minute * n / RATE / 60) if events else 0):
+        event = np.asarray(events[rng.integers(len(events))], float)
+        event = event * (level / max(rms(event), 1e-6) * 10 ** (rng.uniform(*event_db) / 20))
+        at = int(rng.integers(max(1, n - len(event))))
+        out[at : at + len(event)] += event[: n - at]
+    return out

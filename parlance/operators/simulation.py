@@ -63,3 +63,32 @@ def pick_groups(sides: DataFrame, key: str, person: str, size: int = 2) -> DataF
         return pd.DataFrame(rows, columns=[key, "grp", person])
 
     return sides.select(key, person).distinct().groupBy(key).applyInPandas(one, kinds)
+
+
+def plan_duo(cycles: list[list[float]], target: float, seed: int, *, accompanied: float = 0.3, partial: float = 0.5, interlude: float = 0.8) -> pd.DataFrame:
+    """(part, start, end, source_start) of a piece for voice and drum.
+
+    ``cycles`` holds nine beat times each: eight beats and the next cycle's
+    first. The voice sings one or two cycles at a time; the drum accompanies
+    some phrases, wholly or in their last beats, and fills pauses alone.
+    """
+    rng, rows = np.random.default_rng(seed), []
+    at, now = int(rng.integers(max(1, len(cycles) - 12))), float(rng.uniform(0.3, 0.8))
+    while now < target and at < len(cycles):
+        phrase = cycles[at : at + int(rng.integers(1, 3))]
+        at += len(phrase) + int(rng.integers(0, 3))
+        first, last = phrase[0][0], phrase[-1][-1]
+        shift = now - first
+        rows.append(("voice", now, last + shift, first))
+        beats = [b + shift for c in phrase for b in c[:8]] + [last + shift]
+        if rng.random() < accompanied:
+            own = beats[-int(rng.integers(3, 6)) :] if rng.random() < partial else beats
+            rows.append(("drum", own[0], own[-1], None))
+        now = last + shift
+        if rng.random() < interlude and now < target:
+            beat = (last - first) / (8 * len(phrase))
+            end = now + 0.05 + beat * int(rng.integers(2, 5))
+            rows.append(("drum", now + 0.05, end, None))
+            now = end
+        now += float(rng.uniform(0.2, 0.8))
+    return pd.DataFrame(rows, columns=["part", "start", "end", "source_start"]).sort_values("start", ignore_index=True)

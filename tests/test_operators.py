@@ -309,3 +309,61 @@ def test_llm_part_is_optional():
 
     hide = "import sys; sys.modules['parlance.llm'] = None; sys.modules['corpus_pipeline'] = None; import __spark_entry__ as e; assert e.queries() and not any(q.startswith('op') for q in e.queries()) and 'pipeline' not in e.oracle_sql()"
     assert subprocess.run([sys.executable, "-c", hide], cwd=Path(__file__).resolve().parents[1], timeout=60).returncode == 0
+
+
+def test_sound_colour_and_noise():
+    rng = np.random.default_rng(0)
+    t = np.arange(signals.RATE) / signals.RATE
+    tone, hiss = np.sin(2 * np.pi * 220 * t), rng.normal(size=signals.RATE)
+    a, b, c = signals.timbre(hiss), signals.timbre(3 * hiss), signals.timbre(tone)
+    assert a.shape == (97,) and np.abs(a - b).max() < 0.05 and np.linalg.norm(a - c) > 1
+    bed = signals.soundscape(32_000, hiss, [tone[:4000]], 1, per_minute=120)
+    assert len(bed) == 32_000 and np.array_equal(bed, signals.soundscape(32_000, hiss, [tone[:4000]], 1, per_minute=120))
+
+
+def test_duo_plan():
+    cycles = [[k * 8.0 + b for b in range(9)] for k in range(20)]
+    plan = simulation.plan_duo(cycles, 45.0, 3, accompanied=1.0, partial=0.0)
+    voice = plan[plan.part == "voice"]
+    assert (plan.end > plan.start).all() and (voice.start.to_numpy()[1:] >= voice.end.to_numpy()[:-1]).all()
+    assert set(simulation.plan_duo(cycles, 45.0, 3, accompanied=0.0, interlude=0.0).part) == {"voice"}
+
+
+def test_chat_client_against_a_server():
+    import json
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    seen = []
+
+    class Server(BaseHTTPRequestHandler):
+        def do_POST(self):
+            body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            seen.append("response_format" in body)
+            status = [503, 400, 200][min(len(seen), 3) - 1]
+            data = json.dumps({"choices": [{"message": {"content": "{}"}, "finish_reason": "stop"}]}).encode()
+            self.send_response(status)
+            self.send_header("Content-Length", str(len(data)))
+            self.end_headers()
+            self.wfile.write(data)
+
+        def log_message(self, *args):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Server)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    waits = []
+    chat = models.HttpChat(f"http://127.0.0.1:{server.server_port}", "m", 5, pause=waits.append)
+    assert chat.complete("s", "u", 10, {"type": "object"}) == "{}" and seen == [True, True, False] and waits == [1]
+    server.shutdown()
+    server.server_close()
+    with pytest.raises(models.ConnectionFailed):
+        chat.complete("s", "u", 10)
+
+
+def test_command_line(capsys):
+    from parlance.__main__ import main, parser
+
+    main(["list"])
+    assert "talk_time" in capsys.readouterr().out
+    assert parser().parse_args(["run", "talk_time", "--data", "x"]).name == "talk_time"
