@@ -263,7 +263,7 @@ ORACLES = {
     "render_transcript": _CLOCK + f"SELECT conv_id, string_agg('[' || {_clock_sql('start_ms')} || ' - ' || {_clock_sql('end_ms')} || '] ' || role || ': ' || text, chr(10) ORDER BY start_ms, turn) AS transcript FROM lines WHERE trim(text) <> '' GROUP BY conv_id",
     "render_srt": _CLOCK + f", n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY start_ms, turn) AS number FROM lines) SELECT conv_id, number, number::VARCHAR || chr(10) || {_srt_sql('start_ms')} || ' --> ' || {_srt_sql('end_ms')} || chr(10) || role || ': ' || text AS entry FROM n WHERE trim(text) <> ''",
     "romanise_words": "SELECT * FROM (VALUES " + ", ".join(f"('{w}', '{e}')" for w, e in _WORDS) + ") v(word, latin)",
-    "romaniser_accuracy": f"SELECT {len(_WORDS)} AS n, 1.0::DOUBLE AS accuracy",
+    "romaniser_accuracy": f"SELECT {len(_WORDS)}::BIGINT AS n, 1.0::DOUBLE AS accuracy",
     "code_switch_parse": "SELECT * FROM (VALUES ('a', 'स्मार्ट फोन', 'smart'), ('b', 'बहुत अच्छा', ''), ('c', 'हाँ ठीक है', ''), ('d', 'plain words', '')) v(key, text, first_english)",
     "language_lookup": f"""WITH cat AS (SELECT * FROM (VALUES {_CATALOGUE_SQL}) v(code, name, script, latin_name, has_ctc)), al AS (SELECT * FROM (VALUES {", ".join(f"('{a}', '{c}')" for a, c in languages.ALIASES.items())}) v(alias, code)),
 asked AS (SELECT * FROM (VALUES {", ".join(f"('{a}')" for (a,) in _NAMES)}) v(asked)),

@@ -17,7 +17,8 @@ K = ["rec_id"]
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(rec_id, speaker, label, stream, seq, start, end) in integer milliseconds of the day."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("at", F.col("ts").cast("timestamp"))
-    start = F.expr("pmod(unix_micros(at), 86400000000) div 1000").cast("long")
+    # Fields of the local time itself, so that no session time zone shifts the day.
+    start = F.expr("hour(ts) * 3600000L + minute(ts) * 60000L + cast(floor(extract(SECOND FROM ts) * 1000) as bigint)")
     label = F.expr("(user_id div 8) % 3").cast("int")
     return events.select(
         F.concat_ws("-", F.date_format("at", "yyyy-MM-dd"), (F.col("user_id") % 8).cast("string")).alias("rec_id"),
@@ -128,7 +129,7 @@ def clean_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     overlaps = iv.concurrency(t.withColumn("seq", F.col("start")), K, "seq")
     pieces = iv.subtract(t, overlaps, K, CELL).where("end - start > 500")
     rank = F.row_number().over(W.partitionBy("rec_id", "speaker").orderBy(F.desc(F.col("end") - F.col("start")), "start"))
-    return pieces.withColumn("rank", rank).where("rank <= 10")
+    return pieces.withColumn("rank", rank.cast("long")).where("rank <= 10")
 
 
 def splice_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
