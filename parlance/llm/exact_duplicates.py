@@ -87,6 +87,7 @@ def exact_duplicates(documents: DataFrame, *, block_bytes: int = 2048, doc_id: s
     packed = rows.select("row", "body")
     named = identities(packed, scratch, block_bytes=block_bytes)
     held = scratch.save(rows.select("row", "doc_id", "points", F.sha2("body", 256).alias("text_sha256")).join(named, "row"), "held")
+    scratch.drop("rows", *(f"names-{k}" for k in range(64)))
     most = held.groupBy("blocks", "name").agg(F.max("points").alias("most"), F.count("*").alias("group_size"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("row").alias("row"))).alias("first")
     keep = held.join(most, ["blocks", "name"]).where("points = most").groupBy("blocks", "name", "group_size").agg(first)
