@@ -367,3 +367,16 @@ def test_command_line(capsys):
     main(["list"])
     assert "talk_time" in capsys.readouterr().out
     assert parser().parse_args(["run", "talk_time", "--data", "x"]).name == "talk_time"
+
+
+def test_translation_parts_come_through(spark):
+    from parlance.functions import translation
+    from parlance.runtime import ship_package
+
+    assert translation.tidy("“a” ( b ) : १२३  %…") == '"a" (b):123%...'
+    text, parts = translation.protect("mail a.b@c.org or see http://x.org/q?y=1 at 10:30 on 12/05/2024, 12345 people, #tag")
+    assert parts == ["a.b@c.org", "http://x.org/q?y=1", "10:30", "12/05/2024", "12345", "#tag"] and "<ID2>" in text
+    assert translation.restore(text.replace("<ID1>", "< id 1 >").replace("<ID6>", "[ID6]"), parts).startswith("mail a.b@c.org or see http://x.org")
+    ship_package(spark)
+    row = spark.createDataFrame([("to a@b.cd",), (None,)], "t string").withColumn("p", translation.protected("t")).select(translation.restored("p.text", "p.parts").alias("r")).collect()
+    assert [r.r for r in row] == ["to a@b.cd", ""]
