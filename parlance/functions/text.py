@@ -49,9 +49,13 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(normalise(text), F.lit(WORD), F.lit(0))
 
 
+def content_of(items: Column) -> Column:
+    """The tokens that carry content: three characters or more, and no stop word."""
+    return F.filter(items, lambda t: (F.length(t) >= 3) & ~t.isin(*STOP_WORDS))
+
+
 def content_tokens(text: Column) -> Column:
-    stop = F.array(*(F.lit(w) for w in STOP_WORDS))
-    return F.filter(tokens(text), lambda t: (F.length(t) >= 3) & ~F.array_contains(stop, t))
+    return content_of(tokens(text))
 
 
 def without_repeats(items: Column) -> Column:

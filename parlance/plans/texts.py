@@ -31,7 +31,7 @@ def normalise_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def content_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of every document: all, content, distinct content, and without immediate repeats."""
-    d = _docs(spark, sf_dir).select("doc_id", tx.tokens(F.col("text")).alias("t"), tx.content_tokens(F.col("text")).alias("c"))
+    d = _docs(spark, sf_dir).select("doc_id", tx.tokens(F.col("text")).alias("t")).withColumn("c", tx.content_of(F.col("t")))
     return d.select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.size("c").cast("long").alias("n_content"), F.size(tx.distinct_in_order(F.col("c"))).cast("long").alias("n_distinct"), F.size(tx.without_repeats(F.col("t"))).cast("long").alias("n_without_repeats"))
 
 
@@ -204,7 +204,7 @@ def lexicon_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
     rest = F.size("w") - 1
     pairs = said.select(F.explode(F.arrays_zip(F.slice("w", F.lit(1), rest).alias("dev"), F.slice("w", F.lit(2), rest).alias("eng"))).alias("p")).groupBy("p.dev", "p.eng").agg(F.count("*").alias("n"))
     best = pairs.groupBy("dev").agg(F.sum("n").alias("total"), F.max_by("eng", F.struct("n", "eng")).alias("eng"), F.max("n").alias("n"))
-    frequent = pairs.groupBy("dev").agg(F.sum("n").alias("f")).orderBy(F.desc("f"), "dev").limit(100).select("dev")
+    frequent = best.orderBy(F.desc("total"), "dev").limit(100).select("dev")
     kept = best.where("total >= 2 and n * 10 >= total * 7 and length(eng) <= 30").join(frequent, "dev", "left_anti")
     return kept.select("dev", "eng", "total", "n")
 
