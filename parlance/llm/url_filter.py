@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from parlance.llm.scratch import Scratch
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_LINK = r"""(?i)\b(?:href|src)\s*=\s*["']?\s*((?:[a-z][a-z0-9+.-]*:)?//[^"'\s>]+)"""
+LINK = r"""(?i)\b(?:href|src)\s*=\s*["']?\s*((?:[a-z][a-z0-9+.-]*:)?//[^"'\s>]+)"""
 
 Rule = tuple[str, str, str]  # verdict, host, path
 
@@ -55,7 +55,7 @@ def fitting_rule(host: Column, path: Column, rules: list[Rule]) -> Column:
 
 def host_edges(pages: DataFrame, *, url: str = "url", html: str = "html", hierarchy: bool = True) -> DataFrame:
     """(src, dst, weight): counted links between different hosts, both known by name."""
-    links = pages.select(host_of(F.col(url)).alias("src"), F.explode(F.array_distinct(F.regexp_extract_all(F.col(html), F.lit(_LINK), F.lit(1)))).alias("to"))
+    links = pages.select(host_of(F.col(url)).alias("src"), F.explode(F.array_distinct(F.regexp_extract_all(F.col(html), F.lit(LINK), F.lit(1)))).alias("to"))
     target = host_of(F.when(F.startswith("to", F.lit("//")), F.concat(F.lit("x:"), F.col("to"))).otherwise(F.col("to")))
     edges = links.select("src", target.alias("dst"), F.lit(1.0).alias("weight"))
     if hierarchy:
