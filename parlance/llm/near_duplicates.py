@@ -307,6 +307,8 @@ def near_duplicates(documents: DataFrame, *, threshold: float = 0.8, words: int
     roots = connected_components(edges, scratch, "roots-0")
     edges = edges.unionByName(links(_open_pairs(members, classes, texts, roots, scratch, threshold, words), "links-1"))
     roots = connected_components(edges, scratch, "roots-1")
+    # The result reads only the sketches, the classes and the roots.
+    scratch.drop("members", "texts", "open", *(f"links-{k}{part}" for k in (0, 1) for part in ("", "-likely")))
 
     named = classes.select("n", "hi", "lo", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("n", "hi", "lo", F.coalesce("root", "rep").alias("root"))
     out = sketches.select("doc_id", "n", "hi", "lo").join(named, ["n", "hi", "lo"], "left")
