@@ -152,6 +152,7 @@ def mix_sources(documents: DataFrame, *, weights: tuple[float, ...] = (3, 1, 2),
     by_source = goals.withColumnRenamed("source", "s")
     placed = place_documents(sized)
     placed = scratch.save(placed.join(by_source, placed["source"].eqNullSafe(by_source["s"])).drop("s"), "placed")
+    scratch.drop("sized", "goals")
     return placed, pieces(placed, block_words), draws
 
 
