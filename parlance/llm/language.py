@@ -24,6 +24,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from parlance.llm.scratch import Scratch
@@ -79,16 +80,22 @@ def fit_trigrams(rows: list[tuple[str | None, str]], *, smoothing: float = 0.5)
 
 
 def training_rows(documents: DataFrame, *, rows_per_language: int = 200) -> list[tuple[str | None, str]]:
-    """A bounded sample: the ``rows_per_language`` smallest hashed ids of each language, with whole texts."""
-    languages = [r[0] for r in documents.where("lang is not null").select("lang").distinct().orderBy("lang").collect()]
-    rank = F.xxhash64(F.col("doc_id").cast("string"))
-    chosen = None
-    for lang in languages:
-        few = documents.where(F.col("lang") == lang).select("doc_id", "lang").orderBy(rank, "doc_id").limit(rows_per_language)
-        chosen = few if chosen is None else chosen.unionByName(few)
-    if chosen is None:
+    """A bounded sample: the ``rows_per_language`` smallest hashed ids of each language, with whole texts.
+
+    One pass counts languages; the next keeps ids whose hash lies below each
+    language's threshold (about four times the rows wanted), ranks those few, and
+    broadcasts the ids chosen: at most ``rows_per_language`` of each language.
+    """
+    labelled = documents.where("lang is not null and doc_id is not null").select("doc_id", "lang")
+    counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}  # one row per language
+    if not counts:
         return []
-    # At most rows_per_language ids of each language: a bounded side.
+    share = F.create_map(*(x for lang, n in sorted(counts.items()) for x in (F.lit(lang), F.lit(min(1.0, 4.0 * rows_per_language / n)))))
+    place = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 52)) / float(1 << 52)
+    few = labelled.withColumn("place", place).where(F.col("place") <= F.element_at(share, F.col("lang")))
+    few = few.distinct()
+    rank = F.row_number().over(W.partitionBy("lang").orderBy("place", "doc_id"))
+    chosen = few.withColumn("rank", rank).where(F.col("rank") <= rows_per_language).select("doc_id", "lang")
     picked = documents.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"])
     return [(r.text, r.lang) for r in picked.orderBy("lang", "doc_id").collect()]
 
