@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,18 +20,26 @@ def draw(b: Column, j: Column, n: Column) -> Column:
     return ((j * 1103515245 + b * 8191 + j * b * 7 + 12345) % 2147483647) % n
 
 
-def resampled(items: DataFrame, key: str, numerator: str, denominator: str, resamples: int) -> DataFrame:
+def hashed_draw(b: Column, j: Column, n: Column) -> Column:
+    """As ``draw``, from a hash: draws of one resample are independent of each other."""
+    return F.pmod(F.xxhash64(F.lit(0), b, j), n)
+
+
+def resampled(items: DataFrame, key: str, numerator: str, denominator: str, resamples: int, *, index: Callable[[Column, Column, Column], Column] = draw) -> DataFrame:
     """(b, rate): the ratio of sums in each resample of the items with replacement.
 
     Draws are generated per resample and joined to the items by their number:
-    one equi-join, combined before the shuffle.
+    one equi-join by hash of the items. A few bytes become very many draws, so
+    the number of partitions is set and no side is broadcast.
     """
     numbered = global_row_number(items.select(key, numerator, denominator), [F.col(key)], "_i").withColumn("_i", F.col("_i") - 1)
     n = items.agg(F.count("*").alias("n"))  # one row
+    parts = max(1, int(items.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     draws = n.select("n", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(resamples - 1).cast("long"))).alias("b"))
-    draws = draws.repartition("b").select("b", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("j")).select("b", draw(F.col("b"), F.col("j"), F.col("n")).alias("_i"))
-    counted = draws.groupBy("b", "_i").agg(F.count("*").alias("times"))
-    return counted.join(numbered, "_i").groupBy("b").agg((F.sum(F.col("times") * F.col(numerator)) / F.greatest(F.sum(F.col("times") * F.col(denominator)), F.lit(1))).alias("rate"))
+    draws = draws.repartition(parts, "b").select("b", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("j")).select("b", index(F.col("b"), F.col("j"), F.col("n")).alias("_i"))
+    # Both sides are dealt by number explicitly: their sizes as files say nothing about their rows.
+    met = draws.repartition(parts, "_i").join(numbered.repartition(parts, "_i").hint("shuffle_hash"), "_i")
+    return met.groupBy("b").agg((F.sum(numerator) / F.greatest(F.sum(denominator), F.lit(1))).alias("rate"))
 
 
 def interval(rates: DataFrame) -> DataFrame:

@@ -58,7 +58,8 @@ def paired_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.agg(F.count("*").alias("n"), F.round(F.avg(F.col("A") - F.col("R")), 6).alias("mean_diff"), F.count_if(F.col("A") < F.col("R")).alias("helped"), F.count_if(F.col("A") > F.col("R")).alias("hurt"))
 
 
-RESAMPLES = 200
+#: The reference's count for items; groups take twice as many.
+RESAMPLES = 2000
 
 
 def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:

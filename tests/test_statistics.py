@@ -1,0 +1,10 @@
+"""Resampled statistics: the reference's counts of resamples."""
+
+from parlance.plans import registry
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_resample_counts(spark):
+    assert registry.QUERIES["bootstrap_ci"](spark, SF).first().resamples == 2000
+    assert registry.QUERIES["group_bootstrap"](spark, SF).first().resamples == 4000
