@@ -60,6 +60,7 @@ def paired_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: The reference's count for items; groups take twice as many.
 RESAMPLES = 2000
+PLAIN_RESAMPLES = 5000
 
 
 def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,6 +80,37 @@ def group_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rates.withColumn("k", F.lit(1)).join(worse.withColumn("k", F.lit(1)), "k").drop("k")
 
 
+def _differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(item, d): rate of system A less that of R on the items that have both."""
+    wide = _per_item(facts(spark, sf_dir)).withColumn("rate", F.col("errors") / F.greatest("words", F.lit(1))).groupBy("item").pivot("system", ["A", "R"]).agg(F.first("rate"))
+    return wide.where("A is not null and R is not null").select("item", (F.col("A") - F.col("R")).alias("d"))
+
+
+def _difference_interval(d: DataFrame, resamples: int) -> DataFrame:
+    """(mean_diff, lo, hi, resamples) of (item, d), items resampled."""
+    rates = st.interval(st.resampled(d.withColumn("one", F.lit(1)), "item", "d", "one", resamples, index=st.hashed_draw))
+    return d.agg(F.round(F.avg("d"), 6).alias("mean_diff")).crossJoin(rates)  # one row each
+
+
+def paired_diff_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean difference of systems A and R with its interval by resampling items."""
+    return _difference_interval(_differences(spark, sf_dir), RESAMPLES)
+
+
+def plain_diff_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``paired_diff_ci`` with the 5,000 resamples of the speaker count evaluation."""
+    return _difference_interval(_differences(spark, sf_dir), PLAIN_RESAMPLES)
+
+
+def group_diff_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean difference of systems A and R with its interval by resampling whole nations, and in how many nations A is worse."""
+    customers = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("item"), F.col("c_nationkey").alias("grp"))
+    groups = _differences(spark, sf_dir).join(customers, "item").groupBy("grp").agg(F.sum("d").alias("d"), F.count("*").alias("n"))
+    rates = st.interval(st.resampled(groups, "grp", "d", "n", 2 * RESAMPLES, index=st.hashed_draw))
+    totals = groups.agg(F.round(F.sum("d") / F.sum("n"), 6).alias("mean_diff"), F.count_if(F.col("d") > 0).alias("worse"), F.count("*").alias("groups"))
+    return totals.crossJoin(rates).select("mean_diff", "lo", "hi", "resamples", "worse", "groups")
+
+
 def grid_argmin(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best discount setting of each system by pooled rate, then spread, and its rate at the default setting."""
     lines = _table(spark, sf_dir, "lineitem")
@@ -154,7 +186,7 @@ ci AS (SELECT round(quantile_cont(rate, 0.025), 6) AS lo, round(quantile_cont(ra
 
 
 _RATE = "round(sum(errors) / greatest(sum(words), 1), 6)"
-QUERIES = {f.__name__: f for f in (pooled_rates, condition_crosstab, rollup_summary, paired_diff, bootstrap_ci, group_bootstrap, grid_argmin, median_row, anti_join_speakers, stage_benchmark, two_run_compare, design_filters, policy_compare, conversation_sides, busiest_recordings)}
+QUERIES = {f.__name__: f for f in (pooled_rates, condition_crosstab, rollup_summary, paired_diff, bootstrap_ci, group_bootstrap, paired_diff_ci, plain_diff_ci, group_diff_ci, grid_argmin, median_row, anti_join_speakers, stage_benchmark, two_run_compare, design_filters, policy_compare, conversation_sides, busiest_recordings)}
 ORACLES = {
     "pooled_rates": FACTS + f"SELECT system, sum(errors)::BIGINT AS errors, sum(words)::BIGINT AS words, {_RATE} AS pooled, round(avg(errors / greatest(words, 1)), 6) AS macro, count(DISTINCT item) AS items FROM per GROUP BY system",
     "condition_crosstab": FACTS + "SELECT system, " + ", ".join(f"round(sum(errors) FILTER (cond = '{c}') / greatest(sum(words) FILTER (cond = '{c}'), 1), 6) AS p{c[0]}" for c in LEVELS) + " FROM facts GROUP BY system",
