@@ -4,6 +4,7 @@ Rules decide the addresses they fit. Every other address gets the verdict of its
 host: trust flows from hosts with allowed addresses along host edges
 (personalised PageRank), distrust flows from hosts with blocked addresses
 against them. A host whose distrust exceeds ``ratio`` times its trust is blocked.
+Both run until they converge, so a host is judged at any distance from a seed.
 
 Host edges are the hyperlinks between hosts and, where ``hierarchy`` is on, the
 ties of a host to its parent domain in both directions.
@@ -24,6 +25,9 @@ from parlance.llm.scratch import Scratch
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LINK = r"""(?i)\b(?:href|src)\s*=\s*["']?\s*((?:[a-z][a-z0-9+.-]*:)?//[^"'\s>]+)"""
 
+#: Rounds per written table.
+_STEP = 8
+
 Rule = tuple[str, str, str]  # verdict, host, path
 
 
@@ -70,27 +74,46 @@ def host_edges(pages: DataFrame, *, url: str = "url", html: str = "html", hierar
     return edges.where("src <> '' and dst <> '' and src <> dst").groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, scratch: Scratch, name: str, *, damping: float = 0.85, rounds: int = 8) -> DataFrame:
-    """(host, score) after ``rounds`` of personalised PageRank from ``seeds`` (host, seed).
+def propagate(edges: DataFrame, seeds: DataFrame, scratch: Scratch, name: str, *, damping: float = 0.85, rounds: int | None = None, tolerance: float = 1e-6) -> DataFrame:
+    """(host, score) of personalised PageRank from ``seeds`` (host, seed), or its state after ``rounds``.
+
+    A score is what has settled on a host and what is still under way. Without
+    ``rounds`` it ends when all that is under way, hence the error of all scores
+    together, is at most ``tolerance`` and no further host was reached.
 
-    Each round is one join and one aggregation on hosts and is written, so that
-    lineage stays flat. Mass of hosts without out-edges leaves the graph.
+    A round is one join and one aggregation on hosts; every few rounds are
+    written, so that lineage stays flat. Mass of hosts without out-edges leaves
+    the graph.
     """
     out = edges.groupBy("src").agg(F.sum("weight").alias("out"))
-    share = scratch.save(edges.join(out, "src").select("src", "dst", (F.col("weight") / F.col("out") * damping).alias("share")), f"{name}-share")
+    share = edges.join(out, "src").select("src", "dst", (F.col("weight") / F.col("out") * damping).alias("share"))
+    # A row without a share keeps what has settled, so that a round reads its input once.
+    known = edges.select("src").union(edges.select("dst")).union(seeds.select("host")).distinct().select("src", F.col("src").alias("dst"), F.lit(None).cast("double").alias("share"))
+    share = scratch.save(share.unionByName(known), f"{name}-share")
     total = seeds.where("seed > 0").agg(F.sum("seed")).first()[0] or 1.0  # one number
-    start = scratch.save(seeds.where("seed > 0").select("host", (F.col("seed") / F.lit(total)).alias("seed")), f"{name}-seed")
-    score = start.withColumnRenamed("seed", "score")
-    for k in range(rounds):
-        flow = score.join(share, score["host"] == share["src"]).select(F.col("dst").alias("host"), (F.col("score") * F.col("share")).alias("score"))
-        back = start.select("host", (F.col("seed") * (1 - damping)).alias("score"))
-        score = scratch.save(flow.unionByName(back).groupBy("host").agg(F.sum("score").alias("score")), f"{name}-{k}")
-        if k:
-            scratch.drop(f"{name}-{k - 1}")
-    return score
-
-
-def judge(pages: DataFrame, rules: list[Rule], *, ratio: float = 1.0, rounds: int = 8, hierarchy: bool = True, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
+    start = seeds.where("seed > 0").select("host", F.lit(0.0).alias("settled"), (F.col("seed") / F.lit(total)).alias("flow"))
+    state = scratch.save(start, f"{name}-0")
+    done, hosts = 0, -1
+    while rounds is None or done < rounds:
+        rest, reached = state.agg(F.coalesce(F.sum("flow"), F.lit(0.0)), F.count("*")).first()  # two numbers
+        if rounds is None and rest <= tolerance and reached == hosts:
+            break
+        hosts, last = reached, done
+        now = state
+        for _ in range(_STEP if rounds is None else min(_STEP, rounds - done)):
+            moved = now.join(share, now["host"] == share["src"]).select(
+                F.col("dst").alias("host"),
+                F.when(F.isnull("share"), F.col("settled") + F.col("flow") * (1 - damping)).otherwise(0.0).alias("settled"),
+                F.coalesce(F.col("flow") * F.col("share"), F.lit(0.0)).alias("flow"),
+            )
+            now = moved.groupBy("host").agg(F.sum("settled").alias("settled"), F.sum("flow").alias("flow"))
+            done += 1
+        state = scratch.save(now, f"{name}-{done}")
+        scratch.drop(f"{name}-{last}")
+    return state.select("host", (F.col("settled") + F.col("flow")).alias("score"))
+
+
+def judge(pages: DataFrame, rules: list[Rule], *, ratio: float = 1.0, rounds: int | None = None, tolerance: float = 1e-6, hierarchy: bool = True, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """(page_id, host, path, rule, verdict, trust, distrust) of each page."""
     scratch = Scratch(pages.sparkSession, "urls")
     named = pages.select(F.col(page_id).alias("page_id"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
@@ -99,8 +122,8 @@ def judge(pages: DataFrame, rules: list[Rule], *, ratio: float = 1.0, rounds: in
     seeds = ruled.where("verdict is not null").groupBy("host", "verdict").agg(F.count("*").cast("double").alias("seed"))
     seeds = scratch.save(seeds, "seeds")
     turned = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
-    trust = propagate(edges, seeds.where("verdict = 'allow'").select("host", "seed"), scratch, "trust", rounds=rounds)
-    distrust = propagate(turned, seeds.where("verdict = 'block'").select("host", "seed"), scratch, "distrust", rounds=rounds)
+    trust = propagate(edges, seeds.where("verdict = 'allow'").select("host", "seed"), scratch, "trust", rounds=rounds, tolerance=tolerance)
+    distrust = propagate(turned, seeds.where("verdict = 'block'").select("host", "seed"), scratch, "distrust", rounds=rounds, tolerance=tolerance)
     scores = trust.withColumnRenamed("score", "trust").join(distrust.withColumnRenamed("score", "distrust"), "host", "full")
     scores = scores.select("host", F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
     out = ruled.join(scores, "host", "left")
