@@ -10,7 +10,9 @@ advance together in numpy, so the table look-ups are vectorised.
 
 Edge cases: a null or empty text has no words and is not contaminated; an item
 without words gives no window; an item shorter than the window is one window of
-its own length; equal windows of several items count for each of them; repeated
+its own length; equal windows of several items count for each of them; an item
+without an id is searched too, its words count as hit, and only the list of
+items leaves it out; repeated
 documents give repeated rows; extra columns are ignored.
 """
 
@@ -109,14 +111,16 @@ class WuManber:
 class Index:
     """All windows of a block of test items, with the items that hold each."""
 
-    def __init__(self, items: list[tuple[str, str | None]], window: int) -> None:
+    def __init__(self, items: list[tuple[str | None, str | None]], window: int) -> None:
         self.vocabulary: dict[bytes, int] = {}
         owners: dict[int, dict[tuple[int, ...], set[str]]] = defaultdict(lambda: defaultdict(set))
         for item, text in items:
             ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(text)]
             size = min(window, len(ids))
             for i in range(len(ids) - size + 1 if size else 0):
-                owners[size][tuple(ids[i : i + size])].add(item)
+                own = owners[size][tuple(ids[i : i + size])]
+                if item is not None:
+                    own.add(item)
         self.searches = []
         for size, found in sorted(owners.items()):
             windows = sorted(found)
@@ -149,13 +153,11 @@ class Index:
             yield int(counts[k]), int(covered[lo + counts[k]] - covered[lo]), sorted(items.get(k, ()))
 
 
-def _items(benchmark: DataFrame, id_col: str, text_col: str, block_chars: int) -> list[list[tuple[str, str | None]]]:
+def _items(benchmark: DataFrame, id_col: str, text_col: str, block_chars: int) -> list[list[tuple[str | None, str | None]]]:
     """The test items in blocks of at most ``block_chars`` characters (or one item)."""
-    blocks: list[list[tuple[str, str | None]]] = [[]]
+    blocks: list[list[tuple[str | None, str | None]]] = [[]]
     size = 0
     for item, text in benchmark.select(F.col(id_col).cast("string"), F.col(text_col)).toLocalIterator():
-        if item is None:
-            continue
         if blocks[-1] and size + len(text or "") > block_chars:
             blocks.append([])
             size = 0
