@@ -52,9 +52,7 @@ RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow",
 
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = url_filter.judge(_table(spark, sf_dir, "pages"), RULES)
-    # Sums of doubles depend on their order in the last digits.
-    return judged.withColumns({c: F.round(c, 9) for c in ("trust", "distrust")})
+    return url_filter.judge(_table(spark, sf_dir, "pages"), RULES)
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,39 +133,39 @@ FROM d
 """
 
 
-def _rounds(name: str, edges: str, seeds: str, rounds: int = 8) -> str:
-    """Unrolled propagation: CTEs up to ``name`` (host, score)."""
-    parts = [
-        f"{name}_share AS (SELECT src, dst, weight / sum(weight) OVER (PARTITION BY src) * 0.85::DOUBLE AS share FROM {edges})",
-        f"{name}_0 AS (SELECT host, seed / (SELECT sum(seed) FROM {seeds}) AS score FROM {seeds})",
-    ]
-    for k in range(1, rounds + 1):
-        parts.append(
-            f"{name}_{k} AS (SELECT host, sum(score) AS score FROM (SELECT dst AS host, score * share AS score FROM {name}_{k - 1} JOIN {name}_share ON host = src UNION ALL SELECT host, score * 0.15::DOUBLE FROM {name}_0) GROUP BY host)"
-        )
-    return ",\n".join(parts)
+def _propagation(name: str, edges: str, seeds: str) -> str:
+    """CTEs up to ``name`` (host, score): flows round after round until they vanish."""
+    return f"""
+{name}_out AS (SELECT src, sum(weight) AS total, 0.85::DOUBLE * sum(weight) FILTER (src = dst) / sum(weight) AS loop FROM {edges} GROUP BY src),
+{name}_share AS (SELECT src, dst, weight / total * 0.85::DOUBLE / (1 - coalesce(loop, 0)) AS share FROM {edges} JOIN {name}_out USING (src) WHERE src <> dst),
+{name}_flow AS (
+  SELECT 0 AS round, host, seed / (SELECT sum(seed) FROM {seeds}) AS flow FROM {seeds}
+  UNION ALL
+  SELECT round + 1, dst, sum(flow * share) FROM {name}_flow JOIN {name}_share ON host = src GROUP BY round, dst HAVING sum(flow * share) > 1e-13),
+{name}_all AS (SELECT host, sum(flow) * 0.15::DOUBLE / (1 - coalesce(any_value(loop), 0)) AS score FROM {name}_flow LEFT JOIN {name}_out ON host = src GROUP BY host),
+{name} AS (SELECT host, round(score / (SELECT sum(score) FROM {name}_all), 9) AS score FROM {name}_all)"""
 
 
 def _url_sql() -> str:
     host = lambda rest: f"translate(regexp_extract({rest}, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     rest = lambda url: f"CASE WHEN strpos({url}, '://') > 0 THEN substr({url}, strpos({url}, '://') + 3) ELSE '' END"
     rules = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in RULES)
-    link = url_filter.LINK.replace("'", "''")
+    link = url_filter.LINK.replace("'", "''").replace("*+", "*").replace("?+", "?")
     return f"""
-WITH u AS (SELECT page_id, html, {rest("url")} AS rest FROM pages),
+WITH RECURSIVE u AS (SELECT page_id, html, {rest("url")} AS rest FROM pages),
 p AS (SELECT page_id, html, {host("rest")} AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
 rules AS (SELECT * FROM (VALUES {rules}) v(verdict, h, pre)),
 ruled AS (SELECT page_id, p.host, path, r.rule, r.verdict FROM p LEFT JOIN LATERAL (SELECT h || pre AS rule, verdict FROM rules WHERE (p.host = h OR ends_with(p.host, '.' || h)) AND starts_with(path, pre) ORDER BY length(h) + length(pre) DESC, length(h) DESC LIMIT 1) r ON true),
 links AS (SELECT host AS src, unnest(list_distinct(regexp_extract_all(html, '{link}', 1))) AS t FROM p),
-linked AS (SELECT src, {host(rest("CASE WHEN starts_with(t, '//') THEN 'x:' || t ELSE t END"))} AS dst FROM links),
-labels AS (SELECT DISTINCT string_split(host, '.') AS l FROM p WHERE len(string_split(host, '.')) >= 3),
-up AS (SELECT DISTINCT array_to_string(l[i:], '.') AS low, array_to_string(l[i + 1 :], '.') AS high FROM (SELECT l, unnest(range(1, len(l) - 1)) AS i FROM labels)),
-edges AS (SELECT src, dst, count(*)::DOUBLE AS weight FROM (SELECT src, dst FROM linked UNION ALL SELECT low, high FROM up UNION ALL SELECT high, low FROM up) WHERE src <> '' AND dst <> '' AND src <> dst GROUP BY ALL),
+linked AS (SELECT src, CASE WHEN regexp_matches(t, '^(?i)([a-z][a-z0-9+.-]*:)?//') THEN {host(rest("CASE WHEN starts_with(t, '//') THEN 'x:' || t ELSE t END"))} WHEN NOT regexp_matches(t, '^(?i)[a-z][a-z0-9+.-]*:') THEN src END AS dst FROM links),
+edges AS (SELECT src, dst, count(*)::DOUBLE AS weight FROM linked WHERE src <> '' AND dst <> '' GROUP BY ALL),
 turned AS (SELECT dst AS src, src AS dst, weight FROM edges),
 good AS (SELECT host, count(*)::DOUBLE AS seed FROM ruled WHERE verdict = 'allow' GROUP BY host),
 bad AS (SELECT host, count(*)::DOUBLE AS seed FROM ruled WHERE verdict = 'block' GROUP BY host),
-{_rounds("tr", "edges", "good")},
-{_rounds("di", "turned", "bad")}
-SELECT page_id, r.host, path, rule, coalesce(verdict, CASE WHEN coalesce(di_8.score, 0) > coalesce(tr_8.score, 0) THEN 'block' ELSE 'allow' END) AS verdict, round(coalesce(tr_8.score, 0.0::DOUBLE), 9) AS trust, round(coalesce(di_8.score, 0.0::DOUBLE), 9) AS distrust
-FROM ruled r LEFT JOIN tr_8 ON tr_8.host = r.host LEFT JOIN di_8 ON di_8.host = r.host
+{_propagation("tr", "edges", "good")},
+{_propagation("di", "turned", "bad")},
+scored AS (SELECT page_id, r.host, path, rule, verdict, coalesce(tr.score, 0.0::DOUBLE) AS trust, coalesce(di.score, 0.0::DOUBLE) AS distrust FROM ruled r LEFT JOIN tr ON tr.host = r.host LEFT JOIN di ON di.host = r.host)
+SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN distrust > trust THEN 'block' ELSE 'allow' END) AS verdict,
+       CASE WHEN rule IS NOT NULL THEN 'rule' WHEN trust + distrust > 0 THEN 'links' ELSE 'nothing' END AS decided_by, trust, distrust
+FROM scored
 """

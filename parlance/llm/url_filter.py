@@ -6,13 +6,18 @@ host: trust flows from hosts with allowed addresses along host edges
 against them. A host whose distrust exceeds ``ratio`` times its trust is blocked.
 Both run until they converge, so a host is judged at any distance from a seed.
 
-Host edges are the hyperlinks between hosts and, where ``hierarchy`` is on, the
-ties of a host to its parent domain in both directions.
+Host edges are the hyperlinks of the pages: absolute and ``//`` links lead to
+their host, relative ones back to the page's own. Only where ``hierarchy`` is
+on, a host is also tied to its parent domain in both directions; unrelated sites
+below one parent would then share their verdicts, so it is off by default.
 
 Edge cases: a null address, or one without ``://``, has an empty host and path,
-fits no rule and is allowed; a null page has no links; a host without any edge
-or seed is allowed; repeated pages count as often as they occur; extra columns
-are ignored; an empty table gives an empty result.
+fits no rule and is allowed; a null page has no links; links of other schemes
+(``mailto:``, ``data:``) are none; a host without any edge or seed is allowed;
+of fitting rules of equal length the one with the longer host wins, then the one
+later in code point order; repeated pages count as often as they occur; extra
+columns are ignored; a very long page is searched in linear time; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,10 +28,14 @@ from pyspark.sql import functions as F
 from parlance.llm.scratch import Scratch
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-LINK = r"""(?i)\b(?:href|src)\s*=\s*["']?\s*((?:[a-z][a-z0-9+.-]*:)?//[^"'\s>]+)"""
+#: Targets of links; possessive, so that runs of white space are read once.
+LINK = r"""(?i)\b(?:href|src)\s*+=\s*+["']?+\s*+([^"'\s>]+)"""
+_ABSOLUTE, _SCHEME = r"^(?i)(?:[a-z][a-z0-9+.-]*:)?//", r"^(?i)[a-z][a-z0-9+.-]*:"
 
-#: Rounds per written table.
+#: Most rounds per written table.
 _STEP = 8
+#: Digits that scores are given and compared with.
+DIGITS = 9
 
 Rule = tuple[str, str, str]  # verdict, host, path
 
@@ -57,10 +66,11 @@ def fitting_rule(host: Column, path: Column, rules: list[Rule]) -> Column:
     return F.array_max(F.array_compact(F.array(*each)))
 
 
-def host_edges(pages: DataFrame, *, url: str = "url", html: str = "html", hierarchy: bool = True) -> DataFrame:
-    """(src, dst, weight): counted links between different hosts, both known by name."""
+def host_edges(pages: DataFrame, *, url: str = "url", html: str = "html", hierarchy: bool = False) -> DataFrame:
+    """(src, dst, weight): counted links between hosts known by name; links inside a host are loops."""
     links = pages.select(host_of(F.col(url)).alias("src"), F.explode(F.array_distinct(F.regexp_extract_all(F.col(html), F.lit(LINK), F.lit(1)))).alias("to"))
-    target = host_of(F.when(F.startswith("to", F.lit("//")), F.concat(F.lit("x:"), F.col("to"))).otherwise(F.col("to")))
+    named = host_of(F.when(F.startswith("to", F.lit("//")), F.concat(F.lit("x:"), F.col("to"))).otherwise(F.col("to")))
+    target = F.when(F.rlike("to", F.lit(_ABSOLUTE)), named).when(~F.rlike("to", F.lit(_SCHEME)), F.col("src"))
     edges = links.select("src", target.alias("dst"), F.lit(1.0).alias("weight"))
     if hierarchy:
         hosts = pages.select(host_of(F.col(url)).alias("host")).distinct()
@@ -71,50 +81,60 @@ def host_edges(pages: DataFrame, *, url: str = "url", html: str = "html", hierar
         up = chains.select(F.explode(F.arrays_zip(F.slice("chain", F.lit(1), F.size("chain") - 1).alias("low"), F.slice("chain", F.lit(2), F.size("chain") - 1).alias("high"))).alias("e")).select("e.low", "e.high").distinct()
         both = up.select(F.col("low").alias("src"), F.col("high").alias("dst")).unionByName(up.select(F.col("high").alias("src"), F.col("low").alias("dst")))
         edges = edges.unionByName(both.withColumn("weight", F.lit(1.0)))
-    return edges.where("src <> '' and dst <> '' and src <> dst").groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
+    return edges.where("src <> '' and dst <> ''").groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, scratch: Scratch, name: str, *, damping: float = 0.85, rounds: int | None = None, tolerance: float = 1e-6) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, scratch: Scratch, name: str, *, damping: float = 0.85, rounds: int | None = None, tolerance: float = 1e-7) -> DataFrame:
     """(host, score) of personalised PageRank from ``seeds`` (host, seed), or its state after ``rounds``.
 
-    A score is what has settled on a host and what is still under way. Without
-    ``rounds`` it ends when all that is under way, hence the error of all scores
-    together, is at most ``tolerance`` and no further host was reached.
+    What arrives at a host passes its loops all at once, by their geometric sum;
+    a part settles there, the rest moves on. What a host without out-edges
+    cannot pass on returns to the seeds: that scales all scores alike, so it is
+    done at the end by dividing by their sum. A score is what has settled on a
+    host and what is still under way. Without ``rounds`` it ends when all that
+    is under way is at most ``tolerance`` and no further host was reached.
 
     A round is one join and one aggregation on hosts; every few rounds are
-    written, so that lineage stays flat. Mass of hosts without out-edges leaves
-    the graph.
+    written, so that lineage stays flat.
     """
-    out = edges.groupBy("src").agg(F.sum("weight").alias("out"))
-    share = edges.join(out, "src").select("src", "dst", (F.col("weight") / F.col("out") * damping).alias("share"))
-    # A row without a share keeps what has settled, so that a round reads its input once.
-    known = edges.select("src").union(edges.select("dst")).union(seeds.select("host")).distinct().select("src", F.col("src").alias("dst"), F.lit(None).cast("double").alias("share"))
-    share = scratch.save(share.unionByName(known), f"{name}-share")
+    out = edges.groupBy("src").agg(F.sum("weight").alias("out"), F.sum(F.when(F.col("src") == F.col("dst"), F.col("weight")).otherwise(0.0)).alias("loop"))
+    visits = 1 / (1 - F.col("loop") / F.col("out") * damping)
+    share = edges.where("src <> dst").join(out, "src").select("src", "dst", (F.col("weight") / F.col("out") * damping * visits).alias("share"), F.lit(0.0).alias("stay"))
+    # A row from a host to itself keeps what has settled, so that a round reads its input once.
+    known = edges.select("src").union(edges.select("dst")).union(seeds.select("host")).distinct().join(out, "src", "left")
+    stay = F.coalesce(visits, F.lit(1.0)) * (1 - damping)
+    share = scratch.save(share.unionByName(known.select("src", F.col("src").alias("dst"), F.lit(0.0).alias("share"), stay.alias("stay"))), f"{name}-share")
     total = seeds.where("seed > 0").agg(F.sum("seed")).first()[0] or 1.0  # one number
     start = seeds.where("seed > 0").select("host", F.lit(0.0).alias("settled"), (F.col("seed") / F.lit(total)).alias("flow"))
     state = scratch.save(start, f"{name}-0")
-    done, hosts = 0, -1
+    done, hosts, step = 0, -1, 1
     while rounds is None or done < rounds:
         rest, reached = state.agg(F.coalesce(F.sum("flow"), F.lit(0.0)), F.count("*")).first()  # two numbers
         if rounds is None and rest <= tolerance and reached == hosts:
             break
         hosts, last = reached, done
         now = state
-        for _ in range(_STEP if rounds is None else min(_STEP, rounds - done)):
+        for _ in range(step if rounds is None else min(step, rounds - done)):
             moved = now.join(share, now["host"] == share["src"]).select(
                 F.col("dst").alias("host"),
-                F.when(F.isnull("share"), F.col("settled") + F.col("flow") * (1 - damping)).otherwise(0.0).alias("settled"),
-                F.coalesce(F.col("flow") * F.col("share"), F.lit(0.0)).alias("flow"),
+                F.when(F.col("stay") > 0, F.col("settled") + F.col("flow") * F.col("stay")).otherwise(0.0).alias("settled"),
+                (F.col("flow") * F.col("share")).alias("flow"),
             )
             now = moved.groupBy("host").agg(F.sum("settled").alias("settled"), F.sum("flow").alias("flow"))
             done += 1
         state = scratch.save(now, f"{name}-{done}")
         scratch.drop(f"{name}-{last}")
-    return state.select("host", (F.col("settled") + F.col("flow")).alias("score"))
+        step = min(2 * step, _STEP)
+    whole = state.agg(F.sum(F.col("settled") + F.col("flow"))).first()[0] or 1.0  # one number
+    scratch.drop(f"{name}-share")
+    return state.select("host", ((F.col("settled") + F.col("flow")) / F.lit(whole)).alias("score"))
 
 
-def judge(pages: DataFrame, rules: list[Rule], *, ratio: float = 1.0, rounds: int | None = None, tolerance: float = 1e-6, hierarchy: bool = True, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """(page_id, host, path, rule, verdict, trust, distrust) of each page."""
+def judge(pages: DataFrame, rules: list[Rule], *, ratio: float = 1.0, rounds: int | None = None, tolerance: float = 1e-7, hierarchy: bool = False, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
+    """(page_id, host, path, rule, verdict, decided_by, trust, distrust) of each page.
+
+    ``decided_by`` is rule, links (the host has a score) or nothing.
+    """
     scratch = Scratch(pages.sparkSession, "urls")
     named = pages.select(F.col(page_id).alias("page_id"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
     ruled = scratch.save(named.withColumn("fit", fitting_rule(F.col("host"), F.col("path"), rules)).select("page_id", "host", "path", "fit.rule", "fit.verdict"), "ruled")
@@ -122,10 +142,9 @@ def judge(pages: DataFrame, rules: list[Rule], *, ratio: float = 1.0, rounds: in
     seeds = ruled.where("verdict is not null").groupBy("host", "verdict").agg(F.count("*").cast("double").alias("seed"))
     seeds = scratch.save(seeds, "seeds")
     turned = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
-    trust = propagate(edges, seeds.where("verdict = 'allow'").select("host", "seed"), scratch, "trust", rounds=rounds, tolerance=tolerance)
-    distrust = propagate(turned, seeds.where("verdict = 'block'").select("host", "seed"), scratch, "distrust", rounds=rounds, tolerance=tolerance)
-    scores = trust.withColumnRenamed("score", "trust").join(distrust.withColumnRenamed("score", "distrust"), "host", "full")
-    scores = scores.select("host", F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
-    out = ruled.join(scores, "host", "left")
-    method = F.when(F.coalesce("distrust", F.lit(0.0)) > ratio * F.coalesce("trust", F.lit(0.0)), "block").otherwise("allow")
-    return out.select("page_id", "host", "path", "rule", F.coalesce("verdict", method).alias("verdict"), F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
+    score = lambda e, verdict, name: propagate(e, seeds.where(F.col("verdict") == verdict).select("host", "seed"), scratch, name, rounds=rounds, tolerance=tolerance).select("host", F.round("score", DIGITS).alias(name))
+    scores = score(edges, "allow", "trust").join(score(turned, "block", "distrust"), "host", "full")
+    joined = ruled.join(scores, "host", "left").select("page_id", "host", "path", "rule", "verdict", *(F.coalesce(c, F.lit(0.0)).alias(c) for c in ("trust", "distrust")))
+    method = F.when(F.col("distrust") > ratio * F.col("trust"), "block").otherwise("allow")
+    by = F.when(F.col("rule").isNotNull(), "rule").when(F.col("trust") + F.col("distrust") > 0, "links").otherwise("nothing")
+    return joined.select("page_id", "host", "path", "rule", F.coalesce("verdict", method).alias("verdict"), by.alias("decided_by"), "trust", "distrust")
