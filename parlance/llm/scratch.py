@@ -2,7 +2,8 @@
 
 A table written here cuts lineage: a lost executor costs the recomputation of
 one step, never of the whole job. The folder comes from ``spark.checkpoint.dir``;
-only a session without that setting (tests, a laptop) gets a local one.
+only a local session without that setting (tests, a laptop) gets a folder of its
+own, on a cluster the setting is required.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ def shared_folder(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not _LOCAL:
         _LOCAL.append(tempfile.mkdtemp(prefix="parlance-"))
     return f"file://{_LOCAL[0]}"

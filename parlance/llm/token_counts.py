@@ -8,7 +8,8 @@ file, stitches that. Only the blocks' summaries are windowed, never the tokens.
 Edge cases: an empty or null text is a document of 0 tokens; tokens after the
 last separator belong to no document; a document longer than a block, or many
 blocks, is stitched as any other; a file without separators has no documents;
-an empty table gives an empty result.
+rows that share a doc_id, and rows without one, are documents of their own; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -63,7 +64,11 @@ def count_tokens(blocks: DataFrame, *, end: int = END_OF_DOCUMENT, dtype: str =
 
 
 def read_token_files(spark: SparkSession, path: str, *, block_tokens: int = 1 << 20, dtype: str = "<u2") -> DataFrame:
-    """(file, block, ids) of token files under ``path``; each file must fit one row (2 GB), as the writers here ensure."""
+    """(file, block, ids) of token files under ``path``.
+
+    A file is read as one row, which Spark limits to 2 GB; longer streams have to
+    come in several files. A document cannot go on from one file to the next.
+    """
     width = np.dtype(dtype).itemsize
     files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "content")
 
