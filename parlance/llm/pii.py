@@ -7,9 +7,16 @@ digit or an ``@`` can only be outside of a span; that hard constraint cuts the
 chain of a text into short runs which are decoded exactly and independently, so
 Viterbi works on padded batches of runs in numpy instead of word by word.
 
+All steps take time in proportion to the text: each pattern reads a run of its
+characters once, words and their neighbours are taken whole, and runs are
+decoded in batches of bounded size. A feature may be coarse (digit counts from
+20 on are one value), but no part of a text is cut off.
+
 Edge cases: a null text counts as empty and has no span; spans are counted in
-code points with exclusive ends; repeated documents give repeated rows; extra
-columns are ignored; an empty table gives an empty result.
+code points with exclusive ends; spans of two kinds may share a start and are
+ordered by kind; a very long text, word or run of digits is read like any other;
+repeated documents give repeated rows; a null doc_id stays null; extra columns
+are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,11 +30,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from parlance.llm.batches import slices
+
 # The kinds in their order and the base patterns.
 KINDS = ("email", "ip", "card", "phone")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-_IP = re.compile(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
+# Whole chains of dotted numbers: the leftmost matches take four at a time.
+_DOTTED = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3,}+")
+_NUMBER = re.compile(r"[0-9]+")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
@@ -42,6 +53,12 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def _is_octet(digits: str) -> bool:
+    """Whether digits are a number of at most 255; leading zeros do not count."""
+    own = digits.lstrip("0")
+    return len(own) < 3 or len(own) == 3 and own <= "255"
+
+
 def _digits(s: str) -> str:
     return "".join(c for c in s if "0" <= c <= "9")
 
@@ -58,9 +75,11 @@ def base_spans(text: str) -> list[Span]:
         if m and lo < at:
             out.append((lo, 0, done := m.end()))
         at = text.find("@", max(at + 1, done))
-    for m in _IP.finditer(text):
-        if all(int(p) <= 255 for p in m[0].split(".")):
-            out.append((m.start(), 1, m.end()))
+    for m in _DOTTED.finditer(text):
+        parts = [(p.start(), p.end()) for p in _NUMBER.finditer(text, m.start(), m.end())]
+        for k in range(0, len(parts) - 3, 4):
+            if all(_is_octet(text[lo:hi]) for lo, hi in parts[k : k + 4]):
+                out.append((parts[k][0], 1, parts[k + 3][1]))
     for m in _CARD.finditer(text):
         d = _digits(m[0])
         if 12 <= len(d) <= 19 and luhn(d):
@@ -75,13 +94,14 @@ def base_spans(text: str) -> list[Span]:
 
 LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
 _SIZE = 1 << 13
+_CELLS = 1 << 14  # padded words of a batch of runs
 _CANDIDATE = re.compile(r"[^\x20\x09-\x0D]+")
 _SHAPES = str.maketrans({**{c: "9" for c in "0123456789"}, **{c: "a" for c in "abcdefghijklmnopqrstuvwxyz"}, **{c: "A" for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}})
 _CUES = re.compile(r"[^a-z]+")
 
 
 def _shape(word: str) -> str:
-    return word.translate(_SHAPES)[:32]
+    return word.translate(_SHAPES)
 
 
 def _slot(s: str) -> int:
@@ -97,7 +117,7 @@ def word_features(before: str, word: str, after: str) -> list[int]:
     near = [re.sub(r"(.)\1+", r"\1", _shape(w)) for w in (before, after)]
     names = (
         f"shape={shape}", f"short={short}", f"digits={min(count, 20)}", f"marks={marks}", f"ends={shape[:1]}{shape[-1:]}",
-        f"prev={near[0]}", f"next={near[1]}", f"prevcue={_CUES.sub('', before.lower())[:12]}", f"pair={near[0]}|{short}", f"pair2={short}|{near[1]}",
+        f"prev={near[0]}", f"next={near[1]}", f"prevcue={_CUES.sub('', before.lower())}", f"pair={near[0]}|{short}", f"pair2={short}|{near[1]}",
     )
     return [_slot(n) for n in names]
 
@@ -111,27 +131,38 @@ class CRF:
         """Best label sequences of runs that stand between outside words."""
         out: list[list[int]] = [[] for _ in runs]
         order = sorted(range(len(runs)), key=lambda i: len(runs[i]))
-        for lo in range(0, len(order), 512):
-            part = order[lo : lo + 512]
-            longest = len(runs[part[-1]])
-            size = np.array([len(runs[i]) for i in part])
-            score = np.full((len(part), longest, len(LABELS)), 0.0)
-            for row, i in enumerate(part):
-                score[row, : size[row]] = self.emit[np.array(runs[i])].sum(1)
-            best = score[:, 0] + self.move[0]
-            back = np.zeros((len(part), longest, len(LABELS)), np.int64)
-            for t in range(1, longest):
-                step = best[:, :, None] + self.move
-                back[:, t] = step.argmax(1)
-                now = step.max(1) + score[:, t]
-                best = np.where((t < size)[:, None], now, best)
-            last = (best + self.move[:, 0]).argmax(1)  # the next word is outside again
-            for row, i in enumerate(part):
-                label = int(last[row])
-                path = [label]
-                for t in range(int(size[row]) - 1, 0, -1):
-                    path.append(label := int(back[row, t, label]))
-                out[i] = path[::-1]
+        lo = 0
+        while lo < len(order):
+            # Runs are padded to the longest of their batch: as many as fit the cells, or one.
+            hi = lo + 1
+            while hi < len(order) and (hi + 1 - lo) * len(runs[order[hi]]) <= _CELLS:
+                hi += 1
+            for i, path in zip(order[lo:hi], self._decode_batch([runs[i] for i in order[lo:hi]]), strict=True):
+                out[i] = path
+            lo = hi
+        return out
+
+    def _decode_batch(self, runs: list[list[list[int]]]) -> list[list[int]]:
+        size = np.array([len(r) for r in runs])
+        longest = int(size.max())
+        score = np.zeros((longest, len(runs), len(LABELS)))
+        for row, r in enumerate(runs):
+            for at in range(0, len(r), _CELLS):
+                score[at : at + _CELLS, row][: len(r) - at] = self.emit[np.array(r[at : at + _CELLS])].sum(1)
+        best = score[0] + self.move[0]
+        back = np.zeros((longest, len(runs), len(LABELS)), np.int8)
+        for t in range(1, longest):
+            step = best[:, :, None] + self.move
+            back[t] = step.argmax(1)
+            best = np.where((t < size)[:, None], step.max(1) + score[t], best)
+        last = (best + self.move[:, 0]).argmax(1)  # the next word is outside again
+        out = []
+        for row in range(len(runs)):
+            label = int(last[row])
+            path = [label]
+            for t in range(int(size[row]) - 1, 0, -1):
+                path.append(label := int(back[t, row, label]))
+            out.append(path[::-1])
         return out
 
 
@@ -209,6 +240,20 @@ _BREAK = re.compile(r"[\x20\x09-\x0D]")
 _EDGES = " \t\n\v\f\r.,;:!?\"'<>[]{}"
 
 
+_SPACE = frozenset(" \t\n\v\f\r")
+
+
+def _word_before(text: str, at: int) -> str:
+    """The whole word that ends before ``at``, where white space or the text begins."""
+    hi = at
+    while hi and text[hi - 1] in _SPACE:
+        hi -= 1
+    lo = hi
+    while lo and text[lo - 1] not in _SPACE:
+        lo -= 1
+    return text[lo:hi]
+
+
 def _text_runs(text: str) -> list[list[tuple[int, int, str, str, str]]]:
     """The runs of candidate words of a text: (start, end, word before, word, word after)."""
     out: list[list[tuple[int, int, str, str, str]]] = []
@@ -216,13 +261,11 @@ def _text_runs(text: str) -> list[list[tuple[int, int, str, str, str]]]:
     last_end = -1
     while m := _MAY.search(text, at):
         lo = m.start()
-        while lo > 0 and not _BREAK.match(text[lo - 1]):
+        while lo > at and text[lo - 1] not in _SPACE:
             lo -= 1
         b = _BREAK.search(text, m.end())
         hi = b.start() if b else len(text)
-        before = text[max(0, lo - 40) : lo].split()
-        after = text[hi : hi + 40].split()
-        word = (lo, hi, before[-1] if before else "", text[lo:hi], after[0] if after else "")
+        word = (lo, hi, _word_before(text, lo), text[lo:hi], m[0] if (m := _CANDIDATE.search(text, hi)) else "")
         if out and not text[last_end:lo].strip(" \t\n\v\f\r"):
             out[-1].append(word)
         else:
@@ -236,8 +279,8 @@ def _plausible(kind: int, s: str) -> bool:
     if kind == 0:
         return bool(re.search(r"[A-Za-z0-9]@[A-Za-z0-9]", s))
     if kind == 1:
-        parts = re.findall(r"[0-9]+", s)
-        return len(parts) == 4 and all(int(p[:6]) <= 255 for p in parts)
+        parts = _NUMBER.findall(s)
+        return len(parts) == 4 and all(map(_is_octet, parts))
     if kind == 2:
         return 12 <= len(d) <= 19 and luhn(d)
     return 7 <= len(d) <= 15
@@ -249,6 +292,7 @@ def find_spans(texts: list[str | None], crf: CRF) -> list[tuple[list[Span], list
     runs = [(k, run) for k, t in enumerate(texts) if t for run in _text_runs(t)]
     paths = crf.decode([[word_features(*w[2:]) for w in run] for _, run in runs])
     full = [list(b) for b in base]
+    taken: dict[int, bytearray] = {}  # code points inside a span, of the texts that the CRF may add to
     for (k, run), path in zip(runs, paths, strict=True):
         i = 0
         while i < len(path):
@@ -263,8 +307,14 @@ def find_spans(texts: list[str | None], crf: CRF) -> list[tuple[list[Span], list
                 lo += 1
             while hi > lo and texts[k][hi - 1] in _EDGES:
                 hi -= 1
-            if _plausible(kind, texts[k][lo:hi]) and not any(lo < e and hi > s for s, _, e in full[k]):
-                full[k].append((lo, kind, hi))
+            if _plausible(kind, texts[k][lo:hi]):
+                if k not in taken:
+                    taken[k] = bytearray(len(texts[k]))
+                    for s, _, e in base[k]:
+                        taken[k][s:e] = b"\1" * (e - s)
+                if taken[k].find(1, lo, hi) < 0:
+                    taken[k][lo:hi] = b"\1" * (hi - lo)
+                    full[k].append((lo, kind, hi))
             i = j
     return [(b, sorted(f)) for b, f in zip(base, full, strict=True)]
 
@@ -282,7 +332,7 @@ def find_personal_data(documents: DataFrame, crf: CRF, *, doc_id: str = "doc_id"
     kind = documents.schema[doc_id].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, "text"):
             found = find_spans(batch.column(1).to_pylist(), held.value)
             counts = [pa.array([sum(s[1] == k for s in b) for b, _ in found], pa.int64()) for k in range(4)]
             yield pa.RecordBatch.from_arrays(

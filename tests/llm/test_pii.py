@@ -1,4 +1,5 @@
 import re
+import time
 
 import pytest
 from hypothesis import given, settings, strategies as st
@@ -65,3 +66,39 @@ def test_table(table, crf):
     got = sorted(((r.doc_id, r.n_email, r.n_ip, r.base, r.spans) for r in pii.find_personal_data(table(rows), crf).collect()), key=str)
     assert got == sorted([(1, 0, 0, "", ""), (2, 0, 0, "", ""), (3, 1, 0, "email:0:6", "email:0:6"), (3, 1, 0, "email:0:6", "email:0:6"), (None, 0, 1, "ip:0:7", "ip:0:7")], key=str)
     assert pii.find_personal_data(table([]), crf).collect() == []
+
+
+LONG = ["9" * 5_000_000, "1." * 2_500_000, "+1" * 2_500_000, "a@" * 2_500_000, " " * 5_000_000, "a" * 5_000_000, "+1" + "(" * 5_000_000, "@" * 5_000_000, "." * 5_000_000]
+
+
+@pytest.mark.parametrize("text", LONG, ids=lambda t: t[:3])
+def test_long_texts_of_one_class_take_linear_time(crf, text):
+    began = time.time()
+    base, spans = pii.find_spans([text + " x 1.2.3.4"], crf)[0]
+    assert base[-1] == (len(text) + 3, 1, len(text) + 10) and time.time() - began < 60
+
+
+def test_long_numbers_before_dots(crf):
+    assert pii.base_spans("9" * 5000 + ".1.1.1") == []
+    assert pii.base_spans("0" * 5000 + "9.1.1.1") == [(0, 1, 5007)]
+    assert pii.base_spans("1.2.3.4.5.6.7.256 1.2.3.4.5") == brute("1.2.3.4.5.6.7.256 1.2.3.4.5") == [(0, 1, 7), (18, 1, 25)]
+
+
+def test_a_long_run_beside_short_ones(crf):
+    """One table of numbers does not widen the batch of the others."""
+    texts = ["1 " * 60_000 + "tel (415) 555-2671 end"] + ["call (415) 555-2671 now"] * 600
+    found = pii.find_spans(texts, crf)
+    assert all(pii.render(f) == "phone:5:19" for _, f in found[1:])
+
+
+def test_neighbours_are_whole_words(crf):
+    far = "number" + "x" * 100
+    (run,) = pii._text_runs(f"{far}{' ' * 90}42{' ' * 90}{far} z")
+    assert run == [(196, 198, far, "42", far)]
+    assert pii.word_features("", "1" * 40, "") != pii.word_features("", "1" * 45, "")
+
+
+def test_base_columns_on_the_corpus(spark, corpus, crf):
+    got = {r.doc_id: (r.n_email, r.n_ip, r.n_card, r.n_phone, r.base) for r in pii.find_personal_data(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), crf).collect()}
+    want = {i: brute(t or "") for i, t in corpus.items()}
+    assert got == {i: (*(sum(s[1] == k for s in b) for k in range(4)), pii.render(b)) for i, b in want.items()}
