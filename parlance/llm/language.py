@@ -9,9 +9,10 @@ the domain's towards all pages. A page's own share is left out of its priors.
 
 Edge cases: a null or empty page has no text evidence; a null address has the
 empty host; a page without a declared language gives no declaration evidence; a
-language without training text is unknown to the model; repeated pages count as
-often as they occur; extra columns are ignored; with no training text at all
-every language is null.
+language without training text is unknown to the model; of languages that are
+equally likely the first in code point order is named; repeated pages count as
+often as they occur; extra columns are ignored; a very long page is read whole
+and in linear time; with no training text at all every language is null.
 """
 
 from __future__ import annotations
@@ -27,23 +28,39 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from parlance.llm.batches import slices
 from parlance.llm.scratch import Scratch
 from parlance.llm.url_filter import host_of
 
 _BINS = 1 << 15
 _HIDDEN = re.compile(r"(?is)<(script|style)\b.*?(?:</\1\s*>|\Z)|<!--.*?(?:-->|\Z)")
-_TAG = re.compile(r"(?s)<[^>]*>")
-_DECLARED = re.compile(r"""(?i)<html\b[^>]*?\blang\s*=\s*["']?\s*([a-z]{2,3})\b""")
-_META = re.compile(r"""(?i)<meta\b[^>]*?http-equiv\s*=\s*["']?content-language["']?[^>]*?content\s*=\s*["']?\s*([a-z]{2,3})\b""")
+_TAG = re.compile(r"(?s)<[^>]*+>")
+# A tag's inside ends before the next bracket, so that every character is read once.
+_HTML, _META = re.compile(r"(?i)<html\b([^<>]*+)"), re.compile(r"(?i)<meta\b([^<>]*+)")
+_LANG = re.compile(r"""(?i)\blang\s*+=\s*+["']?+\s*+([a-z]{2,3})\b""")
+_ABOUT = re.compile(r"""(?i)\bhttp-equiv\s*+=\s*+["']?+\s*+content-language\b""")
+_CONTENT = re.compile(r"""(?i)\bcontent\s*+=\s*+["']?+\s*+([a-z]{2,3})\b""")
+_REFERENCE = re.compile(r"&#0*+([0-9]{8,});?")  # beyond all code points
 
 
 def visible_text(page: str | None) -> str:
-    return entities.unescape(_TAG.sub(" ", _HIDDEN.sub(" ", page))) if page else ""
+    """The text outside of tags, scripts, styles and comments; what no ``>`` follows is no tag."""
+    if not page:
+        return ""
+    shown = _HIDDEN.sub(" ", page)
+    last = shown.rfind(">") + 1
+    return entities.unescape(_REFERENCE.sub("\ufffd", _TAG.sub(" ", shown[:last]) + shown[last:]))
 
 
 def declared_language(page: str | None) -> str | None:
-    found = (_DECLARED.search(page) or _META.search(page)) if page else None
-    return found[1].lower() if found else None
+    """The language that the first ``html`` tag with one declares, else a ``meta`` tag."""
+    for tag in _HTML.finditer(page or ""):
+        if found := _LANG.search(tag[1]):
+            return found[1].lower()
+    for tag in _META.finditer(page or ""):
+        if _ABOUT.search(tag[1]) and (found := _CONTENT.search(tag[1])):
+            return found[1].lower()
+    return None
 
 
 def _trigrams(text: str) -> np.ndarray:
@@ -63,11 +80,15 @@ class TrigramModel:
     logs: np.ndarray  # bins x languages
 
     def log_likelihoods(self, text: str) -> np.ndarray:
-        """Mean log likelihood per trigram for each language, times a bounded evidence weight."""
+        """Log likelihood for each language, tempered to the root of the number of trigrams.
+
+        Trigrams overlap and repeat, so n of them are far less than n independent
+        observations; the root lets evidence grow with every text, but slowly.
+        """
         grams = _trigrams(text)
         if not len(grams) or not self.languages:
             return np.zeros(self.logs.shape[1])
-        return self.logs[grams].mean(0) * min(len(grams), 200) / 4
+        return np.bincount(grams, minlength=_BINS) @ self.logs / np.sqrt(len(grams))
 
 
 def fit_trigrams(rows: list[tuple[str | None, str]], *, smoothing: float = 0.5) -> TrigramModel:
@@ -107,7 +128,7 @@ def read_pages(pages: DataFrame, model: TrigramModel, *, page_id: str = "page_id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = held.value
-        for batch in batches:
+        for batch in slices(batches, "html"):
             texts = batch.column("html").to_pylist()
             yield pa.RecordBatch.from_arrays(
                 [batch.column("page_id"), batch.column("host"), pa.array([declared_language(t) for t in texts], pa.string()), pa.array([own.log_likelihoods(visible_text(t)).tolist() for t in texts], pa.list_(pa.float64()))],
