@@ -8,12 +8,18 @@ missing an occurrence, shift 0 leads to the suffix-hash bucket of that block,
 and every window of the bucket is compared word by word. Cursors of all lanes
 advance together in numpy, so the table look-ups are vectorised.
 
+The tables of a block of items are built once, on the driver, and broadcast; a
+Python worker reads them once for all its tasks. The items are read block by
+block, so the driver never holds more than one.
+
 Edge cases: a null or empty text has no words and is not contaminated; an item
 without words gives no window; an item shorter than the window is one window of
 its own length; equal windows of several items count for each of them; an item
 without an id is searched too, its words count as hit, and only the list of
-items leaves it out; repeated
-documents give repeated rows; extra columns are ignored.
+items leaves it out; rows of one
+item id count as one item; repeated documents give repeated rows; a very long
+text is scanned whole, and white space or separators of any length cost linear
+time; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,20 +28,21 @@ import hashlib
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import reduce
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from parlance.llm.batches import slices
+
 #: Words are maximal runs of ASCII letters and digits and of all characters beyond ASCII; A-Z count as a-z.
 _FOLD = bytes(
     b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else b + 32 if 0x41 <= b <= 0x5A else 0x20
     for b in range(256)
 )
 _LANE = 512
-_BATCH_WORDS = 1 << 18
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -50,15 +57,13 @@ class WuManber:
         self.length = windows.shape[1]
         self.block = min(2, self.length)
         self.base = np.int64(vocabulary + 1)
-        far = self.length - self.block + 1
-        best: dict[int, int] = {}
-        for end in range(self.block - 1, self.length):
-            shift = self.length - 1 - end
-            for key in np.unique(self._keys(windows, end)).tolist():
-                best[key] = min(best.get(key, far), shift)
-        self.keys = np.array(sorted(best), np.int64)
-        self.shifts = np.array([best[k] for k in self.keys.tolist()], np.int64)
-        self.far = far
+        self.far = self.length - self.block + 1
+        # Keys by the least shift: how far their last place is from a window's end.
+        ends = range(self.length - 1, self.block - 2, -1)
+        keys = np.concatenate([self._keys(windows, end) for end in ends])
+        shifts = np.repeat(self.length - 1 - np.array(ends), len(windows))
+        self.keys, first = np.unique(keys, return_index=True)
+        self.shifts = shifts[first]
         last = self._keys(windows, self.length - 1)
         order = np.argsort(last, kind="stable")
         self.bucket_rows = order
@@ -113,57 +118,70 @@ class Index:
 
     def __init__(self, items: list[tuple[str | None, str | None]], window: int) -> None:
         self.vocabulary: dict[bytes, int] = {}
-        owners: dict[int, dict[tuple[int, ...], set[str]]] = defaultdict(lambda: defaultdict(set))
-        for item, text in items:
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(text)]
-            size = min(window, len(ids))
-            for i in range(len(ids) - size + 1 if size else 0):
-                own = owners[size][tuple(ids[i : i + size])]
-                if item is not None:
-                    own.add(item)
+        self.names = sorted({item for item, _ in items if item is not None})
+        place = {name: k for k, name in enumerate(self.names)}
+        parts = [[self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(text)] for _, text in items]
+        sizes = np.minimum(window, [len(p) for p in parts])
         self.searches = []
-        for size, found in sorted(owners.items()):
-            windows = sorted(found)
-            self.searches.append((WuManber(np.array(windows, np.int64), len(self.vocabulary)), [sorted(found[w]) for w in windows]))
+        for size in np.unique(sizes[sizes > 0]).tolist():
+            own = [k for k, s in enumerate(sizes.tolist()) if s == size]
+            rows = np.concatenate([np.lib.stride_tricks.sliding_window_view(np.array(parts[k], np.int32), size) for k in own])
+            item = np.repeat([place.get(items[k][0], -1) for k in own], [len(parts[k]) - size + 1 for k in own])
+            windows, of = np.unique(rows, axis=0, return_inverse=True)
+            pairs = np.unique(np.column_stack((of.reshape(-1), item)), axis=0)
+            pairs = pairs[pairs[:, 1] >= 0]  # items without an id are found, but not named
+            self.searches.append((WuManber(windows, len(self.vocabulary)), np.searchsorted(pairs[:, 0], np.arange(len(windows) + 1)), pairs[:, 1]))
+
+    def numbers(self, text: str | None) -> np.ndarray:
+        """The words of a text as numbers; a word that no item holds is 0."""
+        words = words_of(text)
+        return np.fromiter(map(self.vocabulary.get, words, repeat(0)), np.int64, len(words))
+
+    def hits(self, stream: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """For each window length its size, the ends of its occurrences, and (occurrence, item) pairs."""
+        for search, lo, item in self.searches:
+            ends, rows = search.search(stream)
+            count = lo[rows + 1] - lo[rows]
+            at = np.repeat(lo[rows] - np.cumsum(count) + count, count) + np.arange(count.sum())
+            yield search.length, ends, np.repeat(np.arange(len(rows)), count), item[at]
 
     def scan(self, texts: list[str | None]) -> Iterator[tuple[int, int, list[str]]]:
         """(words, hit words, items) of each text, by one pass over their joined word sequence."""
-        find = self.vocabulary.get
-        parts, counts = [], np.zeros(len(texts), np.int64)
-        for k, text in enumerate(texts):
-            words = words_of(text)
-            counts[k] = len(words)
-            ids = np.zeros(len(words) + 1, np.int64)  # the 0 at the end keeps windows inside one text
-            ids[:-1] = [find(w, 0) for w in words]
-            parts.append(ids)
-        stream = np.concatenate(parts) if parts else np.zeros(0, np.int64)
+        parts = [self.numbers(text) for text in texts]
+        counts = np.array([len(p) for p in parts], np.int64)
+        # The 0 behind each text keeps windows inside it.
+        stream = np.concatenate([x for p in parts for x in (p, np.zeros(1, np.int64))]) if parts else np.zeros(0, np.int64)
         starts = np.cumsum(counts + 1) - counts - 1
         edge = np.zeros(len(stream) + 1, np.int64)
-        items: dict[int, set[str]] = defaultdict(set)
-        for search, owners in self.searches:
-            ends, rows = search.search(stream)
-            np.add.at(edge, ends - search.length + 1, 1)
+        items: dict[int, set[int]] = defaultdict(set)
+        for size, ends, of, item in self.hits(stream):
+            np.add.at(edge, ends - size + 1, 1)
             np.add.at(edge, ends + 1, -1)
-            docs = np.searchsorted(starts, ends, "right") - 1
-            for doc, row in zip(docs.tolist(), rows.tolist(), strict=True):
-                items[doc].update(owners[row])
+            docs = np.searchsorted(starts, ends[of], "right") - 1
+            for doc, own in np.unique(np.column_stack((docs, item)), axis=0).tolist():
+                items[doc].add(own)
         covered = np.concatenate((np.zeros(1, np.int64), np.cumsum(np.cumsum(edge[:-1]) > 0)))
         for k in range(len(texts)):
             lo = int(starts[k])
-            yield int(counts[k]), int(covered[lo + counts[k]] - covered[lo]), sorted(items.get(k, ()))
+            yield int(counts[k]), int(covered[lo + counts[k]] - covered[lo]), [self.names[i] for i in sorted(items.get(k, ()))]
 
 
-def _items(benchmark: DataFrame, id_col: str, text_col: str, block_chars: int) -> list[list[tuple[str | None, str | None]]]:
-    """The test items in blocks of at most ``block_chars`` characters (or one item)."""
-    blocks: list[list[tuple[str | None, str | None]]] = [[]]
-    size = 0
+def _items(benchmark: DataFrame, id_col: str, text_col: str, block_chars: int) -> Iterator[list[tuple[str | None, str | None]]]:
+    """The test items in blocks of at most ``block_chars`` characters (or one item); without items one empty block."""
+    block, size = [], 0
     for item, text in benchmark.select(F.col(id_col).cast("string"), F.col(text_col)).toLocalIterator():
-        if blocks[-1] and size + len(text or "") > block_chars:
-            blocks.append([])
-            size = 0
-        blocks[-1].append((item, text))
+        if block and size + len(text or "") > block_chars:
+            yield block
+            block, size = [], 0
+        block.append((item, text))
         size += len(text or "")
-    return blocks
+    yield block
+
+
+def _broadcasts(benchmark: DataFrame, id_col: str, text_col: str, block_chars: int, window: int) -> list:
+    """The broadcast tables of every block."""
+    context = benchmark.sparkSession.sparkContext
+    return [context.broadcast(Index(block, window)) for block in _items(benchmark, id_col, text_col, block_chars)]
 
 
 _SCHEMA = "doc_id {}, n_words long, n_hit long, items array<string>"
@@ -189,12 +207,11 @@ def find_contamination(
     """
     kind = documents.schema[doc_id].dataType.simpleString()
     source = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    blocks = _items(benchmark, item_id, item_text, block_chars)
-    spark = documents.sparkSession
+    blocks = _broadcasts(benchmark, item_id, item_text, block_chars, window)
     if len(blocks) == 1:
-        return source.mapInArrow(_scanner(spark, blocks[0], window), _SCHEMA.format(kind))
+        return source.mapInArrow(_scanner(blocks[0]), _SCHEMA.format(kind))
     schema = f"doc_id {kind}, row string, n_words long, spans array<struct<lo:long,hi:long>>, items array<string>"
-    every = reduce(DataFrame.unionByName, [source.mapInArrow(_positions(spark, b, window), schema) for b in blocks])
+    every = reduce(DataFrame.unionByName, [source.mapInArrow(_positions(b), schema) for b in blocks])
     merged = every.groupBy("doc_id", "row").agg(
         F.max("n_words").alias("n_words"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
@@ -213,22 +230,10 @@ def find_contamination(
     return merged.select("doc_id", "n_words", covered.alias("n_hit"), "items", F.explode(F.sequence(F.lit(1), "copies")).alias("_")).drop("_")
 
 
-def _rows(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
-    """Slices with about a quarter of a million words at most, or one row."""
-    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64) // 6 + 1
-    group = np.cumsum(sizes) // _BATCH_WORDS
-    edges = np.flatnonzero(np.diff(group, prepend=-1))
-    for lo, hi in zip(edges, [*edges[1:], batch.num_rows], strict=True):
-        yield batch.slice(lo, hi - lo)
-
-
-def _scanner(spark, items: list, window: int):
-    held = spark.sparkContext.broadcast(items)
-
+def _scanner(held):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Index(held.value, window)
-        for part in (part for batch in batches for part in _rows(batch, "text")):
-            found = list(index.scan(part.column("text").to_pylist()))
+        for part in slices(batches, "text"):
+            found = list(held.value.scan(part.column("text").to_pylist()))
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc_id"), pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64()), pa.array([x[2] for x in found], pa.list_(pa.string()))],
                 ["doc_id", "n_words", "n_hit", "items"],
@@ -237,25 +242,21 @@ def _scanner(spark, items: list, window: int):
     return run
 
 
-def _positions(spark, items: list, window: int):
+def _positions(held):
     """Hit runs of one block of items; ``row`` tells documents of one id apart by their text."""
-    held = spark.sparkContext.broadcast(items)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Index(held.value, window)
-        for part in (part for batch in batches for part in _rows(batch, "text")):
+        for part in slices(batches, "text"):
             spans, counts, names, rows = [], [], [], []
             for text in part.column("text").to_pylist():
-                words = words_of(text)
-                stream = np.array([index.vocabulary.get(w, 0) for w in words], np.int64)
+                stream = held.value.numbers(text)
                 own, of = set(), set()
-                for search, owners in index.searches:
-                    for end, row in zip(*(x.tolist() for x in search.search(stream)), strict=True):
-                        own.add((end - search.length + 1, end))
-                        of.update(owners[row])
+                for size, ends, _, item in held.value.hits(stream):
+                    own.update(zip((ends - size + 1).tolist(), ends.tolist(), strict=True))
+                    of.update(item.tolist())
                 spans.append([{"lo": a, "hi": b} for a, b in sorted(own)])
-                counts.append(len(words))
-                names.append(sorted(of))
+                counts.append(len(stream))
+                names.append([held.value.names[i] for i in sorted(of)])
                 rows.append("" if text is None else hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest())
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc_id"), pa.array(rows, pa.string()), pa.array(counts, pa.int64()), pa.array(spans, pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))), pa.array(names, pa.list_(pa.string()))],
@@ -272,19 +273,16 @@ def items_digest(items: Column) -> Column:
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame, *, window: int = 10, block_chars: int = 16_000_000) -> DataFrame:
     """The documents (columns doc_id and text, all others kept) without a word inside a benchmark window."""
-    spark, kept = documents.sparkSession, documents
-    for items in _items(benchmark, "item_id", "text", block_chars):
-        kept = kept.mapInArrow(_filter(spark, items, window), documents.schema)
+    kept = documents
+    for held in _broadcasts(benchmark, "item_id", "text", block_chars, window):
+        kept = kept.mapInArrow(_filter(held), documents.schema)
     return kept
 
 
-def _filter(spark, items: list, window: int):
-    held = spark.sparkContext.broadcast(items)
-
+def _filter(held):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Index(held.value, window)
-        for part in (part for batch in batches for part in _rows(batch, "text")):
-            clean = [hit == 0 for _, hit, _ in index.scan(part.column("text").to_pylist())]
+        for part in slices(batches, "text"):
+            clean = [hit == 0 for _, hit, _ in held.value.scan(part.column("text").to_pylist())]
             yield part.filter(pa.array(clean, pa.bool_()))
 
     return run

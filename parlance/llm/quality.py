@@ -3,17 +3,18 @@
 One dictionary is built from good labelled texts, one from bad ones. A text is
 compressed with each; the difference of the compressed sizes, divided by the
 text's own size, says which kind it resembles. A logistic curve fitted on
-labelled rows that the dictionaries have not seen turns it into a probability.
+labelled rows that the dictionaries have not seen turns it into a probability:
+it sees the plain difference and one damped for short texts, nothing else.
 
 Edge cases: a null or empty text has difference 0 and so the curve's value at
-0; labels that are null or not 0/1 are left out; a document with several labels
+0; a very long text is compressed piece by piece to its end; a null doc_id and
+repeated rows are scored like any other row; labels that are null or not 0/1 are left out; a document with several labels
 counts once for each; a label without its document is ignored; with no labelled
 row of one kind the score is 0.5 for every text.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -41,15 +42,15 @@ class QualityModel:
             make = lambda d: zstandard.ZstdCompressor(self.level, dict_data=zstandard.ZstdCompressionDict(d), write_content_size=False, write_dict_id=False)
             self._with = make(self.good), make(self.bad)
         if not raw or self.weights is None and not (self.good and self.bad):
-            return (0.0, 0.0, 1.0)
+            return (0.0, 0.0)
         sizes = [sum(len(c.compress(raw[i : i + _PIECE])) for i in range(0, len(raw), _PIECE)) for c in self._with]
         gap = sizes[1] - sizes[0]
-        return (gap / (len(raw) + _SHORT), gap / len(raw), math.sqrt(_SHORT / (len(raw) + _SHORT)))
+        return (gap / (len(raw) + _SHORT), gap / len(raw))
 
     def score(self, texts: list[str | None]) -> np.ndarray:
         if self.weights is None:
             return np.full(len(texts), 0.5)
-        x = np.array([self.features(t) for t in texts], np.float64).reshape(-1, 3)
+        x = np.array([self.features(t) for t in texts], np.float64).reshape(-1, 2)
         return 1 / (1 + np.exp(-np.clip(self.weights[0] + x @ np.array(self.weights[1:]), -500, 500)))
 
     def __getstate__(self) -> dict:
