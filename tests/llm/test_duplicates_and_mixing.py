@@ -68,7 +68,22 @@ def test_mixing_edges(table):
     got = mixed(table, [(1, None, "a"), (2, "", "b"), (3, " ", None)])
     assert [(got[i].size, got[i].target, got[i].taken) for i in (1, 2, 3)] == [(0, 0.0, 0)] * 3
     assert mixed(table, []) == {}
-    assert mixed(table, [(1, "a b c", "x")])[1].taken <= 6
+    assert mixed(table, [(1, "a b c", "x")])[1].taken in (4, 5)  # the target is 4.5
+    tiny = mixed(table, [(1, "a " * 900, "a"), (2, "b c", "b"), (3, "d", None)])
+    assert (tiny[2].target, tiny[2].taken, tiny[3].target, tiny[3].taken) == (4, 4, 2, 2)  # sources at their limit give all
+    assert abs(tiny[1].taken - tiny[1].target) <= 900 / 64
+
+
+def test_mixing_repeated_rows_null_ids_and_long_texts(table):
+    rows = [(1, "a b c", "x")] * 5 + [(None, "d e", "x")] * 3 + [(7, "w " * 500_000, "y"), (7, "w " * 500_000, "y"), (8, "v " * 3, "y")]
+    got = [(r.doc_id, r.size, r.target, r.taken) for r in mixing.taken_words(*mixing.mix_sources(table(rows))).collect()]
+    assert sorted((i, n) for i, n, _, _ in got if i is not None) == sorted((i, len(t.split())) for i, t, _ in rows if i is not None) and sum(i is None for i, *_ in got) == 3
+    assert all(0 <= taken <= 2 * n for _, n, _, taken in got)
+    assert sum(t for i, _, _, t in got if i in (1, None)) == 2 * 21  # at its limit
+    long = [t for i, _, _, t in got if i in (7, 8)]
+    assert abs(sum(long) - (1.5 * 1_000_024 - 42)) <= 64
+    texts = mixing.mixed_texts(table(rows)).collect()
+    assert abs(sum(len(r.text.split()) for r in texts) - 1.5 * 1_000_024) <= 1024
 
 
 def test_permutation_is_one_to_one(spark):
