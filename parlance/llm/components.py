@@ -2,7 +2,8 @@
 
 Each step is one aggregation and one join on node ids; the number of steps grows
 with the logarithm of the longest path. A component with very many nodes ends as
-a star, so no task ever holds a component: its rows stay edges.
+a star, so no task ever holds a component: its rows stay edges. The centre of a
+star is looked up by ``skew.lookup``, so its rows are not one task's either.
 """
 
 from __future__ import annotations
@@ -10,38 +11,48 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from parlance.llm import skew
 from parlance.llm.scratch import Scratch
 
 
-def connected_components(edges: DataFrame, scratch: Scratch, name: str, *, most: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """(node, root): every node of ``edges`` (columns a, b) with the least id of its component.
 
     Nodes that are their own root are included. Null ends and loops are ignored.
     """
     links = edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     links = scratch.save(links, f"{name}-0")
-    before = None
-    for step in range(1, most + 1):
-        links = scratch.save(_small_star(_large_star(links)), f"{name}-{step}")
-        now = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+    before, step = _state(links), 0
+    while True:
+        step += 1
+        starred = scratch.save(_large_star(links, before[0]), f"{name}-large")
+        links = scratch.save(_small_star(starred, before[0]), f"{name}-{step}")
+        now = _state(links)
         if now == before:
             break
         before = now
-        scratch.drop(f"{name}-{step - 1}")
-    else:
-        raise RuntimeError("the components did not settle")
+        scratch.drop(f"{name}-{step - 1}", f"{name}-large")
     roots = links.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     return links.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
 
 
-def _large_star(links: DataFrame) -> DataFrame:
-    """Every neighbour larger than a node is tied to the node's least neighbour."""
-    both = links.select("u", "v").unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+def _state(links: DataFrame) -> tuple:
+    """Two numbers that tell tables of links apart: their count and the sum of their hashes."""
+    return tuple(links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
-def _small_star(links: DataFrame) -> DataFrame:
+def _large_star(links: DataFrame, count: int) -> DataFrame:
+    """Every link (u, v) of a node to a smaller one: u is tied to the least neighbour of v, or to v where v is less."""
+    most = skew.limit(links, count)
+    least = links.groupBy(F.col("u").alias("v")).agg(F.min("v").alias("m"))
+    heavy = links.groupBy("v").agg(F.count("*").alias("n")).where(F.col("n") > most).join(least, "v", "left")
+    found = skew.lookup(links.withColumn("w", F.col("v")), least, heavy, ["v"], ["m"], F.xxhash64("u"))
+    return found.select("u", F.coalesce("m", "w").alias("v")).distinct()
+
+
+def _small_star(links: DataFrame, count: int) -> DataFrame:
     """Every smaller neighbour of a node, and the node, are tied to the least of them."""
-    least = links.groupBy("u").agg(F.min("v").alias("m"))
-    return links.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
+    least = links.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    heavy = least.where(F.col("n") > skew.limit(links, count))
+    found = skew.lookup(links.withColumn("w", F.col("u")), least, heavy, ["u"], ["m"], F.xxhash64("v"))
+    return found.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("w").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()

@@ -26,6 +26,27 @@ def test_exact_duplicates_against_brute_force(table):
     assert ed.exact_duplicates(table([])).collect() == []
 
 
+def test_wide_numbers_name_alike(spark, table):
+    """Decimals, used where 63 bits do not number all blocks, give the same groups."""
+    from pyspark.sql import functions as F
+
+    from parlance.llm.scratch import Scratch
+
+    rows = [(k, t) for k, t in enumerate(["ab" * 50, "ab" * 50, "ab" * 49 + "ac", "", "x", "x", "ab" * 25] * 30)]
+    texts = Scratch(spark, "t").save(table(rows).select(F.monotonically_increasing_id().alias("row"), "doc_id", F.col("text").cast("binary").alias("body")), "rows")
+    groups = []
+    for wide in (False, True):
+        named = ed.identities(texts.select("row", "body"), Scratch(spark, "t"), block_bytes=16, wide=wide)
+        found = {}
+        for r in named.join(texts, "row").collect():
+            found.setdefault((r.blocks, r.name), set()).add(r.doc_id)
+        groups.append(sorted(map(sorted, found.values())))
+    want = {}
+    for i, t in rows:
+        want.setdefault(t, []).append(i)
+    assert groups[0] == groups[1] == sorted(want.values())
+
+
 def waterfill(sizes, weights=(3, 1, 2), share=1.5, limit=2.0):
     """Reshare the excess by weight until no source is above its cap."""
     names = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + [s for s in sizes if s is None]
