@@ -5,22 +5,33 @@ splits the hash space into buckets and stores for the least hash of each bucket
 the count of leading zeros and the mantissa bits that follow; empty buckets
 borrow the register of a bucket drawn for them (optimal densification).
 
-1. Documents with equal sets collapse into a class; its least id stands for it.
+1. Documents with equal sets collapse into a class.
 2. Bands of compressed registers name buckets of classes. Each member of a
-   bucket is paired with the bucket's least member only, never with all others.
+   bucket is paired with the bucket's first member only, never with all others.
 3. A pair whose collision-corrected Jaccard estimate lies clearly below the
-   threshold goes (margin: six standard errors); the others are confirmed on
-   the full sets, and confirmed links are joined to components.
+   threshold goes (margin: six standard errors; sets of at most ``_SMALL``
+   shingles are not judged by an estimate); the others are confirmed on the full
+   sets, and confirmed links are joined to components.
 4. Buckets that still hold several components are searched block by block: the
-   sets of two blocks are intersected at once, every pair across components is
-   looked at, and links that join what is still apart in the block come out for
-   confirmation. So a link between documents is found unless the bands miss it
-   (chance below 1e-6 at 0.8), and no group's pairs are ever written out.
+   sets of two blocks are intersected at once (of sets above ``_SAMPLE``
+   shingles a sample, again with a margin of six standard errors), every pair
+   across components is looked at, and links that join what is still apart in
+   the block come out for confirmation on full sets. Buckets of more than
+   ``huge`` classes are first split by each further band, as similar sets share
+   about twelve of all bands.
+
+So a link between documents is found unless the bands miss it (chance below 1e-6
+at 0.8; 2e-5 where all bands that two sets share are huge), and no group's pairs
+are ever written out. A pivot's own text or sketch is sent once for each bounded
+part of its pairs, not once per pair.
 
 Edge cases: a text without words, empty or null has an empty set and links with
-nothing; a text shorter than a shingle is one shingle; rows of one doc_id are
-one node of the link graph; a null doc_id has no links and no component; extra
-columns are ignored.
+nothing; a text shorter than a shingle is one shingle; a very long text is read
+whole. Rows are what is linked: ``component_id`` is the least doc_id among the
+rows that links reach, rows that share a doc_id are not linked by that, and all
+rows whose doc_id is the component's are kept. A null doc_id has no links and no
+component; ids may be of any type with an order; extra columns are ignored; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -34,6 +45,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from parlance.llm import skew
+from parlance.llm.batches import slices
 from parlance.llm.components import connected_components
 from parlance.llm.scratch import Scratch
 
@@ -45,6 +58,7 @@ _BITS = 64 - int(math.log2(REGISTERS))
 _SAMPLE = 1024  # larger sets are compared inside blocks by a sample of about this size or half of it
 _BLOCK = 512
 _SMALL = 64  # sets up to this size go to confirmation without an estimate
+_HUGE = _BLOCK * BANDS  # above this many classes, a bucket's blocks would be more than its further bands
 
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _S33 = np.uint64(33)
@@ -109,61 +123,87 @@ def estimate_jaccard(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndar
 
 
 def sketch_documents(documents: DataFrame, *, words: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n, hi, lo, sketch): set size, 128-bit name of the set and its registers (null for an empty set)."""
+    """(doc_id, print, n, hi, lo, sketch): a hash of the text, set size, 128-bit name of the set and its registers (null for an empty set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, "text"):
             n, hi, lo, regs = [], [], [], []
-            for t in batch.column(1).to_pylist():
+            for t in batch.column("text").to_pylist():
                 s = shingle_set(t, words)
                 name = xxhash.xxh3_128_digest(s.tobytes())
                 n.append(len(s))
                 hi.append(int.from_bytes(name[:8], "little", signed=True))
                 lo.append(int.from_bytes(name[8:], "little", signed=True))
                 regs.append(sketch(s).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(regs, pa.binary())], ["doc_id", "n", "hi", "lo", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("print"), pa.array(n, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(regs, pa.binary())], ["doc_id", "print", "n", "hi", "lo", "sketch"])
 
     kind = documents.schema[doc_id].dataType.simpleString()
-    return documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, n long, hi long, lo long, sketch binary")
+    return _printed(documents, doc_id, text).mapInArrow(run, f"doc_id {kind}, print long, n long, hi long, lo long, sketch binary")
+
+
+def _printed(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    return documents.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("print"), F.col(text).alias("text"))
 
 
 def bands(classes: DataFrame) -> DataFrame:
-    """(rep, n, key): each class under the hash of every band."""
+    """(rep, n, band, key): each class under the hash of every band."""
     key = lambda i: F.xxhash64(F.substring("sketch", 2 * BAND_ROWS * i + 1, 2 * BAND_ROWS), F.lit(i))
-    return classes.select("rep", "n", F.explode(F.array(*(key(i) for i in range(BANDS)))).alias("key"))
+    return classes.select("rep", "n", F.posexplode(F.array(*(key(i) for i in range(BANDS)))).alias("band", "key"))
+
+
+def by_pivot(pairs: DataFrame, own: DataFrame, columns: list[str]) -> DataFrame:
+    """(a, b, columns) sorted for one pass: behind a row with null ``b`` and what ``own`` (rep, columns) has of a pivot, its members' rows.
+
+    A pivot with very many pairs is cut into parts, and heads each of them. Only
+    such pivots, of which there are few, are broadcast.
+    """
+    most = max(256, skew.limit(pairs, pairs.count()))
+    per = pairs.groupBy("a").agg(F.count("*").alias("n"))
+    heavy = per.where(F.col("n") > most).select("a", F.ceil(F.col("n") / most).alias("parts"))
+    part = F.coalesce(F.pmod(F.xxhash64("b"), F.col("parts")), F.lit(0).cast("long"))
+    members = pairs.join(F.broadcast(heavy), "a", "left").select("a", "b", part.alias("part")).join(own, F.col("b") == own["rep"])
+    heads = per.join(F.broadcast(heavy), "a", "left").select("a", F.lit(None).cast("long").alias("b"), F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)) - 1)).alias("part")).join(own, F.col("a") == own["rep"])
+    both = members.select("a", "b", "part", *columns).unionByName(heads.select("a", "b", "part", *columns))
+    return both.repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
 
 
 def _likely(threshold: float):
-    """Keep (a, b) whose estimate is not clearly below the threshold."""
+    """From rows by pivot, the (a, b) whose estimate is not clearly below the threshold."""
     margin = 6 * math.sqrt(threshold * (1 - threshold) / REGISTERS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        regs, n = np.zeros((1, REGISTERS), np.uint16), np.zeros(1)  # the pivot's
         for batch in batches:
             if not batch.num_rows:
                 continue
-            regs = [np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, REGISTERS) for c in ("sketch_a", "sketch_b")]
-            n = [batch.column(c).to_numpy().astype(np.float64) for c in ("n_a", "n_b")]
-            good = (estimate_jaccard(*regs, *n) >= threshold - margin) | (np.minimum(*n) <= _SMALL)
-            yield batch.select(["a", "b"]).filter(pa.array(good))
+            regs = np.vstack((regs, np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint16).reshape(-1, REGISTERS)))
+            n = np.append(n, batch.column("n").to_numpy())
+            head = batch.column("b").is_null().to_numpy(zero_copy_only=False)
+            pivot = np.maximum.accumulate(np.where(head, np.arange(1, len(n)), 0))
+            row, at = np.flatnonzero(~head) + 1, pivot[~head]
+            small, large = np.minimum(n[row], n[at]), np.maximum(n[row], n[at])
+            good = small >= threshold * large - 1e-6
+            good[good] = (estimate_jaccard(regs[at[good]], regs[row[good]], n[at[good]], n[row[good]]) >= threshold - margin) | (small[good] <= _SMALL)
+            yield batch.select(["a", "b"]).take(pa.array(row[good] - 1))
+            regs, n = regs[pivot[-1]][None], n[pivot[-1]][None]
 
     return run
 
 
 def _confirm(threshold: float, words: int):
-    """Keep (a, b) whose full sets reach the threshold."""
+    """From rows by pivot, the (a, b) whose full sets reach the threshold."""
     # Integers decide: 100 * intersection >= percent * union.
     percent = round(100 * threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, own = None, None
-        for batch in batches:
-            a, good = batch.column("a").to_pylist(), []
-            for k in range(batch.num_rows):
-                text_a = batch.column("text_a")[k].as_py()
-                if own is None or last != (a[k], text_a):
-                    last, own = (a[k], text_a), shingle_set(text_a, words)
-                other = shingle_set(batch.column("text_b")[k].as_py(), words)
-                both = np.intersect1d(own, other, assume_unique=True).size
+        own = None
+        for batch in slices(batches, "text"):
+            good = []
+            for b, text in zip(batch.column("b").to_pylist(), batch.column("text"), strict=True):
+                other = shingle_set(text.as_py(), words)
+                if b is None:
+                    own = other
+                both = 0 if b is None else np.intersect1d(own, other, assume_unique=True).size
                 good.append(both > 0 and 100 * both >= percent * (len(own) + len(other) - both))
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
@@ -174,15 +214,15 @@ def _thinned_sets(texts: DataFrame, words: int) -> DataFrame:
     """(rep, level, items): the upper halves of a set's hashes; of large sets those whose first ``level`` bits are 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, "text"):
             levels, items = [], []
             for t in batch.column("text").to_pylist():
                 upper = (shingle_set(t, words) >> np.uint64(32)).astype(np.uint32)
                 levels.append(min(20, max(0, (len(upper) - 1) // _SAMPLE).bit_length()))
                 items.append(_thin(upper, levels[-1]).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(levels, pa.int32()), pa.array(items, pa.binary())], ["rep", "level", "items"])
+            yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array(levels, pa.int32()), pa.array(items, pa.binary())], ["rep", "level", "items"])
 
-    return texts.select("doc_id", "text").mapInArrow(run, "rep long, level int, items binary")
+    return texts.select("rep", "text").mapInArrow(run, "rep long, level int, items binary")
 
 
 def _thin(items: np.ndarray, level: int) -> np.ndarray:
@@ -281,39 +321,46 @@ def _across(threshold: float):
     return run
 
 
-def near_duplicates(documents: DataFrame, *, threshold: float = 0.8, words: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of each row; ids are integers."""
-    source = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+def near_duplicates(documents: DataFrame, *, threshold: float = 0.8, words: int = 5, huge: int = _HUGE, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) of each row."""
     scratch = Scratch(documents.sparkSession, "near")
-    sketches = scratch.save(sketch_documents(source, words=words), "sketches")
-    classes = scratch.save(
-        sketches.where("n > 0 and doc_id is not null").groupBy("n", "hi", "lo").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch")),
-        "classes",
-    )
+    sketches = scratch.save(sketch_documents(documents, words=words, doc_id=doc_id, text=text), "sketches")
+    # One row, by id and text, stands for a class; the class itself gets a number of its own.
+    grouped = sketches.where("n > 0 and doc_id is not null").groupBy("n", "hi", "lo").agg(F.min(F.struct("doc_id", "print")).alias("pick"), F.count("*").alias("copies"), F.first("sketch").alias("sketch"))
+    classes = scratch.save(grouped.select(F.monotonically_increasing_id().alias("rep"), "n", "hi", "lo", "copies", "pick", "sketch"), "classes")
     banded = bands(classes)
     shared = banded.groupBy("key").agg(F.min("rep").alias("pivot"), F.count("*").alias("m")).where("m > 1")
-    members = scratch.save(banded.join(shared, "key"), "members")
-    texts = scratch.save(source.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), "texts")
+    heavy = shared.where(F.col("m") > skew.limit(classes, BANDS * classes.count()))
+    members = skew.lookup(banded.withColumn("bucket", F.col("key")), shared, heavy, ["key"], ["pivot", "m"], F.xxhash64("rep", "band"))
+    members = scratch.save(members.where("m is not null").withColumnRenamed("bucket", "key"), "members")
+    needed = classes.join(members.select("rep").distinct(), "rep", "left_semi").select("rep", "pick.doc_id", "pick.print")
+    texts = _printed(documents, doc_id, text).join(needed, ["doc_id", "print"]).select("rep", "text")
+    if sketches.groupBy("doc_id", "print").count().where("count > 1 and doc_id is not null").limit(1).count():
+        texts = texts.groupBy("rep").agg(F.first("text").alias("text"))  # the same row several times
+    texts = scratch.save(texts, "texts")
 
     def links(pairs: DataFrame, table: str) -> DataFrame:
-        side = lambda c: classes.select(F.col("rep").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"sketch_{c}"))
-        own = lambda c: texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}"))
-        close = pairs.join(side("b"), "b").join(side("a"), "a").where(f"least(n_a, n_b) >= {threshold} * greatest(n_a, n_b) - 1e-6")
-        likely = scratch.save(close.mapInArrow(_likely(threshold), "a long, b long"), f"{table}-likely")
-        return scratch.save(likely.join(own("b"), "b").join(own("a"), "a").select("a", "b", "text_a", "text_b").mapInArrow(_confirm(threshold, words), "a long, b long").distinct(), table)
+        pairs = scratch.save(pairs, f"{table}-pairs")
+        likely = scratch.save(by_pivot(pairs, classes, ["n", "sketch"]).mapInArrow(_likely(threshold), "a long, b long"), f"{table}-likely")
+        return scratch.save(by_pivot(likely, texts, ["text"]).mapInArrow(_confirm(threshold, words), "a long, b long").distinct(), table)
 
     pairs = members.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
     edges = links(pairs, "links-0")
     roots = connected_components(edges, scratch, "roots-0")
-    edges = edges.unionByName(links(_open_pairs(members, classes, texts, roots, scratch, threshold, words), "links-1"))
+    edges = edges.unionByName(links(_open_pairs(members, classes, texts, roots, scratch, threshold, words, huge), "links-1"))
     roots = connected_components(edges, scratch, "roots-1")
     # The result reads only the sketches, the classes and the roots.
-    scratch.drop("members", "texts", "open", *(f"links-{k}{part}" for k in (0, 1) for part in ("", "-likely")))
+    scratch.drop("members", "texts", "open", *(f"links-{k}{part}" for k in (0, 1) for part in ("", "-likely", "-pairs")))
 
-    named = classes.select("n", "hi", "lo", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("n", "hi", "lo", F.coalesce("root", "rep").alias("root"))
-    out = sketches.select("doc_id", "n", "hi", "lo").join(named, ["n", "hi", "lo"], "left")
-    root = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), root.alias("component_id"), F.coalesce(F.col("doc_id") == root, F.lit(False)).alias("kept"))
+    rooted = classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "n", "hi", "lo", "copies", "pick.doc_id", F.coalesce("root", "rep").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("m"))
+    some = least.where(F.col("m") > skew.limit(classes, classes.count()))
+    named = scratch.save(skew.lookup(rooted, least, some, ["root"], ["component_id"], F.xxhash64("rep")), "named")
+    copied = named.where(F.col("copies") > skew.limit(sketches, sketches.count()))
+    row = F.xxhash64("doc_id", "print", F.monotonically_increasing_id())
+    out = skew.lookup(sketches.withColumn("size", F.col("n")).drop("sketch"), named, copied, ["hi", "lo", "n"], ["component_id"], row)
+    root = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
+    return out.select("doc_id", F.col("size").alias("n_shingles"), root.alias("component_id"), F.coalesce(F.col("doc_id") == root, F.lit(False)).alias("kept"))
 
 
 def drop_near_duplicates(documents: DataFrame, *, threshold: float = 0.8, words: int = 5) -> DataFrame:
@@ -327,12 +374,18 @@ def drop_near_duplicates(documents: DataFrame, *, threshold: float = 0.8, words:
     return numbered.join(found.where("kept").select(F.col("doc_id").alias("__near_row")), "__near_row", "left_semi").select(*documents.columns)
 
 
-def _open_pairs(members: DataFrame, classes: DataFrame, texts: DataFrame, roots: DataFrame, scratch: Scratch, threshold: float, words: int) -> DataFrame:
+def _open_pairs(members: DataFrame, classes: DataFrame, texts: DataFrame, roots: DataFrame, scratch: Scratch, threshold: float, words: int, huge: int) -> DataFrame:
     """Pairs to confirm across components in the buckets that hold more than one."""
-    labelled = members.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "n", "m", F.coalesce("root", "rep").alias("root"))
-    still = labelled.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("key")
-    open_ = scratch.save(labelled.join(still, "key", "left_semi"), "open")
-    needed = texts.join(open_.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    rooted = members.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "n", "m", F.coalesce("root", "rep").alias("root"))
+    open_ = scratch.save(_several(rooted), "open")
+    if (open_.agg(F.max("m")).first()[0] or 0) > huge:
+        # Classes of a huge bucket meet where they share a further band.
+        large = open_.where(F.col("m") > huge).drop("m")
+        further = bands(classes.join(large.select("rep").distinct(), "rep", "left_semi")).select("rep", F.col("key").alias("other"))
+        split = large.join(further, "rep").where("key <> other").withColumn("key", F.xxhash64("key", "other")).drop("other")
+        sizes = split.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
+        open_ = scratch.save(open_.where(F.col("m") <= huge).unionByName(_several(split.join(sizes, "key"))), "open-split")
+    needed = texts.join(open_.select("rep").distinct(), "rep", "left_semi")
     rows = open_.join(_thinned_sets(needed, words), "rep")
     blocks = F.ceil(F.col("m") / _BLOCK).cast("int")
     spread = rows.withColumn("own", F.pmod(F.xxhash64("rep"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
@@ -340,3 +393,9 @@ def _open_pairs(members: DataFrame, classes: DataFrame, texts: DataFrame, roots:
     spread = spread.select("rep", "n", "root", "level", "items", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), side.alias("side"))
     grouped = spread.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     return grouped.mapInArrow(_across(threshold), "a long, b long").distinct()
+
+
+def _several(rows: DataFrame) -> DataFrame:
+    """The rows of buckets (``key``) that hold more than one component."""
+    still = rows.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("key")
+    return rows.join(still, "key", "left_semi")
