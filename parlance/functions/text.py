@@ -6,6 +6,8 @@ brings them there where that is not certain.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -58,9 +60,14 @@ def content_tokens(text: Column) -> Column:
     return content_of(tokens(text))
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, with ``value`` computed once, also where ``use`` reads it inside a lambda."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def without_repeats(items: Column) -> Column:
     """The items that differ from the one before them."""
-    return F.filter(items, lambda x, i: (i == 0) | (x != F.get(items, i - 1)))
+    return bound(items, lambda own: F.filter(own, lambda x, i: (i == 0) | (x != F.get(own, i - 1))))
 
 
 def distinct_in_order(items: Column) -> Column:
@@ -139,18 +146,21 @@ def json_object_text(reply: Column) -> Column:
     return F.when(found != "", found)
 
 
-def word_edits(ref: Column, hyp: Column) -> Column:
+def word_edits(ref: Column, hyp: Column, start: int = 0x3400) -> Column:
     """Levenshtein distance over words, exact and in the JVM.
 
     Each distinct word of the pair becomes one character, which the built-in
-    distance then compares. 20,000 distinct words fit one pair.
+    distance then compares: code points from ``start`` on, without surrogates,
+    so about a million distinct words fit one pair.
     """
-    # The one-element array binds the pair and its words once; otherwise they are found anew for every word.
-    pair = F.array(F.struct(ref.alias("ref"), hyp.alias("hyp"), F.array_distinct(F.concat(ref, hyp)).alias("names")))
+    names = F.array_distinct(F.concat(ref, hyp))
+    numbers = F.map_from_arrays(names, F.sequence(F.lit(1), F.size(names)))
+    pair = F.struct(ref.alias("ref"), hyp.alias("hyp"), F.when(F.size(names) > 0, numbers).alias("numbers"))
 
     def distance(p: Column) -> Column:
-        code = lambda w: F.decode(F.unhex(F.lpad(F.hex(F.lit(0x3400) + F.array_position(p["names"], w)), 4, "0")), "UTF-16BE")
-        spell = lambda items: F.array_join(F.transform(items, code), "")
+        point = lambda w: F.lit(start) + F.element_at(p["numbers"], w)
+        shown = lambda c: F.hex(F.when(c >= 0xD800, c + 0x800).otherwise(c))
+        spell = lambda items: F.decode(F.unhex(F.array_join(F.transform(items, lambda w: F.lpad(shown(point(w)), 8, "0")), "")), "UTF-32")
         return F.levenshtein(spell(p["ref"]), spell(p["hyp"]))
 
-    return F.get(F.transform(pair, distance), F.lit(0)).cast("long")
+    return bound(pair, distance).cast("long")

@@ -34,19 +34,23 @@ def unknown_ids(lines: DataFrame, replies: DataFrame, keys: list[str]) -> DataFr
 
 def revert_reason(source: Column, text: Column, most: float = 0.5, loanwords: list[str] | None = None) -> Column:
     """Why a repair is not accepted, the first of the ordered checks that fails; null for an accepted one."""
-    form, new = tx.normalise(source), tx.normalise(text)
-    chars = F.replace(form, F.lit(" "), F.lit(""))
-    edits = F.levenshtein(chars, F.replace(new, F.lit(" "), F.lit("")))
-    n_source, n_text = F.size(tx.tokens(source)), F.size(tx.tokens(text))
-    reason = F.when(form == new, F.lit(None).cast("string"))
-    reason = reason.when(edits / F.greatest(F.length(chars), F.lit(1)) > most, "rewrote")
-    reason = reason.when(n_text - n_source > F.greatest(F.lit(1.0), F.rint(n_source * 0.2)), "added")
-    reason = reason.when(n_text < F.size(tx.without_repeats(tx.tokens(source))), "dropped")
-    if loanwords:
-        known = F.array(*(F.lit(w) for w in loanwords))
-        lost = F.array_except(F.array_intersect(tx.tokens(source), known), tx.tokens(text))
-        reason = reason.when(F.size(lost) > 0, "replaced")
-    return reason
+    own = F.struct(tx.normalise(source).alias("form"), tx.normalise(text).alias("new"), tx.tokens(source).alias("said"), tx.tokens(text).alias("told"))
+
+    def judge(x: Column) -> Column:
+        chars, others = (F.replace(x[c], F.lit(" "), F.lit("")) for c in ("form", "new"))
+        # The distance ends at the most edits allowed, beyond which it is -1.
+        edits = F.call_function("levenshtein", chars, others, F.floor(F.greatest(F.length(chars), F.lit(1)) * most).cast("int"))
+        n_source, n_text = F.size(x["said"]), F.size(x["told"])
+        reason = F.when(x["form"] == x["new"], F.lit(None).cast("string"))
+        reason = reason.when(edits < 0, "rewrote")
+        reason = reason.when(n_text - n_source > F.greatest(F.lit(1.0), F.rint(n_source * 0.2)), "added")
+        reason = reason.when(n_text < F.size(tx.without_repeats(x["said"])), "dropped")
+        if loanwords:
+            known = F.array(*(F.lit(w) for w in loanwords))
+            reason = reason.when(F.size(F.array_except(F.array_intersect(x["said"], known), x["told"])) > 0, "replaced")
+        return reason
+
+    return tx.bound(own, judge)
 
 
 def check_replies(lines: DataFrame, replies: DataFrame, keys: list[str], *, most: float = 0.5, loanwords: list[str] | None = None) -> DataFrame:
@@ -72,18 +76,24 @@ def plan_chunks(lines: DataFrame, keys: list[str], budget: int, most: int = 6) -
     """(keys, line_id, chunk): consecutive lines that fit the budget, at most ``most``; costs are in ``prompt`` and ``reply``.
 
     Greedy packing with a reset is no window function; it is a fold over each
-    conversation's lines, in the JVM.
+    conversation's lines, in the JVM, which notes where chunks begin.
     """
     ordered = F.array_sort(F.collect_list(F.struct("line_id", (F.col("prompt") + F.col("reply")).alias("cost"))))
-    start = F.struct(F.lit(-1).alias("chunk"), F.lit(0).cast("long").alias("used"), F.lit(0).alias("n"), F.array().cast("array<struct<line_id: bigint, chunk: int>>").alias("out"))
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).cast("long").alias("used"), F.lit(0).alias("n"), F.array().cast("array<int>").alias("starts"))
 
     def step(a: Column, x: Column) -> Column:
         fresh = (a["n"] == 0) | (a["used"] + x["cost"] + 220 > budget) | (a["n"] >= most)
-        chunk = F.when(fresh, a["chunk"] + 1).otherwise(a["chunk"])
-        return F.struct(chunk.alias("chunk"), F.when(fresh, x["cost"]).otherwise(a["used"] + x["cost"]).alias("used"), F.when(fresh, 1).otherwise(a["n"] + 1).alias("n"), F.concat(a["out"], F.array(F.struct(x["line_id"].alias("line_id"), chunk.alias("chunk")))).alias("out"))
+        used, n = F.when(fresh, x["cost"]).otherwise(a["used"] + x["cost"]), F.when(fresh, 1).otherwise(a["n"] + 1)
+        return F.struct((a["at"] + 1).alias("at"), used.alias("used"), n.alias("n"), F.when(fresh, F.concat(a["starts"], F.array(a["at"]))).otherwise(a["starts"]).alias("starts"))
+
+    def numbered(p: Column) -> Column:
+        upto = lambda k: F.coalesce(F.get(p["starts"], k + 1), F.size(p["lines"]))
+        chunk = lambda s, k: F.transform(F.slice(p["lines"], s + 1, upto(k) - s), lambda x: F.struct(x["line_id"].alias("line_id"), k.alias("chunk")))
+        return F.flatten(F.transform(p["starts"], chunk))
 
-    folded = lines.groupBy(*keys).agg(F.aggregate(ordered, start, step)["out"].alias("out"))
-    return folded.select(*keys, F.inline("out"))
+    per = lines.groupBy(*keys).agg(ordered.alias("lines"))
+    pair = F.struct("lines", F.aggregate("lines", start, step)["starts"].alias("starts"))
+    return per.select(*keys, F.inline(tx.bound(pair, numbered)))
 
 
 def valid_actions(actions: DataFrame, lines: DataFrame, keys: list[str], owners: list[str]) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -44,7 +46,7 @@ def simulate(design: DataFrame, target: float = 60.0) -> DataFrame:
 
     def one(frame: pd.DataFrame) -> pd.DataFrame:
         r = frame.iloc[0]
-        seed = int.from_bytes(str(r["id"]).encode()[-8:], "little")
+        seed = int.from_bytes(hashlib.blake2b(str(r["id"]).encode(), digest_size=8).digest(), "little")
         return plan_turns(int(r["n_speakers"]), levels[r["overlap_level"]], target, seed).assign(id=r["id"])[["id", "speaker", "start", "end"]]
 
     return design.groupBy("id").applyInPandas(one, "id string, speaker string, start double, end double")

@@ -6,8 +6,10 @@ repository; anything with the same methods can take their place.
 
 from __future__ import annotations
 
+import http.client
 import json
 import re
+import time
 import urllib.error
 import urllib.request
 from collections.abc import Callable, Iterator
@@ -38,6 +40,18 @@ class ConnectionFailed(ModelError):
     """The server cannot be reached; the caller stops."""
 
 
+class Refused(ModelError):
+    """The server answered with an error status."""
+
+    def __init__(self, detail: str, status: int | None = None) -> None:
+        super().__init__(detail)
+        self.status = status
+
+
+class TooLong(Refused):
+    """The prompt does not fit the model's context, or takes too long; smaller parts may do."""
+
+
 @dataclass
 class DurationRecogniser:
     """Stand-in: says how long a clip is."""
@@ -48,7 +62,8 @@ class DurationRecogniser:
 
 def transcribe(clips: list[np.ndarray], model: Recogniser, *, most: float = 30.0, least: float = 0.1, batch: int = 4) -> list[str]:
     """Texts of clips in order: too short ones are empty, long ones are cut, pieces go longest first in batches."""
-    pieces = [(k, n, p) for k, clip in enumerate(clips) if len(clip) >= least * signals.RATE for n, p in enumerate(signals.split_at_quiet(np.asarray(clip, np.float32).ravel(), most))]
+    clips = [signals.clip(np.array(list(c)) if getattr(c, "dtype", None) == object else c) for c in clips]
+    pieces = [(k, n, p) for k, clip in enumerate(clips) if len(clip) >= least * signals.RATE for n, p in enumerate(signals.split_at_quiet(clip, most))]
     order = sorted(range(len(pieces)), key=lambda i: -len(pieces[i][2]))
     said: dict[tuple[int, int], str] = {}
     for lo in range(0, len(order), batch):
@@ -94,39 +109,107 @@ class ScriptedChat:
         return reply if isinstance(reply, str) else json.dumps(reply, ensure_ascii=False)
 
 
+@dataclass
+class Usage:
+    """What a client has used: calls, seconds, and tokens where the server counts them."""
+
+    calls: int = 0
+    seconds: float = 0.0
+    prompt_tokens: int = 0
+    completion_tokens: int = 0
+
+    def add(self, seconds: float, counted: dict | None) -> None:
+        self.calls += 1
+        self.seconds = round(self.seconds + seconds, 3)
+        for name in ("prompt_tokens", "completion_tokens"):
+            setattr(self, name, getattr(self, name) + ((counted or {}).get(name) or 0))
+
+
+# Words of a refusal that tell what the server minds.
+SCHEMA_WORDS = re.compile(r"response_format|schema|grammar", re.IGNORECASE)
+CONTEXT_WORDS = re.compile(r"context|too long|maximum.{0,20}tokens|n_ctx", re.IGNORECASE)
+
+
 @dataclass
 class HttpChat:
-    """Client of a chat-completions server; schema support is dropped when the server refuses it, busy servers are waited for."""
+    """Client of a chat-completions server.
+
+    A busy server (503) is waited for and, in the end, given up like one that
+    cannot be reached. A prompt that is too long, or not answered in time, may
+    fit in smaller parts. The schema is dropped for good once the server has
+    refused it by name and answered without it.
+    """
 
     url: str
     model: str
     timeout: float = 900
     use_schema: bool = True
     tries: int = 6
-    pause: Callable[[float], None] = field(default=lambda s: __import__("time").sleep(s))
+    pause: Callable[[float], None] = time.sleep
+    usage: Usage = field(default_factory=Usage)
+
+    def ping(self, wait: float = 120, every: float = 5) -> None:
+        """Return once the server answers; one that is still loading (503) gets ``wait`` seconds."""
+        for left in range(max(1, int(wait / every)), -1, -1):
+            try:
+                with urllib.request.urlopen(f"{self.url}/models", timeout=10):
+                    return
+            except urllib.error.HTTPError as error:
+                if error.code != 503:
+                    return
+                if not left:
+                    raise ConnectionFailed("the server stays busy") from error
+                self.pause(every)
+            except OSError as error:
+                raise ConnectionFailed(str(error)) from error
 
     def complete(self, system: str, user: str, max_tokens: int, schema: dict | None = None) -> str:
         body = {"model": self.model, "temperature": 0, "seed": 0, "max_tokens": max_tokens, "messages": [{"role": "system", "content": system}, {"role": "user", "content": user}]}
+        if schema and self.use_schema:
+            try:
+                return self._answer(body | {"response_format": {"type": "json_object", "schema": schema}})
+            except Refused as error:
+                if error.status not in (400, 422, 500) or not SCHEMA_WORDS.search(str(error)):
+                    raise
+            said = self._answer(body)
+            self.use_schema = False
+            return said
+        return self._answer(body)
+
+    def _answer(self, body: dict) -> str:
+        began = time.monotonic()
+        reply = self._post(body)
+        try:
+            choice = reply["choices"][0]
+            said = choice["message"]["content"]
+        except (KeyError, IndexError, TypeError) as error:
+            raise ModelError("a reply of unknown form") from error
+        self.usage.add(time.monotonic() - began, reply.get("usage"))
+        if choice.get("finish_reason") == "length" or not isinstance(said, str):
+            raise ModelError("reply cut off at the token limit")
+        return said.strip()
+
+    def _post(self, body: dict) -> dict:
+        request = urllib.request.Request(f"{self.url}/chat/completions", json.dumps(body).encode(), {"Content-Type": "application/json"})
         for attempt in range(self.tries + 1):
-            sent = body | ({"response_format": {"type": "json_schema", "json_schema": {"name": "reply", "schema": schema}}} if schema and self.use_schema else {})
-            request = urllib.request.Request(f"{self.url}/chat/completions", json.dumps(sent).encode(), {"Content-Type": "application/json"})
             try:
                 with urllib.request.urlopen(request, timeout=self.timeout) as reply:
-                    choice = json.load(reply)["choices"][0]
+                    return json.load(reply)
             except urllib.error.HTTPError as error:
-                if error.code == 503 and attempt < self.tries:
+                detail = error.read().decode("utf-8", "replace")[:1000]
+                if error.code != 503:
+                    raise (TooLong if CONTEXT_WORDS.search(detail) else Refused)(f"HTTP {error.code}: {detail}", error.code) from error
+                if attempt < self.tries:
                     self.pause(2**attempt)
-                elif error.code == 400 and schema and self.use_schema:
-                    self.use_schema = False
-                else:
-                    raise ModelError(f"HTTP {error.code}") from error
-            except (urllib.error.URLError, OSError) as error:
+            except ValueError as error:
+                raise ModelError("a reply that is no JSON") from error
+            except OSError as error:
+                if isinstance(error, TimeoutError) or isinstance(getattr(error, "reason", None), TimeoutError):
+                    raise TooLong(f"no answer within {self.timeout} s") from error
                 raise ConnectionFailed(str(error)) from error
-            else:
-                if choice.get("finish_reason") == "length":
-                    raise ModelError("reply cut off at the token limit")
-                return choice["message"]["content"]
-        raise ModelError("server stays busy")
+            except http.client.HTTPException as error:
+                raise ConnectionFailed(str(error)) from error
+        raise ConnectionFailed("the server stays busy")
 
 
 def json_object(text: str) -> dict:
@@ -155,35 +238,6 @@ def ask_in_halves(lines: list[dict], ask: Callable[[list[dict]], dict]) -> list[
         return ask_in_halves(lines[:half], ask) + ask_in_halves(lines[half:], ask)
 
 
-def chunk_replies(chunks: DataFrame, make: Callable[[], Chat], system: str, prompt: str, key: str = "conv_id") -> DataFrame:
-    """Replies (key, line_id, text, english, uncertain, pos, summary) for lines (key, chunk, line_id, speaker, text).
-
-    Chunks of a conversation stay together; the client lives as long as its
-    partition, and halving and retries stay inside the function, because a task
-    retry alone would repeat finished calls.
-    """
-    kind = chunks.schema[key].dataType.simpleString()
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        model = make()
-        rows = []
-
-        def ask(lines: list[dict]) -> dict:
-            text = prompt + "\n".join(f"{x['line_id']} | {x['speaker']} | {x['text']}" for x in lines)
-            return json_object(model.complete(system, text, 2048))
-
-        lines = frame.sort_values("line_id").to_dict("records")
-        for pos, (_, reply) in enumerate(ask_in_halves(lines, ask)):
-            items = (reply or {}).get("lines", (reply or {}).get("cleaned_dialogue"))
-            for item in items if isinstance(items, list) else ():
-                number = item.get("id", item.get("line_id")) if isinstance(item, dict) else None
-                if isinstance(number, int) and not isinstance(number, bool):
-                    rows.append((frame[key].iloc[0], number, str(item.get("text", item.get("cleaned", ""))), str(item.get("english", item.get("en", item.get("translation", "")))), item.get("uncertain") is True, pos, str((reply or {}).get("summary", ""))))
-        return pd.DataFrame(rows, columns=[key, "line_id", "text", "english", "uncertain", "pos", "summary"])
-
-    return chunks.groupBy(key, "chunk").applyInPandas(run, f"{key} {kind}, line_id long, text string, english string, uncertain boolean, pos int, summary string")
-
-
 def embedded(windows: DataFrame, embed: Callable[[list[np.ndarray]], np.ndarray], samples: str = "samples") -> DataFrame:
     """``windows`` with a fingerprint per window; values that are no numbers become 0."""
 
