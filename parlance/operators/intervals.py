@@ -6,10 +6,13 @@ share one partitioning by key. Ties are broken by the ``order`` column.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+#: Length of a time cell where none is given: an hour in milliseconds.
+CELL = 3_600_000
+
 
 def islands(df: DataFrame, keys: list[str], gap: float = 0, order: str | None = None, inclusive: bool = True) -> DataFrame:
     """``df`` with an ``island`` number: rows whose start is within ``gap`` of what came before share one."""
@@ -80,6 +83,57 @@ def intersecting(a: DataFrame, b: DataFrame, keys: list[str], cell: int) -> Data
     return joined.where(own & (F.col("start_a") < F.col("end_b")) & (F.col("end_a") > F.col("start_b"))).drop("cell")
 
 
+def filled(df: DataFrame, keys: list[str], order: str, column: str) -> Column:
+    """The next known value of ``column`` from a row on, at the end the last one before.
+
+    Both ways are running windows: one that grows towards the start of a
+    descending order is linear, one that shrinks towards the end would be
+    computed anew for every row.
+    """
+    later = W.partitionBy(*keys).orderBy(F.desc(order)).rowsBetween(W.unboundedPreceding, 0)
+    earlier = W.partitionBy(*keys).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
+    return F.coalesce(F.last(column, ignorenulls=True).over(later), F.last(column, ignorenulls=True).over(earlier))
+
+
+def nearest_inactive(regions: DataFrame, turns: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, start, end, speaker, double_distance): the speaker who is not active in a region and whose turn is nearest to its middle.
+
+    ``turns`` (keys, speaker, start, end) are disjoint for each speaker, so the
+    last turn that starts before a region ends says whether the speaker is
+    active, and else is the nearest before; the next turn is the nearest after.
+    That is one window per speaker over turns and regions. Distances are doubled
+    to stay whole; ties go to the earlier turn, then to the lesser name.
+    """
+    who = turns.select(*keys, "speaker").distinct()
+    probes = regions.select(*keys, "start", "end").join(who, keys).select(*keys, "speaker", F.col("end").alias("at"), F.lit(0).alias("kind"), F.col("start").alias("r0"), F.col("end").alias("r1"), F.lit(None).cast(turns.select(F.struct("start", "end")).schema[0].dataType).alias("turn"))
+    said = turns.select(*keys, "speaker", F.col("start").alias("at"), F.lit(1).alias("kind"), *(F.lit(None).cast(regions.schema[c].dataType).alias(r) for c, r in (("start", "r0"), ("end", "r1"))), F.struct("start", "end").alias("turn"))
+    own = W.partitionBy(*keys, "speaker")
+    running = W.unboundedPreceding, -1
+    before = F.last("turn", ignorenulls=True).over(own.orderBy("at", "kind").rowsBetween(*running))
+    after = F.last("turn", ignorenulls=True).over(own.orderBy(F.desc("at"), F.desc("kind")).rowsBetween(*running))
+    met = probes.unionByName(said).withColumn("before", before).withColumn("after", after).where("kind = 0 and (before is null or before.end <= r0)")
+    middle = F.col("r0") + F.col("r1")
+    reach = lambda t: F.when(t.isNotNull(), F.struct(F.least(F.abs(2 * t["start"] - middle), F.abs(2 * t["end"] - middle)).alias("distance"), t["start"].alias("start"), F.col("speaker").alias("speaker")))
+    best = F.min(F.least(reach(F.col("before")), reach(F.col("after"))))
+    return met.groupBy(*keys, "r0", "r1").agg(best.alias("b")).select(*keys, F.col("r0").alias("start"), F.col("r1").alias("end"), F.col("b.speaker").alias("speaker"), F.col("b.distance").alias("double_distance"))
+
+
+def add_overlap_speakers(turns: DataFrame, overlaps: DataFrame, keys: list[str]) -> DataFrame:
+    """Turns with, in every overlap in which somebody is active, the nearest other speaker as a second one; touching turns are merged."""
+    merged = merge_turns(turns.select(*keys, "speaker", "start", "end"), keys).select(*keys, "speaker", "start", "end")
+    busy = intersecting(overlaps.select(*keys, "start", "end"), merged, keys, CELL).select(*keys, F.col("start_a").alias("start"), F.col("end_a").alias("end")).distinct()
+    extra = nearest_inactive(busy, merged, keys).select(*keys, "speaker", "start", "end")
+    return merge_turns(merged.unionByName(extra), keys).select(*keys, "speaker", "start", "end")
+
+
+def max_overlap_partner(turns: DataFrame, keys: list[str], cell: int) -> DataFrame:
+    """(keys, speaker, start, other): for each turn the other speaker whose turn shares most time with it, where any does."""
+    pairs = intersecting(turns.select(*keys, "speaker", "start", "end"), turns.select(*keys, "speaker", "start", "end"), keys, cell).where("speaker_a <> speaker_b")
+    shared = F.least("end_a", "end_b") - F.greatest("start_a", "start_b")
+    best = F.min(F.struct((-shared).alias("less"), F.col("start_b").alias("start"), F.col("speaker_b").alias("speaker")))
+    return pairs.groupBy(*keys, F.col("speaker_a").alias("speaker"), F.col("start_a").alias("start")).agg(best.alias("b")).select(*keys, "speaker", "start", F.col("b.speaker").alias("other"), (-F.col("b.less")).alias("shared"))
+
+
 def sliding_windows(regions: DataFrame, keys: list[str], win: int, hop: int, least: int) -> DataFrame:
     """Windows over regions: regions below ``least`` give none, short ones one, long ones a train and a right-aligned last."""
     length = F.col("end") - F.col("start")

@@ -7,6 +7,21 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+#: Numbers that one row of a counted range makes.
+STRIDE = 1 << 16
+
+
+def counted(rows: DataFrame, count: str, name: str) -> DataFrame:
+    """``rows`` with every number from 0 to ``count`` - 1, made stride by stride, so that no row holds a long array.
+
+    A few bytes here become very many rows: the number of partitions is set.
+    """
+    parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    first = F.col("_stride") * STRIDE
+    strides = rows.where(F.col(count) > 0).withColumn("_stride", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(count) - 1) / STRIDE)))).repartition(parts)
+    return strides.withColumn(name, F.explode(F.sequence(first, F.least(F.col(count), first + STRIDE) - 1))).drop("_stride")
+
+
 def global_row_number(df: DataFrame, order: list, name: str = "row_number") -> DataFrame:
     """``df`` with 1-based numbers by a total ``order`` (columns or column names).
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parlance.operators.ranking import global_row_number
+from parlance.operators.ranking import counted, global_row_number
 
 
 def pooled_rate(errors: str, words: str) -> Column:
@@ -35,8 +35,8 @@ def resampled(items: DataFrame, key: str, numerator: str, denominator: str, resa
     numbered = global_row_number(items.select(key, numerator, denominator), [F.col(key)], "_i").withColumn("_i", F.col("_i") - 1)
     n = items.agg(F.count("*").alias("n"))  # one row
     parts = max(1, int(items.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    draws = n.select("n", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(resamples - 1).cast("long"))).alias("b"))
-    draws = draws.repartition(parts, "b").select("b", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("j")).select("b", index(F.col("b"), F.col("j"), F.col("n")).alias("_i"))
+    draws = counted(n.withColumn("_all", F.col("n") * resamples), "_all", "_draw").select("n", F.floor(F.col("_draw") / F.col("n")).alias("b"), (F.col("_draw") % F.col("n")).alias("j"))
+    draws = draws.select("b", index(F.col("b"), F.col("j"), F.col("n")).alias("_i"))
     # Both sides are dealt by number explicitly: their sizes as files say nothing about their rows.
     met = draws.repartition(parts, "_i").join(numbered.repartition(parts, "_i").hint("shuffle_hash"), "_i")
     return met.groupBy("b").agg((F.sum(numerator) / F.greatest(F.sum(denominator), F.lit(1))).alias("rate"))

@@ -112,15 +112,20 @@ def overlap_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def nearest_other_speaker(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each overlap region the nearest turn of a speaker who is not active in it."""
     t = merged(spark, sf_dir).select("rec_id", "speaker", "start", "end")
-    regions = iv.concurrency(t.withColumn("seq", F.col("start")), K, "seq").withColumnsRenamed({"start": "r0", "end": "r1"})
-    both = regions.join(t, "rec_id")
-    active = (F.col("start") < F.col("r1")) & (F.col("end") > F.col("r0"))
-    mid = F.col("r0") + F.col("r1")
-    distance = F.when((2 * F.col("start") <= mid) & (mid <= 2 * F.col("end")), 0).otherwise(F.least(F.abs(2 * F.col("start") - mid), F.abs(2 * F.col("end") - mid)))
-    # One row per region and speaker first: whether the speaker is active, and the nearest of the speaker's turns.
-    per = both.groupBy("rec_id", "r0", "r1", "speaker").agg(F.max(active).alias("active"), F.min(F.struct(distance.alias("distance"), F.col("start").alias("start"))).alias("near"))
-    best = F.min(F.struct("near.distance", "near.start", "speaker"))
-    return per.where("not active").groupBy("rec_id", "r0", "r1").agg(best.alias("b")).select("rec_id", "r0", "r1", F.col("b.speaker").alias("speaker"), F.col("b.distance").alias("double_distance"))
+    regions = iv.concurrency(t.withColumn("seq", F.col("start")), K, "seq")
+    return iv.nearest_inactive(regions, t, K).select("rec_id", F.col("start").alias("r0"), F.col("end").alias("r1"), "speaker", "double_distance")
+
+
+def overlap_speakers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The voted turns, with the nearest other speaker added in every overlap of the recording."""
+    t = turns(spark, sf_dir)
+    overlaps = iv.concurrency(t.select("rec_id", "start", "end", "seq"), K, "seq")
+    return iv.add_overlap_speakers(run_length(spark, sf_dir), overlaps, K)
+
+
+def overlap_partner(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each turn the other speaker with whom it shares most time."""
+    return iv.max_overlap_partner(merged(spark, sf_dir), K, CELL)
 
 
 def clean_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -154,11 +159,8 @@ def labelled_frames(t: DataFrame) -> DataFrame:
     """(rec_id, frame, label): the label with most triangular votes on each speech frame; uncovered frames take the next label."""
     winner = _votes(t).groupBy("rec_id", "frame").agg(F.min(F.struct((-F.col("w")).alias("w"), F.col("label").alias("label"))).alias("b")).select("rec_id", "frame", F.col("b.label").alias("label"))
     speech = t.select("rec_id", F.explode(F.sequence(F.expr(f"start div {FRAME}"), F.greatest(F.expr(f"start div {FRAME}"), F.expr(f"(end + {FRAME - 1}) div {FRAME} - 1")))).alias("frame")).distinct()
-    by = W.partitionBy("rec_id").orderBy("frame")
     joined = speech.join(winner, ["rec_id", "frame"], "left")
-    following = F.first("label", ignorenulls=True).over(by.rowsBetween(0, W.unboundedFollowing))
-    before = F.last("label", ignorenulls=True).over(by.rowsBetween(W.unboundedPreceding, 0))
-    return joined.select("rec_id", "frame", F.coalesce(following, before).alias("label"))
+    return joined.select("rec_id", "frame", iv.filled(joined, K, "frame", "label").alias("label"))
 
 
 def frame_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -220,9 +222,8 @@ def asof_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     step = 600_000
     seen = t.groupBy("rec_id", F.expr(f"start div {step}").alias("frame")).agg(F.min_by("label", F.struct("start", "seq")).alias("label"))
     grid = t.select("rec_id").distinct().withColumn("frame", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(DAY // step - 1).cast("long"))))
-    by = W.partitionBy("rec_id").orderBy("frame")
     joined = grid.join(seen, ["rec_id", "frame"], "left")
-    return joined.select("rec_id", "frame", F.coalesce(F.first("label", ignorenulls=True).over(by.rowsBetween(0, W.unboundedFollowing)), F.last("label", ignorenulls=True).over(by.rowsBetween(W.unboundedPreceding, 0))).alias("label"))
+    return joined.select("rec_id", "frame", iv.filled(joined, K, "frame", "label").alias("label"))
 
 
 def settled_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -309,7 +310,7 @@ SELECT rec_id, {key}, min(frame) AS "first", max(frame) + 1 AS "last" FROM g1 GR
 
 _OVER = MERGED + _sweep_sql("merged", "ov", "s")
 
-QUERIES = {f.__name__: f for f in (turns_merge, running_max_merge, concurrency_sweep, overlap_regions, overlap_stats, interval_intersect, region_complement, sliding_windows, overlap_pairs, nearest_other_speaker, clean_spans, splice_plan, frame_votes, run_length, flicker_smooth, energy_activity, direct_players, leakage_prune, asof_fill, settled_lines, split_long_spans, beat_cycles, envelope_bins, activity_ratio, distinct_counts)}
+QUERIES = {f.__name__: f for f in (turns_merge, running_max_merge, concurrency_sweep, overlap_regions, overlap_stats, interval_intersect, region_complement, sliding_windows, overlap_pairs, nearest_other_speaker, overlap_speakers, overlap_partner, clean_spans, splice_plan, frame_votes, run_length, flicker_smooth, energy_activity, direct_players, leakage_prune, asof_fill, settled_lines, split_long_spans, beat_cycles, envelope_bins, activity_ratio, distinct_counts)}
 ORACLES = {
     "turns_merge": TURNS + MERGED + 'SELECT rec_id, speaker, s AS "start", e AS "end", n, stream FROM merged',
     "running_max_merge": TURNS + "SELECT rec_id, seq, max(e) OVER p AS reach, s - max(e) OVER p AS gap, lead(s) OVER (PARTITION BY rec_id ORDER BY s, e, seq) AS next_start FROM turns WINDOW p AS (PARTITION BY rec_id ORDER BY s, e, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)",
@@ -335,6 +336,16 @@ UNION ALL SELECT rec_id, greatest(s, e - 600000), e FROM r""",
     "nearest_other_speaker": TURNS + _OVER + """, x AS (SELECT o.rec_id, o.s AS r0, o.e AS r1, m.speaker, m.s, bool_or(m.s < o.e AND m.e > o.s) OVER (PARTITION BY o.rec_id, o.s, o.e, m.speaker) AS active,
   CASE WHEN 2 * m.s <= o.s + o.e AND o.s + o.e <= 2 * m.e THEN 0 ELSE least(abs(2 * m.s - o.s - o.e), abs(2 * m.e - o.s - o.e)) END AS dist FROM ov o JOIN merged m USING (rec_id))
 SELECT rec_id, r0, r1, speaker, dist AS double_distance FROM x WHERE NOT active QUALIFY row_number() OVER (PARTITION BY rec_id, r0, r1 ORDER BY dist, s, speaker) = 1""",
+    "overlap_speakers": TURNS + SPEECH + RUNS + _sweep_sql("turns", "ov") + """, tn AS (SELECT rec_id, 'Speaker_' || chr(65 + label) AS speaker, f * 60000 AS s, (l + 1) * 60000 AS e FROM runs),
+near AS (SELECT o.rec_id, o.s AS r0, o.e AS r1, m.speaker, m.s, m.e, bool_or(m.s < o.e AND m.e > o.s) OVER (PARTITION BY o.rec_id, o.s, o.e, m.speaker) AS active, bool_or(m.s < o.e AND m.e > o.s) OVER (PARTITION BY o.rec_id, o.s, o.e) AS busy,
+  least(abs(2 * m.s - o.s - o.e), abs(2 * m.e - o.s - o.e)) AS dist FROM ov o JOIN tn m USING (rec_id)),
+x AS (SELECT rec_id, speaker, r0 AS s, r1 AS e FROM near WHERE busy AND NOT active QUALIFY row_number() OVER (PARTITION BY rec_id, r0, r1 ORDER BY dist, s, speaker) = 1),
+u AS (SELECT rec_id, speaker, s, e FROM tn UNION ALL SELECT rec_id, speaker, s, e FROM x),
+f AS (SELECT *, CASE WHEN s <= max(e) OVER (PARTITION BY rec_id, speaker ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM u),
+g AS (SELECT *, sum(fresh) OVER (PARTITION BY rec_id, speaker ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS island FROM f)
+SELECT rec_id, speaker, min(s) AS "start", max(e) AS "end" FROM g GROUP BY rec_id, speaker, island""",
+    "overlap_partner": TURNS + MERGED + """SELECT a.rec_id, a.speaker, a.s AS "start", b.speaker AS other, least(a.e, b.e) - greatest(a.s, b.s) AS shared FROM merged a JOIN merged b ON a.rec_id = b.rec_id AND a.speaker <> b.speaker AND a.s < b.e AND a.e > b.s AND a.e > a.s AND b.e > b.s
+QUALIFY row_number() OVER (PARTITION BY a.rec_id, a.speaker, a.s ORDER BY shared DESC, b.s, b.speaker) = 1""",
     "clean_spans": TURNS + _OVER + """, c AS (SELECT m.rec_id, m.speaker, m.s, m.e, o.s AS lo, o.e AS hi FROM merged m JOIN ov o ON m.rec_id = o.rec_id AND m.s < o.e AND m.e > o.s UNION ALL SELECT rec_id, speaker, s, e, e, e FROM merged),
 p AS (SELECT rec_id, speaker, coalesce(max(hi) OVER (PARTITION BY rec_id, speaker, s, e ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), s) AS a, lo AS b FROM c)
 SELECT rec_id, speaker, a AS "start", b AS "end", row_number() OVER (PARTITION BY rec_id, speaker ORDER BY b - a DESC, a) AS rank FROM p WHERE b - a > 500 QUALIFY rank <= 10""",
