@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from parlance.operators import intervals as iv
+from parlance.operators import diarize as dz, intervals as iv
 
 DAY = 86_400_000
 FRAME = 60_000
@@ -146,21 +146,9 @@ def splice_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("rec_id", F.col("speaker_a").alias("speaker"), F.col("start_a").alias("turn_start"), lo.alias("lo"), hi.alias("hi"), F.least(lo + 20, hi).alias("fade_in_end"), F.greatest(hi - 20, lo).alias("fade_out_start"))
 
 
-def _votes(t: DataFrame) -> DataFrame:
-    a = F.expr(f"start div {FRAME}")
-    b = F.greatest(a + 1, F.expr(f"end div {FRAME}"))
-    span = t.select("rec_id", "label", a.alias("a"), b.alias("b")).withColumn("frame", F.explode(F.sequence(F.col("a"), F.col("b") - 1)))
-    n = F.col("b") - F.col("a")
-    weight = F.when(n == 1, F.lit(100_000)).otherwise(F.floor(1_000_000 * (1 - 0.9 * F.abs(2.0 * (F.col("frame") - F.col("a")) / F.greatest(F.lit(1), n - 1) - 1)))).cast("long")
-    return span.select("rec_id", "frame", "label", weight.alias("w")).groupBy("rec_id", "frame", "label").agg(F.sum("w").alias("w"))
-
-
 def labelled_frames(t: DataFrame) -> DataFrame:
-    """(rec_id, frame, label): the label with most triangular votes on each speech frame; uncovered frames take the next label."""
-    winner = _votes(t).groupBy("rec_id", "frame").agg(F.min(F.struct((-F.col("w")).alias("w"), F.col("label").alias("label"))).alias("b")).select("rec_id", "frame", F.col("b.label").alias("label"))
-    speech = t.select("rec_id", F.explode(F.sequence(F.expr(f"start div {FRAME}"), F.greatest(F.expr(f"start div {FRAME}"), F.expr(f"(end + {FRAME - 1}) div {FRAME} - 1")))).alias("frame")).distinct()
-    joined = speech.join(winner, ["rec_id", "frame"], "left")
-    return joined.select("rec_id", "frame", iv.filled(joined, K, "frame", "label").alias("label"))
+    """The label of each speech minute: turns vote, and are the speech as well."""
+    return dz.labelled_frames(t, t, K, FRAME)
 
 
 def frame_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -170,8 +158,7 @@ def frame_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def run_length(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of the voted frames as turns."""
-    runs = iv.run_lengths(labelled_frames(turns(spark, sf_dir)), K)
-    return runs.select("rec_id", F.concat(F.lit("Speaker_"), F.char(F.lit(65) + F.col("label"))).alias("speaker"), (F.col("first") * FRAME).alias("start"), ((F.col("last") + 1) * FRAME).alias("end"))
+    return dz.turns_of_runs(iv.run_lengths(labelled_frames(turns(spark, sf_dir)), K), K, FRAME)
 
 
 def flicker_smooth(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -207,13 +194,7 @@ def direct_players(spark: SparkSession, sf_dir: str) -> DataFrame:
 def leakage_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frames of each track after a speaker's quieter copies and tracks 6 dB below another are dropped."""
     e = turns(spark, sf_dir).withColumn("frame", F.expr("start div 600000")).groupBy("rec_id", "frame", "stream", "speaker").agg(F.sum(F.col("amp") * F.col("amp")).alias("power"))
-    loudest = F.row_number().over(W.partitionBy("rec_id", "frame", "speaker").orderBy(F.desc("power"), "stream"))
-    own = e.withColumn("r", loudest).where("r = 1").drop("r")
-    frame = W.partitionBy("rec_id", "frame")
-    ranked = own.withColumn("top", F.max(F.struct("power", "stream")).over(frame))
-    other = F.max(F.when(F.col("stream") != F.col("top.stream"), F.col("power"))).over(frame)
-    rest = F.when(F.col("stream") == F.col("top.stream"), other).otherwise(F.col("top.power"))
-    return ranked.withColumn("rest", rest).where("rest is null or power * 4 >= rest").select("rec_id", "frame", "stream", "speaker", "power")
+    return dz.prune_leakage(e, K)
 
 
 def asof_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -273,6 +254,34 @@ def distinct_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per.withColumn("count_error", F.abs(F.col("speakers") - 2))
 
 
+def main_speakers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The two speakers with most time in each recording."""
+    return dz.main_speakers(merged(spark, sf_dir), K)
+
+
+def cluster_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clustered windows of four minutes, every two minutes, as a timeline; every ninth window holds an overlap."""
+    w = windows_in_time(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    overlaps = w.where("seq % 9 = 0").select("rec_id", (F.col("start") + 60_000).alias("start"), (F.col("start") + 180_000).alias("end"))
+    return dz.assign(w, w, overlaps, K, frame=FRAME, least=4)
+
+
+def windows_in_time(embeddings: DataFrame) -> DataFrame:
+    """(rec_id, label, start, end, seq) of the windows, fifty to a recording."""
+    start = F.col("vec_id") % 50 * 120_000
+    return embeddings.select(F.expr("cast(vec_id div 50 as string)").alias("rec_id"), (F.col("label") % 3).cast("int").alias("label"), start.alias("start"), (start + 240_000).alias("end"), F.col("vec_id").alias("seq"))
+
+
+WINDOWS = "WITH turns AS (SELECT (vec_id // 50)::VARCHAR AS rec_id, (label % 3)::INT AS label, vec_id % 50 * 120000 AS s, vec_id % 50 * 120000 + 240000 AS e, vec_id AS seq FROM embeddings)\n"
+#: Turns ``tn`` (rec_id, speaker, s, e) and overlaps ``ov`` (rec_id, s, e) with the nearest other speaker added.
+ADDED = """,
+near AS (SELECT o.rec_id, o.s AS r0, o.e AS r1, m.speaker, m.s, m.e, bool_or(m.s < o.e AND m.e > o.s) OVER (PARTITION BY o.rec_id, o.s, o.e, m.speaker) AS active, bool_or(m.s < o.e AND m.e > o.s) OVER (PARTITION BY o.rec_id, o.s, o.e) AS busy,
+  least(abs(2 * m.s - o.s - o.e), abs(2 * m.e - o.s - o.e)) AS dist FROM ov o JOIN tn m USING (rec_id)),
+x AS (SELECT rec_id, speaker, r0 AS s, r1 AS e FROM near WHERE busy AND NOT active QUALIFY row_number() OVER (PARTITION BY rec_id, r0, r1 ORDER BY dist, s, speaker) = 1),
+u AS (SELECT rec_id, speaker, s, e FROM tn UNION ALL SELECT rec_id, speaker, s, e FROM x),
+f AS (SELECT *, CASE WHEN s <= max(e) OVER (PARTITION BY rec_id, speaker ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM u),
+g AS (SELECT *, sum(fresh) OVER (PARTITION BY rec_id, speaker ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS island FROM f)
+SELECT rec_id, speaker, min(s) AS "start", max(e) AS "end" FROM g GROUP BY rec_id, speaker, island"""
 SPEECH = """, votes AS (
   SELECT rec_id, label, s // 60000 AS a, greatest(s // 60000 + 1, e // 60000) AS b FROM turns),
 vf AS (SELECT rec_id, label, a, b, unnest(generate_series(a, b - 1)) AS frame FROM votes),
@@ -310,7 +319,7 @@ SELECT rec_id, {key}, min(frame) AS "first", max(frame) + 1 AS "last" FROM g1 GR
 
 _OVER = MERGED + _sweep_sql("merged", "ov", "s")
 
-QUERIES = {f.__name__: f for f in (turns_merge, running_max_merge, concurrency_sweep, overlap_regions, overlap_stats, interval_intersect, region_complement, sliding_windows, overlap_pairs, nearest_other_speaker, overlap_speakers, overlap_partner, clean_spans, splice_plan, frame_votes, run_length, flicker_smooth, energy_activity, direct_players, leakage_prune, asof_fill, settled_lines, split_long_spans, beat_cycles, envelope_bins, activity_ratio, distinct_counts)}
+QUERIES = {f.__name__: f for f in (turns_merge, running_max_merge, concurrency_sweep, overlap_regions, overlap_stats, interval_intersect, region_complement, sliding_windows, overlap_pairs, nearest_other_speaker, overlap_speakers, overlap_partner, main_speakers, cluster_timeline, clean_spans, splice_plan, frame_votes, run_length, flicker_smooth, energy_activity, direct_players, leakage_prune, asof_fill, settled_lines, split_long_spans, beat_cycles, envelope_bins, activity_ratio, distinct_counts)}
 ORACLES = {
     "turns_merge": TURNS + MERGED + 'SELECT rec_id, speaker, s AS "start", e AS "end", n, stream FROM merged',
     "running_max_merge": TURNS + "SELECT rec_id, seq, max(e) OVER p AS reach, s - max(e) OVER p AS gap, lead(s) OVER (PARTITION BY rec_id ORDER BY s, e, seq) AS next_start FROM turns WINDOW p AS (PARTITION BY rec_id ORDER BY s, e, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)",
@@ -336,14 +345,9 @@ UNION ALL SELECT rec_id, greatest(s, e - 600000), e FROM r""",
     "nearest_other_speaker": TURNS + _OVER + """, x AS (SELECT o.rec_id, o.s AS r0, o.e AS r1, m.speaker, m.s, bool_or(m.s < o.e AND m.e > o.s) OVER (PARTITION BY o.rec_id, o.s, o.e, m.speaker) AS active,
   CASE WHEN 2 * m.s <= o.s + o.e AND o.s + o.e <= 2 * m.e THEN 0 ELSE least(abs(2 * m.s - o.s - o.e), abs(2 * m.e - o.s - o.e)) END AS dist FROM ov o JOIN merged m USING (rec_id))
 SELECT rec_id, r0, r1, speaker, dist AS double_distance FROM x WHERE NOT active QUALIFY row_number() OVER (PARTITION BY rec_id, r0, r1 ORDER BY dist, s, speaker) = 1""",
-    "overlap_speakers": TURNS + SPEECH + RUNS + _sweep_sql("turns", "ov") + """, tn AS (SELECT rec_id, 'Speaker_' || chr(65 + label) AS speaker, f * 60000 AS s, (l + 1) * 60000 AS e FROM runs),
-near AS (SELECT o.rec_id, o.s AS r0, o.e AS r1, m.speaker, m.s, m.e, bool_or(m.s < o.e AND m.e > o.s) OVER (PARTITION BY o.rec_id, o.s, o.e, m.speaker) AS active, bool_or(m.s < o.e AND m.e > o.s) OVER (PARTITION BY o.rec_id, o.s, o.e) AS busy,
-  least(abs(2 * m.s - o.s - o.e), abs(2 * m.e - o.s - o.e)) AS dist FROM ov o JOIN tn m USING (rec_id)),
-x AS (SELECT rec_id, speaker, r0 AS s, r1 AS e FROM near WHERE busy AND NOT active QUALIFY row_number() OVER (PARTITION BY rec_id, r0, r1 ORDER BY dist, s, speaker) = 1),
-u AS (SELECT rec_id, speaker, s, e FROM tn UNION ALL SELECT rec_id, speaker, s, e FROM x),
-f AS (SELECT *, CASE WHEN s <= max(e) OVER (PARTITION BY rec_id, speaker ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM u),
-g AS (SELECT *, sum(fresh) OVER (PARTITION BY rec_id, speaker ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS island FROM f)
-SELECT rec_id, speaker, min(s) AS "start", max(e) AS "end" FROM g GROUP BY rec_id, speaker, island""",
+    "overlap_speakers": TURNS + SPEECH + RUNS + _sweep_sql("turns", "ov") + ", tn AS (SELECT rec_id, 'Speaker_' || chr(65 + label) AS speaker, f * 60000 AS s, (l + 1) * 60000 AS e FROM runs)" + ADDED,
+    "main_speakers": TURNS + MERGED + ", p AS (SELECT rec_id, speaker, sum(e - s)::BIGINT AS talk, min(s) AS since FROM merged GROUP BY ALL) SELECT rec_id, row_number() OVER (PARTITION BY rec_id ORDER BY talk DESC, since, speaker) AS rank, speaker, talk FROM p QUALIFY rank <= 2",
+    "cluster_timeline": WINDOWS + SPEECH + RUNS + _smooth_sql("runs", "p1") + _smooth_sql("p1", "p2") + _smooth_sql("p2", "p3") + ", tn AS (SELECT rec_id, 'Speaker_' || chr(65 + label) AS speaker, f * 60000 AS s, (l + 1) * 60000 AS e FROM p3), ov AS (SELECT rec_id, s + 60000 AS s, s + 180000 AS e FROM turns WHERE seq % 9 = 0)" + ADDED,
     "overlap_partner": TURNS + MERGED + """SELECT a.rec_id, a.speaker, a.s AS "start", b.speaker AS other, least(a.e, b.e) - greatest(a.s, b.s) AS shared FROM merged a JOIN merged b ON a.rec_id = b.rec_id AND a.speaker <> b.speaker AND a.s < b.e AND a.e > b.s AND a.e > a.s AND b.e > b.s
 QUALIFY row_number() OVER (PARTITION BY a.rec_id, a.speaker, a.s ORDER BY shared DESC, b.s, b.speaker) = 1""",
     "clean_spans": TURNS + _OVER + """, c AS (SELECT m.rec_id, m.speaker, m.s, m.e, o.s AS lo, o.e AS hi FROM merged m JOIN ov o ON m.rec_id = o.rec_id AND m.s < o.e AND m.e > o.s UNION ALL SELECT rec_id, speaker, s, e, e, e FROM merged),
