@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
 
@@ -9,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parlance.functions import text as tx
-from parlance.operators import guardrails as gr, simulation
+from parlance.operators import guardrails as gr, reports, simulation
 from parlance.plans.conversations import _CLOCK, clocked_lines
 from parlance.plans.texts import _clock_sql, _norm_sql
 from parlance.plans.timelines import turns
@@ -80,6 +81,35 @@ def synthesis_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per.select("conv_id", F.when(answered, F.left(F.element_at("l", 1)["text"], F.lit(90))).otherwise("Conversation report").alias("title"), F.array_join(words, ",").alias("keywords"), F.when(answered, "a summary").otherwise(parts).alias("summary"))
 
 
+class CountingChat:
+    """Stand-in that repeats a chunk's lines and counts them; it answers the synthesis of several parts only."""
+
+    def complete(self, system: str, user: str, max_tokens: int, schema: dict | None = None) -> str:
+        said = user.rsplit(":\n", 1)[1].split("\n")
+        if user.startswith(reports.SYNTHESIS):
+            return json.dumps({"title": f"{len(said)} parts", "summary": "; ".join(said)}) if len(said) > 1 else "no JSON"
+        lines = [{"id": int(n), "text": t, "english": ""} for n, _, t in (x.split(" | ", 2) for x in said)]
+        return json.dumps({"lines": lines, "summary": f"{len(lines)} lines", "keywords": [], "actions": []})
+
+
+REPORT_BUDGET = 900
+
+
+def report_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports of all conversations by the whole report stage: chunked calls, checks, synthesis and fallbacks."""
+    ship_package(spark)
+    lines = clocked_lines(spark, sf_dir).select("conv_id", (F.col("turn") + 1).alias("line_id"), F.coalesce("role", F.lit("?")).alias("speaker"), (F.col("start_ms") / 1000).alias("start"), (F.col("end_ms") / 1000).alias("end"), tx.collapse(F.col("text")).alias("text"))
+    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='parlance-')}"
+    root = f"{base.rstrip('/')}/parlance/report-{uuid.uuid4().hex}"
+
+    def save(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{root}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{root}/{name}")
+
+    made = reports.build_reports(lines, CountingChat, save, budget=REPORT_BUDGET)
+    return made.select("conv_id", "title", "summary", F.size("dialogue").cast("long").alias("lines"), F.size(F.filter("dialogue", lambda d: d["uncertain"])).cast("long").alias("uncertain"), F.col("diagnostics.synthesis_failed").alias("failed"))
+
+
 def report_cache_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each document a usable cached report of the same text, or the document that must be worked on for it."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("id"), F.sha2(F.col("text").cast("binary"), 256).alias("sha"))
@@ -163,7 +193,7 @@ def _tok(c: str) -> str:
     return f"(floor(({indic} / 2 + (length({c}) - {indic}) / 3) * 1.1::DOUBLE) + 1)::BIGINT"
 
 
-QUERIES = {f.__name__: f for f in (repair_guardrails, kept_lines, chunk_plan, action_validation, synthesis_fallback, report_cache_reuse, dedup_translate, live_payload, noise_plan, turn_simulation, grouped_sampling, streaming_talk_time)}
+QUERIES = {f.__name__: f for f in (repair_guardrails, kept_lines, chunk_plan, action_validation, synthesis_fallback, report_build, report_cache_reuse, dedup_translate, live_payload, noise_plan, turn_simulation, grouped_sampling, streaming_talk_time)}
 ORACLES = {
     "repair_guardrails": _CHECKED + "SELECT * FROM checked",
     "kept_lines": _CHECKED + "SELECT conv_id, count(*) AS lines, count(*) FILTER (changed) AS changed, count(reason) AS reverted, count(*) FILTER (uncertain) AS uncertain, count(*) FILTER (note LIKE '%skipped%') AS restored, count(*) FILTER (line_id = 1) AS unknown FROM checked GROUP BY conv_id",
@@ -182,6 +212,15 @@ wd AS (SELECT conv_id, turn, unnest(ct) AS w, generate_subscripts(ct, 1) AS i FR
 kw AS (SELECT conv_id, list(w ORDER BY p) AS ws FROM fw GROUP BY conv_id),
 s AS (SELECT conv_id, arg_min(text, turn) AS first, string_agg(left(text, 60), ' ' ORDER BY turn) AS parts FROM l GROUP BY conv_id)
 SELECT s.conv_id, CASE WHEN s.conv_id % 3 <> 0 THEN left(first, 90) ELSE 'Conversation report' END AS title, coalesce(array_to_string(ws[1:8], ','), '') AS keywords, CASE WHEN s.conv_id % 3 <> 0 THEN 'a summary' ELSE left(parts, 1500) END AS summary FROM s LEFT JOIN kw USING (conv_id)""",
+    "report_build": _CLOCK.replace("WITH clock", "WITH RECURSIVE clock", 1) + f""", sp AS (SELECT conv_id, turn, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS text FROM lines WHERE {_norm_sql("text")} <> ''),
+c AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i, 3 * {_tok("text")} + 24 AS cost FROM sp),
+f(conv_id, i, chunk, used, n) AS (SELECT conv_id, i, 0, cost, 1 FROM c WHERE i = 1
+  UNION ALL SELECT c.conv_id, c.i, CASE WHEN f.used + c.cost + 220 > {REPORT_BUDGET} OR f.n >= 6 THEN f.chunk + 1 ELSE f.chunk END, CASE WHEN f.used + c.cost + 220 > {REPORT_BUDGET} OR f.n >= 6 THEN c.cost ELSE f.used + c.cost END, CASE WHEN f.used + c.cost + 220 > {REPORT_BUDGET} OR f.n >= 6 THEN 1 ELSE f.n + 1 END
+  FROM f JOIN c ON c.conv_id = f.conv_id AND c.i = f.i + 1),
+k AS (SELECT conv_id, chunk, count(*) AS n FROM f GROUP BY ALL),
+p AS (SELECT conv_id, count(*) AS parts, sum(n)::BIGINT AS lines, string_agg(n || ' lines', '; ' ORDER BY chunk) AS said FROM k GROUP BY conv_id)
+SELECT conv_id, CASE WHEN parts > 1 THEN parts || ' parts' ELSE 'Conversation report' END AS title, said AS summary, lines, lines AS uncertain, parts = 1 AS failed FROM p
+UNION ALL SELECT DISTINCT conv_id, 'Conversation report', '{reports.NO_SPEECH}', NULL, NULL, NULL FROM lines WHERE conv_id NOT IN (SELECT conv_id FROM sp)""",
     "report_cache_reuse": """WITH d AS (SELECT doc_id AS id, sha256(text) AS sha FROM documents),
 c AS (SELECT doc_id AS report_id, sha, CASE WHEN toxic = 1 THEN 'r1' WHEN quality = 1 THEN 'r2' END AS revision, CASE WHEN doc_id % 5 = 0 THEN 8192 WHEN doc_id % 5 = 1 THEN 4096 END AS context FROM labels JOIN d ON id = doc_id),
 r AS (SELECT sha, min(report_id) AS reused_from FROM c WHERE coalesce(revision, 'r2') = 'r2' AND coalesce(context, 4096) = 4096 GROUP BY sha)

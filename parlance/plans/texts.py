@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from parlance.functions import languages, text as tx, transliterate
+from parlance.operators import lexicon
 from parlance.operators.ranking import global_row_number
 from parlance.plans.conversations import _CLOCK, clocked_lines
 
@@ -198,15 +199,17 @@ def seeded_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.orderBy("draw", "doc_id").limit(50)
 
 
+#: Stand-in for the hand-made part of the lexicon.
+MANUAL = ["the", "and", "de", "der", "la"]
+
+
 def lexicon_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words whose successor is one word in at least 70 percent of two or more cases, without the most frequent words."""
-    said = _docs(spark, sf_dir).select(tx.words(F.col("text")).alias("w")).where(F.size("w") > 1)
-    rest = F.size("w") - 1
-    pairs = said.select(F.explode(F.arrays_zip(F.slice("w", F.lit(1), rest).alias("dev"), F.slice("w", F.lit(2), rest).alias("eng"))).alias("p")).groupBy("p.dev", "p.eng").agg(F.count("*").alias("n"))
-    best = pairs.groupBy("dev").agg(F.sum("n").alias("total"), F.max_by("eng", F.struct("n", "eng")).alias("eng"), F.max("n").alias("n"))
-    frequent = best.orderBy(F.desc("total"), "dev").limit(100).select("dev")
-    kept = best.where("total >= 2 and n * 10 >= total * 7 and length(eng) <= 30").join(frequent, "dev", "left_anti")
-    return kept.select("dev", "eng", "total", "n")
+    """Lexicon of words tagged with their successor; words before a longer one count as tagged."""
+    said = _docs(spark, sf_dir).select("doc_id", tx.words(F.col("text")).alias("w"))
+    rest = F.greatest(F.size("w") - 1, F.lit(0))
+    pairs = said.select("doc_id", F.posexplode(F.arrays_zip(F.slice("w", F.lit(1), rest).alias("dev"), F.slice("w", F.lit(2), rest).alias("eng"))).alias("i", "p"))
+    tagged = pairs.where("length(p.eng) > length(p.dev)").select("p.dev", "p.eng", (F.col("doc_id") * 1_000_000 + F.col("i")).alias("at"))
+    return lexicon.mine(tagged, said.select(F.explode("w").alias("word")), MANUAL)
 
 
 def identity_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -279,9 +282,11 @@ SELECT asked, k.code, name, script, latin_name, has_ctc FROM k LEFT JOIN cat ON
     "json_reply_parse": "SELECT event_id, (props->>'$.k')::BIGINT AS value FROM events",
     "batch_plan": "WITH r AS (SELECT doc_id, length(text) AS chars, row_number() OVER (ORDER BY length(text) DESC, doc_id) - 1 AS r FROM documents) SELECT doc_id, chars, r // 32 AS batch, r % 32 AS place FROM r",
     "seeded_sample": "SELECT doc_id, source, (doc_id * 2654435761 + 97) % 1000003 AS draw FROM documents WHERE length(text) BETWEEN 50 AND 5000 ORDER BY draw, doc_id LIMIT 50",
-    "lexicon_mining": f"""WITH d AS (SELECT {_WORDS_SQL} AS w FROM documents), p AS (SELECT unnest(w[:-2]) AS dev, unnest(w[2:]) AS eng FROM d WHERE len(w) > 1), n AS (SELECT dev, eng, count(*) AS n FROM p GROUP BY ALL),
-b AS (SELECT dev, sum(n)::BIGINT AS total, arg_max(eng, (n, eng)) AS eng, max(n) AS n FROM n GROUP BY dev), f AS (SELECT dev FROM b ORDER BY total DESC, dev LIMIT 100)
-SELECT dev, eng, total, n FROM b WHERE total >= 2 AND n * 10 >= total * 7 AND length(eng) <= 30 AND dev NOT IN (SELECT dev FROM f)""",
+    "lexicon_mining": f"""WITH d AS (SELECT doc_id, {_WORDS_SQL} AS w FROM documents), e AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d), o AS (SELECT doc_id, i, w[i] AS dev, w[i + 1] AS eng FROM e),
+c AS (SELECT dev, count(*) AS seen FROM o GROUP BY dev), f AS (SELECT dev FROM c ORDER BY seen DESC, dev LIMIT 2500),
+p AS (SELECT dev, eng, count(*) AS n, min(doc_id * 1000000 + i) AS first FROM o WHERE length(eng) > length(dev) GROUP BY ALL),
+b AS (SELECT dev, sum(n)::BIGINT AS total, arg_max(eng, (n, -first)) AS eng, max(n) AS n FROM p GROUP BY dev)
+SELECT dev, eng, total, n FROM b JOIN c USING (dev) WHERE total >= 2 AND n >= 0.7::DOUBLE * total AND total >= 0.5::DOUBLE * seen AND dev NOT IN {tuple(MANUAL)} AND dev NOT IN (SELECT dev FROM f WHERE dev NOT IN {tuple(MANUAL)})""",
     "identity_counts": """WITH j AS (SELECT doc_id, sha256(text) AS sha, lang, quality, toxic FROM documents JOIN labels USING (doc_id)),
 g AS (SELECT *, first_value(quality) OVER w AS q, first_value(toxic) OVER w AS t, first_value(lang) OVER w AS l, count(*) OVER (PARTITION BY sha) AS copies, min(quality) OVER (PARTITION BY sha) <> max(quality) OVER (PARTITION BY sha) AS mixed FROM j WINDOW w AS (PARTITION BY sha ORDER BY doc_id))
 SELECT count(*) AS n, count(*) FILTER (copies > 1) AS copied, count(*) FILTER (quality = q) AS same_quality, count(*) FILTER (quality = q AND toxic = t AND lang = l) AS same_all, count(*) FILTER (mixed) AS mixed FROM g""",
