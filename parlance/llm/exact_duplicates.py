@@ -45,7 +45,8 @@ def _named(parts: DataFrame, key: list[str], count: int, spread: Column) -> Data
     """
     names = parts.groupBy(*key).agg(F.min("at").alias("name"), F.count("*").alias("n"))
     heavy = names.where(F.col("n") > skew.limit(parts, count))
-    return skew.lookup(parts, names, heavy, key, ["name"], spread)
+    # Always true; but both uses of the names now need the same columns, so the parts are shuffled for them once.
+    return skew.lookup(parts, names.where("n > 0"), heavy, key, ["name"], spread)
 
 
 def identities(texts: DataFrame, scratch: Scratch, *, block_bytes: int = 2048, wide: bool = False) -> DataFrame:
