@@ -139,6 +139,28 @@ def separate(mix: np.ndarray, model: Callable[[np.ndarray], np.ndarray], window:
     return total / np.maximum(weight, 1e-6)
 
 
+def hpss(mix: np.ndarray, size: int = 1024, width: int = 17) -> np.ndarray:
+    """Harmonic and percussive part: what lasts in time against what spreads over frequency, by medians of the spectrogram."""
+    hop, x = size // 4, np.asarray(mix, float)
+    padded = np.pad(x, (size, 2 * size))
+    frames = np.lib.stride_tricks.sliding_window_view(padded, size)[::hop] * np.hanning(size)
+    spectrum = np.fft.rfft(frames, axis=1)
+    power = np.abs(spectrum)
+    reach = width // 2
+    median = lambda a, axis: np.median(np.lib.stride_tricks.sliding_window_view(np.pad(a, [(reach, reach) if k == axis else (0, 0) for k in (0, 1)], mode="edge"), width, axis), axis=-1)
+    lasting, wide = median(power, 0) ** 2, median(power, 1) ** 2
+    share = lasting / np.maximum(lasting + wide, 1e-20)
+    out = np.zeros((2, len(padded)))
+    norm = np.zeros(len(padded))
+    parts = [np.fft.irfft(spectrum * s, axis=1) * np.hanning(size) for s in (share, 1 - share)]
+    for k in range(len(frames)):
+        place = slice(k * hop, k * hop + size)
+        norm[place] += np.hanning(size) ** 2
+        for row, part in zip(out, parts, strict=True):
+            row[place] += part[k]
+    return (out / np.maximum(norm, 1e-3))[:, size : size + len(x)]
+
+
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
     """The summed cosines of two pairs of signals."""
     return float(sum(np.dot(x, y) / (np.linalg.norm(x) * np.linalg.norm(y) + 1e-9) for x, y in zip(a, b, strict=True)))

@@ -19,9 +19,11 @@ from typing import Protocol
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from parlance.functions import signals
+from parlance.operators import diarize as dz, intervals as iv
 
 
 class Recogniser(Protocol):
@@ -32,6 +34,40 @@ class Chat(Protocol):
     def complete(self, system: str, user: str, max_tokens: int, schema: dict | None = None) -> str: ...
 
 
+#: Speech regions (start, end in seconds) of a recording: a trained detector of voice, or ``signals.energy_regions``.
+Detector = Callable[[np.ndarray], list[tuple[float, float]]]
+#: Fingerprints, one row per clip.
+Embedder = Callable[[list[np.ndarray]], np.ndarray]
+#: Two sources of a mixture.
+Separator = Callable[[np.ndarray], np.ndarray]
+
+
+def timbre_embedder(clips: list[np.ndarray]) -> np.ndarray:
+    """The colour of each clip, in place of a trained voice model."""
+    return np.stack([signals.timbre(x) for x in clips])
+
+
+def outside_turns(found: DataFrame, keys: list[str]) -> DataFrame:
+    """Turns of a diarizer from outside (keys, label, start, end): its labels are named by first appearance, its turns merged."""
+    first = F.min("start").over(W.partitionBy(*keys, "label"))
+    dense = F.dense_rank().over(W.partitionBy(*keys).orderBy("first", "label")) - 1
+    named = found.withColumn("first", first).withColumn("dense", dense)
+    return iv.merge_turns(named.select(*keys, dz.speaker_name(F.col("dense")).alias("speaker"), "start", "end"), keys).select(*keys, "speaker", "start", "end")
+
+
+#: Separators by name; neural ones register themselves.
+SEPARATORS: dict[str, Separator] = {"hpss": signals.hpss}
+
+
+def separator(name: str | None) -> Separator | None:
+    """The separator of a name; none for none."""
+    if name is None:
+        return None
+    if name not in SEPARATORS:
+        raise ValueError(f"unknown separator {name}; known are {', '.join(sorted(SEPARATORS))}")
+    return SEPARATORS[name]
+
+
 class ModelError(RuntimeError):
     """A reply that cannot be used; the caller degrades."""
 
