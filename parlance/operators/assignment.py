@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from parlance.functions import text as tx
 from parlance.operators import intervals as iv
 
 
@@ -61,6 +62,24 @@ def assign_costs(costs: DataFrame, keys: list[str]) -> DataFrame:
     return costs.groupBy(*keys).applyInPandas(solve, schema)
 
 
+def cp_errors(ref: DataFrame, hyp: DataFrame, keys: list[str], unit: str = "word") -> DataFrame:
+    """(keys, errors, mapped, n_ref): edits under the cheapest assignment of hypothesis to reference speakers.
+
+    Both sides have (keys, speaker, words). A side with fewer speakers is filled
+    up with silence. ``unit`` word counts words, char the characters of the words.
+    """
+    none = F.lit(None).cast("string")
+    filled = lambda df, s, w: df.select(*keys, F.col("speaker").cast("string").alias(s), F.col("words").alias(w)).unionByName(ref.select(*keys).union(hyp.select(*keys)).distinct().select(*keys, none.alias(s), F.array().cast("array<string>").alias(w)))
+    text = lambda c: F.array_join(c, "")
+    cost = tx.word_edits(F.col("rw"), F.col("hw")) if unit == "word" else F.levenshtein(text("rw"), text("hw")).cast("long")
+    pairs = filled(ref, "ref", "rw").join(filled(hyp, "hyp", "hw"), keys).where("ref is not null or hyp is not null")
+    size = F.size("words") if unit == "word" else F.length(text("words"))
+    counted = ref.groupBy(*keys).agg(F.sum(size).alias("n_ref"))
+    best = assign_costs(pairs.select(*keys, "ref", "hyp", cost.alias("cost")), keys)
+    per = best.groupBy(*keys).agg(F.sum("cost").alias("errors"), F.count_if(F.col("ref").isNotNull() & F.col("hyp").isNotNull()).alias("mapped"))
+    return per.join(counted, keys, "left").withColumn("n_ref", F.coalesce("n_ref", F.lit(0).cast("long")))
+
+
 def der_parts(reference: DataFrame, hypothesis: DataFrame, keys: list[str], speakers: int = 3, collar: int = 0, cell: int = 3_600_000) -> DataFrame:
     """Diarization error parts per key, by elementary slices and the best mapping of speaker numbers.
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from parlance.operators import intervals as iv
+from parlance.operators import clustering as cl, intervals as iv
 
 
 def frame_votes(windows: DataFrame, keys: list[str], frame: int) -> DataFrame:
@@ -74,6 +74,20 @@ def match_tracks(scores: DataFrame, keys: list[str]) -> DataFrame:
     return both.where("straight is not null and crossed is not null").select(*keys, F.inline(named))
 
 
+def pick_voice(tracks: DataFrame, centroids: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, unit, track): of both separated tracks the one most like the unit's speaker and least like the other.
+
+    ``tracks`` has (keys, unit, track, emb, speaker, other) with unit vectors,
+    ``centroids`` (keys, speaker, centroid). Without another speaker, or without
+    a centroid of theirs, only the likeness to the speaker counts.
+    """
+    like = lambda who, name: centroids.select(*keys, F.col("speaker").alias(who), F.col("centroid").alias(name))
+    joined = tracks.join(like("speaker", "own"), [*keys, "speaker"]).join(like("other", "theirs"), [*keys, "other"], "left")
+    score = cl.dot(F.col("emb"), F.col("own")) - F.coalesce(cl.dot(F.col("emb"), F.col("theirs")), F.lit(0.0))
+    best = F.max(F.struct(F.round(score, 9).alias("score"), (-F.col("track")).alias("t")))
+    return joined.groupBy(*keys, "unit").agg(best.alias("b")).select(*keys, "unit", (-F.col("b.t")).alias("track"), F.col("b.score").alias("score"))
+
+
 def prune_leakage(frames: DataFrame, keys: list[str], ratio: int = 4) -> DataFrame:
     """Frames (keys, frame, stream, speaker, power) without leaks from one track into another.
 

@@ -7,8 +7,11 @@ import hashlib
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from parlance.functions import signals
+
 # Overlap probability by level, and the soundscapes.
 LEVELS = {"ovl-none": 0.0, "ovl-low": 0.3, "ovl-high": 0.7}
 NOISES = ("clean", "village10", "market5")
@@ -22,6 +25,40 @@ def paired_design(spark: SparkSession, groups: int, split: str = "test") -> Data
     return crossed.withColumn("id", F.format_string("%s_g%02d_%dspk_%s_%s", F.lit(split), "grp", "n_speakers", "overlap_level", "noise"))
 
 
+def tuning_settings(spark: SparkSession, choices: dict[str, list]) -> DataFrame:
+    """Every combination of settings but those that cannot matter: order A without overlap awareness."""
+    out = spark.range(1).select(*(F.explode(F.array(*(F.lit(v) for v in values))).alias(name) for name, values in list(choices.items())[:1]))
+    for name, values in list(choices.items())[1:]:
+        out = out.withColumn(name, F.explode(F.array(*(F.lit(v) for v in values))))
+    return out.where(~((F.col("order") == "A") & ~F.col("overlap_aware")))
+
+
+def without_tuning(df: DataFrame, group: str, wanted: list[int] | None = None, tuning: int = 7) -> DataFrame:
+    """Rows of the wanted groups, or of all but the tuning one, which nobody may ask for."""
+    if wanted is not None and tuning in wanted:
+        raise ValueError(f"group {tuning} was tuned on and cannot be evaluated")
+    return df.where((F.col(group) != tuning) if wanted is None else F.col(group).isin(wanted))
+
+
+def refreshed_references(tracks: DataFrame, top_db: float = 40.0) -> DataFrame:
+    """(rec_id, speaker, start, end): what each stored track (rec_id, speaker, samples) says, found anew by its energy."""
+
+    def run(frames):
+        for frame in frames:
+            rows = [(r.rec_id, r.speaker, a, b) for r in frame.itertuples() for a, b in signals.energy_regions(np.asarray(r.samples, float), top_db)]
+            yield pd.DataFrame(rows, columns=["rec_id", "speaker", "start", "end"])
+
+    return tracks.select("rec_id", "speaker", "samples").mapInPandas(run, "rec_id string, speaker string, start double, end double")
+
+
+def music_design(recordings: DataFrame, per_raga: int = 2) -> DataFrame:
+    """(raga, place, singer, recording, amount): for each raga pieces by different singers, each in three amounts of accompaniment."""
+    first = recordings.groupBy("raga", "singer").agg(F.min("recording").alias("recording"))
+    place = F.row_number().over(W.partitionBy("raga").orderBy(F.xxhash64("raga", "singer"), "singer"))
+    chosen = first.withColumn("place", place.cast("long")).where(F.col("place") <= per_raga)
+    return chosen.select("raga", "place", "singer", "recording", F.explode(F.array(*(F.lit(x) for x in ("solo", "some", "full")))).alias("amount"))
+
+
 def plan_turns(n_speakers: int, overlap: float, target: float, seed: int) -> pd.DataFrame:
     """Turns of one conversation: overlaps of at most half of either turn, and never three speakers at once."""
     rng = np.random.default_rng(seed)

@@ -10,11 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parlance.functions import text as tx
-from parlance.operators import guardrails as gr, reports, simulation
+from parlance.operators import guardrails as gr, intervals as iv, reports, simulation
 from parlance.plans.conversations import _CLOCK, clocked_lines
 from parlance.plans.texts import _clock_sql, _norm_sql
-from parlance.plans.timelines import turns
+from parlance.plans.timelines import TURNS, _sweep_sql, turns
 from parlance.runtime import ship_package
+from parlance.sources import writers
 from parlance.streaming import live
 
 
@@ -126,10 +127,49 @@ def dedup_translate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def live_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the live page gets for each recording, as JSON."""
-    t = turns(spark, sf_dir).select("rec_id", F.struct("start", "seq", "end", "speaker").alias("t"))
-    per = t.groupBy("rec_id").agg(F.array_sort(F.collect_list("t")).alias("turns"))
-    return per.select("rec_id", F.to_json(F.struct("turns", F.size("turns").alias("n"))).alias("payload"))
+    """What the live page gets for each recording, as JSON; turns of one kind come without text."""
+    t = turns(spark, sf_dir)
+    overlaps = iv.concurrency(t.select("rec_id", "start", "end", "seq"), ["rec_id"], "seq")
+    lines = t.withColumn("text", F.when(F.col("stream") == "error", " ").otherwise(F.concat("stream", F.lit(" "), F.col("seq").cast("string"))))
+    return writers.live_payload(t, overlaps, lines)
+
+
+def _systems(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(lines of two systems, reference lines): one system hears even turns only, the other all in capitals."""
+    lines = clocked_lines(spark, sf_dir).select(F.col("conv_id").alias("rec_id"), (F.col("turn") + 1).alias("line_id"), F.coalesce("role", F.lit("?")).alias("speaker"), (F.col("start_ms") / 1000).alias("start"), (F.col("end_ms") / 1000).alias("end"), "text")
+    heard = lines.where("line_id % 2 = 0").withColumn("system", F.lit("B-spectral"))
+    loud = lines.withColumn("text", F.length("text").cast("string")).withColumn("system", F.lit("oracle-mix"))
+    return heard.unionByName(loud).withColumn("latin", F.concat(F.lit("~"), "text")), lines
+
+
+def stage3_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the report stage gets for the reference and for both systems."""
+    systems, references = _systems(spark, sf_dir)
+    each = [writers.stage3_transcript(systems, references, s).withColumn("system", F.lit(s)) for s in ("reference", "B-spectral", "oracle-mix")]
+    return each[0].unionByName(each[1]).unionByName(each[2])
+
+
+def transcript_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The transcript of every conversation as a JSON document; those in which the system heard nothing stay."""
+    systems, references = _systems(spark, sf_dir)
+    recordings = references.groupBy("rec_id").agg(F.max("end").alias("duration_s")).select("rec_id", F.lit("B").alias("order"), F.lit("hi").alias("language"), "duration_s")
+    heard = writers.stage3_transcript(systems.withColumn("start", F.floor("start").cast("long")).withColumn("end", F.floor("end").cast("long")).withColumn("text", F.length("text").cast("string")).withColumn("latin", F.lit("x")), references, "B-spectral")
+    return writers.transcript_json(heard, recordings.withColumn("duration_s", F.floor("duration_s").cast("long")))
+
+
+#: Settings to tune over.
+CHOICES = {"order": ["A", "B"], "method": ["spectral", "gmm"], "overlap_aware": [True, False], "merge": [0.5, 0.6, 0.7]}
+
+
+def tuning_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Settings to try, without those that make no difference."""
+    return simulation.tuning_settings(spark, CHOICES)
+
+
+def music_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of each segment by two nations' customers, in three amounts of accompaniment."""
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_mktsegment").alias("raga"), F.col("c_nationkey").cast("string").alias("singer"), F.col("c_custkey").alias("recording"))
+    return simulation.music_design(c)
 
 
 def noise_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -193,7 +233,9 @@ def _tok(c: str) -> str:
     return f"(floor(({indic} / 2 + (length({c}) - {indic}) / 3) * 1.1::DOUBLE) + 1)::BIGINT"
 
 
-QUERIES = {f.__name__: f for f in (repair_guardrails, kept_lines, chunk_plan, action_validation, synthesis_fallback, report_build, report_cache_reuse, dedup_translate, live_payload, noise_plan, turn_simulation, grouped_sampling, streaming_talk_time)}
+_SYSTEMS_SQL = """, ref AS (SELECT conv_id AS rec_id, turn + 1 AS line_id, coalesce(role, '?') AS speaker, start_ms / 1000.0::DOUBLE AS "start", end_ms / 1000.0::DOUBLE AS "end", text FROM lines)
+"""
+QUERIES = {f.__name__: f for f in (repair_guardrails, kept_lines, chunk_plan, action_validation, synthesis_fallback, report_build, report_cache_reuse, dedup_translate, live_payload, stage3_transcripts, transcript_documents, tuning_settings, music_set, noise_plan, turn_simulation, grouped_sampling, streaming_talk_time)}
 ORACLES = {
     "repair_guardrails": _CHECKED + "SELECT * FROM checked",
     "kept_lines": _CHECKED + "SELECT conv_id, count(*) AS lines, count(*) FILTER (changed) AS changed, count(reason) AS reverted, count(*) FILTER (uncertain) AS uncertain, count(*) FILTER (note LIKE '%skipped%') AS restored, count(*) FILTER (line_id = 1) AS unknown FROM checked GROUP BY conv_id",
@@ -226,6 +268,19 @@ c AS (SELECT doc_id AS report_id, sha, CASE WHEN toxic = 1 THEN 'r1' WHEN qualit
 r AS (SELECT sha, min(report_id) AS reused_from FROM c WHERE coalesce(revision, 'r2') = 'r2' AND coalesce(context, 4096) = 4096 GROUP BY sha)
 SELECT id, reused_from, CASE WHEN reused_from IS NULL THEN min(id) OVER (PARTITION BY d.sha) END AS leader FROM d LEFT JOIN r ON d.sha = r.sha""",
     "dedup_translate": _LINES + "SELECT conv_id, turn, reverse(text) AS english FROM l",
+    "live_payload": TURNS + _sweep_sql("turns", "ov") + """, t AS (SELECT rec_id, list({'start': s, 'end': e, 'speaker': speaker} ORDER BY s, e, speaker) AS turns FROM turns GROUP BY rec_id),
+o AS (SELECT rec_id, list({'start': s, 'end': e} ORDER BY s, e) AS ovs FROM ov GROUP BY rec_id),
+l AS (SELECT rec_id, list({'start': s, 'end': e, 'speaker': speaker, 'text': stream || ' ' || seq} ORDER BY s, e, speaker, stream || ' ' || seq) AS lines FROM turns WHERE stream <> 'error' GROUP BY rec_id)
+SELECT rec_id, to_json({'turns': turns, 'overlaps': coalesce(ovs, []), 'lines': coalesce(lines, []), 'separated': len(coalesce(ovs, [])) > 0})::VARCHAR AS payload FROM t LEFT JOIN o USING (rec_id) LEFT JOIN l USING (rec_id)""",
+    "stage3_transcripts": _CLOCK + _SYSTEMS_SQL + """SELECT rec_id, 'oracle' AS "order", row_number() OVER (PARTITION BY rec_id ORDER BY "start", "end", speaker) AS line_id, speaker, "start", "end", text, text AS latin, 'reference' AS system FROM ref
+UNION ALL SELECT rec_id, 'B', line_id, speaker, "start", "end", text, '~' || text, 'B-spectral' FROM ref WHERE line_id % 2 = 0
+UNION ALL SELECT rec_id, 'oracle', line_id, speaker, "start", "end", length(text)::VARCHAR, '~' || length(text), 'oracle-mix' FROM ref""",
+    "transcript_documents": _CLOCK + _SYSTEMS_SQL + """SELECT rec_id, to_json({'order': 'B', 'language': 'hi', 'duration_s': floor(max("end"))::BIGINT,
+  'speakers': coalesce(list_distinct_ordered, []), 'lines': coalesce(any_value(ls), [])})::VARCHAR AS json FROM ref LEFT JOIN (
+  SELECT rec_id, list({'speaker': speaker, 'start': floor("start")::BIGINT, 'end': floor("end")::BIGINT, 'text': length(text)::VARCHAR, 'latin': 'x'} ORDER BY floor("start"), line_id) AS ls,
+    (SELECT list(v.s ORDER BY v.p) FROM (SELECT s, min(p) AS p FROM (SELECT unnest(q) AS s, generate_subscripts(q, 1) AS p) GROUP BY s) v) AS list_distinct_ordered
+  FROM (SELECT *, list(speaker) OVER (PARTITION BY rec_id ORDER BY floor("start"), line_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS q FROM ref WHERE line_id % 2 = 0) GROUP BY rec_id, q) h USING (rec_id) GROUP BY rec_id, list_distinct_ordered""",
+    "tuning_settings": "SELECT * FROM (VALUES ('A'), ('B')) a(\"order\"), (VALUES ('spectral'), ('gmm')) b(method), (VALUES (true), (false)) c(overlap_aware), (VALUES (0.5::DOUBLE), (0.6::DOUBLE), (0.7::DOUBLE)) d(merge) WHERE NOT (\"order\" = 'A' AND NOT overlap_aware)",
     "noise_plan": "SELECT format('test_g{:02d}_{}spk_{}_{}', g, 2 + g % 2, o, n) AS id, g AS grp, (2 + g % 2)::INT AS n_speakers, o AS overlap_level, n AS noise FROM range(8) t(g), (VALUES ('ovl-none'), ('ovl-low'), ('ovl-high')) a(o), (VALUES ('clean'), ('village10'), ('market5')) b(n)",
     "streaming_talk_time": "SELECT strftime(ts, '%Y-%m-%d') AS day, (user_id % 8)::VARCHAR AS grp, 'S' || ((user_id // 8) % 3) AS speaker, count(*) AS turns, sum(floor(value * 20000)::BIGINT)::BIGINT AS talk_ms FROM events GROUP BY ALL",
 }

@@ -44,13 +44,8 @@ def cp_error(spark: SparkSession, sf_dir: str) -> DataFrame:
     swapped = F.when(F.col("turn") % 5 == 0, F.when(F.col("role") == "user", "assistant").otherwise("user")).otherwise(F.col("role"))
     ref = speaker_texts(lines, "role")
     hyp = speaker_texts(lines.withColumn("role2", swapped).withColumn("w", _hypothesis(F.col("w"))), "role2")
-    # A side with fewer speakers is filled up with silence.
-    sides = ref.select("conv_id", F.col("speaker").alias("ref"), F.col("words").alias("rw")).unionByName(ref.select("conv_id").distinct().select("conv_id", F.lit(None).cast("string").alias("ref"), F.array().cast("array<string>").alias("rw")))
-    others = hyp.select("conv_id", F.col("speaker").alias("hyp"), F.col("words").alias("hw")).unionByName(hyp.select("conv_id").distinct().select("conv_id", F.lit(None).cast("string").alias("hyp"), F.array().cast("array<string>").alias("hw")))
-    costs = sides.join(others, "conv_id").where("ref is not null or hyp is not null").select("conv_id", "ref", "hyp", tx.word_edits(F.col("rw"), F.col("hw")).alias("cost"))
-    best = assignment.assign_costs(costs, ["conv_id"]).groupBy("conv_id").agg(F.sum("cost").alias("errors"), F.count_if(F.col("ref").isNotNull() & F.col("hyp").isNotNull()).alias("mapped"))
-    words = ref.groupBy("conv_id").agg(F.sum(F.size("words")).alias("n_ref"))
-    return best.join(words, "conv_id").select("conv_id", "errors", "mapped", "n_ref", F.expr("errors * 1000000 div greatest(n_ref, 1)").alias("rate_ppm"))
+    best = assignment.cp_errors(ref, hyp, ["conv_id"])
+    return best.select("conv_id", "errors", "mapped", "n_ref", F.expr("errors * 1000000 div greatest(n_ref, 1)").alias("rate_ppm"))
 
 
 def _der(spark: SparkSession, sf_dir: str) -> DataFrame:

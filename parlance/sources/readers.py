@@ -116,6 +116,13 @@ def read_beats(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("file", F.col("p.cycle").cast("int").alias("cycle"), F.col("p.beat").cast("int").alias("beat"), (F.col("p.frame").cast("double") / F.col("rate")).alias("t"))
 
 
+def read_tonics(spark: SparkSession, path: str) -> DataFrame:
+    """(singer, tonic_hz) of a YAML file of ``name: number`` lines; comments and nested keys are skipped."""
+    pattern = r"^([A-Za-z_][\w-]*)\s*:\s*([0-9.]+)\s*(?:#.*)?$"
+    rows = spark.read.text(path).where(F.rlike("value", F.lit(pattern)))
+    return rows.select(F.lower(F.regexp_extract("value", pattern, 1)).alias("singer"), F.regexp_extract("value", pattern, 2).cast("double").alias("tonic_hz"))
+
+
 def list_recordings(spark: SparkSession, audio: str, annotations: DataFrame, tonics: DataFrame) -> DataFrame:
     """Recordings (path, singer, raga, tonic_hz) named ``varnam-by-S-in-R-raaga`` that have an annotation (singer, raga)."""
     files = spark.read.format("binaryFile").load(audio).select("path")
@@ -132,11 +139,24 @@ def list_strokes(spark: SparkSession, path: str, split: str) -> DataFrame:
     return files.select(F.regexp_extract("low", pattern, 1).alias("stroke"), take.alias("take"), "path").where(F.pmod("take", F.lit(2)) == (1 if split == "dev" else 0))
 
 
+def noise_beds(beds: DataFrame, split: str, samples: str = "samples") -> DataFrame:
+    """Beds with the half of their samples that a split may use: the first for development, the second for tests."""
+    half = F.floor(F.size(samples) / 2).cast("int")
+    part = F.slice(samples, F.lit(1), half) if split == "dev" else F.slice(samples, half + 1, F.size(samples) - half)
+    return beds.withColumn(samples, part)
+
+
 def noise_events(meta: DataFrame, categories: list[str], split: str) -> DataFrame:
     """Clips of the categories from the folds of a split."""
     return meta.where(F.col("category").isin(categories) & F.col("fold").isin([4, 5] if split == "dev" else [1, 2, 3]))
 
 
+def with_tracks(references: DataFrame, audio: DataFrame) -> DataFrame:
+    """References (rec_id, ...) with their mixture and their sources from audio rows (rec_id, name, samples): ``mix`` is the mixture."""
+    per = audio.groupBy("rec_id").agg(F.first(F.when(F.col("name") == "mix", F.col("samples")), ignorenulls=True).alias("mix"), F.map_from_entries(F.collect_list(F.when(F.col("name") != "mix", F.struct("name", "samples")))).alias("sources"))
+    return references.join(per, "rec_id")
+
+
 def read_references(spark: SparkSession, path: str) -> DataFrame:
     """(file, speaker, start, end) of the spoken stretches of reference documents."""
     docs = spark.read.schema("duration_s double, speakers array<string>, activity array<struct<start: double, end: double, speaker: string>>").option("multiLine", True).json(path)

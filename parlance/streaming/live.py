@@ -36,17 +36,52 @@ def sessions(events: DataFrame, gap: str = "10 minutes") -> DataFrame:
     return events.groupBy(F.session_window("at", gap).alias("s"), "user_id").agg(F.count("*").alias("turns")).select("user_id", F.col("s.start").alias("start"), F.col("s.end").alias("end"), "turns")
 
 
-def versioned(result: DataFrame, path: str, checkpoint: str, *, everything: bool = True) -> StreamingQuery:
+def settled(events: DataFrame) -> DataFrame:
+    """Sessions that are final: in append mode one comes out once the watermark has passed its end, and its state goes."""
+    return sessions(events)
+
+
+def new_texts(lines: DataFrame) -> DataFrame:
+    """Lines (at, lang, text) whose text is new within the watermark: what a translator has to be asked."""
+    return lines.dropDuplicatesWithinWatermark(["lang", "text"])
+
+
+def versioned(result: DataFrame, path: str, checkpoint: str, *, everything: bool = True, take: Callable[[], str] | None = None, ready: Callable[[DataFrame], bool] | None = None) -> StreamingQuery:
     """Write every pass under its version; ``everything`` ends after all that is there, else passes go on.
 
     The checkpoint carries offsets and state, so a restarted query goes on where
-    the last one stopped and a repeated pass overwrites its own version.
+    the last one stopped and a repeated pass overwrites its own version. A pass
+    is dropped where ``take`` names another take than at the start, and while
+    ``ready`` finds too little in it. Complete mode keeps all groups: the state
+    is as large as the result, whatever the watermark.
     """
-    write: Callable[[DataFrame, int], None] = lambda batch, version: batch.write.mode("overwrite").parquet(f"{path}/version={version}")
+    begun = take() if take else None
+
+    def write(batch: DataFrame, version: int) -> None:
+        # Also a pass that is dropped has to be computed, as its state goes on.
+        if take and take() != begun:
+            batch.write.format("noop").mode("overwrite").save()
+            return
+        held = batch.persist()
+        if ready is None or ready(held):
+            held.write.mode("overwrite").parquet(f"{path}/version={version}")
+        held.unpersist()
+
     writer = result.writeStream.outputMode("complete").option("checkpointLocation", checkpoint).foreachBatch(write)
     return (writer.trigger(availableNow=True) if everything else writer.trigger(processingTime=REFRESH)).start()
 
 
+def enough(least_ms: int = 3000) -> Callable[[DataFrame], bool]:
+    """Whether a pass holds as much talk as the first one needs."""
+    return lambda batch: (batch.agg(F.sum("talk_ms")).first()[0] or 0) >= least_ms
+
+
+def bounded(query: StreamingQuery, most_seconds: float) -> None:
+    """Let a session run for so long at most, then end it after the pass that is on."""
+    if not query.awaitTermination(most_seconds):
+        query.stop()
+
+
 def latest(spark: SparkSession, path: str) -> DataFrame:
     """The newest version of a versioned result."""
     table = spark.read.parquet(path)
