@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from parlance.operators import clustering as cl, diarize as dz
@@ -18,21 +17,16 @@ def windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.floor(F.col("vec_id") / SIZE).cast("long").alias("rec"), F.col("vec_id").alias("win_idx"), "label", F.col("embedding").cast("array<double>").alias("emb"))
 
 
-def _sims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = windows(spark, sf_dir).select("rec", "win_idx", cl.normalised(F.col("emb")).alias("u"))
-    b = w.select("rec", F.col("win_idx").alias("other"), F.col("u").alias("v"))
-    return w.join(b, "rec").select("rec", "win_idx", "other", cl.dot(F.col("u"), F.col("v")).alias("sim"))
-
-
 def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten most similar windows (itself included) of each window in its recording."""
-    rank = F.row_number().over(W.partitionBy("rec", "win_idx").orderBy(F.desc(F.round("sim", 9)), "other"))
-    return _sims(spark, sf_dir).withColumn("rank", rank).where("rank <= 10").select("rec", "win_idx", "other", F.col("rank").cast("long").alias("rank"))
+    ship_package(spark)
+    return cl.nearest_windows(windows(spark, sf_dir), "rec", "win_idx", 10)
 
 
 def affinity_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tenth percentile of the pair similarities of each recording and whether it passes as one speaker."""
-    p = _sims(spark, sf_dir).where("win_idx < other").groupBy("rec").agg(F.percentile("sim", F.lit(0.1)).alias("p"))
+    ship_package(spark)
+    p = cl.pair_similarities(windows(spark, sf_dir), "rec", "win_idx").groupBy("rec").agg(F.percentile("sim", F.lit(0.1)).alias("p"))
     return p.select("rec", F.round("p", 6).alias("p10"), (F.col("p") > 0.55).alias("one_speaker"))
 
 
