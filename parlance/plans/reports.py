@@ -14,13 +14,13 @@ from parlance.operators import guardrails as gr, intervals as iv, reports, simul
 from parlance.plans.conversations import _CLOCK, clocked_lines
 from parlance.plans.texts import _clock_sql, _norm_sql
 from parlance.plans.timelines import TURNS, _sweep_sql, turns
-from parlance.runtime import ship_package
+from parlance.runtime import ship_package, spread
 from parlance.sources import writers
 from parlance.streaming import live
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", (F.col("turn") + 1).alias("line_id"), tx.collapse(F.col("text")).alias("text")).where(tx.normalise(F.col("text")) != "")
+    return spread(spark.read.parquet(f"{sf_dir}/conversations.parquet")).select("conv_id", "turn", "role", (F.col("turn") + 1).alias("line_id"), tx.collapse(F.col("text")).alias("text")).where(tx.normalise(F.col("text")) != "")
 
 
 def _replies(lines: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from parlance.functions import text as tx
 from parlance.operators import assignment, intervals as iv
 from parlance.plans.texts import _hypothesis, _shipped
 from parlance.plans.timelines import K, MERGED, TURNS, merged, turns
-from parlance.runtime import ship_package
+from parlance.runtime import ship_package, spread
 
 
 @F.pandas_udf(ArrayType(BooleanType()))
@@ -25,7 +25,7 @@ def _matched(ref: pd.Series, hyp: pd.Series) -> pd.Series:
 def matched_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many words of each line its altered form meets, and at every third place (the tagged words)."""
     ship_package(spark)
-    lines = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", tx.words(F.col("text")).alias("ref"))
+    lines = spread(spark.read.parquet(f"{sf_dir}/conversations.parquet")).select("conv_id", "turn", tx.words(F.col("text")).alias("ref"))
     m = lines.withColumn("ok", _matched("ref", _hypothesis(F.col("ref"))))
     count = lambda a: F.size(F.filter(a, lambda x: x)).cast("long")
     tagged = F.filter("ok", lambda x, i: i % 3 == 0)

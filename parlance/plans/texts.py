@@ -10,10 +10,11 @@ from parlance.functions import languages, text as tx, transliterate
 from parlance.operators import lexicon
 from parlance.operators.ranking import global_row_number
 from parlance.plans.conversations import _CLOCK, clocked_lines
+from parlance.runtime import spread
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def line_records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,7 +128,7 @@ def _hypothesis(words):
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", tx.words(F.col("text")).alias("ref"))
+    lines = spread(spark.read.parquet(f"{sf_dir}/conversations.parquet")).select("conv_id", "turn", "role", tx.words(F.col("text")).alias("ref"))
     chars = F.array_join("ref", "")
     return lines.withColumn("hyp", _hypothesis(F.col("ref"))).select("conv_id", "turn", "role", tx.word_edits(F.col("ref"), F.col("hyp")).alias("word_edits"), F.size("ref").cast("long").alias("words"), F.levenshtein(chars, F.replace(chars, F.lit("e"), F.lit(""))).cast("long").alias("char_edits"), F.length(chars).cast("long").alias("chars"))
 

@@ -6,7 +6,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
 
@@ -24,3 +24,18 @@ def ship_package(spark: SparkSession) -> None:
                 z.write(p, p.relative_to(root.parent))
         context.addPyFile(str(archive))
     _SHIPPED.add(context.applicationId)
+
+
+#: Bytes of one input split, Spark's own default.
+SPLIT_BYTES = 128 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A scan smaller than one split per core, dealt over all cores; a larger one has enough splits of its own.
+
+    A small Parquet file is often one row group, hence one task, however costly
+    the functions on its rows are. Columns and filters still reach the scan.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if size < cores * SPLIT_BYTES else df
