@@ -157,7 +157,7 @@ def by_pivot(pairs: DataFrame, own: DataFrame, columns: list[str]) -> DataFrame:
     A pivot with very many pairs is cut into parts, and heads each of them. Only
     such pivots, of which there are few, are broadcast.
     """
-    most = max(256, skew.limit(pairs, pairs.count()))
+    most = max(16, skew.limit(pairs, pairs.count()))
     per = pairs.groupBy("a").agg(F.count("*").alias("n"))
     heavy = per.where(F.col("n") > most).select("a", F.ceil(F.col("n") / most).alias("parts"))
     part = F.coalesce(F.pmod(F.xxhash64("b"), F.col("parts")), F.lit(0).cast("long"))
