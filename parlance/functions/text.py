@@ -13,12 +13,15 @@ from pyspark.sql import functions as F
 
 # Punctuation that scoring ignores, the stop words, script blocks in order of precedence.
 PUNCTUATION = r"""[।॥.,!?;:"'()\[\]{}<>\-–—…/\\|*#@%&+=~`^_]"""
-STOP_WORDS = (
-    "the and for with this that from are was has have not you your will about they them their there what which would been were into some then "
-    "than also said says asks speaker speakers unspecified "
-    "हाँ हां में है हैं और हम चाहिए नहीं तो का की के को से पर भी यह वह वो क्या कि ये था थे थी हो एक कर रहे रहा रही गया जी सर "
-    "haan han hai hain mein aur hum chahiye nahi nahin kya yeh tha thi rahe raha rahi gaya sir"
-).split()
+STOP_WORDS = [
+    "the", "and", "for", "with", "this", "that", "from", "are", "was", "has", "have", "not", "you", "your",
+    "will", "about", "they", "them", "their", "there", "what", "which", "would", "been", "were", "into", "some", "then",
+    "than", "also", "said", "says", "asks", "speaker", "speakers", "unspecified", "हाँ", "हां", "में", "है", "हैं", "और",
+    "हम", "चाहिए", "नहीं", "तो", "का", "की", "के", "को", "से", "पर", "भी", "यह", "वह", "वो",
+    "क्या", "कि", "ये", "था", "थे", "थी", "हो", "एक", "कर", "रहे", "रहा", "रही", "गया", "जी",
+    "सर", "haan", "han", "hai", "hain", "mein", "aur", "hum", "chahiye", "nahi", "nahin", "kya", "yeh", "tha",
+    "thi", "rahe", "raha", "rahi", "gaya", "sir",
+]
 SCRIPTS = (
     ("devanagari", r"[\x{0900}-\x{097F}]"), ("bengali", r"[\x{0980}-\x{09FF}]"), ("gurmukhi", r"[\x{0A00}-\x{0A7F}]"), ("gujarati", r"[\x{0A80}-\x{0AFF}]"), ("odia", r"[\x{0B00}-\x{0B7F}]"), ("tamil", r"[\x{0B80}-\x{0BFF}]"),
     ("telugu", r"[\x{0C00}-\x{0C7F}]"), ("kannada", r"[\x{0C80}-\x{0CFF}]"), ("malayalam", r"[\x{0D00}-\x{0D7F}]"), ("arabic", r"[\x{0600}-\x{06FF}\x{0750}-\x{077F}]"), ("ol_chiki", r"[\x{1C50}-\x{1C7F}]"),
@@ -26,7 +29,11 @@ SCRIPTS = (
 INDIC = r"[\x{0600}-\x{06FF}\x{0900}-\x{0D7F}\x{1C50}-\x{1C7F}]"
 WORD = r"[\p{L}\p{N}_\x{0600}-\x{06FF}\x{0900}-\x{0D7F}\x{1C50}-\x{1C7F}]+"
 TAGS = r"(?i)<[^>]*>|\[[^\]]*\]|\b(?:unintelligible|inaudible|noise)\b"
-HEDGES = ("maybe ", "perhaps ", "probably ", "possibly ", "i think ", "i guess ", "i believe ", "we could ", "we might ", "we may ", "we should ", "should we ", "i could ", "i might ", "i want ", "i need ", "i wish ", "i would like ", "i'd like ")
+HEDGES = [
+    "maybe ", "perhaps ", "probably ", "possibly ", "i think ", "i guess ", "i believe ", "we could ", "we might ",
+    "we may ", "we should ", "should we ", "i could ", "i might ", "i want ", "i need ", "i wish ", "i would like ",
+    "i'd like ",
+]
 QUESTION_STARTS = ("is ", "are ", "was ", "were ", "do ", "does ", "did ")
 QUESTION_WORDS = r"\b(what|which|why|when|where|who|whom|how)\b"
 
