@@ -61,9 +61,15 @@ def read_transcribed_field_speech(spark: SparkSession, path: str, *, with_audio:
     return raw.select("gender", "district", F.col("p.text").alias("text"), F.col("p.english").alias("english"), *([F.col("audio.bytes").alias("audio_bytes")] if with_audio else []))
 
 
-def take_rows(source: DataFrame, picks: DataFrame, key: str) -> DataFrame:
-    """Rows of ``source`` for the picks (key, place), in pick order: metadata is chosen first, wide columns are joined after."""
-    return picks.join(source, key).orderBy("place")
+def take_rows(source: DataFrame, picks: DataFrame, key: str, pushed: int = 1000) -> DataFrame:
+    """Rows of ``source`` for the picks (key, place), in pick order: metadata is chosen first, wide columns are joined after.
+
+    Up to ``pushed`` keys go into the scan as a filter, so row groups without
+    one of them are not read; more picks are a plain join.
+    """
+    keys = [r[0] for r in picks.select(key).distinct().limit(pushed + 1).collect()]
+    few = source.where(F.col(key).isin(keys)) if len(keys) <= pushed else source
+    return picks.join(few, key).orderBy("place")
 
 
 def read_rttm(spark: SparkSession, path: str) -> DataFrame:

@@ -23,7 +23,9 @@ def talk_time(events: DataFrame) -> DataFrame:
     """Turns and talk time of each speaker per day: incremental state is one row per speaker and day."""
     group = (F.col("user_id") % 8).cast("string")
     speaker = F.concat(F.lit("S"), F.expr("(user_id div 8) % 3").cast("string"))
-    return events.groupBy(F.window("at", "1 day").alias("w"), group.alias("grp"), speaker.alias("speaker")).agg(F.count("*").alias("turns"), F.sum(F.floor(F.col("value") * 20000).cast("long")).alias("talk_ms")).select(F.date_format("w.start", "yyyy-MM-dd").alias("day"), "grp", "speaker", "turns", "talk_ms")
+    talk = F.sum(F.floor(F.col("value") * 20000).cast("long"))
+    per = events.groupBy(F.window("at", "1 day").alias("w"), group.alias("grp"), speaker.alias("speaker")).agg(F.count("*").alias("turns"), talk.alias("talk_ms"))
+    return per.select(F.date_format("w.start", "yyyy-MM-dd").alias("day"), "grp", "speaker", "turns", "talk_ms")
 
 
 def activity(events: DataFrame) -> DataFrame:

@@ -126,3 +126,14 @@ def test_texts_are_asked_for_once(spark, tmp_path):
     stream = spark.readStream.schema("at timestamp, lang string, text string").parquet(f"file://{tmp_path}/in").withWatermark("at", "1 hour")
     live.new_texts(stream).writeStream.outputMode("append").option("checkpointLocation", f"file://{tmp_path}/state").option("path", f"file://{tmp_path}/out").format("parquet").trigger(availableNow=True).start().awaitTermination()
     assert sorted((r.lang, r.text) for r in spark.read.parquet(f"file://{tmp_path}/out").collect()) == [("en", "a"), ("hi", "a"), ("hi", "b")]
+
+
+def test_picked_rows_reach_the_scan(spark, tmp_path, capsys):
+    spark.range(1000).select("id", (F.col("id") * 2).alias("wide")).write.parquet(f"file://{tmp_path}/t")
+    picks = spark.createDataFrame([(7, 1), (900, 0)], "id long, place int")
+    source = spark.read.parquet(f"file://{tmp_path}/t")
+    got = readers.take_rows(source, picks, "id")
+    assert [(r.id, r.wide) for r in got.collect()] == [(900, 1800), (7, 14)]
+    got.explain()
+    assert "In(id, [" in capsys.readouterr().out
+    assert [r.id for r in readers.take_rows(source, picks, "id", pushed=1).collect()] == [900, 7]
