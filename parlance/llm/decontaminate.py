@@ -24,7 +24,6 @@ time; extra columns are ignored.
 
 from __future__ import annotations
 
-import hashlib
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import reduce
@@ -36,6 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parlance.llm.batches import slices
+from parlance.llm.scratch import Scratch
 
 #: Words are maximal runs of ASCII letters and digits and of all characters beyond ASCII; A-Z count as a-z.
 _FOLD = bytes(
@@ -203,20 +203,22 @@ def find_contamination(
     The items are a stated query set. They are searched in blocks of at most
     ``block_chars`` characters, each block's tables being broadcast; every block
     is matched against all documents. With one block nothing is shuffled. With
-    more, each block yields hit positions, which are merged per document row.
+    more, rows are numbered and written once, each block yields hit positions,
+    and those of a row, one list per block, are merged.
     """
     kind = documents.schema[doc_id].dataType.simpleString()
     source = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     blocks = _broadcasts(benchmark, item_id, item_text, block_chars, window)
     if len(blocks) == 1:
         return source.mapInArrow(_scanner(blocks[0]), _SCHEMA.format(kind))
-    schema = f"doc_id {kind}, row string, n_words long, spans array<struct<lo:long,hi:long>>, items array<string>"
-    every = reduce(DataFrame.unionByName, [source.mapInArrow(_positions(b), schema) for b in blocks])
-    merged = every.groupBy("doc_id", "row").agg(
+    schema = f"doc_id {kind}, row long, n_words long, spans array<struct<lo:long,hi:long>>, items array<string>"
+    rows = Scratch(documents.sparkSession, "contamination").save(source.withColumn("row", F.monotonically_increasing_id()), "rows")
+    every = reduce(DataFrame.unionByName, [rows.mapInArrow(_positions(b), schema) for b in blocks])
+    merged = every.groupBy("row").agg(
+        F.first("doc_id").alias("doc_id"),
         F.max("n_words").alias("n_words"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
         F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"),
-        (F.count("*") / len(blocks)).cast("int").alias("copies"),
     )
     covered = F.aggregate(
         "spans",
@@ -227,7 +229,7 @@ def find_contamination(
         ),
         lambda a: a["n"],
     )
-    return merged.select("doc_id", "n_words", covered.alias("n_hit"), "items", F.explode(F.sequence(F.lit(1), "copies")).alias("_")).drop("_")
+    return merged.select("doc_id", "n_words", covered.alias("n_hit"), "items")
 
 
 def _scanner(held):
@@ -243,11 +245,11 @@ def _scanner(held):
 
 
 def _positions(held):
-    """Hit runs of one block of items; ``row`` tells documents of one id apart by their text."""
+    """Hit runs of one block of items, by row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
-            spans, counts, names, rows = [], [], [], []
+            spans, counts, names = [], [], []
             for text in part.column("text").to_pylist():
                 stream = held.value.numbers(text)
                 own, of = set(), set()
@@ -257,9 +259,8 @@ def _positions(held):
                 spans.append([{"lo": a, "hi": b} for a, b in sorted(own)])
                 counts.append(len(stream))
                 names.append([held.value.names[i] for i in sorted(of)])
-                rows.append("" if text is None else hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest())
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array(rows, pa.string()), pa.array(counts, pa.int64()), pa.array(spans, pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))), pa.array(names, pa.list_(pa.string()))],
+                [part.column("doc_id"), part.column("row"), pa.array(counts, pa.int64()), pa.array(spans, pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))), pa.array(names, pa.list_(pa.string()))],
                 ["doc_id", "row", "n_words", "spans", "items"],
             )
 
