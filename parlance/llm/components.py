@@ -55,4 +55,6 @@ def _small_star(links: DataFrame, count: int) -> DataFrame:
     least = links.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
     heavy = least.where(F.col("n") > skew.limit(links, count))
     found = skew.lookup(links.withColumn("w", F.col("u")), least.where("n > 0"), heavy, ["u"], ["m"], F.xxhash64("v"))
-    return found.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("w").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
+    return found.select(
+        F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("w").alias("u"), F.col("m").alias("v")))).alias("e")
+    ).select("e.u", "e.v").where("u <> v").distinct()

@@ -237,7 +237,12 @@ def _scanner(held):
         for part in slices(batches, "text"):
             found = list(held.value.scan(part.column("text").to_pylist()))
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64()), pa.array([x[2] for x in found], pa.list_(pa.string()))],
+                [
+                    part.column("doc_id"),
+                    pa.array([x[0] for x in found], pa.int64()),
+                    pa.array([x[1] for x in found], pa.int64()),
+                    pa.array([x[2] for x in found], pa.list_(pa.string())),
+                ],
                 ["doc_id", "n_words", "n_hit", "items"],
             )
 
@@ -260,7 +265,13 @@ def _positions(held):
                 counts.append(len(stream))
                 names.append([held.value.names[i] for i in sorted(of)])
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), part.column("row"), pa.array(counts, pa.int64()), pa.array(spans, pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))), pa.array(names, pa.list_(pa.string()))],
+                [
+                    part.column("doc_id"),
+                    part.column("row"),
+                    pa.array(counts, pa.int64()),
+                    pa.array(spans, pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))),
+                    pa.array(names, pa.list_(pa.string())),
+                ],
                 ["doc_id", "row", "n_words", "spans", "items"],
             )
 

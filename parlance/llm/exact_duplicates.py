@@ -69,15 +69,32 @@ def identities(texts: DataFrame, scratch: Scratch, *, block_bytes: int = 2048, w
         number, none = F.col("row").cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(10,0)"), F.lit(-1).cast("decimal(38,0)")
         at = (number + F.col("i").cast("decimal(10,0)")).cast("decimal(38,0)")
         spread = F.xxhash64("at").cast("decimal(38,0)")
-    cut = texts.select("row", "body", count.alias("blocks")).select("row", "blocks", "body", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"))
-    first = cut.select("row", "blocks", "i", F.substring(F.col("body"), F.col("i") * block_bytes + 1, F.lit(block_bytes)).alias("block"), at.alias("at"))
-    level = scratch.save(_named(first, ["block"], total, F.xxhash64("at").cast("string").cast("binary")).select("row", "blocks", "i", "name"), "names-0")
+    cut = texts.select("row", "body", count.alias("blocks")).select(
+        "row",
+        "blocks",
+        "body",
+        F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"),
+    )
+    first = cut.select(
+        "row",
+        "blocks",
+        "i",
+        F.substring(F.col("body"), F.col("i") * block_bytes + 1, F.lit(block_bytes)).alias("block"),
+        at.alias("at"),
+    )
+    level = scratch.save(
+        _named(first, ["block"], total, F.xxhash64("at").cast("string").cast("binary")).select("row", "blocks", "i", "name"),
+        "names-0",
+    )
     done, k = level.where("blocks = 1").select("row", "blocks", "name"), 0
     width = F.col("blocks")
     while longest > 2**k:
         k += 1
         # Pairs of neighbours; the last of an odd number stays alone and is named as such.
-        pairs = level.where(width > 2 ** (k - 1)).groupBy("row", "blocks", F.floor(F.col("i") / 2).cast("int").alias("i")).agg(F.max(F.when(F.col("i") % 2 == 0, F.col("name"))).alias("left"), F.coalesce(F.max(F.when(F.col("i") % 2 == 1, F.col("name"))), none).alias("right"))
+        pairs = level.where(width > 2 ** (k - 1)).groupBy("row", "blocks", F.floor(F.col("i") / 2).cast("int").alias("i")).agg(
+            F.max(F.when(F.col("i") % 2 == 0, F.col("name"))).alias("left"),
+            F.coalesce(F.max(F.when(F.col("i") % 2 == 1, F.col("name"))), none).alias("right"),
+        )
         level = scratch.save(_named(pairs.withColumn("at", at), ["left", "right"], total, spread).select("row", "blocks", "i", "name"), f"names-{k}")
         done = done.unionByName(level.where((width > 2 ** (k - 1)) & (width <= 2**k)).select("row", "blocks", "name"))
     return done
@@ -93,16 +110,29 @@ def exact_duplicates(documents: DataFrame, *, block_bytes: int = 2048, doc_id: s
     body = without_spaces(F.col(text)).cast("binary")
     # The row number is fixed by writing it: a retried task reads it back instead of numbering anew.
     rows = scratch.save(
-        documents.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"), F.coalesce(F.length(text), F.lit(0)).alias("points"), body.alias("body")),
+        documents.select(
+            F.monotonically_increasing_id().alias("row"),
+            F.col(doc_id).alias("doc_id"),
+            F.coalesce(F.length(text), F.lit(0)).alias("points"),
+            body.alias("body"),
+        ),
         "rows",
     )
     packed = rows.select("row", "body")
     named = identities(packed, scratch, block_bytes=block_bytes)
     held = scratch.save(rows.select("row", "doc_id", "points", F.sha2("body", 256).alias("text_sha256")).join(named, "row"), "held")
     scratch.drop("rows", *(f"names-{k}" for k in range(64)))
-    best = F.struct((-F.col("points")).alias("shorter"), F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("row").alias("row"))
+    best = F.struct(
+        (-F.col("points")).alias("shorter"),
+        F.col("doc_id").isNull().alias("none"),
+        F.col("doc_id").alias("doc_id"),
+        F.col("row").alias("row"),
+    )
     keep = held.groupBy("blocks", "name").agg(F.count("*").alias("group_size"), F.min(best).alias("first"))
-    keep = scratch.save(keep.select("blocks", "name", "group_size", F.col("first.doc_id").alias("keep_id"), F.col("first.row").alias("keep_row")), "groups")
+    keep = scratch.save(
+        keep.select("blocks", "name", "group_size", F.col("first.doc_id").alias("keep_id"), F.col("first.row").alias("keep_row")),
+        "groups",
+    )
     # The row count of a written table is in its footers.
     heavy = keep.where(F.col("group_size") > skew.limit(held, held.count()))
     spread = F.xxhash64("row").cast(held.schema["name"].dataType)

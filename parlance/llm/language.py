@@ -131,7 +131,12 @@ def read_pages(pages: DataFrame, model: TrigramModel, *, page_id: str = "page_id
         for batch in slices(batches, "html"):
             texts = batch.column("html").to_pylist()
             yield pa.RecordBatch.from_arrays(
-                [batch.column("page_id"), batch.column("host"), pa.array([declared_language(t) for t in texts], pa.string()), pa.array([own.log_likelihoods(visible_text(t)).tolist() for t in texts], pa.list_(pa.float64()))],
+                [
+                    batch.column("page_id"),
+                    batch.column("host"),
+                    pa.array([declared_language(t) for t in texts], pa.string()),
+                    pa.array([own.log_likelihoods(visible_text(t)).tolist() for t in texts], pa.list_(pa.float64())),
+                ],
                 ["page_id", "host", "declared", "ll"],
             )
 
@@ -146,7 +151,15 @@ def _softmax(logs: Column) -> Column:
     return F.transform(odds, lambda x: x / total)
 
 
-def identify(pages: DataFrame, model: TrigramModel, *, strength: float = 5.0, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
+def identify(
+    pages: DataFrame,
+    model: TrigramModel,
+    *,
+    strength: float = 5.0,
+    page_id: str = "page_id",
+    url: str = "url",
+    html: str = "html",
+) -> DataFrame:
     """(page_id, host, declared, text_language, language, probability) of each page."""
     scratch = Scratch(pages.sparkSession, "language")
     count = len(model.languages)
@@ -162,23 +175,46 @@ def identify(pages: DataFrame, model: TrigramModel, *, strength: float = 5.0, pa
         return total.select(*keys, F.array(*(F.coalesce(F.col(f"s{k}"), F.lit(0.0)) for k in range(max(1, count)))).alias("sums"))
 
     by_host = scratch.save(sums("host", "domain", "suffix"), "hosts")
-    fold = lambda key: by_host.groupBy(key).agg(*(F.sum(F.get("sums", F.lit(k))).alias(f"s{k}") for k in range(max(1, count)))).select(key, F.array(*(f"s{k}" for k in range(max(1, count)))).alias(f"{key}_sums"))
+    fold = lambda key: by_host.groupBy(key).agg(*(F.sum(F.get("sums", F.lit(k))).alias(f"s{k}") for k in range(max(1, count)))).select(
+        key,
+        F.array(*(f"s{k}" for k in range(max(1, count)))).alias(f"{key}_sums"),
+    )
     everything = by_host.agg(*(F.sum(F.get("sums", F.lit(k))) for k in range(max(1, count)))).first()
     whole = [float(x or 0.0) for x in everything]  # one number per language
     base = [(x + 1.0) / (sum(whole) + len(whole)) for x in whole]
     plain = F.array(*(F.lit(x) for x in base))
-    smooth = lambda sums_, to: F.zip_with(sums_, to, lambda s, q: (F.greatest(s, F.lit(0.0)) + strength * q) / (F.aggregate(sums_, F.lit(0.0), lambda a, x: a + F.greatest(x, F.lit(0.0))) + strength))
+    smooth = lambda sums_, to: F.zip_with(
+        sums_,
+        to,
+        lambda s, q: (F.greatest(s, F.lit(0.0)) + strength * q) / (
+            F.aggregate(sums_, F.lit(0.0), lambda a, x: a + F.greatest(x, F.lit(0.0))) + strength
+        ),
+    )
     hosts = by_host.join(fold("domain"), "domain").join(fold("suffix"), "suffix").select("host", "sums", "domain_sums", "suffix_sums")
     claims = sums("declared").where("declared is not null").withColumnRenamed("sums", "declared_sums").withColumnRenamed("declared", "claim")
 
     without = lambda sums_: F.zip_with(sums_, "p", lambda s, own: s - own)  # noqa: E731  a page does not vote for itself
     # Likelihood of an observation given the language, smoothed towards no information.
-    given = lambda sums_: F.zip_with(without(sums_), F.array(*(F.lit(x) for x in whole)), lambda s, t: F.log((F.greatest(s, F.lit(0.0)) + 0.1) / (t + 1.0)))
+    given = lambda sums_: F.zip_with(
+        without(sums_),
+        F.array(*(F.lit(x) for x in whole)),
+        lambda s, t: F.log((F.greatest(s, F.lit(0.0)) + 0.1) / (t + 1.0)),
+    )
     joined = seen.join(hosts, "host").join(claims, seen["declared"] == claims["claim"], "left")
     prior = F.transform(smooth(without(F.col("sums")), smooth(without(F.col("domain_sums")), plain)), lambda x: F.log(x))
     add = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
     none = F.transform(plain, lambda x: F.lit(0.0))
-    fused = add(add(F.col("ll"), prior), add(F.when(F.col("claim").isNull(), none).otherwise(given(F.col("declared_sums"))), given(F.col("suffix_sums"))))
+    fused = add(
+        add(F.col("ll"), prior),
+        add(F.when(F.col("claim").isNull(), none).otherwise(given(F.col("declared_sums"))), given(F.col("suffix_sums"))),
+    )
     best = lambda p: F.get(names, (F.array_position(p, F.array_max(p)) - 1).cast("int"))
     out = joined.withColumn("post", _softmax(fused))
-    return out.select("page_id", "host", "declared", best(F.col("p")).alias("text_language"), best(F.col("post")).alias("language"), F.array_max("post").alias("probability"))
+    return out.select(
+        "page_id",
+        "host",
+        "declared",
+        best(F.col("p")).alias("text_language"),
+        best(F.col("post")).alias("language"),
+        F.array_max("post").alias("probability"),
+    )

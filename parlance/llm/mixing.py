@@ -72,7 +72,10 @@ def targets(sizes: DataFrame, *, weights: tuple[float, ...] = (3, 1, 2), share:
     ranked = placed.withColumn("level", level).withColumn("rank", F.row_number().over(ordered))
     first = F.min(F.when(open_, F.struct("rank", "level"))).over(W.partitionBy())
     ranked = ranked.withColumn("first", first)
-    target = F.when(F.col("first").isNull() | (F.col("rank") < F.col("first.rank")), limit * F.col("source_size").cast("double")).otherwise(F.col("first.level") * F.col("w"))
+    target = F.when(
+        F.col("first").isNull() | (F.col("rank") < F.col("first.rank")),
+        limit * F.col("source_size").cast("double"),
+    ).otherwise(F.col("first.level") * F.col("w"))
     return ranked.select("source", "place", "source_size", target.cast("double").alias("target"))
 
 
@@ -110,7 +113,10 @@ def _counted(rows: DataFrame, count: Column, name: str) -> DataFrame:
     """``rows`` with every number from 0 to ``count`` - 1, made stride by stride over all partitions."""
     parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     # A few bytes here become very many rows: a set number of partitions keeps them from being merged.
-    strides = rows.withColumn("__count", count).where("__count > 0").withColumn("__stride", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("__count") - 1) / _STRIDE)))).repartition(parts)
+    strides = rows.withColumn("__count", count).where("__count > 0").withColumn(
+        "__stride",
+        F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("__count") - 1) / _STRIDE))),
+    ).repartition(parts)
     first = F.col("__stride") * _STRIDE
     return strides.withColumn(name, F.explode(F.sequence(first, F.least(F.col("__count"), first + _STRIDE) - 1))).drop("__count", "__stride")
 
@@ -125,35 +131,77 @@ def draw_slots(goals: DataFrame, *, block_words: int, shard_slots: int = 4096, l
     """
     all_ = W.partitionBy()
     size, length = F.col("source_size"), block_length(F.col("source_size"), block_words)
-    base = goals.where("source_size > 0 and target > 0").select("place", F.ceil(size / length).cast("long").alias("blocks"), (F.col("target") >= limit * size).alias("full"), "target", "source_size")
+    base = goals.where("source_size > 0 and target > 0").select(
+        "place",
+        F.ceil(size / length).cast("long").alias("blocks"),
+        (F.col("target") >= limit * size).alias("full"),
+        "target",
+        "source_size",
+    )
     # A slot holds the words of a mean block, as the last one of a source may be short.
-    base = base.withColumn("slots", F.when(F.col("full"), F.lit(float(limit)) * F.col("blocks")).otherwise(F.col("target") * F.col("blocks") / size)).drop("target", "source_size")
+    base = base.withColumn(
+        "slots",
+        F.when(F.col("full"), F.lit(float(limit)) * F.col("blocks")).otherwise(F.col("target") * F.col("blocks") / size),
+    ).drop("target", "source_size")
     shards = F.greatest(F.lit(1), F.round(F.sum("slots").over(all_) / shard_slots)).cast("long")
     base = base.withColumn("shards", shards).withColumn("each", F.col("slots") / F.col("shards"))
-    base = base.withColumn("whole", F.floor("each").cast("long")).withColumn("part", F.when(F.col("full"), 0.0).otherwise(F.col("each") - F.floor("each")))
+    base = base.withColumn("whole", F.floor("each").cast("long")).withColumn(
+        "part",
+        F.when(F.col("full"), 0.0).otherwise(F.col("each") - F.floor("each")),
+    )
     upto = F.sum("part").over(W.orderBy("place").rowsBetween(W.unboundedPreceding, 0))
     parts = F.sum("part").over(all_)
     # The last source with a part ends the interval, whatever the sums round to.
     last = F.max(F.when(F.col("part") > 0, F.col("place"))).over(all_)
-    base = base.withColumn("parts", parts).withColumn("hi", F.when(F.col("place") >= last, F.lit(1.0)).otherwise(F.least(F.lit(1.0), F.try_divide(upto, F.col("parts")))))
+    base = base.withColumn("parts", parts).withColumn(
+        "hi",
+        F.when(F.col("place") >= last, F.lit(1.0)).otherwise(F.least(F.lit(1.0), F.try_divide(upto, F.col("parts")))),
+    )
     base = base.withColumn("lo", F.coalesce(F.lag("hi").over(W.orderBy("place")), F.lit(0.0)))
 
     # Slots without a draw; a full source gets all its slots, spread over the shards.
     sure = _counted(base, F.when(F.col("full"), F.floor(F.col("slots") + 0.5)).otherwise(F.col("whole") * F.col("shards")).cast("long"), "k")
-    sure = sure.select("place", "blocks", F.least(F.col("shards") - 1, F.floor(F.when(F.col("full"), F.col("k") / F.col("each")).otherwise(F.col("k") / F.col("whole")))).cast("long").alias("shard"), "k")
+    sure = sure.select(
+        "place",
+        "blocks",
+        F.least(
+            F.col("shards") - 1,
+            F.floor(F.when(F.col("full"), F.col("k") / F.col("each")).otherwise(F.col("k") / F.col("whole"))),
+        ).cast("long").alias("shard"),
+        "k",
+    )
 
     cell = lambda u: F.floor(u * _CELLS).cast("int")
-    grid = base.where("hi > lo").select("place", "blocks", (F.col("whole") * F.col("shards")).alias("first"), "lo", "hi", F.explode(F.sequence(cell(F.col("lo")), F.least(cell(F.col("hi")), F.lit(_CELLS - 1)))).alias("cell"))
+    grid = base.where("hi > lo").select(
+        "place",
+        "blocks",
+        (F.col("whole") * F.col("shards")).alias("first"),
+        "lo",
+        "hi",
+        F.explode(F.sequence(cell(F.col("lo")), F.least(cell(F.col("hi")), F.lit(_CELLS - 1)))).alias("cell"),
+    )
     tries = _counted(base.limit(1).select("parts", "shards"), F.when(F.col("parts") > 0, F.col("shards")).otherwise(0), "shard")
     # The draws of all shards up to any one are the sum of their parts, rounded from a random start.
     upto = lambda s: F.floor(s * F.col("parts") + _uniform(seed, F.lit("n")))
     tries = tries.withColumn("left", upto(F.col("shard") + 1) - upto(F.col("shard"))).where("left > 0")
-    tries = tries.select("shard", F.explode(F.sequence(F.lit(1).cast("long"), F.col("left"))).alias("r")).withColumn("u", _uniform(seed, F.col("shard"), F.col("r")))
-    drawn = tries.withColumn("cell", cell(F.col("u"))).join(grid, "cell").where("u >= lo and u < hi").groupBy("place", "blocks", "first", "shard").agg(F.count("*").alias("n"))
+    tries = tries.select("shard", F.explode(F.sequence(F.lit(1).cast("long"), F.col("left"))).alias("r")).withColumn(
+        "u",
+        _uniform(seed, F.col("shard"), F.col("r")),
+    )
+    drawn = tries.withColumn("cell", cell(F.col("u"))).join(grid, "cell").where("u >= lo and u < hi").groupBy(
+        "place",
+        "blocks",
+        "first",
+        "shard",
+    ).agg(F.count("*").alias("n"))
     # Drawn slots of a source are numbered behind its sure ones: sums of ranges of shards, then inside each range.
     drawn = drawn.withColumn("range", F.floor(F.col("shard") / _CELLS))
     sums = drawn.groupBy("place", "range").agg(F.sum("n").alias("in_range"))
-    sums = sums.select("place", "range", F.coalesce(F.sum("in_range").over(W.partitionBy("place").orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    sums = sums.select(
+        "place",
+        "range",
+        F.coalesce(F.sum("in_range").over(W.partitionBy("place").orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"),
+    )
     inside = F.coalesce(F.sum("n").over(W.partitionBy("place", "range").orderBy("shard").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     drawn = drawn.withColumn("inside", inside).join(sums, ["place", "range"])
     start = F.col("first") + F.col("before") + F.col("inside")
@@ -161,7 +209,12 @@ def draw_slots(goals: DataFrame, *, block_words: int, shard_slots: int = 4096, l
 
     slots = sure.unionByName(drawn).where(F.col("k") < limit * F.col("blocks"))
     turn = F.floor(F.col("k") / F.col("blocks"))
-    return slots.select("place", "shard", turn.alias("turn"), permute(F.pmod("k", "blocks"), F.col("blocks"), F.lit(seed), F.col("place"), turn).alias("block"))
+    return slots.select(
+        "place",
+        "shard",
+        turn.alias("turn"),
+        permute(F.pmod("k", "blocks"), F.col("blocks"), F.lit(seed), F.col("place"), turn).alias("block"),
+    )
 
 
 def pieces(placed: DataFrame, block_words: int) -> DataFrame:
@@ -173,14 +226,34 @@ def pieces(placed: DataFrame, block_words: int) -> DataFrame:
     return spread.withColumn("first", begin - lo).withColumn("words", F.least(hi, (F.col("block") + 1) * length) - begin)
 
 
-def mix_sources(documents: DataFrame, *, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, limit: int = 2, block_words: int = 32, seed: int = 0, doc_id: str = "doc_id", source: str = "source", text: str = "text", row: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+def mix_sources(
+    documents: DataFrame,
+    *,
+    weights: tuple[float, ...] = (3, 1, 2),
+    share: float = 1.5,
+    limit: int = 2,
+    block_words: int = 32,
+    seed: int = 0,
+    doc_id: str = "doc_id",
+    source: str = "source",
+    text: str = "text",
+    row: str | None = None,
+) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows, parts, draws): sized rows with their targets, their pieces per block, and the drawn slots.
 
     ``row`` names a column of unique numbers; without it rows are numbered, and
     the numbers are written once so that retried tasks read the same ones.
     """
     scratch = Scratch(documents.sparkSession, "mixing")
-    sized = scratch.save(documents.select((F.col(row) if row else F.monotonically_increasing_id()).alias("row"), F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), word_count(F.col(text)).alias("size")), "sized")
+    sized = scratch.save(
+        documents.select(
+            (F.col(row) if row else F.monotonically_increasing_id()).alias("row"),
+            F.col(doc_id).alias("doc_id"),
+            F.col(source).cast("string").alias("source"),
+            word_count(F.col(text)).alias("size"),
+        ),
+        "sized",
+    )
     goals = scratch.save(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights=weights, share=share, limit=limit), "goals")
     draws = scratch.save(draw_slots(goals, block_words=block_words, limit=limit, seed=seed), "draws")
     by_source = goals.withColumnRenamed("source", "s")
@@ -198,11 +271,27 @@ def taken_words(placed: DataFrame, parts: DataFrame, draws: DataFrame) -> DataFr
     size would pass for that of a table fit to broadcast.
     """
     uses = draws.groupBy("place", "block").agg(F.count("*").alias("uses"))
-    taken = parts.select("row", "place", "block", "words").join(uses.hint("merge"), ["place", "block"]).groupBy("row").agg(F.sum(F.col("words") * F.col("uses")).alias("taken"))
-    return placed.join(taken.hint("merge"), "row", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"))
-
-
-def mixed_texts(documents: DataFrame, *, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, limit: int = 2, block_words: int = 512, seed: int = 0) -> DataFrame:
+    taken = parts.select("row", "place", "block", "words").join(uses.hint("merge"), ["place", "block"]).groupBy("row").agg(
+        F.sum(F.col("words") * F.col("uses")).alias("taken")
+    )
+    return placed.join(taken.hint("merge"), "row", "left").select(
+        "doc_id",
+        "size",
+        "source_size",
+        "target",
+        F.coalesce("taken", F.lit(0).cast("long")).alias("taken"),
+    )
+
+
+def mixed_texts(
+    documents: DataFrame,
+    *,
+    weights: tuple[float, ...] = (3, 1, 2),
+    share: float = 1.5,
+    limit: int = 2,
+    block_words: int = 512,
+    seed: int = 0,
+) -> DataFrame:
     """The mix itself with the columns of ``documents``: adjoining pieces of a document drawn in one turn are one row.
 
     A piece holds its words with the white space after each (the first piece of
@@ -211,13 +300,26 @@ def mixed_texts(documents: DataFrame, *, weights: tuple[float, ...] = (3, 1, 2),
     columns = documents.columns
     scratch = Scratch(documents.sparkSession, "mixed")
     numbered = scratch.save(documents.withColumn("__mixing_row", F.monotonically_increasing_id()), "numbered")
-    _, parts, draws = mix_sources(numbered.select("doc_id", "source", "text", "__mixing_row"), weights=weights, share=share, limit=limit, block_words=block_words, seed=seed, row="__mixing_row")
+    _, parts, draws = mix_sources(
+        numbered.select("doc_id", "source", "text", "__mixing_row"),
+        weights=weights,
+        share=share,
+        limit=limit,
+        block_words=block_words,
+        seed=seed,
+        row="__mixing_row",
+    )
     hit = parts.select("row", "place", "block", "first", "words").join(draws.select("place", "block", "turn").hint("merge"), ["place", "block"])
     by = W.partitionBy("row", "turn").orderBy("first")
     apart = F.when(F.lag(F.col("first") + F.col("words")).over(by) == F.col("first"), 0).otherwise(1)
-    runs = hit.withColumn("apart", apart).withColumn("run", F.sum("apart").over(by)).groupBy("row", "turn", "run").agg(F.min("first").alias("first"), F.sum("words").alias("words"))
+    runs = hit.withColumn("apart", apart).withColumn("run", F.sum("apart").over(by)).groupBy("row", "turn", "run").agg(
+        F.min("first").alias("first"),
+        F.sum("words").alias("words"),
+    )
     # All runs of a document meet its text once, which is split once.
-    runs = runs.groupBy(F.col("row").alias("__mixing_row")).agg(F.sort_array(F.collect_list(F.struct("turn", "first", "words"))).alias("__mixing_runs"))
+    runs = runs.groupBy(F.col("row").alias("__mixing_row")).agg(
+        F.sort_array(F.collect_list(F.struct("turn", "first", "words"))).alias("__mixing_runs")
+    )
     words = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), F.lit(0))
     both = F.array(F.struct(words.alias("words"), F.col("__mixing_runs").alias("runs")))
     cut = lambda p: F.transform(p["runs"], lambda r: F.array_join(F.slice(p["words"], (r["first"] + 1).cast("int"), r["words"].cast("int")), ""))

@@ -135,7 +135,17 @@ def sketch_documents(documents: DataFrame, *, words: int = 4, doc_id: str = "doc
                 hi.append(int.from_bytes(name[:8], "little", signed=True))
                 lo.append(int.from_bytes(name[8:], "little", signed=True))
                 regs.append(sketch(s).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("print"), pa.array(n, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(regs, pa.binary())], ["doc_id", "print", "n", "hi", "lo", "sketch"])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("doc_id"),
+                    batch.column("print"),
+                    pa.array(n, pa.int64()),
+                    pa.array(hi, pa.int64()),
+                    pa.array(lo, pa.int64()),
+                    pa.array(regs, pa.binary()),
+                ],
+                ["doc_id", "print", "n", "hi", "lo", "sketch"],
+            )
 
     kind = documents.schema[doc_id].dataType.simpleString()
     return _printed(documents, doc_id, text).mapInArrow(run, f"doc_id {kind}, print long, n long, hi long, lo long, sketch binary")
@@ -162,7 +172,11 @@ def by_pivot(pairs: DataFrame, own: DataFrame, columns: list[str]) -> DataFrame:
     heavy = per.where(F.col("n") > most).select("a", F.ceil(F.col("n") / most).alias("parts"))
     part = F.coalesce(F.pmod(F.xxhash64("b"), F.col("parts")), F.lit(0).cast("long"))
     members = pairs.join(F.broadcast(heavy), "a", "left").select("a", "b", part.alias("part")).join(own, F.col("b") == own["rep"])
-    heads = per.join(F.broadcast(heavy), "a", "left").select("a", F.lit(None).cast("long").alias("b"), F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)) - 1)).alias("part")).join(own, F.col("a") == own["rep"])
+    heads = per.join(F.broadcast(heavy), "a", "left").select(
+        "a",
+        F.lit(None).cast("long").alias("b"),
+        F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)) - 1)).alias("part"),
+    ).join(own, F.col("a") == own["rep"])
     both = members.select("a", "b", "part", *columns).unionByName(heads.select("a", "b", "part", *columns))
     return both.repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
 
@@ -183,7 +197,9 @@ def _likely(threshold: float):
             row, at = np.flatnonzero(~head) + 1, pivot[~head]
             small, large = np.minimum(n[row], n[at]), np.maximum(n[row], n[at])
             good = small >= threshold * large - 1e-6
-            good[good] = (estimate_jaccard(regs[at[good]], regs[row[good]], n[at[good]], n[row[good]]) >= threshold - margin) | (small[good] <= _SMALL)
+            good[good] = (
+                estimate_jaccard(regs[at[good]], regs[row[good]], n[at[good]], n[row[good]]) >= threshold - margin
+            ) | (small[good] <= _SMALL)
             yield batch.select(["a", "b"]).take(pa.array(row[good] - 1))
             regs, n = regs[pivot[-1]][None], n[pivot[-1]][None]
 
@@ -220,7 +236,10 @@ def _thinned_sets(texts: DataFrame, words: int) -> DataFrame:
                 upper = (shingle_set(t, words) >> np.uint64(32)).astype(np.uint32)
                 levels.append(min(20, max(0, (len(upper) - 1) // _SAMPLE).bit_length()))
                 items.append(_thin(upper, levels[-1]).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array(levels, pa.int32()), pa.array(items, pa.binary())], ["rep", "level", "items"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("rep"), pa.array(levels, pa.int32()), pa.array(items, pa.binary())],
+                ["rep", "level", "items"],
+            )
 
     return texts.select("rep", "text").mapInArrow(run, "rep long, level int, items binary")
 
@@ -249,7 +268,14 @@ def _common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _block_links(threshold: float, n: np.ndarray, root: np.ndarray, level: np.ndarray, items: list[np.ndarray], side: np.ndarray) -> list[tuple[int, int]]:
+def _block_links(
+    threshold: float,
+    n: np.ndarray,
+    root: np.ndarray,
+    level: np.ndarray,
+    items: list[np.ndarray],
+    side: np.ndarray,
+) -> list[tuple[int, int]]:
     """Places of pairs to confirm: likely links between components that no surer link in the block has joined."""
     percent = round(100 * threshold)
     leader = {r: r for r in root.tolist()}
@@ -301,7 +327,9 @@ def _across(threshold: float):
         out = []
         for lo, hi in zip([0, *edges], [*edges, rows.num_rows], strict=True):
             if hi - lo > 1:
-                out += [(rep[lo + a], rep[lo + b]) for a, b in _block_links(threshold, n[lo:hi], root[lo:hi], level[lo:hi], items[lo:hi], side[lo:hi])]
+                out += [
+                    (rep[lo + a], rep[lo + b]) for a, b in _block_links(threshold, n[lo:hi], root[lo:hi], level[lo:hi], items[lo:hi], side[lo:hi])
+                ]
         return pa.RecordBatch.from_arrays([pa.array([min(x) for x in out], pa.int64()), pa.array([max(x) for x in out], pa.int64())], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -321,12 +349,24 @@ def _across(threshold: float):
     return run
 
 
-def near_duplicates(documents: DataFrame, *, threshold: float = 0.8, words: int = 5, huge: int = _HUGE, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(
+    documents: DataFrame,
+    *,
+    threshold: float = 0.8,
+    words: int = 5,
+    huge: int = _HUGE,
+    doc_id: str = "doc_id",
+    text: str = "text",
+) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of each row."""
     scratch = Scratch(documents.sparkSession, "near")
     sketches = scratch.save(sketch_documents(documents, words=words, doc_id=doc_id, text=text), "sketches")
     # One row, by id and text, stands for a class; the class itself gets a number of its own.
-    grouped = sketches.where("n > 0 and doc_id is not null").groupBy("n", "hi", "lo").agg(F.min(F.struct("doc_id", "print")).alias("pick"), F.count("*").alias("copies"), F.first("sketch").alias("sketch"))
+    grouped = sketches.where("n > 0 and doc_id is not null").groupBy("n", "hi", "lo").agg(
+        F.min(F.struct("doc_id", "print")).alias("pick"),
+        F.count("*").alias("copies"),
+        F.first("sketch").alias("sketch"),
+    )
     classes = scratch.save(grouped.select(F.monotonically_increasing_id().alias("rep"), "n", "hi", "lo", "copies", "pick", "sketch"), "classes")
     banded = bands(classes)
     shared = banded.groupBy("key").agg(F.min("rep").alias("pivot"), F.count("*").alias("m")).where("m > 1")
@@ -352,7 +392,15 @@ def near_duplicates(documents: DataFrame, *, threshold: float = 0.8, words: int
     # The result reads only the sketches, the classes and the roots.
     scratch.drop("members", "texts", "open", *(f"links-{k}{part}" for k in (0, 1) for part in ("", "-likely", "-pairs")))
 
-    rooted = classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "n", "hi", "lo", "copies", "pick.doc_id", F.coalesce("root", "rep").alias("root"))
+    rooted = classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select(
+        "rep",
+        "n",
+        "hi",
+        "lo",
+        "copies",
+        "pick.doc_id",
+        F.coalesce("root", "rep").alias("root"),
+    )
     least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("m"))
     some = least.where(F.col("m") > skew.limit(classes, classes.count()))
     named = scratch.save(skew.lookup(rooted, least, some, ["root"], ["component_id"], F.xxhash64("rep")), "named")
@@ -360,7 +408,12 @@ def near_duplicates(documents: DataFrame, *, threshold: float = 0.8, words: int
     row = F.xxhash64("doc_id", "print", F.monotonically_increasing_id())
     out = skew.lookup(sketches.withColumn("size", F.col("n")).drop("sketch"), named, copied, ["hi", "lo", "n"], ["component_id"], row)
     root = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", F.col("size").alias("n_shingles"), root.alias("component_id"), F.coalesce(F.col("doc_id") == root, F.lit(False)).alias("kept"))
+    return out.select(
+        "doc_id",
+        F.col("size").alias("n_shingles"),
+        root.alias("component_id"),
+        F.coalesce(F.col("doc_id") == root, F.lit(False)).alias("kept"),
+    )
 
 
 def drop_near_duplicates(documents: DataFrame, *, threshold: float = 0.8, words: int = 5) -> DataFrame:
@@ -374,9 +427,24 @@ def drop_near_duplicates(documents: DataFrame, *, threshold: float = 0.8, words:
     return numbered.join(found.where("kept").select(F.col("doc_id").alias("__near_row")), "__near_row", "left_semi").select(*documents.columns)
 
 
-def _open_pairs(members: DataFrame, classes: DataFrame, texts: DataFrame, roots: DataFrame, scratch: Scratch, threshold: float, words: int, huge: int) -> DataFrame:
+def _open_pairs(
+    members: DataFrame,
+    classes: DataFrame,
+    texts: DataFrame,
+    roots: DataFrame,
+    scratch: Scratch,
+    threshold: float,
+    words: int,
+    huge: int,
+) -> DataFrame:
     """Pairs to confirm across components in the buckets that hold more than one."""
-    rooted = members.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "n", "m", F.coalesce("root", "rep").alias("root"))
+    rooted = members.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select(
+        "key",
+        "rep",
+        "n",
+        "m",
+        F.coalesce("root", "rep").alias("root"),
+    )
     open_ = scratch.save(_several(rooted), "open")
     if (open_.agg(F.max("m")).first()[0] or 0) > huge:
         # Classes of a huge bucket meet where they share a further band.
@@ -390,7 +458,17 @@ def _open_pairs(members: DataFrame, classes: DataFrame, texts: DataFrame, roots:
     blocks = F.ceil(F.col("m") / _BLOCK).cast("int")
     spread = rows.withColumn("own", F.pmod(F.xxhash64("rep"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
-    spread = spread.select("rep", "n", "root", "level", "items", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), side.alias("side"))
+    spread = spread.select(
+        "rep",
+        "n",
+        "root",
+        "level",
+        "items",
+        "key",
+        F.least("own", "other").alias("i"),
+        F.greatest("own", "other").alias("j"),
+        side.alias("side"),
+    )
     grouped = spread.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     return grouped.mapInArrow(_across(threshold), "a long, b long").distinct()
 

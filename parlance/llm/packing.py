@@ -80,7 +80,15 @@ def best_fit_decreasing(lengths: list[int], capacity: int) -> list[list[int]]:
 _SCHEMA = "shard long, sequence long, n_tokens int, ids binary, cu_seqlens array<int>, position_resets array<int>, doc_ids array<{}>, rows array<long>, piece_starts array<long>"
 
 
-def pack(documents: DataFrame, *, length: int = 2048, pool_tokens: int = 1 << 21, vocabulary: str = VOCABULARY, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def pack(
+    documents: DataFrame,
+    *,
+    length: int = 2048,
+    pool_tokens: int = 1 << 21,
+    vocabulary: str = VOCABULARY,
+    doc_id: str = "doc_id",
+    text: str = "text",
+) -> DataFrame:
     """One row per packed sequence.
 
     ``ids`` is one row of the id matrix (``length`` ids of the vocabulary's

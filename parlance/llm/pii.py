@@ -96,7 +96,9 @@ LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
 _SIZE = 1 << 13
 _CELLS = 1 << 14  # padded words of a batch of runs
 _CANDIDATE = re.compile(r"[^\x20\x09-\x0D]+")
-_SHAPES = str.maketrans({**{c: "9" for c in "0123456789"}, **{c: "a" for c in "abcdefghijklmnopqrstuvwxyz"}, **{c: "A" for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}})
+_SHAPES = str.maketrans(
+    {**{c: "9" for c in "0123456789"}, **{c: "a" for c in "abcdefghijklmnopqrstuvwxyz"}, **{c: "A" for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}}
+)
 _CUES = re.compile(r"[^a-z]+")
 
 
@@ -336,7 +338,12 @@ def find_personal_data(documents: DataFrame, crf: CRF, *, doc_id: str = "doc_id"
             found = find_spans(batch.column(1).to_pylist(), held.value)
             counts = [pa.array([sum(s[1] == k for s in b) for b, _ in found], pa.int64()) for k in range(4)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *counts, pa.array([render(b) for b, _ in found], pa.string()), pa.array([render(f) for _, f in found], pa.string())],
+                [
+                    batch.column(0),
+                    *counts,
+                    pa.array([render(b) for b, _ in found], pa.string()),
+                    pa.array([render(f) for _, f in found], pa.string()),
+                ],
                 ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base", "spans"],
             )
 
@@ -348,7 +355,17 @@ def labelled_examples() -> list[tuple[str, list[tuple[str, int, int]]]]:
 
     ``{}`` marks the value; its kind is None where the value is no personal data.
     """
-    carriers = ("call me on {} today", "my number is {} .", "{} is on file", "tel. {} or write", "the {} was noted", "see {} and then", "phone: {}, please", "and {} ed the", "reach us at {}.")
+    carriers = (
+        "call me on {} today",
+        "my number is {} .",
+        "{} is on file",
+        "tel. {} or write",
+        "the {} was noted",
+        "see {} and then",
+        "phone: {}, please",
+        "and {} ed the",
+        "reach us at {}.",
+    )
     values: list[tuple[str | None, str]] = []
     for k in range(40):
         a, b, c = 200 + 37 * k % 700, 100 + 53 * k % 900, 1000 + 7919 * k % 9000

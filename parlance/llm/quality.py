@@ -39,7 +39,12 @@ class QualityModel:
     def features(self, text: str | None) -> tuple[float, ...]:
         raw = (text or "").encode("utf-8", "surrogatepass")
         if not hasattr(self, "_with"):
-            make = lambda d: zstandard.ZstdCompressor(self.level, dict_data=zstandard.ZstdCompressionDict(d), write_content_size=False, write_dict_id=False)
+            make = lambda d: zstandard.ZstdCompressor(
+                self.level,
+                dict_data=zstandard.ZstdCompressionDict(d),
+                write_content_size=False,
+                write_dict_id=False,
+            )
             self._with = make(self.good), make(self.bad)
         if not raw or self.weights is None and not (self.good and self.bad):
             return (0.0, 0.0)
@@ -123,7 +128,10 @@ def score_documents(documents: DataFrame, model: QualityModel, *, text: str = "t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = held.value
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own.score(batch.column(text).to_pylist()), pa.float64())], [*batch.schema.names, out])
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(own.score(batch.column(text).to_pylist()), pa.float64())],
+                [*batch.schema.names, out],
+            )
 
     return kept.mapInArrow(run, StructType([*kept.schema.fields, StructField(out, DoubleType())]))
 

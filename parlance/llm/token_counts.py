@@ -39,7 +39,16 @@ def scan_blocks(blocks: DataFrame, *, end: int = END_OF_DOCUMENT, dtype: str = "
                 found.append(np.flatnonzero(ids == end))
             offsets = np.concatenate(([0], np.cumsum([len(f) for f in found]))).astype(np.int32)
             ends = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found) if found else [], pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column("file"), batch.column("block"), pa.array(sizes, pa.int64()), ends, batch.column("doc_ids") if named else pa.nulls(batch.num_rows, pa.list_(pa.int64()))], ["file", "block", "n", "ends", "doc_ids"])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("file"),
+                    batch.column("block"),
+                    pa.array(sizes, pa.int64()),
+                    ends,
+                    batch.column("doc_ids") if named else pa.nulls(batch.num_rows, pa.list_(pa.int64())),
+                ],
+                ["file", "block", "n", "ends", "doc_ids"],
+            )
 
     kind_of = lambda c: blocks.schema[c].dataType.simpleString()
     return blocks.mapInArrow(run, f"file {kind_of('file')}, block {kind_of('block')}, n long, ends array<long>, doc_ids {kind}")
@@ -52,10 +61,19 @@ def stitch(scanned: DataFrame) -> DataFrame:
     placed = scanned.withColumn("base", base).withColumn("count", F.size("ends").cast("long"))
     last = F.when(F.col("count") > 0, F.col("base") + F.element_at("ends", -1))
     placed = placed.withColumn("last", last)
-    placed = placed.withColumn("from", F.coalesce(F.max("last").over(before) + 1, F.lit(0).cast("long"))).withColumn("first", F.coalesce(F.sum("count").over(before), F.lit(0).cast("long")))
+    placed = placed.withColumn("from", F.coalesce(F.max("last").over(before) + 1, F.lit(0).cast("long"))).withColumn(
+        "first",
+        F.coalesce(F.sum("count").over(before), F.lit(0).cast("long")),
+    )
     each = placed.where("count > 0").select("file", "base", "from", "first", "ends", "doc_ids", F.posexplode("ends").alias("k", "end"))
     start = F.when(F.col("k") == 0, F.col("from")).otherwise(F.col("base") + F.get("ends", F.col("k") - 1) + 1)
-    return each.select("file", (F.col("first") + F.col("k")).alias("ordinal"), F.get("doc_ids", "k").alias("doc_id"), start.alias("start"), (F.col("base") + F.col("end") - start).alias("n_tokens"))
+    return each.select(
+        "file",
+        (F.col("first") + F.col("k")).alias("ordinal"),
+        F.get("doc_ids", "k").alias("doc_id"),
+        start.alias("start"),
+        (F.col("base") + F.col("end") - start).alias("n_tokens"),
+    )
 
 
 def count_tokens(blocks: DataFrame, *, end: int = END_OF_DOCUMENT, dtype: str = "<u2") -> DataFrame:
@@ -77,6 +95,13 @@ def read_token_files(spark: SparkSession, path: str, *, block_tokens: int = 1 <<
             for file, content in zip(batch.column(0), batch.column(1), strict=True):
                 raw = content.as_buffer()
                 for block, lo in enumerate(range(0, len(raw), block_tokens * width)):
-                    yield pa.RecordBatch.from_arrays([pa.array([file.as_py()]), pa.array([block], pa.int64()), pa.array([raw[lo : lo + block_tokens * width].to_pybytes()], pa.binary())], ["file", "block", "ids"])
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array([file.as_py()]),
+                            pa.array([block], pa.int64()),
+                            pa.array([raw[lo : lo + block_tokens * width].to_pybytes()], pa.binary()),
+                        ],
+                        ["file", "block", "ids"],
+                    )
 
     return files.mapInArrow(run, "file string, block long, ids binary")

@@ -73,7 +73,14 @@ def encode(text: str | None, vocabulary: str = VOCABULARY) -> np.ndarray:
     return np.concatenate([np.array(p, dtype) for p in parts])
 
 
-def flat_blocks(documents: DataFrame, *, block_tokens: int = 1 << 20, vocabulary: str = VOCABULARY, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def flat_blocks(
+    documents: DataFrame,
+    *,
+    block_tokens: int = 1 << 20,
+    vocabulary: str = VOCABULARY,
+    doc_id: str = "doc_id",
+    text: str = "text",
+) -> DataFrame:
     """(file, block, ids, doc_ids): the flat streams of the table, one per input partition, in blocks.
 
     ``ids`` holds ``block_tokens`` ids (the last block of a file fewer), without
@@ -89,7 +96,12 @@ def flat_blocks(documents: DataFrame, *, block_tokens: int = 1 << 20, vocabulary
 
         def cut(ids: np.ndarray, own: list) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays(
-                [pa.array([file], pa.int64()), pa.array([block], pa.int64()), pa.array([ids.tobytes()], pa.binary()), pa.ListArray.from_arrays([0, len(own)], pa.array(own, ids_type))],
+                [
+                    pa.array([file], pa.int64()),
+                    pa.array([block], pa.int64()),
+                    pa.array([ids.tobytes()], pa.binary()),
+                    pa.ListArray.from_arrays([0, len(own)], pa.array(own, ids_type)),
+                ],
                 ["file", "block", "ids", "doc_ids"],
             )
 
@@ -115,4 +127,7 @@ def flat_blocks(documents: DataFrame, *, block_tokens: int = 1 << 20, vocabulary
         if size:
             yield cut(np.concatenate(held), [d for _, d in ends])
 
-    return documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"file long, block long, ids binary, doc_ids array<{kind}>")
+    return documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(
+        run,
+        f"file long, block long, ids binary, doc_ids array<{kind}>",
+    )

@@ -59,7 +59,12 @@ def fitting_rule(host: Column, path: Column, rules: list[Rule]) -> Column:
     each = [
         F.when(
             ((host == h) | F.endswith(host, F.lit(f".{h}"))) & F.startswith(path, F.lit(p)),
-            F.struct(F.lit(len(h) + len(p)).alias("length"), F.lit(len(h)).alias("host_length"), F.lit(h + p).alias("rule"), F.lit(v).alias("verdict")),
+            F.struct(
+                F.lit(len(h) + len(p)).alias("length"),
+                F.lit(len(h)).alias("host_length"),
+                F.lit(h + p).alias("rule"),
+                F.lit(v).alias("verdict"),
+            ),
         )
         for v, h, p in rules
     ]
@@ -68,7 +73,10 @@ def fitting_rule(host: Column, path: Column, rules: list[Rule]) -> Column:
 
 def host_edges(pages: DataFrame, *, url: str = "url", html: str = "html", hierarchy: bool = False) -> DataFrame:
     """(src, dst, weight): counted links between hosts known by name; links inside a host are loops."""
-    links = pages.select(host_of(F.col(url)).alias("src"), F.explode(F.array_distinct(F.regexp_extract_all(F.col(html), F.lit(LINK), F.lit(1)))).alias("to"))
+    links = pages.select(
+        host_of(F.col(url)).alias("src"),
+        F.explode(F.array_distinct(F.regexp_extract_all(F.col(html), F.lit(LINK), F.lit(1)))).alias("to"),
+    )
     named = host_of(F.when(F.startswith("to", F.lit("//")), F.concat(F.lit("x:"), F.col("to"))).otherwise(F.col("to")))
     target = F.when(F.rlike("to", F.lit(_ABSOLUTE)), named).when(~F.rlike("to", F.lit(_SCHEME)), F.col("src"))
     edges = links.select("src", target.alias("dst"), F.lit(1.0).alias("weight"))
@@ -78,13 +86,31 @@ def host_edges(pages: DataFrame, *, url: str = "url", html: str = "html", hierar
         # A host and all domains above it with at least two labels; neighbours in that chain are tied.
         chain = F.transform(F.sequence(F.lit(1), F.size(labels) - 1), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
         chains = hosts.where(F.size(labels) >= 3).select(chain.alias("chain"))
-        up = chains.select(F.explode(F.arrays_zip(F.slice("chain", F.lit(1), F.size("chain") - 1).alias("low"), F.slice("chain", F.lit(2), F.size("chain") - 1).alias("high"))).alias("e")).select("e.low", "e.high").distinct()
-        both = up.select(F.col("low").alias("src"), F.col("high").alias("dst")).unionByName(up.select(F.col("high").alias("src"), F.col("low").alias("dst")))
+        up = chains.select(
+            F.explode(
+                F.arrays_zip(
+                    F.slice("chain", F.lit(1), F.size("chain") - 1).alias("low"),
+                    F.slice("chain", F.lit(2), F.size("chain") - 1).alias("high"),
+                )
+            ).alias("e")
+        ).select("e.low", "e.high").distinct()
+        both = up.select(F.col("low").alias("src"), F.col("high").alias("dst")).unionByName(
+            up.select(F.col("high").alias("src"), F.col("low").alias("dst"))
+        )
         edges = edges.unionByName(both.withColumn("weight", F.lit(1.0)))
     return edges.where("src <> '' and dst <> ''").groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, scratch: Scratch, name: str, *, damping: float = 0.85, rounds: int | None = None, tolerance: float = 1e-7) -> DataFrame:
+def propagate(
+    edges: DataFrame,
+    seeds: DataFrame,
+    scratch: Scratch,
+    name: str,
+    *,
+    damping: float = 0.85,
+    rounds: int | None = None,
+    tolerance: float = 1e-7,
+) -> DataFrame:
     """(host, score) of personalised PageRank from ``seeds`` (host, seed), or its state after ``rounds``.
 
     What arrives at a host passes its loops all at once, by their geometric sum;
@@ -97,13 +123,24 @@ def propagate(edges: DataFrame, seeds: DataFrame, scratch: Scratch, name: str, *
     A round is one join and one aggregation on hosts; every few rounds are
     written, so that lineage stays flat.
     """
-    out = edges.groupBy("src").agg(F.sum("weight").alias("out"), F.sum(F.when(F.col("src") == F.col("dst"), F.col("weight")).otherwise(0.0)).alias("loop"))
+    out = edges.groupBy("src").agg(
+        F.sum("weight").alias("out"),
+        F.sum(F.when(F.col("src") == F.col("dst"), F.col("weight")).otherwise(0.0)).alias("loop"),
+    )
     visits = 1 / (1 - F.col("loop") / F.col("out") * damping)
-    share = edges.where("src <> dst").join(out, "src").select("src", "dst", (F.col("weight") / F.col("out") * damping * visits).alias("share"), F.lit(0.0).alias("stay"))
+    share = edges.where("src <> dst").join(out, "src").select(
+        "src",
+        "dst",
+        (F.col("weight") / F.col("out") * damping * visits).alias("share"),
+        F.lit(0.0).alias("stay"),
+    )
     # A row from a host to itself keeps what has settled, so that a round reads its input once.
     known = edges.select("src").union(edges.select("dst")).union(seeds.select("host")).distinct().join(out, "src", "left")
     stay = F.coalesce(visits, F.lit(1.0)) * (1 - damping)
-    share = scratch.save(share.unionByName(known.select("src", F.col("src").alias("dst"), F.lit(0.0).alias("share"), stay.alias("stay"))), f"{name}-share")
+    share = scratch.save(
+        share.unionByName(known.select("src", F.col("src").alias("dst"), F.lit(0.0).alias("share"), stay.alias("stay"))),
+        f"{name}-share",
+    )
     total = seeds.where("seed > 0").agg(F.sum("seed")).first()[0] or 1.0  # one number
     start = seeds.where("seed > 0").select("host", F.lit(0.0).alias("settled"), (F.col("seed") / F.lit(total)).alias("flow"))
     state = scratch.save(start, f"{name}-0")
@@ -130,21 +167,58 @@ def propagate(edges: DataFrame, seeds: DataFrame, scratch: Scratch, name: str, *
     return state.select("host", ((F.col("settled") + F.col("flow")) / F.lit(whole)).alias("score"))
 
 
-def judge(pages: DataFrame, rules: list[Rule], *, ratio: float = 1.0, rounds: int | None = None, tolerance: float = 1e-7, hierarchy: bool = False, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
+def judge(
+    pages: DataFrame,
+    rules: list[Rule],
+    *,
+    ratio: float = 1.0,
+    rounds: int | None = None,
+    tolerance: float = 1e-7,
+    hierarchy: bool = False,
+    page_id: str = "page_id",
+    url: str = "url",
+    html: str = "html",
+) -> DataFrame:
     """(page_id, host, path, rule, verdict, decided_by, trust, distrust) of each page.
 
     ``decided_by`` is rule, links (the host has a score) or nothing.
     """
     scratch = Scratch(pages.sparkSession, "urls")
     named = pages.select(F.col(page_id).alias("page_id"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
-    ruled = scratch.save(named.withColumn("fit", fitting_rule(F.col("host"), F.col("path"), rules)).select("page_id", "host", "path", "fit.rule", "fit.verdict"), "ruled")
+    ruled = scratch.save(
+        named.withColumn("fit", fitting_rule(F.col("host"), F.col("path"), rules)).select("page_id", "host", "path", "fit.rule", "fit.verdict"),
+        "ruled",
+    )
     edges = scratch.save(host_edges(pages, url=url, html=html, hierarchy=hierarchy), "edges")
     seeds = ruled.where("verdict is not null").groupBy("host", "verdict").agg(F.count("*").cast("double").alias("seed"))
     seeds = scratch.save(seeds, "seeds")
     turned = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
-    score = lambda e, verdict, name: propagate(e, seeds.where(F.col("verdict") == verdict).select("host", "seed"), scratch, name, rounds=rounds, tolerance=tolerance).select("host", F.round("score", DIGITS).alias(name))
+    score = lambda e, verdict, name: propagate(
+        e,
+        seeds.where(F.col("verdict") == verdict).select("host", "seed"),
+        scratch,
+        name,
+        rounds=rounds,
+        tolerance=tolerance,
+    ).select("host", F.round("score", DIGITS).alias(name))
     scores = score(edges, "allow", "trust").join(score(turned, "block", "distrust"), "host", "full")
-    joined = ruled.join(scores, "host", "left").select("page_id", "host", "path", "rule", "verdict", *(F.coalesce(c, F.lit(0.0)).alias(c) for c in ("trust", "distrust")))
+    joined = ruled.join(scores, "host", "left").select(
+        "page_id",
+        "host",
+        "path",
+        "rule",
+        "verdict",
+        *(F.coalesce(c, F.lit(0.0)).alias(c) for c in ("trust", "distrust")),
+    )
     method = F.when(F.col("distrust") > ratio * F.col("trust"), "block").otherwise("allow")
     by = F.when(F.col("rule").isNotNull(), "rule").when(F.col("trust") + F.col("distrust") > 0, "links").otherwise("nothing")
-    return joined.select("page_id", "host", "path", "rule", F.coalesce("verdict", method).alias("verdict"), by.alias("decided_by"), "trust", "distrust")
+    return joined.select(
+        "page_id",
+        "host",
+        "path",
+        "rule",
+        F.coalesce("verdict", method).alias("verdict"),
+        by.alias("decided_by"),
+        "trust",
+        "distrust",
+    )

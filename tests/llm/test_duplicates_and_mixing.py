@@ -8,9 +8,27 @@ SPACE = re.compile(r"[\x20\x09-\x0D]+")
 
 def test_exact_duplicates_against_brute_force(table):
     long = "ab c" * 4000
-    rows = [(1, None), (2, ""), (3, " "), (4, "a b"), (5, "ab"), (6, "a  b"), (7, "a  b"), (8, long), (9, long.replace(" ", "")), (10, long[:-1] + "d"), (11, long), (11, long), (None, "ab"), (12, "é\u00a0x")]
+    rows = [
+        (1, None),
+        (2, ""),
+        (3, " "),
+        (4, "a b"),
+        (5, "ab"),
+        (6, "a  b"),
+        (7, "a  b"),
+        (8, long),
+        (9, long.replace(" ", "")),
+        (10, long[:-1] + "d"),
+        (11, long),
+        (11, long),
+        (None, "ab"),
+        (12, "é\u00a0x"),
+    ]
     for block in (3, 64, 2048):
-        got = sorted(((r.doc_id, r.keep_id, r.group_size, r.text_sha256, r.kept) for r in ed.exact_duplicates(table(rows), block_bytes=block).collect()), key=str)
+        got = sorted(
+            ((r.doc_id, r.keep_id, r.group_size, r.text_sha256, r.kept) for r in ed.exact_duplicates(table(rows), block_bytes=block).collect()),
+            key=str,
+        )
         groups = {}
         for i, t in rows:
             groups.setdefault(SPACE.sub("", t or ""), []).append((-len(t or ""), i is None, i))
@@ -33,7 +51,10 @@ def test_wide_numbers_name_alike(spark, table):
     from parlance.llm.scratch import Scratch
 
     rows = [(k, t) for k, t in enumerate(["ab" * 50, "ab" * 50, "ab" * 49 + "ac", "", "x", "x", "ab" * 25] * 30)]
-    texts = Scratch(spark, "t").save(table(rows).select(F.monotonically_increasing_id().alias("row"), "doc_id", F.col("text").cast("binary").alias("body")), "rows")
+    texts = Scratch(spark, "t").save(
+        table(rows).select(F.monotonically_increasing_id().alias("row"), "doc_id", F.col("text").cast("binary").alias("body")),
+        "rows",
+    )
     groups = []
     for wide in (False, True):
         named = ed.identities(texts.select("row", "body"), Scratch(spark, "t"), block_bytes=16, wide=wide)
@@ -98,7 +119,9 @@ def test_mixing_edges(table):
 def test_mixing_repeated_rows_null_ids_and_long_texts(table):
     rows = [(1, "a b c", "x")] * 5 + [(None, "d e", "x")] * 3 + [(7, "w " * 500_000, "y"), (7, "w " * 500_000, "y"), (8, "v " * 3, "y")]
     got = [(r.doc_id, r.size, r.target, r.taken) for r in mixing.taken_words(*mixing.mix_sources(table(rows))).collect()]
-    assert sorted((i, n) for i, n, _, _ in got if i is not None) == sorted((i, len(t.split())) for i, t, _ in rows if i is not None) and sum(i is None for i, *_ in got) == 3
+    assert sorted((i, n) for i, n, _, _ in got if i is not None) == sorted(
+        (i, len(t.split())) for i, t, _ in rows if i is not None
+    ) and sum(i is None for i, *_ in got) == 3
     assert all(0 <= taken <= 2 * n for _, n, _, taken in got)
     assert sum(t for i, _, _, t in got if i in (1, None)) == 2 * 21  # at its limit
     long = [t for i, _, _, t in got if i in (7, 8)]

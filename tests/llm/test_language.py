@@ -54,7 +54,13 @@ def brute(rows, model, strength=5.0):
 
 def test_against_a_plain_version(spark, model):
     pages = spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "url", "html")
-    odd = [(-1, None, None), (-2, "http://a.de/", ""), (-2, "http://a.de/", ""), (-3, "x", '<p lang="fr">rien'), (None, "HTTP://B.FR?q", "<html lang=fr>")]
+    odd = [
+        (-1, None, None),
+        (-2, "http://a.de/", ""),
+        (-2, "http://a.de/", ""),
+        (-3, "x", '<p lang="fr">rien'),
+        (None, "HTTP://B.FR?q", "<html lang=fr>"),
+    ]
     rows = [tuple(r) for r in pages.collect()] + odd
     got = [(r.page_id, r.language, r.probability) for r in language.identify(pages.union(spark.createDataFrame(odd, PAGES)), model).collect()]
     want = [(r[0], *x) for r, x in zip(rows, brute(rows, model), strict=True)]
@@ -63,7 +69,18 @@ def test_against_a_plain_version(spark, model):
         assert g[:2] == w[:2] and abs(g[2] - w[2]) < 1e-6
 
 
-HARD = ["<" * 5_000_000, "<meta " * 800_000, "<html " * 800_000, "<!--" * 1_200_000, "<script>" * 600_000, "a" * 5_000_000, " " * 5_000_000, "&#" + "9" * 4_999_000, "<html lang=" + " " * 5_000_000 + "1>", "&" * 5_000_000]
+HARD = [
+    "<" * 5_000_000,
+    "<meta " * 800_000,
+    "<html " * 800_000,
+    "<!--" * 1_200_000,
+    "<script>" * 600_000,
+    "a" * 5_000_000,
+    " " * 5_000_000,
+    "&#" + "9" * 4_999_000,
+    "<html lang=" + " " * 5_000_000 + "1>",
+    "&" * 5_000_000,
+]
 
 
 @pytest.mark.parametrize("page", HARD, ids=lambda p: p[:8])
@@ -78,7 +95,11 @@ def test_hard_pages_take_linear_time(model, page):
     "page,text,declared",
     [
         ("a < b and c", "a < b and c", None), ("<p>x</p> 1 < 2", " x  1 < 2", None), ("&#65;&#0000000066;&#99999999999;", "AB�", None),
-        ('<HTML dir=ltr LANG = "De-at"><p lang="fr">', "  ", "de"), ('<html><meta name=x content="en"><meta http-equiv="Content-Language" content="fr">', "   ", "fr"), ("<html data-lang=xx>", " ", "xx"), (None, "", None),
+        ('<HTML dir=ltr LANG = "De-at"><p lang="fr">', "  ", "de"), (
+            '<html><meta name=x content="en"><meta http-equiv="Content-Language" content="fr">',
+            "   ",
+            "fr",
+        ), ("<html data-lang=xx>", " ", "xx"), (None, "", None),
     ],
 )
 def test_reading(page, text, declared):

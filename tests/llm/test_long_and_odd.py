@@ -42,7 +42,14 @@ def plain_score(text, model):
 
 
 def test_scores_against_a_plain_version(table, fitted, corpus):
-    rows = [(k, t) for k, t in list(corpus.items())[:60]] + [(None, "a river"), (None, "a river"), (7, None), (7, None), (7, ""), (8, "BUY NOW " * 600_000)]
+    rows = [(k, t) for k, t in list(corpus.items())[:60]] + [
+        (None, "a river"),
+        (None, "a river"),
+        (7, None),
+        (7, None),
+        (7, ""),
+        (8, "BUY NOW " * 600_000),
+    ]
     got = sorted((str(r.doc_id), r.text or "", r.score) for r in quality.score_documents(table(rows), fitted).collect())
     want = sorted((str(i), t or "", plain_score(t, fitted)) for i, t in rows)
     assert [g[:2] for g in got] == [w[:2] for w in want]

@@ -24,7 +24,10 @@ def test_quality_on_held_out_rows(spark):
 
 def test_quality_edges(spark, table):
     rows = [(i, t) for i, t in enumerate(["fine words here. " * 9] * 6 + ["BUY!! NOW!! $$$ " * 9] * 6 + [None, ""])]
-    labels = spark.createDataFrame([(i, 1 if i < 6 else 0) for i in range(12)] + [(12, 1), (500, 0), (3, None), (None, 1), (4, 7)], "doc_id long, quality int")
+    labels = spark.createDataFrame(
+        [(i, 1 if i < 6 else 0) for i in range(12)] + [(12, 1), (500, 0), (3, None), (None, 1), (4, 7)],
+        "doc_id long, quality int",
+    )
     model = quality.fit(quality.training_rows(table(rows), labels))
     got = {r.doc_id: r.score for r in quality.score_documents(table(rows), model).collect()}
     assert all(0 <= s <= 1 for s in got.values()) and got[0] > 0.5 > got[6] and got[12] == got[13]
@@ -41,7 +44,18 @@ def pages(spark, rows):
     return spark.createDataFrame([(*r, "h", "p", "v") for r in rows], PAGES)
 
 
-@pytest.mark.parametrize("url,host,path", [("http://A.com/en/x?y", "a.com", "/en/x"), ("https://b.c#f", "b.c", ""), ("ftp://É.Com", "É.com", ""), ("nothing", "", ""), (None, "", ""), ("x://a://b/c", "a:", "//b/c"), ("://", "", "")])
+@pytest.mark.parametrize(
+    "url,host,path",
+    [
+        ("http://A.com/en/x?y", "a.com", "/en/x"),
+        ("https://b.c#f", "b.c", ""),
+        ("ftp://É.Com", "É.com", ""),
+        ("nothing", "", ""),
+        (None, "", ""),
+        ("x://a://b/c", "a:", "//b/c"),
+        ("://", "", ""),
+    ],
+)
 def test_host_and_path(spark, url, host, path):
     r = pages(spark, [(1, url, None)]).select(url_filter.host_of(F.col("url")).alias("h"), url_filter.path_of(F.col("url")).alias("p")).first()
     assert (r.h, r.p) == (host, path)
@@ -57,7 +71,17 @@ def test_rules_and_propagation(spark):
         (5, "http://bad.org/", link("http://friend.net/")), (6, "http://farm.net/q", link("//bad.org/x", "/local")), (7, "http://good.org/", link("https://nice.net/a")), (8, "http://nice.net/z", ""), (9, "http://alone.net/", None),
     ]
     got = {r.page_id: (r.rule, r.verdict) for r in url_filter.judge(pages(spark, rows), RULES, hierarchy=False).collect()}
-    assert got == {1: ("example.com/en/7", "allow"), 2: ("com/en/", "block"), 3: (None, "allow"), 4: (None, "allow"), 5: ("bad.org", "block"), 6: (None, "block"), 7: ("good.org/", "allow"), 8: (None, "allow"), 9: (None, "allow")}
+    assert got == {
+        1: ("example.com/en/7", "allow"),
+        2: ("com/en/", "block"),
+        3: (None, "allow"),
+        4: (None, "allow"),
+        5: ("bad.org", "block"),
+        6: (None, "block"),
+        7: ("good.org/", "allow"),
+        8: (None, "allow"),
+        9: (None, "allow"),
+    }
     assert url_filter.judge(pages(spark, []), RULES).collect() == []
 
 
@@ -80,7 +104,14 @@ def test_propagation_against_plain_loops(spark):
 def test_language(spark):
     rows = [("the cat and the dog with this house", "en"), ("der hund und die katze mit dem haus", "de")] * 3 + [(None, "en"), ("x", None)]
     model = language.fit_trigrams(rows)
-    table = [(1, "http://h.de/", '<html lang="de"><p>der hund und die katze</p>'), (2, "http://h.de/", "<script>the the the</script>die katze mit dem haus"), (3, "http://i.com/", "<p>the dog and the cat</p>"), (4, None, None), (4, None, None), (5, "http://h.de/", "")]
+    table = [
+        (1, "http://h.de/", '<html lang="de"><p>der hund und die katze</p>'),
+        (2, "http://h.de/", "<script>the the the</script>die katze mit dem haus"),
+        (3, "http://i.com/", "<p>the dog and the cat</p>"),
+        (4, None, None),
+        (4, None, None),
+        (5, "http://h.de/", ""),
+    ]
     got = {r.page_id: r for r in language.identify(pages(spark, table), model).collect()}
     assert (got[1].language, got[1].declared, got[2].language, got[3].language) == ("de", "de", "de", "en")
     assert got[5].language == "de"  # nothing but its host

@@ -61,9 +61,34 @@ def test_one_large_group_needs_no_pair_list(table):
 
 
 def test_edges(table):
-    rows = [(1, None), (2, ""), (3, " \n\t"), (4, "one"), (5, "ONE"), (6, "one two"), (7, "one  two\n"), (8, "a b c d e f"), (8, "a b c d e f"), (9, "A B C D E F"), (None, "a b c d e f"), (10, "x " * 30_000)]
+    rows = [
+        (1, None),
+        (2, ""),
+        (3, " \n\t"),
+        (4, "one"),
+        (5, "ONE"),
+        (6, "one two"),
+        (7, "one  two\n"),
+        (8, "a b c d e f"),
+        (8, "a b c d e f"),
+        (9, "A B C D E F"),
+        (None, "a b c d e f"),
+        (10, "x " * 30_000),
+    ]
     got = [(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in nd.near_duplicates(table(rows), words=4).collect()]
-    assert sorted((x for x in got if x[0] is not None)) == [(1, 0, 1, True), (2, 0, 2, True), (3, 0, 3, True), (4, 1, 4, True), (5, 1, 4, False), (6, 1, 6, True), (7, 1, 6, False), (8, 3, 8, True), (8, 3, 8, True), (9, 3, 8, False), (10, 1, 10, True)]
+    assert sorted((x for x in got if x[0] is not None)) == [
+        (1, 0, 1, True),
+        (2, 0, 2, True),
+        (3, 0, 3, True),
+        (4, 1, 4, True),
+        (5, 1, 4, False),
+        (6, 1, 6, True),
+        (7, 1, 6, False),
+        (8, 3, 8, True),
+        (8, 3, 8, True),
+        (9, 3, 8, False),
+        (10, 1, 10, True),
+    ]
     assert [x for x in got if x[0] is None] == [(None, 3, None, False)]
 
 
@@ -108,7 +133,9 @@ def test_repeated_ids_of_different_texts(table):
 
 def test_text_ids(spark):
     rows = [("x1", "a b c d e f g h"), ("b", "A b c d e f g h"), ("z", "other words are here now"), (None, "a b c d e f g h")]
-    got = {(r.doc_id, r.component_id, r.kept) for r in nd.near_duplicates(spark.createDataFrame(rows, "doc_id string, text string"), words=4).collect()}
+    got = {
+        (r.doc_id, r.component_id, r.kept) for r in nd.near_duplicates(spark.createDataFrame(rows, "doc_id string, text string"), words=4).collect()
+    }
     assert got == {("x1", "b", False), ("b", "b", True), ("z", "z", True), (None, None, False)}
 
 

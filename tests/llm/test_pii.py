@@ -6,7 +6,12 @@ from hypothesis import given, settings, strategies as st
 
 from parlance.llm import pii
 
-PATTERNS = (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]")
+PATTERNS = (
+    r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    r"[0-9]([\x20-]?[0-9])+",
+    r"\+[0-9][\x20().0-9-]+[0-9]",
+)
 
 
 def brute(text):
@@ -24,7 +29,10 @@ def brute(text):
     return sorted(out)
 
 
-pieces = st.lists(st.sampled_from(["a", "@", "b.c", ".", "1", "23", "255", " ", "-", "+", "(", ")", "4111111111111111", "é", "x@y.z", "%", "\n"]), max_size=25).map("".join)
+pieces = st.lists(
+    st.sampled_from(["a", "@", "b.c", ".", "1", "23", "255", " ", "-", "+", "(", ")", "4111111111111111", "é", "x@y.z", "%", "\n"]),
+    max_size=25,
+).map("".join)
 
 
 @settings(max_examples=400, deadline=None)
@@ -39,7 +47,14 @@ def crf():
 
 
 def test_model_adds_and_keeps(crf):
-    texts = ["ring (415) 555-2671 now", "mail bob@mail.example.com or 10.0.0.1", "in 1999-2004, version 3.2.1 cost $1,200.50", None, "", "plain words only"]
+    texts = [
+        "ring (415) 555-2671 now",
+        "mail bob@mail.example.com or 10.0.0.1",
+        "in 1999-2004, version 3.2.1 cost $1,200.50",
+        None,
+        "",
+        "plain words only",
+    ]
     found = pii.find_spans(texts, crf)
     assert pii.render(found[0][1]) == "phone:5:19" and not found[0][0]
     assert found[1][0] == found[1][1] and len(found[1][0]) == 2
@@ -64,11 +79,30 @@ def test_held_out_accuracy():
 def test_table(table, crf):
     rows = [(1, None), (2, ""), (3, "a@b.cd"), (3, "a@b.cd"), (None, "1.2.3.4")]
     got = sorted(((r.doc_id, r.n_email, r.n_ip, r.base, r.spans) for r in pii.find_personal_data(table(rows), crf).collect()), key=str)
-    assert got == sorted([(1, 0, 0, "", ""), (2, 0, 0, "", ""), (3, 1, 0, "email:0:6", "email:0:6"), (3, 1, 0, "email:0:6", "email:0:6"), (None, 0, 1, "ip:0:7", "ip:0:7")], key=str)
+    assert got == sorted(
+        [
+            (1, 0, 0, "", ""),
+            (2, 0, 0, "", ""),
+            (3, 1, 0, "email:0:6", "email:0:6"),
+            (3, 1, 0, "email:0:6", "email:0:6"),
+            (None, 0, 1, "ip:0:7", "ip:0:7"),
+        ],
+        key=str,
+    )
     assert pii.find_personal_data(table([]), crf).collect() == []
 
 
-LONG = ["9" * 5_000_000, "1." * 2_500_000, "+1" * 2_500_000, "a@" * 2_500_000, " " * 5_000_000, "a" * 5_000_000, "+1" + "(" * 5_000_000, "@" * 5_000_000, "." * 5_000_000]
+LONG = [
+    "9" * 5_000_000,
+    "1." * 2_500_000,
+    "+1" * 2_500_000,
+    "a@" * 2_500_000,
+    " " * 5_000_000,
+    "a" * 5_000_000,
+    "+1" + "(" * 5_000_000,
+    "@" * 5_000_000,
+    "." * 5_000_000,
+]
 
 
 @pytest.mark.parametrize("text", LONG, ids=lambda t: t[:3])
@@ -99,6 +133,11 @@ def test_neighbours_are_whole_words(crf):
 
 
 def test_base_columns_on_the_corpus(spark, corpus, crf):
-    got = {r.doc_id: (r.n_email, r.n_ip, r.n_card, r.n_phone, r.base) for r in pii.find_personal_data(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), crf).collect()}
+    got = {
+        r.doc_id: (r.n_email, r.n_ip, r.n_card, r.n_phone, r.base) for r in pii.find_personal_data(
+            spark.read.parquet("/root/testdata/sf0.001/documents.parquet"),
+            crf,
+        ).collect()
+    }
     want = {i: brute(t or "") for i, t in corpus.items()}
     assert got == {i: (*(sum(s[1] == k for s in b) for k in range(4)), pii.render(b)) for i, b in want.items()}

@@ -45,7 +45,9 @@ def folder(spark, tmp_path_factory):
     docs = spark.read.parquet(f"{SOURCE}/documents.parquet")
     # Some rows twice, one without an id, one without text.
     some = docs.where("doc_id < 150")
-    odd = some.limit(3).unionByName(some.limit(1).withColumn("doc_id", F.lit(None).cast("long"))).unionByName(some.limit(1).withColumn("text", F.lit(None).cast("string")))
+    odd = some.limit(3).unionByName(some.limit(1).withColumn("doc_id", F.lit(None).cast("long"))).unionByName(
+        some.limit(1).withColumn("text", F.lit(None).cast("string"))
+    )
     some.unionByName(odd).repartition(3).write.parquet(f"file://{root}/documents.parquet")
     for name in ("labels", "benchmark"):
         spark.read.parquet(f"{SOURCE}/{name}.parquet").write.parquet(f"file://{root}/{name}.parquet")
@@ -90,7 +92,9 @@ def test_run_against_plain_stages(spark, folder):
 
     again = spark.createDataFrame(pieces, docs.schema)
     packed = packing.unpack([r.asDict() for r in cp.STAGES[4][1](spark, again, folder).collect()])
-    assert Counter((d, tuple(ids.tolist())) for d, ids in packed.values()) == Counter((p.doc_id, tuple(tokens.encode(p.text).tolist())) for p in pieces)
+    assert Counter((d, tuple(ids.tolist())) for d, ids in packed.values()) == Counter(
+        (p.doc_id, tuple(tokens.encode(p.text).tolist())) for p in pieces
+    )
     # run() is these stages, one after the other.
     assert sum(r.n_tokens for r in cp.run(spark, folder).collect()) == sum(len(tokens.encode(p.text)) + 1 for p in pieces)
 

@@ -4,7 +4,16 @@ from hypothesis import given, settings, strategies as st
 
 from parlance.llm import packing, token_counts as tc, tokens
 
-ROWS = [(1, None), (2, ""), (3, "Hello world"), (3, "Hello world"), (4, "<|endoftext|> is ordinary"), (None, "no id"), (5, "long text here " * 3000), (6, "ü é \u00a0 漢字")]
+ROWS = [
+    (1, None),
+    (2, ""),
+    (3, "Hello world"),
+    (3, "Hello world"),
+    (4, "<|endoftext|> is ordinary"),
+    (None, "no id"),
+    (5, "long text here " * 3000),
+    (6, "ü é \u00a0 漢字"),
+]
 
 
 @pytest.mark.parametrize("block", [7, 1000, 1 << 20])

@@ -20,7 +20,17 @@ def test_distrust_reaches_the_far_end_of_a_chain(spark, links):
 
 def test_scores_are_the_stationary_ones(spark):
     """Ties of hosts to parents alternate by round: the case where few rounds are furthest off."""
-    edges = [("a", "a", 2.0), ("a", "p", 1.0), ("p", "a", 1.0), ("b", "p", 2.0), ("p", "b", 1.0), ("b", "c", 1.0), ("c", "d", 1.0), ("d", "d", 4.0), ("d", "c", 3.0)]
+    edges = [
+        ("a", "a", 2.0),
+        ("a", "p", 1.0),
+        ("p", "a", 1.0),
+        ("b", "p", 2.0),
+        ("p", "b", 1.0),
+        ("b", "c", 1.0),
+        ("c", "d", 1.0),
+        ("d", "d", 4.0),
+        ("d", "c", 3.0),
+    ]
     hosts = sorted({h for e in edges for h in e[:2]})
     m = np.zeros((len(hosts), len(hosts)))
     for s, d, w in edges:
@@ -44,26 +54,44 @@ def test_dangling_mass_returns_to_the_seeds(spark):
         if not any(t == h for t, _, _ in edges):
             m[:, k] = seed
     want = np.linalg.solve(np.eye(5) - 0.85 * m, 0.15 * seed)
-    df, seeds = spark.createDataFrame(edges, "src string, dst string, weight double"), spark.createDataFrame([("a", 3.0), ("e", 1.0)], "host string, seed double")
+    df, seeds = spark.createDataFrame(edges, "src string, dst string, weight double"), spark.createDataFrame(
+        [("a", 3.0), ("e", 1.0)],
+        "host string, seed double",
+    )
     got = {r.host: r.score for r in url_filter.propagate(df, seeds, Scratch(spark, "t"), "x").collect()}
     assert abs(sum(got.values()) - 1) < 1e-9 and sum(abs(got.get(h, 0) - x) for h, x in zip(hosts, want, strict=True)) <= 1e-6
 
 
 def test_relative_links_are_loops_and_other_schemes_none(spark):
     html = """<a href=/x><a HREF = 'y?z'><img src="//i.net/p"><a href="https://B.org/q"><a href="mailto:a@c.org"><a href='#top'><a href="""  + " " * 200_000 + ">"
-    got = {(r.src, r.dst): r.weight for r in url_filter.host_edges(spark.createDataFrame([(1, "http://a.com/", html), (2, None, html), (3, "http://z.com/", None)], PAGES)).collect()}
+    got = {
+        (r.src, r.dst): r.weight for r in url_filter.host_edges(
+            spark.createDataFrame([(1, "http://a.com/", html), (2, None, html), (3, "http://z.com/", None)], PAGES)
+        ).collect()
+    }
     assert got == {("a.com", "a.com"): 3.0, ("a.com", "i.net"): 1.0, ("a.com", "b.org"): 1.0}
 
 
 def test_rules_of_equal_length(spark):
     """Of rules of one length the longer host wins; of equal hosts the later one in code point order."""
     rules = [("block", "a.com", "/x"), ("allow", "b.a.com", ""), ("block", "c.org", "/y"), ("allow", "c.org", "/y")]
-    got = {r.page_id: (r.rule, r.verdict) for r in url_filter.judge(spark.createDataFrame([(1, "http://b.a.com/x", ""), (2, "http://c.org/y", "")], PAGES), rules).collect()}
+    got = {
+        r.page_id: (r.rule, r.verdict) for r in url_filter.judge(
+            spark.createDataFrame([(1, "http://b.a.com/x", ""), (2, "http://c.org/y", "")], PAGES),
+            rules,
+        ).collect()
+    }
     assert got == {1: ("b.a.com", "allow"), 2: ("c.org/y", "block")}
 
 
 @pytest.mark.parametrize("hierarchy,far", [(False, "allow"), (True, "block")])
 def test_ties_to_parents_are_a_choice(spark, hierarchy, far):
     rows = [(1, "http://www.bad.com/", ""), (2, "http://blog.bad.com/q", "")]
-    got = {r.page_id: r.verdict for r in url_filter.judge(spark.createDataFrame(rows, PAGES), [("block", "www.bad.com", "/")], hierarchy=hierarchy).collect()}
+    got = {
+        r.page_id: r.verdict for r in url_filter.judge(
+            spark.createDataFrame(rows, PAGES),
+            [("block", "www.bad.com", "/")],
+            hierarchy=hierarchy,
+        ).collect()
+    }
     assert got == {1: "block", 2: far}
