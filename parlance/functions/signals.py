@@ -75,7 +75,14 @@ def peak_normalised(x: np.ndarray, peak: float = 0.9) -> tuple[np.ndarray, float
     return np.asarray(x) * gain, gain
 
 
-def energy_regions(x: np.ndarray, top_db: float = 40.0, fill_gap: float = 0.6, least: float = 0.1, seconds: float = 0.02, reference: float | None = None) -> list[tuple[float, float]]:
+def energy_regions(
+    x: np.ndarray,
+    top_db: float = 40.0,
+    fill_gap: float = 0.6,
+    least: float = 0.1,
+    seconds: float = 0.02,
+    reference: float | None = None,
+) -> list[tuple[float, float]]:
     """Stretches within ``top_db`` of the loudest frame: gaps below ``fill_gap`` are bridged, islands below ``least`` dropped."""
     db = frame_db(x, seconds)
     on = np.flatnonzero(db > (db.max() if reference is None else reference) - top_db) if len(db) else np.zeros(0, int)
@@ -147,7 +154,10 @@ def hpss(mix: np.ndarray, size: int = 1024, width: int = 17) -> np.ndarray:
     spectrum = np.fft.rfft(frames, axis=1)
     power = np.abs(spectrum)
     reach = width // 2
-    median = lambda a, axis: np.median(np.lib.stride_tricks.sliding_window_view(np.pad(a, [(reach, reach) if k == axis else (0, 0) for k in (0, 1)], mode="edge"), width, axis), axis=-1)
+    median = lambda a, axis: np.median(
+        np.lib.stride_tricks.sliding_window_view(np.pad(a, [(reach, reach) if k == axis else (0, 0) for k in (0, 1)], mode="edge"), width, axis),
+        axis=-1,
+    )
     lasting, wide = median(power, 0) ** 2, median(power, 1) ** 2
     share = lasting / np.maximum(lasting + wide, 1e-20)
     out = np.zeros((2, len(padded)))
@@ -207,7 +217,16 @@ def timbre(x: np.ndarray, size: int = 1024, hop: int = 256) -> np.ndarray:
     return np.concatenate([(shape - shape.mean()) / 10, (change - change.mean()) / 3, [np.log10(flatness.mean() + 1e-10)]])
 
 
-def soundscape(n: int, bed: np.ndarray, events: list[np.ndarray], seed: int, *, per_minute: float = 8.0, event_db: tuple[float, float] = (0.0, 8.0), level: float = 0.05) -> np.ndarray:
+def soundscape(
+    n: int,
+    bed: np.ndarray,
+    events: list[np.ndarray],
+    seed: int,
+    *,
+    per_minute: float = 8.0,
+    event_db: tuple[float, float] = (0.0, 8.0),
+    level: float = 0.05,
+) -> np.ndarray:
     """``n`` samples of a looped bed with events laid over it at Poisson times."""
     rng = np.random.default_rng(seed)
     start = int(rng.integers(len(bed)))

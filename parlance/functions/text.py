@@ -109,7 +109,15 @@ def bench_form(text: Column) -> Column:
 
 def script_of(text: Column) -> Column:
     """The script with most characters; ties go to the earlier one, none gives null."""
-    counts = F.array(*(F.struct(F.regexp_count(text, F.lit(block)).alias("n"), F.lit(-k).alias("order"), F.lit(name).alias("name")) for k, (name, block) in enumerate(SCRIPTS)))
+    counts = F.array(
+        *(
+            F.struct(
+                F.regexp_count(text, F.lit(block)).alias("n"),
+                F.lit(-k).alias("order"),
+                F.lit(name).alias("name"),
+            ) for k, (name, block) in enumerate(SCRIPTS)
+        )
+    )
     best = F.array_max(counts)
     return F.when(best["n"] > 0, best["name"])
 
@@ -130,12 +138,22 @@ def clock(seconds: Column) -> Column:
     two = lambda x: F.lpad(x.cast("string"), 2, "0")
     minutes, rest = F.floor(total % 3600 / 60).cast("long"), total % 60
     hours = F.floor(total / 3600).cast("long")
-    return F.when(hours > 0, F.concat(hours.cast("string"), F.lit(":"), two(minutes), F.lit(":"), two(rest))).otherwise(F.concat(two(minutes), F.lit(":"), two(rest)))
+    return F.when(hours > 0, F.concat(hours.cast("string"), F.lit(":"), two(minutes), F.lit(":"), two(rest))).otherwise(
+        F.concat(two(minutes), F.lit(":"), two(rest))
+    )
 
 
 def srt_time(ms: Column) -> Column:
     two = lambda x: F.lpad(F.floor(x).cast("string"), 2, "0")
-    return F.concat(two(ms / 3600000), F.lit(":"), two(ms % 3600000 / 60000), F.lit(":"), two(ms % 60000 / 1000), F.lit(","), F.lpad((ms % 1000).cast("string"), 3, "0"))
+    return F.concat(
+        two(ms / 3600000),
+        F.lit(":"),
+        two(ms % 3600000 / 60000),
+        F.lit(":"),
+        two(ms % 60000 / 1000),
+        F.lit(","),
+        F.lpad((ms % 1000).cast("string"), 3, "0"),
+    )
 
 
 def is_non_commitment(text: Column) -> Column:

@@ -53,7 +53,12 @@ def assign_costs(costs: DataFrame, keys: list[str]) -> DataFrame:
     def solve(frame: pd.DataFrame) -> pd.DataFrame:
         refs, hyps = sorted(frame["ref"].dropna().unique()), sorted(frame["hyp"].dropna().unique())
         n = max(len(refs), len(hyps))
-        table = {(r if isinstance(r, str) else None, h if isinstance(h, str) else None): c for r, h, c in frame[["ref", "hyp", "cost"]].itertuples(index=False)}
+        table = {
+            (
+                r if isinstance(r, str) else None,
+                h if isinstance(h, str) else None,
+            ): c for r, h, c in frame[["ref", "hyp", "cost"]].itertuples(index=False)
+        }
         of = lambda names, i: names[i] if i < len(names) else None
         matrix = np.array([[table.get((of(refs, i), of(hyps, j)), 0) for j in range(n)] for i in range(n)], float).reshape(n, n)
         rows = [(*(frame[k].iloc[0] for k in keys), of(refs, i), of(hyps, j), int(matrix[i, j])) for i, j in enumerate(cheapest(matrix))]
@@ -69,7 +74,9 @@ def cp_errors(ref: DataFrame, hyp: DataFrame, keys: list[str], unit: str = "word
     up with silence. ``unit`` word counts words, char the characters of the words.
     """
     none = F.lit(None).cast("string")
-    filled = lambda df, s, w: df.select(*keys, F.col("speaker").cast("string").alias(s), F.col("words").alias(w)).unionByName(ref.select(*keys).union(hyp.select(*keys)).distinct().select(*keys, none.alias(s), F.array().cast("array<string>").alias(w)))
+    filled = lambda df, s, w: df.select(*keys, F.col("speaker").cast("string").alias(s), F.col("words").alias(w)).unionByName(
+        ref.select(*keys).union(hyp.select(*keys)).distinct().select(*keys, none.alias(s), F.array().cast("array<string>").alias(w))
+    )
     text = lambda c: F.array_join(c, "")
     cost = tx.word_edits(F.col("rw"), F.col("hw")) if unit == "word" else F.levenshtein(text("rw"), text("hw")).cast("long")
     pairs = filled(ref, "ref", "rw").join(filled(hyp, "hyp", "hw"), keys).where("ref is not null or hyp is not null")
@@ -89,11 +96,22 @@ def der_parts(reference: DataFrame, hypothesis: DataFrame, keys: list[str], spea
     """
     if collar:
         half = collar // 2
-        edges = reference.select(*keys, F.explode(F.array("start", "end")).alias("t")).select(*keys, (F.col("t") - half).alias("start"), (F.col("t") + half).alias("end"))
+        edges = reference.select(*keys, F.explode(F.array("start", "end")).alias("t")).select(
+            *keys,
+            (F.col("t") - half).alias("start"),
+            (F.col("t") + half).alias("end"),
+        )
         near = iv.regions_of(edges, keys)
-        cut = lambda df: iv.subtract(df.select(*keys, F.col("label").cast("string").alias("speaker"), "start", "end"), near, keys, cell).select(*keys, F.col("speaker").cast("int").alias("label"), "start", "end")
+        cut = lambda df: iv.subtract(df.select(*keys, F.col("label").cast("string").alias("speaker"), "start", "end"), near, keys, cell).select(
+            *keys,
+            F.col("speaker").cast("int").alias("label"),
+            "start",
+            "end",
+        )
         reference, hypothesis = cut(reference), cut(hypothesis)
-    both = reference.select(*keys, "start", "end", F.lit(1).alias("r"), F.lit(0).alias("h")).unionByName(hypothesis.select(*keys, "start", "end", F.lit(0).alias("r"), F.lit(1).alias("h")))
+    both = reference.select(*keys, "start", "end", F.lit(1).alias("r"), F.lit(0).alias("h")).unionByName(
+        hypothesis.select(*keys, "start", "end", F.lit(0).alias("r"), F.lit(1).alias("h"))
+    )
     size = F.col("end") - F.col("start")
     parts = iv.slices(both, keys, ["r", "h"]).groupBy(*keys).agg(
         F.sum(size * F.col("r")).alias("total"), F.sum(size * F.greatest(F.lit(0), F.col("r") - F.col("h"))).alias("missed"),
@@ -110,7 +128,11 @@ def best_mapping(speakers: int = 3) -> Column:
     """struct(matched, order, mapping): the permutation with most shared time, the first of equals."""
     o = lambda i, j: F.coalesce(F.col(f"o{i}{j}"), F.lit(0))
     options = [
-        F.struct(sum((o(i, p[i]) for i in range(1, speakers)), o(0, p[0])).alias("matched"), F.lit(-k).alias("order"), F.array(*(F.lit(x) for x in p)).alias("mapping"))
+        F.struct(
+            sum((o(i, p[i]) for i in range(1, speakers)), o(0, p[0])).alias("matched"),
+            F.lit(-k).alias("order"),
+            F.array(*(F.lit(x) for x in p)).alias("mapping"),
+        )
         for k, p in enumerate(itertools.permutations(range(speakers)))
     ]
     return F.array_max(F.array(*options))

@@ -26,7 +26,11 @@ def frame_votes(windows: DataFrame, keys: list[str], frame: int) -> DataFrame:
 def labelled_frames(windows: DataFrame, speech: DataFrame, keys: list[str], frame: int) -> DataFrame:
     """(keys, frame, label): the label with most votes on each frame of ``speech``; frames without votes take the next label."""
     strongest = F.min(F.struct((-F.col("w")).alias("w"), F.col("label").alias("label")))
-    winner = frame_votes(windows, keys, frame).groupBy(*keys, "frame").agg(strongest.alias("b")).select(*keys, "frame", F.col("b.label").alias("label"))
+    winner = frame_votes(windows, keys, frame).groupBy(*keys, "frame").agg(strongest.alias("b")).select(
+        *keys,
+        "frame",
+        F.col("b.label").alias("label"),
+    )
     first, last = F.expr(f"start div {frame}"), F.expr(f"(end + {frame - 1}) div {frame} - 1")
     spoken = speech.select(*keys, F.explode(F.sequence(first, F.greatest(first, last))).alias("frame")).distinct()
     joined = spoken.join(winner, [*keys, "frame"], "left")
@@ -40,7 +44,12 @@ def speaker_name(label: Column) -> Column:
 
 def turns_of_runs(runs: DataFrame, keys: list[str], frame: int) -> DataFrame:
     """(keys, speaker, start, end) of runs of frames."""
-    return runs.select(*keys, speaker_name(F.col("label")).alias("speaker"), (F.col("first") * frame).alias("start"), ((F.col("last") + 1) * frame).alias("end"))
+    return runs.select(
+        *keys,
+        speaker_name(F.col("label")).alias("speaker"),
+        (F.col("first") * frame).alias("start"),
+        ((F.col("last") + 1) * frame).alias("end"),
+    )
 
 
 def assign(windows: DataFrame, speech: DataFrame, overlaps: DataFrame | None, keys: list[str], *, frame: int, least: int) -> DataFrame:
@@ -70,7 +79,10 @@ def match_tracks(scores: DataFrame, keys: list[str]) -> DataFrame:
     at = lambda t, r: F.sum(F.when((F.col("track") == t) & (F.col("rank") == r), F.col("score")))
     both = scores.groupBy(*keys).agg((at(0, 1) + at(1, 2)).alias("straight"), (at(0, 2) + at(1, 1)).alias("crossed"))
     second = F.when(F.col("crossed") > F.col("straight"), 1).otherwise(0)
-    named = F.array(F.struct(F.lit(0).alias("track"), (1 + second).cast("long").alias("rank")), F.struct(F.lit(1).alias("track"), (2 - second).cast("long").alias("rank")))
+    named = F.array(
+        F.struct(F.lit(0).alias("track"), (1 + second).cast("long").alias("rank")),
+        F.struct(F.lit(1).alias("track"), (2 - second).cast("long").alias("rank")),
+    )
     return both.where("straight is not null and crossed is not null").select(*keys, F.inline(named))
 
 
@@ -100,4 +112,10 @@ def prune_leakage(frames: DataFrame, keys: list[str], ratio: int = 4) -> DataFra
     ranked = own.withColumn("top", F.max(F.struct("power", "stream")).over(together))
     runner_up = F.max(F.when(F.col("stream") != F.col("top.stream"), F.col("power"))).over(together)
     rest = F.when(F.col("stream") == F.col("top.stream"), runner_up).otherwise(F.col("top.power"))
-    return ranked.withColumn("rest", rest).where(F.col("rest").isNull() | (F.col("power") * ratio >= F.col("rest"))).select(*keys, "frame", "stream", "speaker", "power")
+    return ranked.withColumn("rest", rest).where(F.col("rest").isNull() | (F.col("power") * ratio >= F.col("rest"))).select(
+        *keys,
+        "frame",
+        "stream",
+        "speaker",
+        "power",
+    )

@@ -34,7 +34,12 @@ def unknown_ids(lines: DataFrame, replies: DataFrame, keys: list[str]) -> DataFr
 
 def revert_reason(source: Column, text: Column, most: float = 0.5, loanwords: list[str] | None = None) -> Column:
     """Why a repair is not accepted, the first of the ordered checks that fails; null for an accepted one."""
-    own = F.struct(tx.normalise(source).alias("form"), tx.normalise(text).alias("new"), tx.tokens(source).alias("said"), tx.tokens(text).alias("told"))
+    own = F.struct(
+        tx.normalise(source).alias("form"),
+        tx.normalise(text).alias("new"),
+        tx.tokens(source).alias("said"),
+        tx.tokens(text).alias("told"),
+    )
 
     def judge(x: Column) -> Column:
         chars, others = (F.replace(x[c], F.lit(" "), F.lit("")) for c in ("form", "new"))
@@ -58,18 +63,48 @@ def check_replies(lines: DataFrame, replies: DataFrame, keys: list[str], *, most
 
     Lines without a usable reply keep their wording, are uncertain and say so.
     """
-    reply = first_replies(replies, keys).select(*keys, "line_id", F.lit(True).alias("replied"), tx.collapse(F.col("text")).alias("new"), tx.collapse(F.col("english")).alias("en"), F.coalesce("uncertain", F.lit(False)).alias("flag"))
-    j = lines.join(reply, [*keys, "line_id"], "left").withColumn("new", F.when(F.coalesce("new", F.lit("")) == "", F.col("text")).otherwise(F.col("new")))
+    reply = first_replies(replies, keys).select(
+        *keys,
+        "line_id",
+        F.lit(True).alias("replied"),
+        tx.collapse(F.col("text")).alias("new"),
+        tx.collapse(F.col("english")).alias("en"),
+        F.coalesce("uncertain", F.lit(False)).alias("flag"),
+    )
+    j = lines.join(reply, [*keys, "line_id"], "left").withColumn(
+        "new",
+        F.when(F.coalesce("new", F.lit("")) == "", F.col("text")).otherwise(F.col("new")),
+    )
     en = F.when(F.rlike(F.coalesce("en", F.lit("")), F.lit(tx.INDIC)), "").otherwise(F.coalesce("en", F.lit("")))
     j = j.withColumn("en", en).withColumn("reason", F.when(F.col("replied"), revert_reason(F.col("text"), F.col("new"), most, loanwords)))
     j = j.withColumn("out", F.when(F.col("replied") & F.col("reason").isNull(), F.col("new")).otherwise(F.col("text")))
     # One translation for several different lines translates none of them.
-    same = j.where(F.size(tx.tokens(F.col("en"))) >= 3).groupBy(*keys, F.lower("en").alias("low")).agg(F.count_distinct(tx.normalise(F.col("text"))).alias("sources")).where("sources > 1")
+    same = j.where(F.size(tx.tokens(F.col("en"))) >= 3).groupBy(*keys, F.lower("en").alias("low")).agg(
+        F.count_distinct(tx.normalise(F.col("text"))).alias("sources")
+    ).where("sources > 1")
     marked = j.withColumn("low", F.lower("en")).join(same, [*keys, "low"], "left").withColumn("repeat", F.col("sources").isNotNull())
     long = F.length("en") > tx.longest_translation(F.col("text"))
     note = lambda when, key: F.when(when, F.lit(NOTES[key]))
-    notes = F.concat_ws("; ", *(note(F.col("reason") == k, k) for k in ("rewrote", "added", "dropped", "replaced")), note(F.col("replied") & long, "long"), note(F.col("flag"), "hard"), note(F.col("replied") & (F.col("en") == ""), "missing"), note(F.col("repeat"), "same"), note(F.col("replied").isNull(), "skipped"))
-    return marked.select(*keys, "line_id", F.col("out").alias("text"), F.col("text").alias("source_text"), F.when(F.col("repeat"), "").otherwise(F.col("en")).alias("english"), (F.col("out") != F.col("text")).alias("changed"), (notes != "").alias("uncertain"), "reason", tx.sentence(notes).alias("note"))
+    notes = F.concat_ws(
+        "; ",
+        *(note(F.col("reason") == k, k) for k in ("rewrote", "added", "dropped", "replaced")),
+        note(F.col("replied") & long, "long"),
+        note(F.col("flag"), "hard"),
+        note(F.col("replied") & (F.col("en") == ""), "missing"),
+        note(F.col("repeat"), "same"),
+        note(F.col("replied").isNull(), "skipped"),
+    )
+    return marked.select(
+        *keys,
+        "line_id",
+        F.col("out").alias("text"),
+        F.col("text").alias("source_text"),
+        F.when(F.col("repeat"), "").otherwise(F.col("en")).alias("english"),
+        (F.col("out") != F.col("text")).alias("changed"),
+        (notes != "").alias("uncertain"),
+        "reason",
+        tx.sentence(notes).alias("note"),
+    )
 
 
 def plan_chunks(lines: DataFrame, keys: list[str], budget: int, most: int = 6) -> DataFrame:
@@ -84,7 +119,12 @@ def plan_chunks(lines: DataFrame, keys: list[str], budget: int, most: int = 6) -
     def step(a: Column, x: Column) -> Column:
         fresh = (a["n"] == 0) | (a["used"] + x["cost"] + 220 > budget) | (a["n"] >= most)
         used, n = F.when(fresh, x["cost"]).otherwise(a["used"] + x["cost"]), F.when(fresh, 1).otherwise(a["n"] + 1)
-        return F.struct((a["at"] + 1).alias("at"), used.alias("used"), n.alias("n"), F.when(fresh, F.concat(a["starts"], F.array(a["at"]))).otherwise(a["starts"]).alias("starts"))
+        return F.struct(
+            (a["at"] + 1).alias("at"),
+            used.alias("used"),
+            n.alias("n"),
+            F.when(fresh, F.concat(a["starts"], F.array(a["at"]))).otherwise(a["starts"]).alias("starts"),
+        )
 
     def numbered(p: Column) -> Column:
         upto = lambda k: F.coalesce(F.get(p["starts"], k + 1), F.size(p["lines"]))
@@ -99,7 +139,13 @@ def plan_chunks(lines: DataFrame, keys: list[str], budget: int, most: int = 6) -
 def valid_actions(actions: DataFrame, lines: DataFrame, keys: list[str], owners: list[str]) -> DataFrame:
     """Actions (keys, pos, owner, action, ids) with a known owner, real evidence and a content word in common with it."""
     blank = F.lower(tx.collapse(F.col("owner"))).isin("", "unspecified", "unknown", "none")
-    a = actions.select(*keys, "pos", F.when(blank, "unspecified").otherwise(tx.collapse(F.col("owner"))).alias("owner"), tx.collapse(F.col("action")).alias("action"), F.explode(F.array_distinct("ids")).alias("line_id"))
+    a = actions.select(
+        *keys,
+        "pos",
+        F.when(blank, "unspecified").otherwise(tx.collapse(F.col("owner"))).alias("owner"),
+        tx.collapse(F.col("action")).alias("action"),
+        F.explode(F.array_distinct("ids")).alias("line_id"),
+    )
     a = a.where(~tx.is_non_commitment(F.col("action")) & F.col("owner").isin(*owners, "unspecified"))
     evidence = a.join(lines.select(*keys, "line_id", tx.tokens(F.col("text")).alias("said")), [*keys, "line_id"])
     shared = F.size(F.array_intersect(tx.content_tokens(F.col("action")), F.flatten(F.collect_list("said")))) > 0
@@ -111,11 +157,18 @@ def valid_actions(actions: DataFrame, lines: DataFrame, keys: list[str], owners:
 def compatible(revision: str, model: str, context: int, default_model: str, default_context: int = 4096) -> Column:
     """Whether a cached report with columns revision, model and context may stand for a request."""
     of = lambda c, want, default: (F.col(c) == F.lit(want)) | (F.col(c).isNull() & F.lit(want == default))
-    return F.coalesce((F.col("revision").isNull() | (F.col("revision") == revision)) & of("model", model, default_model) & of("context", context, default_context), F.lit(False))
+    return F.coalesce(
+        (F.col("revision").isNull() | (F.col("revision") == revision)) & of("model", model, default_model) & of("context", context, default_context),
+        F.lit(False),
+    )
 
 
 def reuse_reports(requests: DataFrame, cache: DataFrame, usable: Column) -> DataFrame:
     """Requests (id, sha) with ``reused_from``, or as ``leader`` the first request of their text, which must be made."""
     ready = cache.where(usable).groupBy("sha").agg(F.min("report_id").alias("reused_from"))
     leaders = requests.groupBy("sha").agg(F.min("id").alias("leader"))
-    return requests.join(ready, "sha", "left").join(leaders, "sha").select("id", "reused_from", F.when(F.col("reused_from").isNull(), F.col("leader")).alias("leader"))
+    return requests.join(ready, "sha", "left").join(leaders, "sha").select(
+        "id",
+        "reused_from",
+        F.when(F.col("reused_from").isNull(), F.col("leader")).alias("leader"),
+    )

@@ -19,14 +19,22 @@ def islands(df: DataFrame, keys: list[str], gap: float = 0, order: str | None =
     by = W.partitionBy(*keys).orderBy("start", "end", *([order] if order else []))
     reach = F.max("end").over(by.rowsBetween(W.unboundedPreceding, -1)) + F.lit(gap)
     joins = F.col("start") <= reach if inclusive else F.col("start") < reach
-    return df.withColumn("_fresh", F.when(joins, 0).otherwise(1)).withColumn("island", F.sum("_fresh").over(by.rowsBetween(W.unboundedPreceding, 0))).drop("_fresh")
+    return df.withColumn("_fresh", F.when(joins, 0).otherwise(1)).withColumn(
+        "island",
+        F.sum("_fresh").over(by.rowsBetween(W.unboundedPreceding, 0)),
+    ).drop("_fresh")
 
 
 def merge_turns(turns: DataFrame, keys: list[str], gap: float = 0, order: str | None = None) -> DataFrame:
     """Turns of one speaker that touch or lie within ``gap`` become one; the first stream is kept."""
     own = [*keys, "speaker"]
     extra = [F.min_by("stream", F.struct("start", "end", *([order] if order else []))).alias("stream")] if "stream" in turns.columns else []
-    return islands(turns, own, gap, order).groupBy(*own, "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n"), *extra).drop("island")
+    return islands(turns, own, gap, order).groupBy(*own, "island").agg(
+        F.min("start").alias("start"),
+        F.max("end").alias("end"),
+        F.count("*").alias("n"),
+        *extra,
+    ).drop("island")
 
 
 def regions_of(df: DataFrame, keys: list[str], gap: float = 0, order: str | None = None) -> DataFrame:
@@ -50,7 +58,9 @@ def slices(df: DataFrame, keys: list[str], counts: list[str]) -> DataFrame:
 
     ``df`` has one 0/1 column per name in ``counts`` saying of which kinds an interval is.
     """
-    marks = df.select(*keys, F.col("start").alias("t"), *(F.col(c) for c in counts)).unionByName(df.select(*keys, F.col("end").alias("t"), *((-F.col(c)).alias(c) for c in counts)))
+    marks = df.select(*keys, F.col("start").alias("t"), *(F.col(c) for c in counts)).unionByName(
+        df.select(*keys, F.col("end").alias("t"), *((-F.col(c)).alias(c) for c in counts))
+    )
     net = marks.groupBy(*keys, "t").agg(*(F.sum(c).alias(c) for c in counts))
     by = W.partitionBy(*keys).orderBy("t")
     run = by.rowsBetween(W.unboundedPreceding, 0)
@@ -60,10 +70,18 @@ def slices(df: DataFrame, keys: list[str], counts: list[str]) -> DataFrame:
 
 def complement(df: DataFrame, keys: list[str], duration: float, pad: float = 0) -> DataFrame:
     """Gaps between padded intervals inside [0, duration]; keys without intervals do not appear."""
-    padded = df.select(*keys, F.greatest(F.lit(0), F.col("start") - pad).cast("long").alias("start"), F.least(F.lit(duration), F.col("end") + pad).cast("long").alias("end"))
+    padded = df.select(
+        *keys,
+        F.greatest(F.lit(0), F.col("start") - pad).cast("long").alias("start"),
+        F.least(F.lit(duration), F.col("end") + pad).cast("long").alias("end"),
+    )
     whole = padded.select(*keys).distinct().withColumn("start", F.lit(duration).cast("long")).withColumn("end", F.lit(duration).cast("long"))
     by = W.partitionBy(*keys).orderBy("start", "end").rowsBetween(W.unboundedPreceding, -1)
-    return padded.unionByName(whole).withColumn("reach", F.coalesce(F.max("end").over(by), F.lit(0).cast("long"))).where("start > reach").select(*keys, F.col("reach").alias("start"), F.col("start").alias("end"))
+    return padded.unionByName(whole).withColumn("reach", F.coalesce(F.max("end").over(by), F.lit(0).cast("long"))).where("start > reach").select(
+        *keys,
+        F.col("reach").alias("start"),
+        F.col("start").alias("end"),
+    )
 
 
 def intersecting(a: DataFrame, b: DataFrame, keys: list[str], cell: int) -> DataFrame:
@@ -105,33 +123,76 @@ def nearest_inactive(regions: DataFrame, turns: DataFrame, keys: list[str]) -> D
     to stay whole; ties go to the earlier turn, then to the lesser name.
     """
     who = turns.select(*keys, "speaker").distinct()
-    probes = regions.select(*keys, "start", "end").join(who, keys).select(*keys, "speaker", F.col("end").alias("at"), F.lit(0).alias("kind"), F.col("start").alias("r0"), F.col("end").alias("r1"), F.lit(None).cast(turns.select(F.struct("start", "end")).schema[0].dataType).alias("turn"))
-    said = turns.select(*keys, "speaker", F.col("start").alias("at"), F.lit(1).alias("kind"), *(F.lit(None).cast(regions.schema[c].dataType).alias(r) for c, r in (("start", "r0"), ("end", "r1"))), F.struct("start", "end").alias("turn"))
+    probes = regions.select(*keys, "start", "end").join(who, keys).select(
+        *keys,
+        "speaker",
+        F.col("end").alias("at"),
+        F.lit(0).alias("kind"),
+        F.col("start").alias("r0"),
+        F.col("end").alias("r1"),
+        F.lit(None).cast(turns.select(F.struct("start", "end")).schema[0].dataType).alias("turn"),
+    )
+    said = turns.select(
+        *keys,
+        "speaker",
+        F.col("start").alias("at"),
+        F.lit(1).alias("kind"),
+        *(F.lit(None).cast(regions.schema[c].dataType).alias(r) for c, r in (("start", "r0"), ("end", "r1"))),
+        F.struct("start", "end").alias("turn"),
+    )
     own = W.partitionBy(*keys, "speaker")
     running = W.unboundedPreceding, -1
     before = F.last("turn", ignorenulls=True).over(own.orderBy("at", "kind").rowsBetween(*running))
     after = F.last("turn", ignorenulls=True).over(own.orderBy(F.desc("at"), F.desc("kind")).rowsBetween(*running))
     met = probes.unionByName(said).withColumn("before", before).withColumn("after", after).where("kind = 0 and (before is null or before.end <= r0)")
     middle = F.col("r0") + F.col("r1")
-    reach = lambda t: F.when(t.isNotNull(), F.struct(F.least(F.abs(2 * t["start"] - middle), F.abs(2 * t["end"] - middle)).alias("distance"), t["start"].alias("start"), F.col("speaker").alias("speaker")))
+    reach = lambda t: F.when(
+        t.isNotNull(),
+        F.struct(
+            F.least(F.abs(2 * t["start"] - middle), F.abs(2 * t["end"] - middle)).alias("distance"),
+            t["start"].alias("start"),
+            F.col("speaker").alias("speaker"),
+        ),
+    )
     best = F.min(F.least(reach(F.col("before")), reach(F.col("after"))))
-    return met.groupBy(*keys, "r0", "r1").agg(best.alias("b")).select(*keys, F.col("r0").alias("start"), F.col("r1").alias("end"), F.col("b.speaker").alias("speaker"), F.col("b.distance").alias("double_distance"))
+    return met.groupBy(*keys, "r0", "r1").agg(best.alias("b")).select(
+        *keys,
+        F.col("r0").alias("start"),
+        F.col("r1").alias("end"),
+        F.col("b.speaker").alias("speaker"),
+        F.col("b.distance").alias("double_distance"),
+    )
 
 
 def add_overlap_speakers(turns: DataFrame, overlaps: DataFrame, keys: list[str]) -> DataFrame:
     """Turns with, in every overlap in which somebody is active, the nearest other speaker as a second one; touching turns are merged."""
     merged = merge_turns(turns.select(*keys, "speaker", "start", "end"), keys).select(*keys, "speaker", "start", "end")
-    busy = intersecting(overlaps.select(*keys, "start", "end"), merged, keys, CELL).select(*keys, F.col("start_a").alias("start"), F.col("end_a").alias("end")).distinct()
+    busy = intersecting(overlaps.select(*keys, "start", "end"), merged, keys, CELL).select(
+        *keys,
+        F.col("start_a").alias("start"),
+        F.col("end_a").alias("end"),
+    ).distinct()
     extra = nearest_inactive(busy, merged, keys).select(*keys, "speaker", "start", "end")
     return merge_turns(merged.unionByName(extra), keys).select(*keys, "speaker", "start", "end")
 
 
 def max_overlap_partner(turns: DataFrame, keys: list[str], cell: int) -> DataFrame:
     """(keys, speaker, start, other): for each turn the other speaker whose turn shares most time with it, where any does."""
-    pairs = intersecting(turns.select(*keys, "speaker", "start", "end"), turns.select(*keys, "speaker", "start", "end"), keys, cell).where("speaker_a <> speaker_b")
+    pairs = intersecting(
+        turns.select(*keys, "speaker", "start", "end"),
+        turns.select(*keys, "speaker", "start", "end"),
+        keys,
+        cell,
+    ).where("speaker_a <> speaker_b")
     shared = F.least("end_a", "end_b") - F.greatest("start_a", "start_b")
     best = F.min(F.struct((-shared).alias("less"), F.col("start_b").alias("start"), F.col("speaker_b").alias("speaker")))
-    return pairs.groupBy(*keys, F.col("speaker_a").alias("speaker"), F.col("start_a").alias("start")).agg(best.alias("b")).select(*keys, "speaker", "start", F.col("b.speaker").alias("other"), (-F.col("b.less")).alias("shared"))
+    return pairs.groupBy(*keys, F.col("speaker_a").alias("speaker"), F.col("start_a").alias("start")).agg(best.alias("b")).select(
+        *keys,
+        "speaker",
+        "start",
+        F.col("b.speaker").alias("other"),
+        (-F.col("b.less")).alias("shared"),
+    )
 
 
 def sliding_windows(regions: DataFrame, keys: list[str], win: int, hop: int, least: int) -> DataFrame:
@@ -139,14 +200,26 @@ def sliding_windows(regions: DataFrame, keys: list[str], win: int, hop: int, lea
     length = F.col("end") - F.col("start")
     regions = regions.where(length >= least)
     train = F.greatest(F.lit(0), F.ceil((length - win) / hop)).cast("int")
-    heads = F.transform(F.sequence(F.lit(0), train), lambda i: F.when(i < train, F.struct((F.col("start") + i * hop).alias("start"), (F.col("start") + i * hop + win).alias("end"))).otherwise(F.struct(F.greatest(F.col("start"), F.col("end") - win).alias("start"), F.col("end").alias("end"))))
+    heads = F.transform(
+        F.sequence(F.lit(0), train),
+        lambda i: F.when(i < train, F.struct((F.col("start") + i * hop).alias("start"), (F.col("start") + i * hop + win).alias("end"))).otherwise(
+            F.struct(F.greatest(F.col("start"), F.col("end") - win).alias("start"), F.col("end").alias("end"))
+        ),
+    )
     return regions.select(*keys, F.explode(heads).alias("w")).select(*keys, F.col("w.start").alias("start"), F.col("w.end").alias("end"))
 
 
 def subtract(a: DataFrame, b: DataFrame, keys: list[str], cell: int) -> DataFrame:
     """Pieces of the intervals of ``a`` (unique per keys, speaker, start) outside all intervals of ``b`` (disjoint per key)."""
     own = [*keys, "speaker"]
-    cut = intersecting(a.select(*own, "start", "end"), b, keys, cell).select(*keys, F.col("speaker_a").alias("speaker"), F.col("start_a").alias("start"), F.col("end_a").alias("end"), F.col("start_b").alias("lo"), F.col("end_b").alias("hi"))
+    cut = intersecting(a.select(*own, "start", "end"), b, keys, cell).select(
+        *keys,
+        F.col("speaker_a").alias("speaker"),
+        F.col("start_a").alias("start"),
+        F.col("end_a").alias("end"),
+        F.col("start_b").alias("lo"),
+        F.col("end_b").alias("hi"),
+    )
     tails = a.select(*own, "start", "end", F.col("end").alias("lo"), F.col("end").alias("hi"))
     by = W.partitionBy(*own, "start", "end").orderBy("lo", "hi").rowsBetween(W.unboundedPreceding, -1)
     pieces = cut.unionByName(tails).withColumn("from", F.coalesce(F.max("hi").over(by), F.col("start")))
@@ -169,8 +242,14 @@ def smooth_runs(runs: DataFrame, keys: list[str], least: int, passes: int = 3) -
         side = lambda f, near: F.when(near, f(F.struct(size.alias("size"), F.col("label").alias("label"))).over(by))
         left = side(F.lag, F.lag("last").over(by) == F.col("first") - 1)
         right = side(F.lead, F.lead("first").over(by) == F.col("last") + 1)
-        taken = F.when(size >= least, F.col("label")).when(left.isNull() & right.isNull(), F.col("label")).when(right.isNull() | (left["size"] >= right["size"]), left["label"]).otherwise(right["label"])
+        taken = F.when(size >= least, F.col("label")).when(left.isNull() & right.isNull(), F.col("label")).when(
+            right.isNull() | (left["size"] >= right["size"]),
+            left["label"],
+        ).otherwise(right["label"])
         runs = runs.withColumn("to", taken).drop("label").withColumnRenamed("to", "label")
         fresh = F.when((F.lag("label").over(by) == F.col("label")) & (F.lag("last").over(by) == F.col("first") - 1), 0).otherwise(1)
-        runs = runs.withColumn("_fresh", fresh).withColumn("_run", F.sum("_fresh").over(by.rowsBetween(W.unboundedPreceding, 0))).groupBy(*keys, "_run", "label").agg(F.min("first").alias("first"), F.max("last").alias("last")).drop("_run")
+        runs = runs.withColumn("_fresh", fresh).withColumn(
+            "_run",
+            F.sum("_fresh").over(by.rowsBetween(W.unboundedPreceding, 0)),
+        ).groupBy(*keys, "_run", "label").agg(F.min("first").alias("first"), F.max("last").alias("last")).drop("_run")
     return runs

@@ -6,7 +6,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def mine(tagged: DataFrame, words: DataFrame, manual: list[str], *, blocked: int = 2500, least: int = 2, agreement: float = 0.7, share: float = 0.5) -> DataFrame:
+def mine(
+    tagged: DataFrame,
+    words: DataFrame,
+    manual: list[str],
+    *,
+    blocked: int = 2500,
+    least: int = 2,
+    agreement: float = 0.7,
+    share: float = 0.5,
+) -> DataFrame:
     """(dev, eng, total, n): the spelling that tags give a word most often (of equals the one seen first).
 
     ``tagged`` has (dev, eng, at), ``words`` has (word) of every occurrence. A

@@ -26,16 +26,28 @@ FRAME = 50  # milliseconds of a frame of the timeline
 Save = Callable[[DataFrame, str], DataFrame]
 
 
-def analyse(recordings: DataFrame, embed: models.Embedder, detect: models.Detector, *, window: int = 1500, hop: int = 750, least: int = 400) -> tuple[DataFrame, DataFrame]:
+def analyse(
+    recordings: DataFrame,
+    embed: models.Embedder,
+    detect: models.Detector,
+    *,
+    window: int = 1500,
+    hop: int = 750,
+    least: int = 400,
+) -> tuple[DataFrame, DataFrame]:
     """(speech, windows): regions (rec_id, stream, start, end) and windows (.., win_idx, emb) of recordings (rec_id, stream, samples)."""
 
     def regions(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = [(r.rec_id, r.stream, round(1000 * a), round(1000 * b)) for r in frame.itertuples() for a, b in detect(np.asarray(r.samples, float))]
+            rows = [
+                (r.rec_id, r.stream, round(1000 * a), round(1000 * b)) for r in frame.itertuples() for a, b in detect(np.asarray(r.samples, float))
+            ]
             yield pd.DataFrame(rows, columns=["rec_id", "stream", "start", "end"])
 
     speech = recordings.mapInPandas(regions, "rec_id string, stream int, start long, end long")
-    spans = iv.sliding_windows(speech, ["rec_id", "stream"], window, hop, least).groupBy("rec_id", "stream").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
+    spans = iv.sliding_windows(speech, ["rec_id", "stream"], window, hop, least).groupBy("rec_id", "stream").agg(
+        F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans")
+    )
 
     def fingerprints(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at = lambda ms: int(ms * signals.RATE / 1000)
@@ -47,7 +59,10 @@ def analyse(recordings: DataFrame, embed: models.Embedder, detect: models.Detect
                 rows += [(r.rec_id, r.stream, s["start"], s["end"], e.astype(float).tolist()) for s, e in zip(r.spans, emb, strict=True)]
             yield pd.DataFrame(rows, columns=["rec_id", "stream", "start", "end", "emb"])
 
-    windows = recordings.join(spans, ["rec_id", "stream"]).mapInPandas(fingerprints, "rec_id string, stream int, start long, end long, emb array<double>")
+    windows = recordings.join(spans, ["rec_id", "stream"]).mapInPandas(
+        fingerprints,
+        "rec_id string, stream int, start long, end long, emb array<double>",
+    )
     # Windows of all tracks are numbered together: speakers are clustered over the whole recording.
     return speech, windows.withColumn("win_idx", F.col("start") * 2 + F.col("stream"))
 
@@ -60,7 +75,11 @@ def frame_power(tracks: DataFrame) -> DataFrame:
         for frame in frames:
             parts = [(r, np.asarray(r.samples, float)) for r in frame.itertuples()]
             power = [(r, (x[: len(x) // size * size].reshape(-1, size) ** 2).mean(1)) for r, x in parts]
-            yield pd.concat([pd.DataFrame({"rec_id": r.rec_id, "stream": r.stream, "frame": np.arange(len(p)), "power": p}) for r, p in power] or [pd.DataFrame(columns=["rec_id", "stream", "frame", "power"])])
+            yield pd.concat(
+                [pd.DataFrame({"rec_id": r.rec_id, "stream": r.stream, "frame": np.arange(len(p)), "power": p}) for r, p in power] or [
+                    pd.DataFrame(columns=["rec_id", "stream", "frame", "power"])
+                ]
+            )
 
     return tracks.mapInPandas(run, "rec_id string, stream int, frame long, power double")
 
@@ -70,7 +89,13 @@ def separated(recordings: DataFrame, separator: models.Separator) -> DataFrame:
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = [(r.rec_id, k, track.astype(np.float32).tolist()) for r in frame.itertuples() for k, track in enumerate(separator(np.asarray(r.samples, float)))]
+            rows = [
+                (
+                    r.rec_id,
+                    k,
+                    track.astype(np.float32).tolist(),
+                ) for r in frame.itertuples() for k, track in enumerate(separator(np.asarray(r.samples, float)))
+            ]
             yield pd.DataFrame(rows, columns=["rec_id", "stream", "samples"])
 
     return recordings.mapInPandas(run, "rec_id string, stream int, samples array<float>")
@@ -94,7 +119,14 @@ def spoken(turns: DataFrame, tracks: DataFrame, make: Callable[[], models.Recogn
 
     said = units.mapInPandas(run, "rec_id string, speaker string, start double, end double, text string")
     per = said.groupBy("rec_id").agg(F.array_sort(F.collect_list(F.struct("start", "end", "speaker", "text"))).alias("lines"))
-    return per.select("rec_id", F.posexplode("lines").alias("pos", "l")).select("rec_id", (F.col("pos") + 1).cast("long").alias("line_id"), "l.speaker", "l.start", "l.end", "l.text")
+    return per.select("rec_id", F.posexplode("lines").alias("pos", "l")).select(
+        "rec_id",
+        (F.col("pos") + 1).cast("long").alias("line_id"),
+        "l.speaker",
+        "l.start",
+        "l.end",
+        "l.text",
+    )
 
 
 @dataclass

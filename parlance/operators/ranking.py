@@ -18,7 +18,10 @@ def counted(rows: DataFrame, count: str, name: str) -> DataFrame:
     """
     parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     first = F.col("_stride") * STRIDE
-    strides = rows.where(F.col(count) > 0).withColumn("_stride", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(count) - 1) / STRIDE)))).repartition(parts)
+    strides = rows.where(F.col(count) > 0).withColumn(
+        "_stride",
+        F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(count) - 1) / STRIDE))),
+    ).repartition(parts)
     return strides.withColumn(name, F.explode(F.sequence(first, F.least(F.col(count), first + STRIDE) - 1))).drop("_stride")
 
 
@@ -33,4 +36,7 @@ def global_row_number(df: DataFrame, order: list, name: str = "row_number") -> D
     counts = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
     offset = F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     offsets = counts.select("_part", offset.alias("_offset"))
-    return ranged.withColumn("_inside", inside).join(offsets, "_part").withColumn(name, F.col("_inside") + F.col("_offset")).drop("_part", "_inside", "_offset")
+    return ranged.withColumn("_inside", inside).join(offsets, "_part").withColumn(
+        name,
+        F.col("_inside") + F.col("_offset"),
+    ).drop("_part", "_inside", "_offset")

@@ -21,7 +21,10 @@ def paired_design(spark: SparkSession, groups: int, split: str = "test") -> Data
     """Every group in every overlap level and soundscape, so that conditions are paired by group."""
     speakers = F.when(F.col("grp") % 2 == 0, 2).otherwise(3)
     base = spark.range(groups).select(F.col("id").alias("grp")).withColumn("n_speakers", speakers)
-    crossed = base.withColumn("overlap_level", F.explode(F.array(*(F.lit(x) for x in LEVELS)))).withColumn("noise", F.explode(F.array(*(F.lit(x) for x in NOISES))))
+    crossed = base.withColumn("overlap_level", F.explode(F.array(*(F.lit(x) for x in LEVELS)))).withColumn(
+        "noise",
+        F.explode(F.array(*(F.lit(x) for x in NOISES))),
+    )
     return crossed.withColumn("id", F.format_string("%s_g%02d_%dspk_%s_%s", F.lit(split), "grp", "n_speakers", "overlap_level", "noise"))
 
 
@@ -104,7 +107,15 @@ def pick_groups(sides: DataFrame, key: str, person: str, size: int = 2) -> DataF
     return sides.select(key, person).distinct().groupBy(key).applyInPandas(one, kinds)
 
 
-def plan_duo(cycles: list[list[float]], target: float, seed: int, *, accompanied: float = 0.3, partial: float = 0.5, interlude: float = 0.8) -> pd.DataFrame:
+def plan_duo(
+    cycles: list[list[float]],
+    target: float,
+    seed: int,
+    *,
+    accompanied: float = 0.3,
+    partial: float = 0.5,
+    interlude: float = 0.8,
+) -> pd.DataFrame:
     """(part, start, end, source_start) of a piece for voice and drum.
 
     ``cycles`` holds nine beat times each: eight beats and the next cycle's

@@ -25,7 +25,15 @@ def hashed_draw(b: Column, j: Column, n: Column) -> Column:
     return F.pmod(F.xxhash64(F.lit(0), b, j), n)
 
 
-def resampled(items: DataFrame, key: str, numerator: str, denominator: str, resamples: int, *, index: Callable[[Column, Column, Column], Column] = draw) -> DataFrame:
+def resampled(
+    items: DataFrame,
+    key: str,
+    numerator: str,
+    denominator: str,
+    resamples: int,
+    *,
+    index: Callable[[Column, Column, Column], Column] = draw,
+) -> DataFrame:
     """(b, rate): the ratio of sums in each resample of the items with replacement.
 
     Draws are generated per resample and joined to the items by their number:
@@ -35,7 +43,11 @@ def resampled(items: DataFrame, key: str, numerator: str, denominator: str, resa
     numbered = global_row_number(items.select(key, numerator, denominator), [F.col(key)], "_i").withColumn("_i", F.col("_i") - 1)
     n = items.agg(F.count("*").alias("n"))  # one row
     parts = max(1, int(items.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    draws = counted(n.withColumn("_all", F.col("n") * resamples), "_all", "_draw").select("n", F.floor(F.col("_draw") / F.col("n")).alias("b"), (F.col("_draw") % F.col("n")).alias("j"))
+    draws = counted(n.withColumn("_all", F.col("n") * resamples), "_all", "_draw").select(
+        "n",
+        F.floor(F.col("_draw") / F.col("n")).alias("b"),
+        (F.col("_draw") % F.col("n")).alias("j"),
+    )
     draws = draws.select("b", index(F.col("b"), F.col("j"), F.col("n")).alias("_i"))
     # Both sides are dealt by number explicitly: their sizes as files say nothing about their rows.
     met = draws.repartition(parts, "_i").join(numbered.repartition(parts, "_i").hint("shuffle_hash"), "_i")
@@ -44,7 +56,11 @@ def resampled(items: DataFrame, key: str, numerator: str, denominator: str, resa
 
 def interval(rates: DataFrame) -> DataFrame:
     """The 2.5 and 97.5 percentiles of resampled rates."""
-    return rates.agg(F.round(F.percentile("rate", F.lit(0.025)), 6).alias("lo"), F.round(F.percentile("rate", F.lit(0.975)), 6).alias("hi"), F.count("*").alias("resamples"))
+    return rates.agg(
+        F.round(F.percentile("rate", F.lit(0.025)), 6).alias("lo"),
+        F.round(F.percentile("rate", F.lit(0.975)), 6).alias("hi"),
+        F.count("*").alias("resamples"),
+    )
 
 
 def upper_median_rows(df: DataFrame, group: str, order: list[str]) -> DataFrame:

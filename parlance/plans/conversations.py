@@ -23,10 +23,27 @@ def talk_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Talk time, merged turns and share of each speaker in each conversation."""
     from parlance.operators.intervals import merge_turns
 
-    merged = merge_turns(clocked_lines(spark, sf_dir).select("conv_id", F.col("role").alias("speaker"), F.col("start_ms").alias("start"), F.col("end_ms").alias("end"), F.col("turn").alias("seq")), keys=["conv_id"], gap=0, order="seq")
+    merged = merge_turns(
+        clocked_lines(spark, sf_dir).select(
+            "conv_id",
+            F.col("role").alias("speaker"),
+            F.col("start_ms").alias("start"),
+            F.col("end_ms").alias("end"),
+            F.col("turn").alias("seq"),
+        ),
+        keys=["conv_id"],
+        gap=0,
+        order="seq",
+    )
     per = merged.groupBy("conv_id", "speaker").agg(F.count("*").alias("turns"), F.sum(F.col("end") - F.col("start")).alias("talk_ms"))
     total = F.sum("talk_ms").over(W.partitionBy("conv_id"))
-    return per.select("conv_id", "speaker", "turns", "talk_ms", F.floor(F.col("talk_ms") * 1000000 / F.when(total > 0, total).otherwise(1)).alias("share_ppm"))
+    return per.select(
+        "conv_id",
+        "speaker",
+        "turns",
+        "talk_ms",
+        F.floor(F.col("talk_ms") * 1000000 / F.when(total > 0, total).otherwise(1)).alias("share_ppm"),
+    )
 
 
 _CLOCK = """

@@ -20,18 +20,50 @@ from parlance.streaming import live
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(spark.read.parquet(f"{sf_dir}/conversations.parquet")).select("conv_id", "turn", "role", (F.col("turn") + 1).alias("line_id"), tx.collapse(F.col("text")).alias("text")).where(tx.normalise(F.col("text")) != "")
+    return spread(spark.read.parquet(f"{sf_dir}/conversations.parquet")).select(
+        "conv_id",
+        "turn",
+        "role",
+        (F.col("turn") + 1).alias("line_id"),
+        tx.collapse(F.col("text")).alias("text"),
+    ).where(tx.normalise(F.col("text")) != "")
 
 
 def _replies(lines: DataFrame) -> DataFrame:
     """What the stand-in answers: by turn it repairs, drops, adds, rewrites, skips or changes a word; once per line twice, once for no line."""
     w = F.split("text", " ")
     kind = F.col("turn") % 6
-    text = F.when(kind == 0, F.concat("text", F.lit("!"))).when(kind == 1, F.array_join(F.slice(w, F.lit(2), F.greatest(F.size(w) - 1, F.lit(0))), " ")).when(kind == 2, F.concat("text", F.lit(" extra words that nobody said at any time here or there or anywhere else in all the world today or tomorrow"))).when(kind == 3, F.lit("completely other text")).otherwise(F.concat(F.lit("zz "), F.array_join(F.slice(w, F.lit(2), F.greatest(F.size(w) - 1, F.lit(0))), " ")))
-    english = F.when(kind == 0, F.concat(F.lit("about "), F.get(w, F.lit(0)))).when(kind == 1, "").when(kind == 2, "the same english sentence").when(kind == 3, "The same english sentence").otherwise(F.repeat(F.lit("x"), (F.length("text") * 2 + 31).cast("int")))
-    said = lines.where(kind != 4).select("conv_id", "line_id", text.alias("text"), english.alias("english"), ((F.col("conv_id") + F.col("turn")) % 7 == 0).alias("uncertain"), F.lit(0).alias("pos"))
+    text = F.when(kind == 0, F.concat("text", F.lit("!"))).when(kind == 1, F.array_join(F.slice(w, F.lit(2), F.greatest(F.size(w) - 1, F.lit(0))), " ")).when(
+        kind == 2,
+        F.concat("text", F.lit(" extra words that nobody said at any time here or there or anywhere else in all the world today or tomorrow")),
+    ).when(kind == 3, F.lit("completely other text")).otherwise(F.concat(
+        F.lit("zz "),
+        F.array_join(F.slice(w, F.lit(2), F.greatest(F.size(w) - 1, F.lit(0))), " "),
+    ))
+    english = F.when(
+        kind == 0,
+        F.concat(F.lit("about "), F.get(w, F.lit(0))),
+    ).when(kind == 1, "").when(kind == 2, "the same english sentence").when(kind == 3, "The same english sentence").otherwise(F.repeat(
+        F.lit("x"),
+        (F.length("text") * 2 + 31).cast("int"),
+    ))
+    said = lines.where(kind != 4).select(
+        "conv_id",
+        "line_id",
+        text.alias("text"),
+        english.alias("english"),
+        ((F.col("conv_id") + F.col("turn")) % 7 == 0).alias("uncertain"),
+        F.lit(0).alias("pos"),
+    )
     again = said.where("line_id = 1").withColumn("text", F.lit("a second answer")).withColumn("pos", F.lit(1))
-    stray = lines.where("line_id = 1").select("conv_id", F.lit(999).cast("long").alias("line_id"), F.lit("stray").alias("text"), F.lit("stray").alias("english"), F.lit(False).alias("uncertain"), F.lit(2).alias("pos"))
+    stray = lines.where("line_id = 1").select(
+        "conv_id",
+        F.lit(999).cast("long").alias("line_id"),
+        F.lit("stray").alias("text"),
+        F.lit("stray").alias("english"),
+        F.lit(False).alias("uncertain"),
+        F.lit(2).alias("pos"),
+    )
     return said.unionByName(again).unionByName(stray)
 
 
@@ -46,7 +78,13 @@ def kept_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = _lines(spark, sf_dir)
     replies = _replies(lines)
     checked = gr.check_replies(lines.select("conv_id", "line_id", "text"), replies, ["conv_id"])
-    per = checked.groupBy("conv_id").agg(F.count("*").alias("lines"), F.count_if("changed").alias("changed"), F.count("reason").alias("reverted"), F.count_if("uncertain").alias("uncertain"), F.count_if(F.contains("note", F.lit("skipped"))).alias("restored"))
+    per = checked.groupBy("conv_id").agg(
+        F.count("*").alias("lines"),
+        F.count_if("changed").alias("changed"),
+        F.count("reason").alias("reverted"),
+        F.count_if("uncertain").alias("uncertain"),
+        F.count_if(F.contains("note", F.lit("skipped"))).alias("restored"),
+    )
     return per.join(gr.unknown_ids(lines, replies, ["conv_id"]), "conv_id", "left").withColumn("unknown", F.coalesce("unknown", F.lit(0)))
 
 
@@ -56,8 +94,19 @@ BUDGET = 1200
 def chunk_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The chunk of every line."""
     lines = clocked_lines(spark, sf_dir)
-    prompt = F.concat_ws(" | ", (F.col("turn") + 1).cast("string"), "role", F.concat(tx.clock(F.col("start_ms") / 1000), F.lit("-"), tx.clock(F.col("end_ms") / 1000)), "text")
-    costs = lines.select("conv_id", (F.col("turn") + 1).alias("line_id"), tx.estimated_tokens(prompt).alias("prompt"), (2 * tx.estimated_tokens(F.col("text")) + 24).alias("reply"))
+    prompt = F.concat_ws(
+        " | ",
+        (F.col("turn") + 1).cast("string"),
+        "role",
+        F.concat(tx.clock(F.col("start_ms") / 1000), F.lit("-"), tx.clock(F.col("end_ms") / 1000)),
+        "text",
+    )
+    costs = lines.select(
+        "conv_id",
+        (F.col("turn") + 1).alias("line_id"),
+        tx.estimated_tokens(prompt).alias("prompt"),
+        (2 * tx.estimated_tokens(F.col("text")) + 24).alias("reply"),
+    )
     return gr.plan_chunks(costs, ["conv_id"], BUDGET)
 
 
@@ -66,9 +115,28 @@ def action_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = _lines(spark, sf_dir)
     word = F.coalesce(F.get(tx.content_tokens(F.col("text")), F.lit(0)), F.lit("nothing"))
     owner = F.when(F.col("turn") % 5 == 0, "Unknown").when(F.col("turn") % 5 == 1, "Stranger").otherwise(F.col("role"))
-    action = F.when(F.col("turn") % 4 == 0, F.concat(F.lit("Maybe "), word)).when(F.col("turn") % 4 == 1, F.lit("Transfer qqq zzz")).when(F.col("turn") % 4 == 2, F.concat(F.lit("Bring "), word)).otherwise(F.concat(F.lit("Will you bring "), word, F.lit("?")))
-    actions = lines.select("conv_id", F.col("turn").alias("pos"), owner.alias("owner"), action.alias("action"), F.array(F.col("line_id"), F.col("line_id"), F.lit(999).cast("long")).alias("ids"))
-    return gr.valid_actions(actions, lines, ["conv_id"], ["user", "assistant", "system"]).select("conv_id", "pos", "owner", "action", F.size("ids").cast("long").alias("evidence"))
+    action = F.when(
+        F.col("turn") % 4 == 0,
+        F.concat(F.lit("Maybe "), word),
+    ).when(F.col("turn") % 4 == 1, F.lit("Transfer qqq zzz")).when(F.col("turn") % 4 == 2, F.concat(F.lit("Bring "), word)).otherwise(F.concat(
+        F.lit("Will you bring "),
+        word,
+        F.lit("?"),
+    ))
+    actions = lines.select(
+        "conv_id",
+        F.col("turn").alias("pos"),
+        owner.alias("owner"),
+        action.alias("action"),
+        F.array(F.col("line_id"), F.col("line_id"), F.lit(999).cast("long")).alias("ids"),
+    )
+    return gr.valid_actions(actions, lines, ["conv_id"], ["user", "assistant", "system"]).select(
+        "conv_id",
+        "pos",
+        "owner",
+        "action",
+        F.size("ids").cast("long").alias("evidence"),
+    )
 
 
 def synthesis_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,7 +147,12 @@ def synthesis_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = F.slice(F.array_distinct(F.flatten(F.transform("l", lambda x: x["c"]))), 1, 8)
     parts = F.left(F.array_join(F.transform("l", lambda x: F.left(x["text"], F.lit(60))), " "), F.lit(1500))
     answered = F.col("conv_id") % 3 != 0
-    return per.select("conv_id", F.when(answered, F.left(F.element_at("l", 1)["text"], F.lit(90))).otherwise("Conversation report").alias("title"), F.array_join(words, ",").alias("keywords"), F.when(answered, "a summary").otherwise(parts).alias("summary"))
+    return per.select(
+        "conv_id",
+        F.when(answered, F.left(F.element_at("l", 1)["text"], F.lit(90))).otherwise("Conversation report").alias("title"),
+        F.array_join(words, ",").alias("keywords"),
+        F.when(answered, "a summary").otherwise(parts).alias("summary"),
+    )
 
 
 class CountingChat:
@@ -99,7 +172,14 @@ REPORT_BUDGET = 900
 def report_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reports of all conversations by the whole report stage: chunked calls, checks, synthesis and fallbacks."""
     ship_package(spark)
-    lines = clocked_lines(spark, sf_dir).select("conv_id", (F.col("turn") + 1).alias("line_id"), F.coalesce("role", F.lit("?")).alias("speaker"), (F.col("start_ms") / 1000).alias("start"), (F.col("end_ms") / 1000).alias("end"), tx.collapse(F.col("text")).alias("text"))
+    lines = clocked_lines(spark, sf_dir).select(
+        "conv_id",
+        (F.col("turn") + 1).alias("line_id"),
+        F.coalesce("role", F.lit("?")).alias("speaker"),
+        (F.col("start_ms") / 1000).alias("start"),
+        (F.col("end_ms") / 1000).alias("end"),
+        tx.collapse(F.col("text")).alias("text"),
+    )
     base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='parlance-')}"
     root = f"{base.rstrip('/')}/parlance/report-{uuid.uuid4().hex}"
 
@@ -108,14 +188,30 @@ def report_build(spark: SparkSession, sf_dir: str) -> DataFrame:
         return spark.read.schema(df.schema).parquet(f"{root}/{name}")
 
     made = reports.build_reports(lines, CountingChat, save, budget=REPORT_BUDGET)
-    return made.select("conv_id", "title", "summary", F.size("dialogue").cast("long").alias("lines"), F.size(F.filter("dialogue", lambda d: d["uncertain"])).cast("long").alias("uncertain"), F.col("diagnostics.synthesis_failed").alias("failed"))
+    return made.select(
+        "conv_id",
+        "title",
+        "summary",
+        F.size("dialogue").cast("long").alias("lines"),
+        F.size(F.filter("dialogue", lambda d: d["uncertain"])).cast("long").alias("uncertain"),
+        F.col("diagnostics.synthesis_failed").alias("failed"),
+    )
 
 
 def report_cache_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each document a usable cached report of the same text, or the document that must be worked on for it."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("id"), F.sha2(F.col("text").cast("binary"), 256).alias("sha"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(
+        F.col("doc_id").alias("id"),
+        F.sha2(F.col("text").cast("binary"), 256).alias("sha"),
+    )
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    cached = labels.join(docs, labels["doc_id"] == docs["id"]).select(F.col("doc_id").alias("report_id"), "sha", F.when(F.col("toxic") == 1, "r1").when(F.col("quality") == 1, "r2").alias("revision"), F.when(F.col("doc_id") % 2 == 1, "m").alias("model"), F.when(F.col("doc_id") % 5 == 0, 8192).when(F.col("doc_id") % 5 == 1, 4096).alias("context"))
+    cached = labels.join(docs, labels["doc_id"] == docs["id"]).select(
+        F.col("doc_id").alias("report_id"),
+        "sha",
+        F.when(F.col("toxic") == 1, "r1").when(F.col("quality") == 1, "r2").alias("revision"),
+        F.when(F.col("doc_id") % 2 == 1, "m").alias("model"),
+        F.when(F.col("doc_id") % 5 == 0, 8192).when(F.col("doc_id") % 5 == 1, 4096).alias("context"),
+    )
     return gr.reuse_reports(docs, cached, gr.compatible("r2", "m", 4096, "m"))
 
 
@@ -136,7 +232,14 @@ def live_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _systems(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(lines of two systems, reference lines): one system hears even turns only, the other all in capitals."""
-    lines = clocked_lines(spark, sf_dir).select(F.col("conv_id").alias("rec_id"), (F.col("turn") + 1).alias("line_id"), F.coalesce("role", F.lit("?")).alias("speaker"), (F.col("start_ms") / 1000).alias("start"), (F.col("end_ms") / 1000).alias("end"), "text")
+    lines = clocked_lines(spark, sf_dir).select(
+        F.col("conv_id").alias("rec_id"),
+        (F.col("turn") + 1).alias("line_id"),
+        F.coalesce("role", F.lit("?")).alias("speaker"),
+        (F.col("start_ms") / 1000).alias("start"),
+        (F.col("end_ms") / 1000).alias("end"),
+        "text",
+    )
     heard = lines.where("line_id % 2 = 0").withColumn("system", F.lit("B-spectral"))
     loud = lines.withColumn("text", F.length("text").cast("string")).withColumn("system", F.lit("oracle-mix"))
     return heard.unionByName(loud).withColumn("latin", F.concat(F.lit("~"), "text")), lines
@@ -152,8 +255,20 @@ def stage3_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def transcript_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The transcript of every conversation as a JSON document; those in which the system heard nothing stay."""
     systems, references = _systems(spark, sf_dir)
-    recordings = references.groupBy("rec_id").agg(F.max("end").alias("duration_s")).select("rec_id", F.lit("B").alias("order"), F.lit("hi").alias("language"), "duration_s")
-    heard = writers.stage3_transcript(systems.withColumn("start", F.floor("start").cast("long")).withColumn("end", F.floor("end").cast("long")).withColumn("text", F.length("text").cast("string")).withColumn("latin", F.lit("x")), references, "B-spectral")
+    recordings = references.groupBy("rec_id").agg(F.max("end").alias("duration_s")).select(
+        "rec_id",
+        F.lit("B").alias("order"),
+        F.lit("hi").alias("language"),
+        "duration_s",
+    )
+    heard = writers.stage3_transcript(
+        systems.withColumn("start", F.floor("start").cast("long")).withColumn("end", F.floor("end").cast("long")).withColumn(
+            "text",
+            F.length("text").cast("string"),
+        ).withColumn("latin", F.lit("x")),
+        references,
+        "B-spectral",
+    )
     return writers.transcript_json(heard, recordings.withColumn("duration_s", F.floor("duration_s").cast("long")))
 
 
@@ -168,7 +283,11 @@ def tuning_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def music_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of each segment by two nations' customers, in three amounts of accompaniment."""
-    c = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_mktsegment").alias("raga"), F.col("c_nationkey").cast("string").alias("singer"), F.col("c_custkey").alias("recording"))
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet").select(
+        F.col("c_mktsegment").alias("raga"),
+        F.col("c_nationkey").cast("string").alias("singer"),
+        F.col("c_custkey").alias("recording"),
+    )
     return simulation.music_design(c)
 
 
@@ -235,7 +354,27 @@ def _tok(c: str) -> str:
 
 _SYSTEMS_SQL = """, ref AS (SELECT conv_id AS rec_id, turn + 1 AS line_id, coalesce(role, '?') AS speaker, start_ms / 1000.0::DOUBLE AS "start", end_ms / 1000.0::DOUBLE AS "end", text FROM lines)
 """
-QUERIES = {f.__name__: f for f in (repair_guardrails, kept_lines, chunk_plan, action_validation, synthesis_fallback, report_build, report_cache_reuse, dedup_translate, live_payload, stage3_transcripts, transcript_documents, tuning_settings, music_set, noise_plan, turn_simulation, grouped_sampling, streaming_talk_time)}
+QUERIES = {
+    f.__name__: f for f in (
+        repair_guardrails,
+        kept_lines,
+        chunk_plan,
+        action_validation,
+        synthesis_fallback,
+        report_build,
+        report_cache_reuse,
+        dedup_translate,
+        live_payload,
+        stage3_transcripts,
+        transcript_documents,
+        tuning_settings,
+        music_set,
+        noise_plan,
+        turn_simulation,
+        grouped_sampling,
+        streaming_talk_time,
+    )
+}
 ORACLES = {
     "repair_guardrails": _CHECKED + "SELECT * FROM checked",
     "kept_lines": _CHECKED + "SELECT conv_id, count(*) AS lines, count(*) FILTER (changed) AS changed, count(reason) AS reverted, count(*) FILTER (uncertain) AS uncertain, count(*) FILTER (note LIKE '%skipped%') AS restored, count(*) FILTER (line_id = 1) AS unknown FROM checked GROUP BY conv_id",

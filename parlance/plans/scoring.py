@@ -29,7 +29,13 @@ def matched_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = lines.withColumn("ok", _matched("ref", _hypothesis(F.col("ref"))))
     count = lambda a: F.size(F.filter(a, lambda x: x)).cast("long")
     tagged = F.filter("ok", lambda x, i: i % 3 == 0)
-    return m.select("conv_id", "turn", count(F.col("ok")).alias("matched"), count(tagged).alias("tagged_matched"), F.size(tagged).cast("long").alias("tagged"))
+    return m.select(
+        "conv_id",
+        "turn",
+        count(F.col("ok")).alias("matched"),
+        count(tagged).alias("tagged_matched"),
+        F.size(tagged).cast("long").alias("tagged"),
+    )
 
 
 def speaker_texts(lines: DataFrame, speaker: str) -> DataFrame:
@@ -50,25 +56,48 @@ def cp_error(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _der(spark: SparkSession, sf_dir: str) -> DataFrame:
     reference = merged(spark, sf_dir).select("rec_id", "label", "start", "end").where("end > start")
-    moved = turns(spark, sf_dir).where("seq % 5 <> 0").withColumn("label", (F.col("label") + 1) % 3).withColumn("speaker", F.col("label").cast("string")).withColumn("start", F.col("start") + 500).withColumn("end", F.col("end") + 500)
-    hypothesis = iv.merge_turns(moved, K, order="seq").select("rec_id", F.col("speaker").cast("int").alias("label"), "start", "end").where("end > start")
+    moved = turns(spark, sf_dir).where("seq % 5 <> 0").withColumn("label", (F.col("label") + 1) % 3).withColumn(
+        "speaker",
+        F.col("label").cast("string"),
+    ).withColumn("start", F.col("start") + 500).withColumn("end", F.col("end") + 500)
+    hypothesis = iv.merge_turns(moved, K, order="seq").select(
+        "rec_id",
+        F.col("speaker").cast("int").alias("label"),
+        "start",
+        "end",
+    ).where("end > start")
     return assignment.der_parts(reference, hypothesis, K).withColumn("best", assignment.best_mapping())
 
 
 def der_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Missed, false alarm and confused time of each recording, and their share of the reference."""
     d = _der(spark, sf_dir).withColumn("confusion", F.col("paired") - F.col("best.matched"))
-    return d.select("rec_id", "total", "missed", "false_alarm", "confusion", F.expr("(missed + false_alarm + confusion) * 1000000 div greatest(total, 1)").alias("der_ppm"))
+    return d.select(
+        "rec_id",
+        "total",
+        "missed",
+        "false_alarm",
+        "confusion",
+        F.expr("(missed + false_alarm + confusion) * 1000000 div greatest(total, 1)").alias("der_ppm"),
+    )
 
 
 def jer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean Jaccard error of the reference speakers under the mapping of most shared time."""
     reference = merged(spark, sf_dir).where("end > start").groupBy("rec_id", "label").agg(F.sum(F.col("end") - F.col("start")).alias("t"))
-    moved = turns(spark, sf_dir).where("seq % 5 <> 0").withColumn("label", (F.col("label") + 1) % 3).withColumn("speaker", F.col("label").cast("string"))
-    hyp = iv.merge_turns(moved, K, order="seq").where("end > start").groupBy("rec_id", F.col("speaker").cast("int").alias("mapped")).agg(F.sum(F.col("end") - F.col("start")).alias("u"))
+    moved = turns(spark, sf_dir).where("seq % 5 <> 0").withColumn("label", (F.col("label") + 1) % 3).withColumn(
+        "speaker",
+        F.col("label").cast("string"),
+    )
+    hyp = iv.merge_turns(moved, K, order="seq").where("end > start").groupBy("rec_id", F.col("speaker").cast("int").alias("mapped")).agg(
+        F.sum(F.col("end") - F.col("start")).alias("u")
+    )
     d = _der(spark, sf_dir)
     shared = F.array(*(F.array(*(F.coalesce(F.col(f"o{i}{j}"), F.lit(0)) for j in range(3))) for i in range(3)))
-    own = reference.join(d.select("rec_id", F.col("best.mapping").alias("mapping"), shared.alias("o")), "rec_id").withColumn("mapped", F.get("mapping", "label"))
+    own = reference.join(
+        d.select("rec_id", F.col("best.mapping").alias("mapping"), shared.alias("o")),
+        "rec_id",
+    ).withColumn("mapped", F.get("mapping", "label"))
     own = own.withColumn("both", F.get(F.get("o", "label"), "mapped")).join(hyp, ["rec_id", "mapped"], "left")
     error = F.expr("(t + coalesce(u, 0) - 2 * both) * 1000000 div greatest(t + coalesce(u, 0) - both, 1)")
     return own.withColumn("e", error).groupBy("rec_id").agg(F.expr("sum(e) div count(*)").alias("jer_ppm"), F.count("*").alias("speakers"))

@@ -18,8 +18,19 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(item, system, cond, status, words, errors) of every line item."""
     words = F.floor("l_quantity").cast("long")
-    lines = _table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_returnflag").alias("system"), F.col("l_linestatus").alias("status"), words.alias("words"), (F.floor("l_extendedprice").cast("long") % (words + 1)).alias("errors"), F.col("l_linenumber").alias("line"))
-    orders = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("item"), F.col("o_orderpriority").alias("cond"))
+    lines = _table(spark, sf_dir, "lineitem").select(
+        "l_orderkey",
+        F.col("l_returnflag").alias("system"),
+        F.col("l_linestatus").alias("status"),
+        words.alias("words"),
+        (F.floor("l_extendedprice").cast("long") % (words + 1)).alias("errors"),
+        F.col("l_linenumber").alias("line"),
+    )
+    orders = _table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("l_orderkey"),
+        F.col("o_custkey").alias("item"),
+        F.col("o_orderpriority").alias("cond"),
+    )
     return lines.join(orders, "l_orderkey")
 
 
@@ -35,7 +46,13 @@ def _per_item(f: DataFrame) -> DataFrame:
 def pooled_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pooled rate and mean of the items' own rates for each system."""
     per = _per_item(facts(spark, sf_dir))
-    return per.groupBy("system").agg(F.sum("errors").alias("errors"), F.sum("words").alias("words"), F.round(st.pooled_rate("errors", "words"), 6).alias("pooled"), F.round(F.avg(F.col("errors") / F.greatest("words", F.lit(1))), 6).alias("macro"), F.count_distinct("item").alias("items"))
+    return per.groupBy("system").agg(
+        F.sum("errors").alias("errors"),
+        F.sum("words").alias("words"),
+        F.round(st.pooled_rate("errors", "words"), 6).alias("pooled"),
+        F.round(F.avg(F.col("errors") / F.greatest("words", F.lit(1))), 6).alias("macro"),
+        F.count_distinct("item").alias("items"),
+    )
 
 
 def condition_crosstab(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,9 +70,17 @@ def rollup_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def paired_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Systems A and R on the items that have both: mean difference, and who is better how often."""
-    wide = _per_item(facts(spark, sf_dir)).withColumn("rate", F.col("errors") / F.greatest("words", F.lit(1))).groupBy("item").pivot("system", ["A", "R"]).agg(F.first("rate"))
+    wide = _per_item(facts(spark, sf_dir)).withColumn(
+        "rate",
+        F.col("errors") / F.greatest("words", F.lit(1)),
+    ).groupBy("item").pivot("system", ["A", "R"]).agg(F.first("rate"))
     both = wide.where("A is not null and R is not null")
-    return both.agg(F.count("*").alias("n"), F.round(F.avg(F.col("A") - F.col("R")), 6).alias("mean_diff"), F.count_if(F.col("A") < F.col("R")).alias("helped"), F.count_if(F.col("A") > F.col("R")).alias("hurt"))
+    return both.agg(
+        F.count("*").alias("n"),
+        F.round(F.avg(F.col("A") - F.col("R")), 6).alias("mean_diff"),
+        F.count_if(F.col("A") < F.col("R")).alias("helped"),
+        F.count_if(F.col("A") > F.col("R")).alias("hurt"),
+    )
 
 
 #: The reference's count for items; groups take twice as many.
@@ -72,7 +97,10 @@ def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
 def group_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Interval of the pooled rate of system N by resampling whole nations, and how many nations are worse than the mean."""
     customers = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("item"), F.col("c_nationkey").alias("grp"))
-    per = _per_item(facts(spark, sf_dir)).where("system = 'N'").join(customers, "item").groupBy("grp").agg(F.sum("errors").alias("errors"), F.sum("words").alias("words"))
+    per = _per_item(facts(spark, sf_dir)).where("system = 'N'").join(customers, "item").groupBy("grp").agg(
+        F.sum("errors").alias("errors"),
+        F.sum("words").alias("words"),
+    )
     rates = st.interval(st.resampled(per, "grp", "errors", "words", 2 * RESAMPLES))
     everything = W.partitionBy()
     totals = per.withColumn("te", F.sum("errors").over(everything)).withColumn("tw", F.sum("words").over(everything))
@@ -82,7 +110,10 @@ def group_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _differences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(item, d): rate of system A less that of R on the items that have both."""
-    wide = _per_item(facts(spark, sf_dir)).withColumn("rate", F.col("errors") / F.greatest("words", F.lit(1))).groupBy("item").pivot("system", ["A", "R"]).agg(F.first("rate"))
+    wide = _per_item(facts(spark, sf_dir)).withColumn(
+        "rate",
+        F.col("errors") / F.greatest("words", F.lit(1)),
+    ).groupBy("item").pivot("system", ["A", "R"]).agg(F.first("rate"))
     return wide.where("A is not null and R is not null").select("item", (F.col("A") - F.col("R")).alias("d"))
 
 
@@ -107,7 +138,11 @@ def group_diff_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     customers = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("item"), F.col("c_nationkey").alias("grp"))
     groups = _differences(spark, sf_dir).join(customers, "item").groupBy("grp").agg(F.sum("d").alias("d"), F.count("*").alias("n"))
     rates = st.interval(st.resampled(groups, "grp", "d", "n", 2 * RESAMPLES, index=st.hashed_draw))
-    totals = groups.agg(F.round(F.sum("d") / F.sum("n"), 6).alias("mean_diff"), F.count_if(F.col("d") > 0).alias("worse"), F.count("*").alias("groups"))
+    totals = groups.agg(
+        F.round(F.sum("d") / F.sum("n"), 6).alias("mean_diff"),
+        F.count_if(F.col("d") > 0).alias("worse"),
+        F.count("*").alias("groups"),
+    )
     return totals.crossJoin(rates).select("mean_diff", "lo", "hi", "resamples", "worse", "groups")
 
 
@@ -115,10 +150,24 @@ def grid_argmin(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best discount setting of each system by pooled rate, then spread, and its rate at the default setting."""
     lines = _table(spark, sf_dir, "lineitem")
     words = F.floor("l_quantity").cast("long")
-    g = lines.select(F.col("l_returnflag").alias("system"), F.round(F.col("l_discount") * 100).cast("long").alias("setting"), words.alias("words"), (F.floor("l_extendedprice").cast("long") % (words + 1)).alias("errors"))
+    g = lines.select(
+        F.col("l_returnflag").alias("system"),
+        F.round(F.col("l_discount") * 100).cast("long").alias("setting"),
+        words.alias("words"),
+        (F.floor("l_extendedprice").cast("long") % (words + 1)).alias("errors"),
+    )
     rates = g.groupBy("system", "setting").agg(F.round(st.pooled_rate("errors", "words"), 6).alias("rate"), F.max("errors").alias("spread"))
-    best = rates.groupBy("system").agg(F.min(F.struct("rate", "spread", "setting")).alias("b"), F.max(F.when(F.col("setting") == 0, F.col("rate"))).alias("default_rate"))
-    return best.select("system", F.col("b.setting").alias("setting"), F.col("b.rate").alias("rate"), F.col("b.spread").alias("spread"), "default_rate")
+    best = rates.groupBy("system").agg(
+        F.min(F.struct("rate", "spread", "setting")).alias("b"),
+        F.max(F.when(F.col("setting") == 0, F.col("rate"))).alias("default_rate"),
+    )
+    return best.select(
+        "system",
+        F.col("b.setting").alias("setting"),
+        F.col("b.rate").alias("rate"),
+        F.col("b.spread").alias("spread"),
+        "default_rate",
+    )
 
 
 def median_row(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,7 +178,9 @@ def median_row(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def anti_join_speakers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers without an urgent order, in the segments of those with one."""
-    c, o = _table(spark, sf_dir, "customer"), _table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey"))
+    c, o = _table(spark, sf_dir, "customer"), _table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select(
+        F.col("o_custkey").alias("c_custkey")
+    )
     busy = c.join(o, "c_custkey", "left_semi").select("c_mktsegment").distinct()
     return c.join(o, "c_custkey", "left_anti").join(busy, "c_mktsegment", "left_semi").select("c_custkey", "c_mktsegment")
 
@@ -137,29 +188,67 @@ def anti_join_speakers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean, largest and pooled factor of each system and status, and the share of lines without errors."""
     f = facts(spark, sf_dir)
-    return f.groupBy("system", "status").agg(F.count("*").alias("n"), F.sum("words").alias("words"), F.max("errors").alias("most"), F.round(F.avg("errors"), 6).alias("mean"), F.round(F.try_divide(F.sum("errors"), F.sum("words")), 6).alias("factor"), F.round(F.avg((F.col("errors") == 0).cast("double")), 6).alias("exact_share"))
+    return f.groupBy("system", "status").agg(
+        F.count("*").alias("n"),
+        F.sum("words").alias("words"),
+        F.max("errors").alias("most"),
+        F.round(F.avg("errors"), 6).alias("mean"),
+        F.round(F.try_divide(F.sum("errors"), F.sum("words")), 6).alias("factor"),
+        F.round(F.avg((F.col("errors") == 0).cast("double")), 6).alias("exact_share"),
+    )
 
 
 def two_run_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order prices against the sums of their lines: matched, equal in status, and the range of the difference."""
-    lines = _table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sum(F.floor("l_extendedprice").cast("long")).alias("price_b"), F.max("l_linestatus").alias("status_b"))
-    j = _table(spark, sf_dir, "orders").select("o_orderkey", F.floor("o_totalprice").cast("long").alias("price_a"), F.col("o_orderstatus").alias("status_a")).join(lines, "o_orderkey")
+    lines = _table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
+        F.sum(F.floor("l_extendedprice").cast("long")).alias("price_b"),
+        F.max("l_linestatus").alias("status_b"),
+    )
+    j = _table(spark, sf_dir, "orders").select(
+        "o_orderkey",
+        F.floor("o_totalprice").cast("long").alias("price_a"),
+        F.col("o_orderstatus").alias("status_a"),
+    ).join(lines, "o_orderkey")
     d = F.col("price_b") - F.col("price_a")
-    return j.groupBy("status_a").agg(F.count("*").alias("n"), F.count_if(F.col("status_a") == F.col("status_b")).alias("same_status"), F.min(d).alias("least"), F.max(d).alias("most"), F.round(F.avg(d), 3).alias("mean"))
+    return j.groupBy("status_a").agg(
+        F.count("*").alias("n"),
+        F.count_if(F.col("status_a") == F.col("status_b")).alias("same_status"),
+        F.min(d).alias("least"),
+        F.max(d).alias("most"),
+        F.round(F.avg(d), 3).alias("mean"),
+    )
 
 
 def design_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents in the duration band with text, outside the tuning source, and how many are short."""
-    d = _table(spark, sf_dir, "documents").where((F.length("text").between(100, 2000)) & (F.trim("text") != "") & (F.coalesce("source", F.lit("")) != "src7"))
-    return d.groupBy("lang").agg(F.count("*").alias("n"), F.count_if(F.length("text") < 300).alias("short"), F.count_if(F.col("lang").isin("en", "de") & (F.col("n_chars") > 1000)).alias("long_pair"))
+    d = _table(spark, sf_dir, "documents").where(
+        (F.length("text").between(100, 2000)) & (F.trim("text") != "") & (F.coalesce("source", F.lit("")) != "src7")
+    )
+    return d.groupBy("lang").agg(
+        F.count("*").alias("n"),
+        F.count_if(F.length("text") < 300).alias("short"),
+        F.count_if(F.col("lang").isin("en", "de") & (F.col("n_chars") > 1000)).alias("long_pair"),
+    )
 
 
 def policy_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pooled rate and separated share by status and system, with urgent and low conditions beside, and empty results counted."""
     f = facts(spark, sf_dir)
-    main = f.groupBy("status", "system").agg(F.round(st.pooled_rate("errors", "words"), 6).alias("rate"), F.round(F.avg((F.col("line") > 3).cast("double")), 6).alias("share"), F.count_if(F.col("errors") == 0).alias("empty"))
+    main = f.groupBy("status", "system").agg(
+        F.round(st.pooled_rate("errors", "words"), 6).alias("rate"),
+        F.round(F.avg((F.col("line") > 3).cast("double")), 6).alias("share"),
+        F.count_if(F.col("errors") == 0).alias("empty"),
+    )
     wide = f.groupBy("status", "system").pivot("cond", ["1-URGENT", "5-LOW"]).agg(F.round(st.pooled_rate("errors", "words"), 6))
-    return main.join(wide, ["status", "system"]).select("status", "system", "rate", "share", "empty", F.col("`1-URGENT`").alias("urgent"), F.col("`5-LOW`").alias("low"))
+    return main.join(wide, ["status", "system"]).select(
+        "status",
+        "system",
+        "rate",
+        "share",
+        "empty",
+        F.col("`1-URGENT`").alias("urgent"),
+        F.col("`5-LOW`").alias("low"),
+    )
 
 
 def conversation_sides(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -186,21 +275,53 @@ ci AS (SELECT round(quantile_cont(rate, 0.025), 6) AS lo, round(quantile_cont(ra
 
 
 _RATE = "round(sum(errors) / greatest(sum(words), 1), 6)"
-QUERIES = {f.__name__: f for f in (pooled_rates, condition_crosstab, rollup_summary, paired_diff, bootstrap_ci, group_bootstrap, paired_diff_ci, plain_diff_ci, group_diff_ci, grid_argmin, median_row, anti_join_speakers, stage_benchmark, two_run_compare, design_filters, policy_compare, conversation_sides, busiest_recordings)}
+QUERIES = {
+    f.__name__: f for f in (
+        pooled_rates,
+        condition_crosstab,
+        rollup_summary,
+        paired_diff,
+        bootstrap_ci,
+        group_bootstrap,
+        paired_diff_ci,
+        plain_diff_ci,
+        group_diff_ci,
+        grid_argmin,
+        median_row,
+        anti_join_speakers,
+        stage_benchmark,
+        two_run_compare,
+        design_filters,
+        policy_compare,
+        conversation_sides,
+        busiest_recordings,
+    )
+}
 ORACLES = {
     "pooled_rates": FACTS + f"SELECT system, sum(errors)::BIGINT AS errors, sum(words)::BIGINT AS words, {_RATE} AS pooled, round(avg(errors / greatest(words, 1)), 6) AS macro, count(DISTINCT item) AS items FROM per GROUP BY system",
-    "condition_crosstab": FACTS + "SELECT system, " + ", ".join(f"round(sum(errors) FILTER (cond = '{c}') / greatest(sum(words) FILTER (cond = '{c}'), 1), 6) AS p{c[0]}" for c in LEVELS) + " FROM facts GROUP BY system",
+    "condition_crosstab": FACTS + "SELECT system, " + ", ".join(
+        f"round(sum(errors) FILTER (cond = '{c}') / greatest(sum(words) FILTER (cond = '{c}'), 1), 6) AS p{c[0]}" for c in LEVELS
+    ) + " FROM facts GROUP BY system",
     "rollup_summary": FACTS + "SELECT coalesce(system, 'all') AS system, coalesce(status, 'all') AS status, sum(errors)::BIGINT AS errors, sum(words)::BIGINT AS words, count(*) AS n FROM facts GROUP BY GROUPING SETS ((system, status), (system), ())",
     "paired_diff": FACTS + ", w AS (SELECT a.errors / greatest(a.words, 1) AS a, r.errors / greatest(r.words, 1) AS r FROM per a JOIN per r ON a.item = r.item AND a.system = 'A' AND r.system = 'R') SELECT count(*) AS n, round(avg(a - r), 6) AS mean_diff, count(*) FILTER (a < r) AS helped, count(*) FILTER (a > r) AS hurt FROM w",
     "bootstrap_ci": FACTS + ", own AS (SELECT * FROM per WHERE system = 'A')" + _boot_sql("own", "item", RESAMPLES) + "SELECT * FROM ci",
-    "group_bootstrap": FACTS + ", own AS (SELECT c_nationkey AS grp, sum(errors)::BIGINT AS errors, sum(words)::BIGINT AS words FROM per JOIN customer ON c_custkey = item WHERE system = 'N' GROUP BY 1)" + _boot_sql("own", "grp", 2 * RESAMPLES) + "SELECT ci.*, (SELECT count(*) FROM own WHERE errors * (SELECT sum(words) FROM own) > words * (SELECT sum(errors) FROM own)) AS worse, (SELECT count(*) FROM own) AS groups FROM ci",
+    "group_bootstrap": FACTS + ", own AS (SELECT c_nationkey AS grp, sum(errors)::BIGINT AS errors, sum(words)::BIGINT AS words FROM per JOIN customer ON c_custkey = item WHERE system = 'N' GROUP BY 1)" + _boot_sql(
+        "own",
+        "grp",
+        2 * RESAMPLES,
+    ) + "SELECT ci.*, (SELECT count(*) FROM own WHERE errors * (SELECT sum(words) FROM own) > words * (SELECT sum(errors) FROM own)) AS worse, (SELECT count(*) FROM own) AS groups FROM ci",
     "grid_argmin": f"WITH g AS (SELECT l_returnflag AS system, round(l_discount * 100)::BIGINT AS setting, floor(l_quantity)::BIGINT AS words, floor(l_extendedprice)::BIGINT % (floor(l_quantity)::BIGINT + 1) AS errors FROM lineitem), r AS (SELECT system, setting, {_RATE} AS rate, max(errors) AS spread FROM g GROUP BY ALL) SELECT system, setting, rate, spread, max(rate) FILTER (setting = 0) OVER (PARTITION BY system) AS default_rate FROM r QUALIFY row_number() OVER (PARTITION BY system ORDER BY rate, spread, setting) = 1",
     "median_row": "WITH r AS (SELECT o_orderpriority, o_totalprice, o_orderkey, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY o_orderpriority) AS n FROM orders WINDOW w AS (PARTITION BY o_orderpriority ORDER BY o_totalprice, o_orderkey)) SELECT o_orderpriority, o_totalprice, o_orderkey FROM r WHERE i = n // 2",
     "anti_join_speakers": "SELECT c_custkey, c_mktsegment FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT') AND c_mktsegment IN (SELECT c_mktsegment FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT'))",
     "stage_benchmark": FACTS + "SELECT system, status, count(*) AS n, sum(words)::BIGINT AS words, max(errors) AS most, round(avg(errors), 6) AS mean, round(sum(errors) / sum(words), 6) AS factor, round(avg((errors = 0)::INT), 6) AS exact_share FROM facts GROUP BY ALL",
     "two_run_compare": "WITH b AS (SELECT l_orderkey AS o_orderkey, sum(floor(l_extendedprice)::BIGINT)::BIGINT AS price_b, max(l_linestatus) AS status_b FROM lineitem GROUP BY 1), j AS (SELECT o_orderstatus AS status_a, status_b, price_b - floor(o_totalprice)::BIGINT AS d FROM orders JOIN b USING (o_orderkey)) SELECT status_a, count(*) AS n, count(*) FILTER (status_a = status_b) AS same_status, min(d) AS least, max(d) AS most, round(avg(d), 3) AS mean FROM j GROUP BY status_a",
     "design_filters": "SELECT lang, count(*) AS n, count(*) FILTER (length(text) < 300) AS short, count(*) FILTER (lang IN ('en', 'de') AND n_chars > 1000) AS long_pair FROM documents WHERE length(text) BETWEEN 100 AND 2000 AND trim(text) <> '' AND coalesce(source, '') <> 'src7' GROUP BY lang",
-    "policy_compare": FACTS + f"SELECT status, system, {_RATE} AS rate, round(avg((line > 3)::INT), 6) AS share, count(*) FILTER (errors = 0) AS empty, " + ", ".join(f"round(sum(errors) FILTER (cond = '{c}') / greatest(sum(words) FILTER (cond = '{c}'), 1), 6) AS {n}" for c, n in (("1-URGENT", "urgent"), ("5-LOW", "low"))) + " FROM facts GROUP BY ALL",
+    "policy_compare": FACTS + f"SELECT status, system, {_RATE} AS rate, round(avg((line > 3)::INT), 6) AS share, count(*) FILTER (errors = 0) AS empty, " + ", ".join(
+        f"round(sum(errors) FILTER (cond = '{c}') / greatest(sum(words) FILTER (cond = '{c}'), 1), 6) AS {n}" for c, n in (
+            ("1-URGENT", "urgent"),
+            ("5-LOW", "low"),
+        )
+    ) + " FROM facts GROUP BY ALL",
     "conversation_sides": "SELECT conv_id, role, length(arg_min(text, turn)) AS first_chars, count(*) AS n, sum(length(text))::BIGINT AS chars FROM conversations WHERE length(text) > 0 GROUP BY ALL HAVING count(*) >= 2 AND sum(length(text)) >= 300",
     "busiest_recordings": FACTS + "SELECT item, sum(words)::BIGINT AS words FROM facts GROUP BY item ORDER BY words DESC, item LIMIT 20",
 }

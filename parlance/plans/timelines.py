@@ -59,7 +59,13 @@ def running_max_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every turn with the reach of those before it, the gap to them and the next start."""
     by = W.partitionBy("rec_id").orderBy("start", "end", "seq")
     reach = F.max("end").over(by.rowsBetween(W.unboundedPreceding, -1))
-    return turns(spark, sf_dir).select("rec_id", "seq", reach.alias("reach"), (F.col("start") - reach).alias("gap"), F.lead("start").over(by).alias("next_start"))
+    return turns(spark, sf_dir).select(
+        "rec_id",
+        "seq",
+        reach.alias("reach"),
+        (F.col("start") - reach).alias("gap"),
+        F.lead("start").over(by).alias("next_start"),
+    )
 
 
 def concurrency_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,10 +83,19 @@ def overlap_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def overlap_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Speech and overlap in bins of a minute, their ratio and the most turns at once."""
-    bins = turns(spark, sf_dir).select("rec_id", F.expr(f"start div {FRAME}").alias("start"), F.expr(f"end div {FRAME}").alias("end"), F.lit(1).alias("on"))
+    bins = turns(spark, sf_dir).select(
+        "rec_id",
+        F.expr(f"start div {FRAME}").alias("start"),
+        F.expr(f"end div {FRAME}").alias("end"),
+        F.lit(1).alias("on"),
+    )
     cut = iv.slices(bins, K, ["on"])
     size = F.col("end") - F.col("start")
-    out = cut.groupBy("rec_id").agg(F.sum(F.when(F.col("on") > 0, size).otherwise(0)).alias("speech_bins"), F.sum(F.when(F.col("on") > 1, size).otherwise(0)).alias("overlap_bins"), F.max("on").alias("max_concurrent"))
+    out = cut.groupBy("rec_id").agg(
+        F.sum(F.when(F.col("on") > 0, size).otherwise(0)).alias("speech_bins"),
+        F.sum(F.when(F.col("on") > 1, size).otherwise(0)).alias("overlap_bins"),
+        F.max("on").alias("max_concurrent"),
+    )
     return out.withColumn("ratio_ppm", F.when(F.col("speech_bins") > 0, F.expr("overlap_bins * 1000000 div speech_bins")).otherwise(0))
 
 
@@ -88,7 +103,14 @@ def interval_intersect(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every non-empty intersection of a click turn with a view turn."""
     t = turns(spark, sf_dir).select("rec_id", "stream", "seq", "start", "end")
     pairs = iv.intersecting(t.where("stream = 'click'"), t.where("stream = 'view'"), K, CELL)
-    return pairs.select("rec_id", "seq_a", "seq_b", F.greatest("start_a", "start_b").alias("start"), F.least("end_a", "end_b").alias("end"), (F.least("end_a", "end_b") - F.greatest("start_a", "start_b")).alias("shared"))
+    return pairs.select(
+        "rec_id",
+        "seq_a",
+        "seq_b",
+        F.greatest("start_a", "start_b").alias("start"),
+        F.least("end_a", "end_b").alias("end"),
+        (F.least("end_a", "end_b") - F.greatest("start_a", "start_b")).alias("shared"),
+    )
 
 
 def region_complement(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,7 +128,12 @@ def overlap_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unordered pairs of turns of different speakers that share at least a minute."""
     t = turns(spark, sf_dir).select("rec_id", "speaker", "seq", "start", "end")
     pairs = iv.intersecting(t, t, K, CELL).where("seq_a < seq_b and speaker_a <> speaker_b")
-    return pairs.select("rec_id", "seq_a", "seq_b", (F.least("end_a", "end_b") - F.greatest("start_a", "start_b")).alias("shared")).where("shared >= 60000")
+    return pairs.select(
+        "rec_id",
+        "seq_a",
+        "seq_b",
+        (F.least("end_a", "end_b") - F.greatest("start_a", "start_b")).alias("shared"),
+    ).where("shared >= 60000")
 
 
 def nearest_other_speaker(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -143,7 +170,15 @@ def splice_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     overlaps = iv.concurrency(t.withColumn("seq", F.col("start")), K, "seq")
     cut = iv.intersecting(t, overlaps, K, CELL)
     lo, hi = F.greatest("start_a", "start_b"), F.least("end_a", "end_b")
-    return cut.select("rec_id", F.col("speaker_a").alias("speaker"), F.col("start_a").alias("turn_start"), lo.alias("lo"), hi.alias("hi"), F.least(lo + 20, hi).alias("fade_in_end"), F.greatest(hi - 20, lo).alias("fade_out_start"))
+    return cut.select(
+        "rec_id",
+        F.col("speaker_a").alias("speaker"),
+        F.col("start_a").alias("turn_start"),
+        lo.alias("lo"),
+        hi.alias("hi"),
+        F.least(lo + 20, hi).alias("fade_in_end"),
+        F.greatest(hi - 20, lo).alias("fade_out_start"),
+    )
 
 
 def labelled_frames(t: DataFrame) -> DataFrame:
@@ -168,7 +203,10 @@ def flicker_smooth(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _energy(t: DataFrame, keys: list[str]) -> DataFrame:
-    return t.withColumn("frame", F.expr(f"start div {FRAME}")).groupBy(*keys, "frame").agg(F.sum(F.col("amp") * F.col("amp")).alias("power"), F.count("*").alias("n"))
+    return t.withColumn("frame", F.expr(f"start div {FRAME}")).groupBy(*keys, "frame").agg(
+        F.sum(F.col("amp") * F.col("amp")).alias("power"),
+        F.count("*").alias("n"),
+    )
 
 
 def _active_regions(energy: DataFrame, keys: list[str], fill: int, least: int) -> DataFrame:
@@ -193,7 +231,9 @@ def direct_players(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def leakage_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frames of each track after a speaker's quieter copies and tracks 6 dB below another are dropped."""
-    e = turns(spark, sf_dir).withColumn("frame", F.expr("start div 600000")).groupBy("rec_id", "frame", "stream", "speaker").agg(F.sum(F.col("amp") * F.col("amp")).alias("power"))
+    e = turns(spark, sf_dir).withColumn("frame", F.expr("start div 600000")).groupBy("rec_id", "frame", "stream", "speaker").agg(
+        F.sum(F.col("amp") * F.col("amp")).alias("power")
+    )
     return dz.prune_leakage(e, K)
 
 
@@ -209,7 +249,10 @@ def asof_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def settled_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns that ended three seconds or more before the newest start of their recording."""
-    return turns(spark, sf_dir).withColumn("newest", F.max("start").over(W.partitionBy("rec_id"))).where("end + 3000 <= newest").select("rec_id", "seq", "start", "end")
+    return turns(spark, sf_dir).withColumn(
+        "newest",
+        F.max("start").over(W.partitionBy("rec_id")),
+    ).where("end + 3000 <= newest").select("rec_id", "seq", "start", "end")
 
 
 def split_long_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -217,21 +260,40 @@ def split_long_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     unit, most = 10_000, 600_000
     t = turns(spark, sf_dir).where("end > start")
     first = lambda at: F.floor((at + most * 6 // 10 + unit - 1) / unit)
-    quiet = lambda at: F.array_min(F.transform(F.sequence(first(at), F.floor((at + most) / unit)), lambda f: F.struct(((f * 7919) % 1000).alias("energy"), f.alias("frame"))))["frame"] * unit
+    quiet = lambda at: F.array_min(
+        F.transform(F.sequence(first(at), F.floor((at + most) / unit)), lambda f: F.struct(((f * 7919) % 1000).alias("energy"), f.alias("frame")))
+    )["frame"] * unit
     steps = F.sequence(F.lit(1).cast("long"), F.ceil((F.col("end") - F.col("start")) / (most * 6 // 10)) + 1)
-    cuts = F.aggregate(steps, F.array(F.col("start")), lambda a, _: F.when(F.col("end") - F.element_at(a, -1) > most, F.concat(a, F.array(quiet(F.element_at(a, -1))))).otherwise(a))
+    cuts = F.aggregate(
+        steps,
+        F.array(F.col("start")),
+        lambda a, _: F.when(F.col("end") - F.element_at(a, -1) > most, F.concat(a, F.array(quiet(F.element_at(a, -1))))).otherwise(a),
+    )
     pieces = t.select("rec_id", "seq", F.concat(cuts, F.array("end")).alias("c"))
-    return pieces.select("rec_id", "seq", F.posexplode(F.slice("c", F.lit(1), F.size("c") - 1)).alias("piece", "start"), "c").select("rec_id", "seq", F.col("piece").cast("long").alias("piece"), "start", F.get("c", F.col("piece") + 1).alias("end"))
+    return pieces.select("rec_id", "seq", F.posexplode(F.slice("c", F.lit(1), F.size("c") - 1)).alias("piece", "start"), "c").select(
+        "rec_id",
+        "seq",
+        F.col("piece").cast("long").alias("piece"),
+        "start",
+        F.get("c", F.col("piece") + 1).alias("end"),
+    )
 
 
 def beat_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hours in which all eight beats occur, whose next hour has beat 1, between 50 and 70 minutes long."""
-    t = turns(spark, sf_dir).select(F.substring("rec_id", 1, 10).alias("day"), F.expr("start div 3600000").alias("cycle"), (F.expr("start div 60000") % 8 + 1).alias("beat"), "start")
+    t = turns(spark, sf_dir).select(
+        F.substring("rec_id", 1, 10).alias("day"),
+        F.expr("start div 3600000").alias("cycle"),
+        (F.expr("start div 60000") % 8 + 1).alias("beat"),
+        "start",
+    )
     # The first beat of a cycle is searched in all of it, so cycles need no order among beats.
     per = t.groupBy("day", "cycle").agg(F.count_distinct("beat").alias("beats"), F.min(F.when(F.col("beat") == 1, F.col("start"))).alias("one"))
     by = W.partitionBy("day").orderBy("cycle")
     nxt = F.when(F.lead("cycle").over(by) == F.col("cycle") + 1, F.lead("one").over(by))
-    return per.withColumn("next_one", nxt).where("beats = 8 and next_one - one > 3000000 and next_one - one < 4200000").select("day", "cycle", "one", "next_one")
+    return per.withColumn("next_one", nxt).where(
+        "beats = 8 and next_one - one > 3000000 and next_one - one < 4200000"
+    ).select("day", "cycle", "one", "next_one")
 
 
 def envelope_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -243,14 +305,21 @@ def activity_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Overlap share of speech over the speakers' merged turns with positive length."""
     t = iv.merge_turns(turns(spark, sf_dir).where("end > start"), K, order="seq").select("rec_id", "start", "end", F.lit(1).alias("on"))
     size = F.col("end") - F.col("start")
-    out = iv.slices(t, K, ["on"]).groupBy("rec_id").agg(F.sum(F.when(F.col("on") > 0, size).otherwise(0)).alias("speech_ms"), F.sum(F.when(F.col("on") > 1, size).otherwise(0)).alias("overlap_ms"))
+    out = iv.slices(t, K, ["on"]).groupBy("rec_id").agg(
+        F.sum(F.when(F.col("on") > 0, size).otherwise(0)).alias("speech_ms"),
+        F.sum(F.when(F.col("on") > 1, size).otherwise(0)).alias("overlap_ms"),
+    )
     return out.withColumn("ratio_ppm", F.when(F.col("speech_ms") > 0, F.expr("overlap_ms * 1000000 div speech_ms")).otherwise(0))
 
 
 def distinct_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Speakers and streams of each recording, the count error against two speakers, and the first turn of each."""
     t = turns(spark, sf_dir)
-    per = t.groupBy("rec_id").agg(F.count_distinct("speaker").alias("speakers"), F.count_distinct("stream").alias("streams"), F.min_by("seq", F.struct("start", "seq")).alias("first_seq"))
+    per = t.groupBy("rec_id").agg(
+        F.count_distinct("speaker").alias("speakers"),
+        F.count_distinct("stream").alias("streams"),
+        F.min_by("seq", F.struct("start", "seq")).alias("first_seq"),
+    )
     return per.withColumn("count_error", F.abs(F.col("speakers") - 2))
 
 
@@ -269,7 +338,13 @@ def cluster_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def windows_in_time(embeddings: DataFrame) -> DataFrame:
     """(rec_id, label, start, end, seq) of the windows, fifty to a recording."""
     start = F.col("vec_id") % 50 * 120_000
-    return embeddings.select(F.expr("cast(vec_id div 50 as string)").alias("rec_id"), (F.col("label") % 3).cast("int").alias("label"), start.alias("start"), (start + 240_000).alias("end"), F.col("vec_id").alias("seq"))
+    return embeddings.select(
+        F.expr("cast(vec_id div 50 as string)").alias("rec_id"),
+        (F.col("label") % 3).cast("int").alias("label"),
+        start.alias("start"),
+        (start + 240_000).alias("end"),
+        F.col("vec_id").alias("seq"),
+    )
 
 
 WINDOWS = "WITH turns AS (SELECT (vec_id // 50)::VARCHAR AS rec_id, (label % 3)::INT AS label, vec_id % 50 * 120000 AS s, vec_id % 50 * 120000 + 240000 AS e, vec_id AS seq FROM embeddings)\n"
@@ -319,7 +394,39 @@ SELECT rec_id, {key}, min(frame) AS "first", max(frame) + 1 AS "last" FROM g1 GR
 
 _OVER = MERGED + _sweep_sql("merged", "ov", "s")
 
-QUERIES = {f.__name__: f for f in (turns_merge, running_max_merge, concurrency_sweep, overlap_regions, overlap_stats, interval_intersect, region_complement, sliding_windows, overlap_pairs, nearest_other_speaker, overlap_speakers, overlap_partner, main_speakers, cluster_timeline, clean_spans, splice_plan, frame_votes, run_length, flicker_smooth, energy_activity, direct_players, leakage_prune, asof_fill, settled_lines, split_long_spans, beat_cycles, envelope_bins, activity_ratio, distinct_counts)}
+QUERIES = {
+    f.__name__: f for f in (
+        turns_merge,
+        running_max_merge,
+        concurrency_sweep,
+        overlap_regions,
+        overlap_stats,
+        interval_intersect,
+        region_complement,
+        sliding_windows,
+        overlap_pairs,
+        nearest_other_speaker,
+        overlap_speakers,
+        overlap_partner,
+        main_speakers,
+        cluster_timeline,
+        clean_spans,
+        splice_plan,
+        frame_votes,
+        run_length,
+        flicker_smooth,
+        energy_activity,
+        direct_players,
+        leakage_prune,
+        asof_fill,
+        settled_lines,
+        split_long_spans,
+        beat_cycles,
+        envelope_bins,
+        activity_ratio,
+        distinct_counts,
+    )
+}
 ORACLES = {
     "turns_merge": TURNS + MERGED + 'SELECT rec_id, speaker, s AS "start", e AS "end", n, stream FROM merged',
     "running_max_merge": TURNS + "SELECT rec_id, seq, max(e) OVER p AS reach, s - max(e) OVER p AS gap, lead(s) OVER (PARTITION BY rec_id ORDER BY s, e, seq) AS next_start FROM turns WINDOW p AS (PARTITION BY rec_id ORDER BY s, e, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)",
@@ -345,9 +452,15 @@ UNION ALL SELECT rec_id, greatest(s, e - 600000), e FROM r""",
     "nearest_other_speaker": TURNS + _OVER + """, x AS (SELECT o.rec_id, o.s AS r0, o.e AS r1, m.speaker, m.s, bool_or(m.s < o.e AND m.e > o.s) OVER (PARTITION BY o.rec_id, o.s, o.e, m.speaker) AS active,
   CASE WHEN 2 * m.s <= o.s + o.e AND o.s + o.e <= 2 * m.e THEN 0 ELSE least(abs(2 * m.s - o.s - o.e), abs(2 * m.e - o.s - o.e)) END AS dist FROM ov o JOIN merged m USING (rec_id))
 SELECT rec_id, r0, r1, speaker, dist AS double_distance FROM x WHERE NOT active QUALIFY row_number() OVER (PARTITION BY rec_id, r0, r1 ORDER BY dist, s, speaker) = 1""",
-    "overlap_speakers": TURNS + SPEECH + RUNS + _sweep_sql("turns", "ov") + ", tn AS (SELECT rec_id, 'Speaker_' || chr(65 + label) AS speaker, f * 60000 AS s, (l + 1) * 60000 AS e FROM runs)" + ADDED,
+    "overlap_speakers": TURNS + SPEECH + RUNS + _sweep_sql(
+        "turns",
+        "ov",
+    ) + ", tn AS (SELECT rec_id, 'Speaker_' || chr(65 + label) AS speaker, f * 60000 AS s, (l + 1) * 60000 AS e FROM runs)" + ADDED,
     "main_speakers": TURNS + MERGED + ", p AS (SELECT rec_id, speaker, sum(e - s)::BIGINT AS talk, min(s) AS since FROM merged GROUP BY ALL) SELECT rec_id, row_number() OVER (PARTITION BY rec_id ORDER BY talk DESC, since, speaker) AS rank, speaker, talk FROM p QUALIFY rank <= 2",
-    "cluster_timeline": WINDOWS + SPEECH + RUNS + _smooth_sql("runs", "p1") + _smooth_sql("p1", "p2") + _smooth_sql("p2", "p3") + ", tn AS (SELECT rec_id, 'Speaker_' || chr(65 + label) AS speaker, f * 60000 AS s, (l + 1) * 60000 AS e FROM p3), ov AS (SELECT rec_id, s + 60000 AS s, s + 180000 AS e FROM turns WHERE seq % 9 = 0)" + ADDED,
+    "cluster_timeline": WINDOWS + SPEECH + RUNS + _smooth_sql(
+        "runs",
+        "p1",
+    ) + _smooth_sql("p1", "p2") + _smooth_sql("p2", "p3") + ", tn AS (SELECT rec_id, 'Speaker_' || chr(65 + label) AS speaker, f * 60000 AS s, (l + 1) * 60000 AS e FROM p3), ov AS (SELECT rec_id, s + 60000 AS s, s + 180000 AS e FROM turns WHERE seq % 9 = 0)" + ADDED,
     "overlap_partner": TURNS + MERGED + """SELECT a.rec_id, a.speaker, a.s AS "start", b.speaker AS other, least(a.e, b.e) - greatest(a.s, b.s) AS shared FROM merged a JOIN merged b ON a.rec_id = b.rec_id AND a.speaker <> b.speaker AND a.s < b.e AND a.e > b.s AND a.e > a.s AND b.e > b.s
 QUALIFY row_number() OVER (PARTITION BY a.rec_id, a.speaker, a.s ORDER BY shared DESC, b.s, b.speaker) = 1""",
     "clean_spans": TURNS + _OVER + """, c AS (SELECT m.rec_id, m.speaker, m.s, m.e, o.s AS lo, o.e AS hi FROM merged m JOIN ov o ON m.rec_id = o.rec_id AND m.s < o.e AND m.e > o.s UNION ALL SELECT rec_id, speaker, s, e, e, e FROM merged),
@@ -357,7 +470,10 @@ SELECT rec_id, speaker, a AS "start", b AS "end", row_number() OVER (PARTITION B
 FROM merged m JOIN ov o ON m.rec_id = o.rec_id AND m.s < o.e AND m.e > o.s""",
     "frame_votes": TURNS + SPEECH + "SELECT rec_id, frame, label FROM frames",
     "run_length": TURNS + SPEECH + RUNS + "SELECT rec_id, 'Speaker_' || chr(65 + label) AS speaker, f * 60000 AS \"start\", (l + 1) * 60000 AS \"end\" FROM runs",
-    "flicker_smooth": TURNS + SPEECH + RUNS + _smooth_sql("runs", "p1") + _smooth_sql("p1", "p2") + _smooth_sql("p2", "p3") + 'SELECT rec_id, label, f AS "first", l AS "last" FROM p3',
+    "flicker_smooth": TURNS + SPEECH + RUNS + _smooth_sql(
+        "runs",
+        "p1",
+    ) + _smooth_sql("p1", "p2") + _smooth_sql("p2", "p3") + 'SELECT rec_id, label, f AS "first", l AS "last" FROM p3',
     "energy_activity": _active_sql("speaker", 15, 2),
     "direct_players": _active_sql("stream", 36, 1),
     "leakage_prune": TURNS + """, e0 AS (SELECT rec_id, s // 600000 AS frame, stream, speaker, sum(amp * amp)::BIGINT AS power FROM turns GROUP BY ALL),

@@ -52,7 +52,10 @@ def outside_turns(found: DataFrame, keys: list[str]) -> DataFrame:
     first = F.min("start").over(W.partitionBy(*keys, "label"))
     dense = F.dense_rank().over(W.partitionBy(*keys).orderBy("first", "label")) - 1
     named = found.withColumn("first", first).withColumn("dense", dense)
-    return iv.merge_turns(named.select(*keys, dz.speaker_name(F.col("dense")).alias("speaker"), "start", "end"), keys).select(*keys, "speaker", "start", "end")
+    return iv.merge_turns(
+        named.select(*keys, dz.speaker_name(F.col("dense")).alias("speaker"), "start", "end"),
+        keys,
+    ).select(*keys, "speaker", "start", "end")
 
 
 #: Separators by name; neural ones register themselves.
@@ -99,7 +102,9 @@ class DurationRecogniser:
 def transcribe(clips: list[np.ndarray], model: Recogniser, *, most: float = 30.0, least: float = 0.1, batch: int = 4) -> list[str]:
     """Texts of clips in order: too short ones are empty, long ones are cut, pieces go longest first in batches."""
     clips = [signals.clip(np.array(list(c)) if getattr(c, "dtype", None) == object else c) for c in clips]
-    pieces = [(k, n, p) for k, clip in enumerate(clips) if len(clip) >= least * signals.RATE for n, p in enumerate(signals.split_at_quiet(clip, most))]
+    pieces = [
+        (k, n, p) for k, clip in enumerate(clips) if len(clip) >= least * signals.RATE for n, p in enumerate(signals.split_at_quiet(clip, most))
+    ]
     order = sorted(range(len(pieces)), key=lambda i: -len(pieces[i][2]))
     said: dict[tuple[int, int], str] = {}
     for lo in range(0, len(order), batch):
@@ -200,7 +205,13 @@ class HttpChat:
                 raise ConnectionFailed(str(error)) from error
 
     def complete(self, system: str, user: str, max_tokens: int, schema: dict | None = None) -> str:
-        body = {"model": self.model, "temperature": 0, "seed": 0, "max_tokens": max_tokens, "messages": [{"role": "system", "content": system}, {"role": "user", "content": user}]}
+        body = {
+            "model": self.model,
+            "temperature": 0,
+            "seed": 0,
+            "max_tokens": max_tokens,
+            "messages": [{"role": "system", "content": system}, {"role": "user", "content": user}],
+        }
         if schema and self.use_schema:
             try:
                 return self._answer(body | {"response_format": {"type": "json_object", "schema": schema}})

@@ -51,14 +51,27 @@ def read_field_speech(spark: SparkSession, path: str, *, with_audio: bool = Fals
     """Field recordings; the transcription flag may be any spelling of a boolean."""
     raw = spark.read.parquet(path)
     flag = F.lower(F.col("isTranscriptionAvailable").cast("string")).isin("yes", "true", "1")
-    return raw.select("duration", "speakerID", "gender", "district", flag.alias("transcribed"), *([F.col("audio.bytes").alias("audio_bytes")] if with_audio else []))
+    return raw.select(
+        "duration",
+        "speakerID",
+        "gender",
+        "district",
+        flag.alias("transcribed"),
+        *([F.col("audio.bytes").alias("audio_bytes")] if with_audio else []),
+    )
 
 
 def read_transcribed_field_speech(spark: SparkSession, path: str, *, with_audio: bool = False) -> DataFrame:
     """Field recordings with their spoken words and the English spellings by word index."""
     ship_package(spark)
     raw = spark.read.parquet(path).withColumn("p", transliterate.code_switches(F.coalesce("transcript", F.lit(""))))
-    return raw.select("gender", "district", F.col("p.text").alias("text"), F.col("p.english").alias("english"), *([F.col("audio.bytes").alias("audio_bytes")] if with_audio else []))
+    return raw.select(
+        "gender",
+        "district",
+        F.col("p.text").alias("text"),
+        F.col("p.english").alias("english"),
+        *([F.col("audio.bytes").alias("audio_bytes")] if with_audio else []),
+    )
 
 
 def take_rows(source: DataFrame, picks: DataFrame, key: str, pushed: int = 1000) -> DataFrame:
@@ -77,7 +90,12 @@ def read_rttm(spark: SparkSession, path: str) -> DataFrame:
     p = F.split(F.trim("value"), r"\s+")
     rows = spark.read.text(path).where((F.size(p) >= 8) & (F.get(p, F.lit(0)) == "SPEAKER"))
     start = F.get(p, F.lit(3)).cast("double")
-    return rows.select(F.get(p, F.lit(1)).alias("rec_id"), F.get(p, F.lit(7)).alias("speaker"), start.alias("start"), (start + F.get(p, F.lit(4)).cast("double")).alias("end"))
+    return rows.select(
+        F.get(p, F.lit(1)).alias("rec_id"),
+        F.get(p, F.lit(7)).alias("speaker"),
+        start.alias("start"),
+        (start + F.get(p, F.lit(4)).cast("double")).alias("end"),
+    )
 
 
 def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
@@ -119,30 +137,47 @@ def read_beats(spark: SparkSession, path: str) -> DataFrame:
     point = r'<point frame="(\d+)" label="(\d+)\.(\d+)"'
     parts = [F.regexp_extract_all("value", F.lit(point), F.lit(k)).alias(n) for k, n in ((1, "frame"), (2, "cycle"), (3, "beat"))]
     rows = files.select("file", rate.alias("rate"), *parts).select("file", "rate", F.explode(F.arrays_zip("frame", "cycle", "beat")).alias("p"))
-    return rows.select("file", F.col("p.cycle").cast("int").alias("cycle"), F.col("p.beat").cast("int").alias("beat"), (F.col("p.frame").cast("double") / F.col("rate")).alias("t"))
+    return rows.select(
+        "file",
+        F.col("p.cycle").cast("int").alias("cycle"),
+        F.col("p.beat").cast("int").alias("beat"),
+        (F.col("p.frame").cast("double") / F.col("rate")).alias("t"),
+    )
 
 
 def read_tonics(spark: SparkSession, path: str) -> DataFrame:
     """(singer, tonic_hz) of a YAML file of ``name: number`` lines; comments and nested keys are skipped."""
     pattern = r"^([A-Za-z_][\w-]*)\s*:\s*([0-9.]+)\s*(?:#.*)?$"
     rows = spark.read.text(path).where(F.rlike("value", F.lit(pattern)))
-    return rows.select(F.lower(F.regexp_extract("value", pattern, 1)).alias("singer"), F.regexp_extract("value", pattern, 2).cast("double").alias("tonic_hz"))
+    return rows.select(
+        F.lower(F.regexp_extract("value", pattern, 1)).alias("singer"),
+        F.regexp_extract("value", pattern, 2).cast("double").alias("tonic_hz"),
+    )
 
 
 def list_recordings(spark: SparkSession, audio: str, annotations: DataFrame, tonics: DataFrame) -> DataFrame:
     """Recordings (path, singer, raga, tonic_hz) named ``varnam-by-S-in-R-raaga`` that have an annotation (singer, raga)."""
     files = spark.read.format("binaryFile").load(audio).select("path")
     pattern = r"varnam-by-([a-z]+)-in-([a-z]+)-raaga"
-    named = files.where(F.rlike("path", F.lit(pattern))).select("path", F.regexp_extract("path", pattern, 1).alias("singer"), F.regexp_extract("path", pattern, 2).alias("raga"))
+    named = files.where(F.rlike("path", F.lit(pattern))).select(
+        "path",
+        F.regexp_extract("path", pattern, 1).alias("singer"),
+        F.regexp_extract("path", pattern, 2).alias("raga"),
+    )
     return named.join(annotations.select("singer", "raga").distinct(), ["singer", "raga"]).join(F.broadcast(tonics), "singer")
 
 
 def list_strokes(spark: SparkSession, path: str, split: str) -> DataFrame:
     """(stroke, take, path) of stroke samples; odd takes are for development, even ones for testing."""
     pattern = r"__([a-z]+)-[a-z#]+-(\d+)\.wav$"
-    files = spark.read.format("binaryFile").load(path).select("path", F.lower(F.replace("path", F.lit("%23"), F.lit("#"))).alias("low")).where(F.rlike("low", F.lit(pattern)))
+    files = spark.read.format("binaryFile").load(path).select(
+        "path",
+        F.lower(F.replace("path", F.lit("%23"), F.lit("#"))).alias("low"),
+    ).where(F.rlike("low", F.lit(pattern)))
     take = F.regexp_extract("low", pattern, 2).cast("int")
-    return files.select(F.regexp_extract("low", pattern, 1).alias("stroke"), take.alias("take"), "path").where(F.pmod("take", F.lit(2)) == (1 if split == "dev" else 0))
+    return files.select(F.regexp_extract("low", pattern, 1).alias("stroke"), take.alias("take"), "path").where(
+        F.pmod("take", F.lit(2)) == (1 if split == "dev" else 0)
+    )
 
 
 def noise_beds(beds: DataFrame, split: str, samples: str = "samples") -> DataFrame:
@@ -159,11 +194,16 @@ def noise_events(meta: DataFrame, categories: list[str], split: str) -> DataFram
 
 def with_tracks(references: DataFrame, audio: DataFrame) -> DataFrame:
     """References (rec_id, ...) with their mixture and their sources from audio rows (rec_id, name, samples): ``mix`` is the mixture."""
-    per = audio.groupBy("rec_id").agg(F.first(F.when(F.col("name") == "mix", F.col("samples")), ignorenulls=True).alias("mix"), F.map_from_entries(F.collect_list(F.when(F.col("name") != "mix", F.struct("name", "samples")))).alias("sources"))
+    per = audio.groupBy("rec_id").agg(
+        F.first(F.when(F.col("name") == "mix", F.col("samples")), ignorenulls=True).alias("mix"),
+        F.map_from_entries(F.collect_list(F.when(F.col("name") != "mix", F.struct("name", "samples")))).alias("sources"),
+    )
     return references.join(per, "rec_id")
 
 
 def read_references(spark: SparkSession, path: str) -> DataFrame:
     """(file, speaker, start, end) of the spoken stretches of reference documents."""
-    docs = spark.read.schema("duration_s double, speakers array<string>, activity array<struct<start: double, end: double, speaker: string>>").option("multiLine", True).json(path)
+    docs = spark.read.schema(
+        "duration_s double, speakers array<string>, activity array<struct<start: double, end: double, speaker: string>>"
+    ).option("multiLine", True).json(path)
     return docs.withColumn("file", F.input_file_name()).select("file", "duration_s", F.inline("activity"))

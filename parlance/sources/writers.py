@@ -16,15 +16,39 @@ from parlance.functions import text as tx
 
 def timeline_json(turns: DataFrame, key: str = "rec_id") -> DataFrame:
     """(key, json): turns of each recording by start, as clock strings and seconds."""
-    entry = F.struct(F.col("start").alias("start_s"), tx.clock(F.col("start")).alias("from"), tx.clock(F.col("end")).alias("to"), F.round("end", 2).alias("end_s"), "speaker")
+    entry = F.struct(
+        F.col("start").alias("start_s"),
+        tx.clock(F.col("start")).alias("from"),
+        tx.clock(F.col("end")).alias("to"),
+        F.round("end", 2).alias("end_s"),
+        "speaker",
+    )
     ordered = F.array_sort(F.collect_list(entry))
-    shown = F.transform(ordered, lambda x: F.struct(x["from"].alias("start"), x["to"].alias("end"), F.round(x["start_s"], 2).alias("start_s"), x["end_s"].alias("end_s"), x["speaker"].alias("speaker")))
+    shown = F.transform(
+        ordered,
+        lambda x: F.struct(
+            x["from"].alias("start"),
+            x["to"].alias("end"),
+            F.round(x["start_s"], 2).alias("start_s"),
+            x["end_s"].alias("end_s"),
+            x["speaker"].alias("speaker"),
+        ),
+    )
     return turns.groupBy(key).agg(F.to_json(shown).alias("json"))
 
 
 def transcript_text(lines: DataFrame, key: str = "rec_id", text: str = "text") -> DataFrame:
     """(key, text): ``[MM:SS - MM:SS] speaker: text`` lines by start; empty lines are left out."""
-    line = F.concat(F.lit("["), tx.clock(F.col("start")), F.lit(" - "), tx.clock(F.col("end")), F.lit("] "), F.col("speaker"), F.lit(": "), F.col(text))
+    line = F.concat(
+        F.lit("["),
+        tx.clock(F.col("start")),
+        F.lit(" - "),
+        tx.clock(F.col("end")),
+        F.lit("] "),
+        F.col("speaker"),
+        F.lit(": "),
+        F.col(text),
+    )
     ordered = F.array_sort(F.collect_list(F.struct("start", "line_id", line.alias("line"))))
     return lines.where(F.trim(text) != "").groupBy(key).agg(F.array_join(F.transform(ordered, lambda x: x["line"]), "\n").alias("text"))
 
@@ -33,7 +57,18 @@ def subtitles(lines: DataFrame, key: str = "rec_id", text: str = "text", *, renu
     """(key, srt): numbers count all lines unless ``renumber``, so that dropped empty lines leave gaps."""
     ordered = F.array_sort(F.collect_list(F.struct("start", "line_id", "end", "speaker", F.col(text).alias("said"))))
     ms = lambda s: F.round(s * 1000).cast("long")
-    entry = lambda x, n: F.concat((n + 1).cast("string"), F.lit("\n"), tx.srt_time(ms(x["start"])), F.lit(" --> "), tx.srt_time(ms(x["end"])), F.lit("\n"), x["speaker"], F.lit(": "), x["said"], F.lit("\n"))
+    entry = lambda x, n: F.concat(
+        (n + 1).cast("string"),
+        F.lit("\n"),
+        tx.srt_time(ms(x["start"])),
+        F.lit(" --> "),
+        tx.srt_time(ms(x["end"])),
+        F.lit("\n"),
+        x["speaker"],
+        F.lit(": "),
+        x["said"],
+        F.lit("\n"),
+    )
     spoken = lambda xs: F.filter(xs, lambda x: F.trim(x["said"]) != "")
     if renumber:
         entries = F.transform(spoken(ordered), entry)
@@ -51,10 +86,22 @@ def transcript_json(lines: DataFrame, recordings: DataFrame, key: str = "rec_id"
     """
     entry = F.struct("start", "line_id", "end", "speaker", "text", "latin")
     per = lines.groupBy(key).agg(F.array_sort(F.collect_list(entry)).alias("lines"))
-    shown = F.transform(F.coalesce("lines", F.array().cast(per.schema["lines"].dataType)), lambda x: F.struct(x["speaker"].alias("speaker"), x["start"].alias("start"), x["end"].alias("end"), x["text"].alias("text"), x["latin"].alias("latin")))
+    shown = F.transform(
+        F.coalesce("lines", F.array().cast(per.schema["lines"].dataType)),
+        lambda x: F.struct(
+            x["speaker"].alias("speaker"),
+            x["start"].alias("start"),
+            x["end"].alias("end"),
+            x["text"].alias("text"),
+            x["latin"].alias("latin"),
+        ),
+    )
     speakers = F.array_distinct(F.transform("shown", lambda x: x["speaker"]))
     joined = recordings.join(per, key, "left").withColumn("shown", shown)
-    return joined.select(key, F.to_json(F.struct("order", "language", "duration_s", speakers.alias("speakers"), F.col("shown").alias("lines"))).alias("json"))
+    return joined.select(
+        key,
+        F.to_json(F.struct("order", "language", "duration_s", speakers.alias("speakers"), F.col("shown").alias("lines"))).alias("json"),
+    )
 
 
 def stage3_transcript(systems: DataFrame, references: DataFrame, system: str, romanise: Callable[[Column], Column] | None = None) -> DataFrame:
@@ -71,7 +118,16 @@ def stage3_transcript(systems: DataFrame, references: DataFrame, system: str, ro
         lines = references.select(*columns, F.row_number().over(by).cast("long").alias("line_id"), latin.alias("latin"))
     else:
         lines = systems.where(F.col("system") == system).select(*columns, "line_id", "latin")
-    return lines.select("rec_id", F.lit("B" if system == "B-spectral" else "oracle").alias("order"), "line_id", "speaker", "start", "end", "text", "latin")
+    return lines.select(
+        "rec_id",
+        F.lit("B" if system == "B-spectral" else "oracle").alias("order"),
+        "line_id",
+        "speaker",
+        "start",
+        "end",
+        "text",
+        "latin",
+    )
 
 
 def live_payload(turns: DataFrame, overlaps: DataFrame, lines: DataFrame, key: str = "rec_id") -> DataFrame:
@@ -137,4 +193,6 @@ def median_rows(rows: DataFrame, group: list[str], order: str) -> DataFrame:
     """The upper median row of each small group: the example to export."""
     place = F.row_number().over(W.partitionBy(*group).orderBy(order)) - 1
     count = F.count("*").over(W.partitionBy(*group))
-    return rows.withColumn("_place", place).withColumn("_count", count).where(F.col("_place") == F.floor(F.col("_count") / 2)).drop("_place", "_count")
+    return rows.withColumn("_place", place).withColumn("_count", count).where(
+        F.col("_place") == F.floor(F.col("_count") / 2)
+    ).drop("_place", "_count")

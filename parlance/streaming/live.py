@@ -24,18 +24,30 @@ def talk_time(events: DataFrame) -> DataFrame:
     group = (F.col("user_id") % 8).cast("string")
     speaker = F.concat(F.lit("S"), F.expr("(user_id div 8) % 3").cast("string"))
     talk = F.sum(F.floor(F.col("value") * 20000).cast("long"))
-    per = events.groupBy(F.window("at", "1 day").alias("w"), group.alias("grp"), speaker.alias("speaker")).agg(F.count("*").alias("turns"), talk.alias("talk_ms"))
+    per = events.groupBy(F.window("at", "1 day").alias("w"), group.alias("grp"), speaker.alias("speaker")).agg(
+        F.count("*").alias("turns"),
+        talk.alias("talk_ms"),
+    )
     return per.select(F.date_format("w.start", "yyyy-MM-dd").alias("day"), "grp", "speaker", "turns", "talk_ms")
 
 
 def activity(events: DataFrame) -> DataFrame:
     """Sliding activity: turns per 1.5-hour window every 45 minutes."""
-    return events.groupBy(F.window("at", "90 minutes", "45 minutes").alias("w"), "event_type").agg(F.count("*").alias("turns")).select(F.col("w.start").alias("start"), "event_type", "turns")
+    return events.groupBy(F.window("at", "90 minutes", "45 minutes").alias("w"), "event_type").agg(F.count("*").alias("turns")).select(
+        F.col("w.start").alias("start"),
+        "event_type",
+        "turns",
+    )
 
 
 def sessions(events: DataFrame, gap: str = "10 minutes") -> DataFrame:
     """Sessions of a user: the streaming form of turns merged by a gap."""
-    return events.groupBy(F.session_window("at", gap).alias("s"), "user_id").agg(F.count("*").alias("turns")).select("user_id", F.col("s.start").alias("start"), F.col("s.end").alias("end"), "turns")
+    return events.groupBy(F.session_window("at", gap).alias("s"), "user_id").agg(F.count("*").alias("turns")).select(
+        "user_id",
+        F.col("s.start").alias("start"),
+        F.col("s.end").alias("end"),
+        "turns",
+    )
 
 
 def settled(events: DataFrame) -> DataFrame:
@@ -48,7 +60,15 @@ def new_texts(lines: DataFrame) -> DataFrame:
     return lines.dropDuplicatesWithinWatermark(["lang", "text"])
 
 
-def versioned(result: DataFrame, path: str, checkpoint: str, *, everything: bool = True, take: Callable[[], str] | None = None, ready: Callable[[DataFrame], bool] | None = None) -> StreamingQuery:
+def versioned(
+    result: DataFrame,
+    path: str,
+    checkpoint: str,
+    *,
+    everything: bool = True,
+    take: Callable[[], str] | None = None,
+    ready: Callable[[DataFrame], bool] | None = None,
+) -> StreamingQuery:
     """Write every pass under its version; ``everything`` ends after all that is there, else passes go on.
 
     The checkpoint carries offsets and state, so a restarted query goes on where

@@ -54,13 +54,18 @@ def test_smoothing(spark):
 
 @pytest.mark.parametrize("ref,hyp,unit,rate", [("एक दो तीन", "एक तीन", "word", 1 / 3), ("", "", "word", 0), ("a b", "A, b!", "word", 0)])
 def test_word_error_rate(spark, ref, hyp, unit, rate):
-    row = spark.createDataFrame([(ref, hyp)], "r string, h string").select(tx.word_edits(tx.words(F.col("r")), tx.words(F.col("h"))).alias("e"), F.size(tx.words(F.col("r"))).alias("n")).first()
+    row = spark.createDataFrame([(ref, hyp)], "r string, h string").select(
+        tx.word_edits(tx.words(F.col("r")), tx.words(F.col("h"))).alias("e"),
+        F.size(tx.words(F.col("r"))).alias("n"),
+    ).first()
     assert row.e / max(row.n, 1) == pytest.approx(rate)
 
 
 def test_word_edits_against_dynamic_programming(spark):
     rng = np.random.default_rng(0)
-    rows = [([f"w{x}" for x in rng.integers(0, 9, rng.integers(0, 30))], [f"w{x}" for x in rng.integers(0, 9, rng.integers(0, 30))]) for _ in range(60)]
+    rows = [
+        ([f"w{x}" for x in rng.integers(0, 9, rng.integers(0, 30))], [f"w{x}" for x in rng.integers(0, 9, rng.integers(0, 30))]) for _ in range(60)
+    ]
     got = spark.createDataFrame(rows, "r array<string>, h array<string>").select("r", "h", tx.word_edits(F.col("r"), F.col("h")).alias("e")).collect()
     for row in got:
         prev = list(range(len(row.h) + 1))
@@ -148,26 +153,56 @@ def test_clusters_in_spark(spark):
 def test_windows_in_blocks(spark):
     """Blocks change neither neighbours nor pairs."""
     x = np.random.default_rng(0).normal(size=(40, 8))
-    w = spark.createDataFrame([("r", k, v.tolist()) for k, v in enumerate(x)] + [("one", 7, x[0].tolist())], "rec string, win_idx long, emb array<double>")
+    w = spark.createDataFrame(
+        [("r", k, v.tolist()) for k, v in enumerate(x)] + [("one", 7, x[0].tolist())],
+        "rec string, win_idx long, emb array<double>",
+    )
     sims = np.round(clustering.unit(x) @ clustering.unit(x).T, 9)
     for block in (7, 512):
         got = clustering.nearest_windows(w, "rec", "win_idx", 4, block=block).where("rec = 'r'").collect()
-        assert {(r.win_idx, r["rank"]): r.other for r in got} == {(i, k + 1): j for i in range(40) for k, j in enumerate(sorted(range(40), key=lambda j: (-sims[i, j], j))[:4])}
+        assert {(r.win_idx, r["rank"]): r.other for r in got} == {
+            (i, k + 1): j for i in range(40) for k, j in enumerate(sorted(range(40), key=lambda j: (-sims[i, j], j))[:4])
+        }
         pairs = sorted(r.sim for r in clustering.pair_similarities(w, "rec", "win_idx", block=block).collect())
         assert np.allclose(pairs, np.sort(sims[np.triu_indices(40, 1)]), atol=1e-8)
 
 
 def test_text_functions(spark):
-    row = spark.createDataFrame([("नमस्ते, आप कैसे हैं।  ठीक?",)], "t string").select(tx.normalise(F.col("t")).alias("n"), tx.script_of(F.col("t")).alias("s")).first()
+    row = spark.createDataFrame([("नमस्ते, आप कैसे हैं।  ठीक?",)], "t string").select(
+        tx.normalise(F.col("t")).alias("n"),
+        tx.script_of(F.col("t")).alias("s"),
+    ).first()
     assert row.n == "नमस्ते आप कैसे हैं ठीक" and row.s == "devanagari"
     c = spark.createDataFrame([(12.2,), (45.4,), (3661.0,), (0.5,)], "s double").select(tx.clock(F.col("s")).alias("c")).collect()
     assert [r.c for r in c] == ["00:12", "00:45", "1:01:01", "00:00"]
-    wishes = [("Maybe we should go", True), ("what is it?", True), ("Is he here?", True), ("I want a car", True), ("", True), ("Bring the card", False), ("Will you bring it?", False), ("S will do it", False)]
+    wishes = [
+        ("Maybe we should go", True),
+        ("what is it?", True),
+        ("Is he here?", True),
+        ("I want a car", True),
+        ("", True),
+        ("Bring the card", False),
+        ("Will you bring it?", False),
+        ("S will do it", False),
+    ]
     got = spark.createDataFrame(wishes, "t string, want boolean").select("want", tx.is_non_commitment(F.col("t")).alias("got")).collect()
     assert all(r.want == r.got for r in got)
 
 
-@pytest.mark.parametrize("word,latin", [("कमरा", "kamra"), ("समझना", "samajhna"), ("पढ़ते", "padhte"), ("दूध", "doodh"), ("ज़मीन", "zamin"), ("कंबल", "kambal"), ("नहीं", "nahi"), ("شکریہ", "shukriya"), ("OK", "OK")])
+@pytest.mark.parametrize(
+    "word,latin",
+    [
+        ("कमरा", "kamra"),
+        ("समझना", "samajhna"),
+        ("पढ़ते", "padhte"),
+        ("दूध", "doodh"),
+        ("ज़मीन", "zamin"),
+        ("कंबल", "kambal"),
+        ("नहीं", "nahi"),
+        ("شکریہ", "shukriya"),
+        ("OK", "OK"),
+    ],
+)
 def test_romanise(word, latin):
     assert transliterate.romanise_word(word) == latin
 
@@ -188,18 +223,32 @@ LINES = [(1, 1, "sir sir my id card is lost today"), (1, 2, "please bring the aa
 def checked(spark, replies, **options):
     lines = spark.createDataFrame(LINES, "conv_id long, line_id long, text string")
     r = spark.createDataFrame(replies, "conv_id long, line_id long, text string, english string, uncertain boolean, pos int")
-    return {x.line_id: x for x in guardrails.check_replies(lines, r, ["conv_id"], **options).collect()}, guardrails.unknown_ids(lines, r, ["conv_id"]).collect()
+    return {
+        x.line_id: x for x in guardrails.check_replies(lines, r, ["conv_id"], **options).collect()
+    }, guardrails.unknown_ids(lines, r, ["conv_id"]).collect()
 
 
 def test_guardrails(spark):
-    got, unknown = checked(spark, [(1, 1, "sir my id card is lost today", "en one", False, 0), (1, 1, "second", "x", False, 1), (1, 99, "no", "no", False, 0), (1, 2, "bring the aadhaar card to the office", "en two", True, 0)])
+    got, unknown = checked(
+        spark,
+        [
+            (1, 1, "sir my id card is lost today", "en one", False, 0),
+            (1, 1, "second", "x", False, 1),
+            (1, 99, "no", "no", False, 0),
+            (1, 2, "bring the aadhaar card to the office", "en two", True, 0),
+        ],
+    )
     assert unknown[0].unknown == 1 and sorted(got) == [1, 2, 4]
     assert got[1].changed and got[1].reason is None and not got[1].uncertain
     assert got[2].reason == "dropped" and got[2].text == LINES[1][2] and "hard to understand" in got[2].note
     assert "skipped" in got[4].note and got[4].uncertain
     got, _ = checked(spark, [(1, k, t + " ab cd ef", "the same english text", False, 0) for _, k, t in LINES])
     assert {x.reason for x in got.values()} == {"added"} and all(x.english == "" and "same English" in x.note for x in got.values())
-    got, _ = checked(spark, [(1, 2, "please bring the aadhaar paper to the office", "कार्ड", False, 0), (1, 4, "zzzz qqqq xxxx", "ok " * 40, False, 0)], loanwords=["card"])
+    got, _ = checked(
+        spark,
+        [(1, 2, "please bring the aadhaar paper to the office", "कार्ड", False, 0), (1, 4, "zzzz qqqq xxxx", "ok " * 40, False, 0)],
+        loanwords=["card"],
+    )
     assert got[2].reason == "replaced" and got[2].english == "" and got[4].reason == "rewrote" and "much longer" in got[4].note
 
 
@@ -207,7 +256,10 @@ def test_chunks_and_reuse(spark):
     costs = spark.createDataFrame([(1, k, 100, 50) for k in range(1, 15)], "conv_id long, line_id long, prompt long, reply long")
     got = sorted((r.line_id, r.chunk) for r in guardrails.plan_chunks(costs, ["conv_id"], 820).collect())
     assert [c for _, c in got] == [k // 4 for k in range(14)]
-    cache = spark.createDataFrame([(1, None, None, None), (2, "r", "m", 4096), (3, "old", "m", 4096), (4, "r", "other", 4096), (5, "r", "m", 8192)], "id long, revision string, model string, context long")
+    cache = spark.createDataFrame(
+        [(1, None, None, None), (2, "r", "m", 4096), (3, "old", "m", 4096), (4, "r", "other", 4096), (5, "r", "m", 8192)],
+        "id long, revision string, model string, context long",
+    )
     use = lambda *a: sorted(r.id for r in cache.where(guardrails.compatible(*a)).collect())
     assert use("r", "m", 4096, "m") == [1, 2] and use("r", "m", 8192, "m") == [5] and use("r", "m", 4096, "d") == [2]
 
@@ -237,7 +289,10 @@ def test_chunk_replies_in_spark(spark):
     from parlance.operators import reports
 
     lines = spark.createDataFrame([(1, 0, 1, "A", "x"), (1, 0, 2, "B", "y")], "conv_id long, chunk int, line_id long, speaker string, text string")
-    reply = {"lines": [{"id": 1, "text": "X", "en": "e"}, {"id": float("inf"), "text": "no"}, {"line_id": 2, "cleaned": "Y", "uncertain": True}], "summary": "s"}
+    reply = {
+        "lines": [{"id": 1, "text": "X", "en": "e"}, {"id": float("inf"), "text": "no"}, {"line_id": 2, "cleaned": "Y", "uncertain": True}],
+        "summary": "s",
+    }
     got = reports.call_chunks(lines, lambda: models.ScriptedChat([reply]), "conv_id", "hi").where("line_id is not null").collect()
     assert sorted((r.line_id, r.text, r.english, r.uncertain) for r in got) == [(1, "X", "e", False), (2, "Y", "", True)]
 
@@ -279,10 +334,19 @@ def test_signals():
 def test_files(spark, tmp_path):
     t = spark.createDataFrame([("id", 0.35, 0.803, "S3"), ("id", 2.0, 3.0, "S1")], "rec_id string, start double, end double, speaker string")
     writers.rttm_lines(t).coalesce(1).write.text(f"file://{tmp_path}/rttm")
-    assert sorted((r.rec_id, r.speaker, r.start, round(r.end, 3)) for r in readers.read_rttm(spark, f"file://{tmp_path}/rttm").collect()) == [("id", "S1", 2.0, 3.0), ("id", "S3", 0.35, 0.803)]
-    (tmp_path / "t.json").write_text('{"duration_s": 4.0, "lines": [{"speaker": "A", "start": 0, "end": 1.5, "text": " hi ", "hinglish": "h"}, {"text": ""}, {"speaker": "B", "start": 2, "end": 3, "text": "yo", "latin": "l"}]}')
+    assert sorted((r.rec_id, r.speaker, r.start, round(r.end, 3)) for r in readers.read_rttm(spark, f"file://{tmp_path}/rttm").collect()) == [
+        ("id", "S1", 2.0, 3.0),
+        ("id", "S3", 0.35, 0.803),
+    ]
+    (tmp_path / "t.json").write_text(
+        '{"duration_s": 4.0, "lines": [{"speaker": "A", "start": 0, "end": 1.5, "text": " hi ", "hinglish": "h"}, {"text": ""}, {"speaker": "B", "start": 2, "end": 3, "text": "yo", "latin": "l"}]}'
+    )
     lines = readers.read_transcripts(spark, f"file://{tmp_path}/t.json").cache()
-    assert [(r.line_id, r.speaker, r.text, r.latin) for r in lines.orderBy("line_id").collect()] == [(1, "A", "hi", "h"), (2, "Speaker_?", "", ""), (3, "B", "yo", "l")]
+    assert [(r.line_id, r.speaker, r.text, r.latin) for r in lines.orderBy("line_id").collect()] == [
+        (1, "A", "hi", "h"),
+        (2, "Speaker_?", "", ""),
+        (3, "B", "yo", "l"),
+    ]
     srt = writers.subtitles(lines, "file").first().srt
     assert srt.startswith("1\n") and "00:00:02,000 --> 00:00:03,000\nB: yo" in srt and "\n3\n" in srt
     assert writers.transcript_text(lines, "file").first().text == "[00:00 - 00:02] A: hi\n[00:02 - 00:03] B: yo"
@@ -297,13 +361,22 @@ def test_files(spark, tmp_path):
 
 
 def test_corpora(spark, tmp_path):
-    rows = [("<noise> नमस्ते", 2.0, "s1", "Conversation", "t", "f", "d", (b"x", "rec_chunk_7.flac")), (None, 1.0, "s2", "Read", "t", "m", "d", (None, "odd.wav"))]
-    spark.createDataFrame(rows, "text string, duration double, speaker_id string, scenario string, task_name string, gender string, district string, audio_filepath struct<bytes: binary, path: string>").write.parquet(f"file://{tmp_path}/iv")
+    rows = [
+        ("<noise> नमस्ते", 2.0, "s1", "Conversation", "t", "f", "d", (b"x", "rec_chunk_7.flac")),
+        (None, 1.0, "s2", "Read", "t", "m", "d", (None, "odd.wav")),
+    ]
+    spark.createDataFrame(
+        rows,
+        "text string, duration double, speaker_id string, scenario string, task_name string, gender string, district string, audio_filepath struct<bytes: binary, path: string>",
+    ).write.parquet(f"file://{tmp_path}/iv")
     df = readers.read_chunked_speech(spark, f"file://{tmp_path}/iv")
     assert sorted((r.recording, r.chunk, r.text) for r in df.collect()) == [("odd.wav", 0, ""), ("rec", 7, "नमस्ते")]
     assert "bytes" not in df._jdf.queryExecution().executedPlan().toString().split("ReadSchema")[-1]
     field = [(1.0, "s", "f", "d", "Yes", "स्मार्ट {smart} फोन", (b"x",)), (2.0, "t", "m", "d", None, None, (None,))]
-    spark.createDataFrame(field, "duration double, speakerID string, gender string, district string, isTranscriptionAvailable string, transcript string, audio struct<bytes: binary>").write.parquet(f"file://{tmp_path}/va")
+    spark.createDataFrame(
+        field,
+        "duration double, speakerID string, gender string, district string, isTranscriptionAvailable string, transcript string, audio struct<bytes: binary>",
+    ).write.parquet(f"file://{tmp_path}/va")
     assert sorted(str(r.transcribed) for r in readers.read_field_speech(spark, f"file://{tmp_path}/va").collect()) == ["None", "True"]
     got = {r.text: r.english for r in readers.read_transcribed_field_speech(spark, f"file://{tmp_path}/va").collect()}
     assert got == {"स्मार्ट फोन": {0: "smart"}, "": {}}
@@ -382,7 +455,9 @@ def test_chat_client_against_a_server():
     import time
     from http.server import BaseHTTPRequestHandler, HTTPServer
 
-    fine = json.dumps({"choices": [{"message": {"content": "{}"}, "finish_reason": "stop"}], "usage": {"prompt_tokens": 7, "completion_tokens": None}})
+    fine = json.dumps(
+        {"choices": [{"message": {"content": "{}"}, "finish_reason": "stop"}], "usage": {"prompt_tokens": 7, "completion_tokens": None}}
+    )
     script: list[tuple[int, str]] = []
     seen = []
 
@@ -447,20 +522,37 @@ def test_simulated_conversations_differ(spark):
     from parlance.runtime import ship_package
 
     ship_package(spark)
-    plans = simulation.simulate(simulation.paired_design(spark, 4), 20.0).groupBy("id").agg(F.sort_array(F.collect_list("start")).alias("starts")).collect()
+    plans = simulation.simulate(simulation.paired_design(spark, 4), 20.0).groupBy("id").agg(
+        F.sort_array(F.collect_list("start")).alias("starts")
+    ).collect()
     assert len(plans) == 36 and len({tuple(p.starts) for p in plans}) == 36
 
 
 def test_more_words_than_a_plane_of_characters(spark):
     """Also across the surrogates, which are no characters."""
     rows = [([f"w{k}" for k in range(60)], [f"w{k}" for k in range(60) if k % 10])]
-    got = spark.createDataFrame(rows, "r array<string>, h array<string>").select(*(tx.word_edits(F.col("r"), F.col("h"), start).alias(f"e{start}") for start in (0x3400, 0xD7E0, 0xFFF0))).first()
+    got = spark.createDataFrame(rows, "r array<string>, h array<string>").select(
+        *(tx.word_edits(F.col("r"), F.col("h"), start).alias(f"e{start}") for start in (0x3400, 0xD7E0, 0xFFF0))
+    ).first()
     assert tuple(got) == (6, 6, 6)
 
 
 def test_repairs_are_judged_by_bounded_distance(spark):
-    cases = [("a b c d", "a b c d!", None), ("abcd efgh", "abcx exxh", None), ("abcd efgh", "abxx xxxh", "rewrote"), ("a b", "a b c d", "rewrote"), ("one two three four", "one two three four x y z", "added"), ("one one two three", "one two three", None), ("one one two three", "two three", "dropped"), ("", "x", "rewrote")]
-    got = spark.createDataFrame([c[:2] for c in cases], "s string, t string").select("s", "t", guardrails.revert_reason(F.col("s"), F.col("t")).alias("r")).collect()
+    cases = [
+        ("a b c d", "a b c d!", None),
+        ("abcd efgh", "abcx exxh", None),
+        ("abcd efgh", "abxx xxxh", "rewrote"),
+        ("a b", "a b c d", "rewrote"),
+        ("one two three four", "one two three four x y z", "added"),
+        ("one one two three", "one two three", None),
+        ("one one two three", "two three", "dropped"),
+        ("", "x", "rewrote"),
+    ]
+    got = spark.createDataFrame([c[:2] for c in cases], "s string, t string").select(
+        "s",
+        "t",
+        guardrails.revert_reason(F.col("s"), F.col("t")).alias("r"),
+    ).collect()
     assert [(r.s, r.t, r.r) for r in got] == cases
 
 
@@ -481,5 +573,7 @@ def test_translation_parts_come_through(spark):
     assert parts == ["a.b@c.org", "http://x.org/q?y=1", "10:30", "12/05/2024", "12345", "#tag"] and "<ID2>" in text
     assert translation.restore(text.replace("<ID1>", "< id 1 >").replace("<ID6>", "[ID6]"), parts).startswith("mail a.b@c.org or see http://x.org")
     ship_package(spark)
-    row = spark.createDataFrame([("to a@b.cd",), (None,)], "t string").withColumn("p", translation.protected("t")).select(translation.restored("p.text", "p.parts").alias("r")).collect()
+    row = spark.createDataFrame([("to a@b.cd",), (None,)], "t string").withColumn("p", translation.protected("t")).select(
+        translation.restored("p.text", "p.parts").alias("r")
+    ).collect()
     assert [r.r for r in row] == ["to a@b.cd", ""]

@@ -14,8 +14,14 @@ from parlance.streaming import live
 
 
 def test_transcripts_go_through_json(spark, tmp_path):
-    lines = spark.createDataFrame([("r", 2, 3.0, 4.0, "B", "yo", "yo"), ("r", 1, 0.5, 1.5, "A", "hi", "hi")], "rec_id string, line_id long, start double, end double, speaker string, text string, latin string")
-    recordings = spark.createDataFrame([("r", "B", "hi", 5.0), ("silent", "B", "hi", 1.0)], "rec_id string, order string, language string, duration_s double")
+    lines = spark.createDataFrame(
+        [("r", 2, 3.0, 4.0, "B", "yo", "yo"), ("r", 1, 0.5, 1.5, "A", "hi", "hi")],
+        "rec_id string, line_id long, start double, end double, speaker string, text string, latin string",
+    )
+    recordings = spark.createDataFrame(
+        [("r", "B", "hi", 5.0), ("silent", "B", "hi", 1.0)],
+        "rec_id string, order string, language string, duration_s double",
+    )
     made = {r.rec_id: json.loads(r.json) for r in writers.transcript_json(lines, recordings).collect()}
     assert made["silent"]["lines"] == [] == made["silent"]["speakers"] and made["r"]["speakers"] == ["A", "B"]
     (tmp_path / "t.json").write_text(json.dumps(made["r"]))
@@ -26,7 +32,10 @@ def test_transcripts_go_through_json(spark, tmp_path):
 def test_tables_and_bundles(spark, tmp_path):
     df = spark.createDataFrame([("a", 1.5), ("b,c", None)], "name string, x double")
     writers.write_table(df, f"file://{tmp_path}/csv")
-    assert sorted(map(tuple, readers.read_facts(spark, f"file://{tmp_path}/csv", "name string, x double").collect()), key=str) == [("a", 1.5), ("b,c", None)]
+    assert sorted(
+        map(tuple, readers.read_facts(spark, f"file://{tmp_path}/csv", "name string, x double").collect()),
+        key=str,
+    ) == [("a", 1.5), ("b,c", None)]
     reports = spark.createDataFrame([("c1", "T", ["k"])], "conv_id string, title string, keywords array<string>")
     assert json.loads(writers.report_json(reports).first().json) == {"title": "T", "keywords": ["k"]}
     conv = spark.createDataFrame([("c1", "dev"), ("c2", "test")], "id string, split string")
@@ -84,7 +93,10 @@ def test_errors_under_the_best_assignment(spark, unit):
         a, b = [form(w) for w in refs[k].values()], [form(w) for w in hyps[k].values()]
         n = max(len(a), len(b))
         a, b = a + [form([])] * (n - len(a)), b + [form([])] * (n - len(b))
-        assert got[k] == (min(sum(edits(x, b[p]) for x, p in zip(a, order, strict=True)) for order in itertools.permutations(range(n))), sum(map(len, a)))
+        assert got[k] == (
+            min(sum(edits(x, b[p]) for x, p in zip(a, order, strict=True)) for order in itertools.permutations(range(n))),
+            sum(map(len, a)),
+        )
 
 
 def events(spark, tmp_path):
@@ -112,9 +124,19 @@ def test_sessions_settle_in_append_mode(spark, tmp_path):
     rows = [[(k, base.format(m), 1, "view", 0.1, "{}") for k, m in part] for part in ([(1, "00"), (2, "05")], [(3, "40")], [(4, "59")])]
     for n, part in enumerate(rows):
         df = spark.createDataFrame(part, "event_id long, t string, user_id long, event_type string, value double, props string")
-        df.select("event_id", F.to_timestamp_ntz("t").alias("ts"), "user_id", "event_type", "value", "props").coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/in")
+        df.select(
+            "event_id",
+            F.to_timestamp_ntz("t").alias("ts"),
+            "user_id",
+            "event_type",
+            "value",
+            "props",
+        ).coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/in")
     out = live.settled(live.event_stream(spark, f"file://{tmp_path}/in", files_per_trigger=1))
-    query = out.writeStream.outputMode("append").option("checkpointLocation", f"file://{tmp_path}/state").option("path", f"file://{tmp_path}/out").format("parquet").trigger(availableNow=True).start()
+    query = out.writeStream.outputMode("append").option(
+        "checkpointLocation",
+        f"file://{tmp_path}/state",
+    ).option("path", f"file://{tmp_path}/out").format("parquet").trigger(availableNow=True).start()
     query.awaitTermination()
     got = spark.read.parquet(f"file://{tmp_path}/out").collect()
     assert 1 <= len(got) <= 3 and len({r.start for r in got}) == len(got)
@@ -122,9 +144,16 @@ def test_sessions_settle_in_append_mode(spark, tmp_path):
 
 def test_texts_are_asked_for_once(spark, tmp_path):
     rows = [(1, "hi", "a"), (2, "hi", "a"), (3, "en", "a"), (4, "hi", "b")]
-    spark.createDataFrame(rows, "s long, lang string, text string").select(F.timestamp_seconds("s").alias("at"), "lang", "text").coalesce(1).write.parquet(f"file://{tmp_path}/in")
+    spark.createDataFrame(rows, "s long, lang string, text string").select(
+        F.timestamp_seconds("s").alias("at"),
+        "lang",
+        "text",
+    ).coalesce(1).write.parquet(f"file://{tmp_path}/in")
     stream = spark.readStream.schema("at timestamp, lang string, text string").parquet(f"file://{tmp_path}/in").withWatermark("at", "1 hour")
-    live.new_texts(stream).writeStream.outputMode("append").option("checkpointLocation", f"file://{tmp_path}/state").option("path", f"file://{tmp_path}/out").format("parquet").trigger(availableNow=True).start().awaitTermination()
+    live.new_texts(stream).writeStream.outputMode("append").option(
+        "checkpointLocation",
+        f"file://{tmp_path}/state",
+    ).option("path", f"file://{tmp_path}/out").format("parquet").trigger(availableNow=True).start().awaitTermination()
     assert sorted((r.lang, r.text) for r in spark.read.parquet(f"file://{tmp_path}/out").collect()) == [("en", "a"), ("hi", "a"), ("hi", "b")]
 
 

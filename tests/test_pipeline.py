@@ -40,14 +40,23 @@ def test_speakers_then_lines(recordings, save):
     result = pipeline.Pipeline(save, method="gmm").run(recordings, n_speakers=2)
     turns = sorted((r.start, r.end, r.speaker) for r in result.timeline.where("rec_id = 'ab'").collect())
     assert [s for *_, s in turns] == ["Speaker_A", "Speaker_B", "Speaker_A"]
-    assert all(abs(a - b) <= 150 for (s, e, _), want in zip(turns, [(0, 4000), (5000, 9000), (10_000, 14_000)], strict=True) for a, b in zip((s, e), want, strict=True))
+    assert all(
+        abs(a - b) <= 150 for (s, e, _), want in zip(
+            turns,
+            [(0, 4000), (5000, 9000), (10_000, 14_000)],
+            strict=True,
+        ) for a, b in zip((s, e), want, strict=True)
+    )
     lines = result.lines.where("rec_id = 'ab'").orderBy("line_id").collect()
     assert [r.line_id for r in lines] == [1, 2, 3] and all(3.8 <= float(r.text) <= 4.2 for r in lines)
     assert set(result.seconds) == {"diarization", "asr"} and result.reports is None
 
 
 def test_given_timeline_and_reports(spark, recordings, save):
-    given = spark.createDataFrame([("ab", 0, "S1", 0, 4000), ("ab", 0, "S2", 5000, 9000)], "rec_id string, stream int, speaker string, start long, end long")
+    given = spark.createDataFrame(
+        [("ab", 0, "S1", 0, 4000), ("ab", 0, "S2", 5000, 9000)],
+        "rec_id string, stream int, speaker string, start long, end long",
+    )
     result = pipeline.Pipeline(save, chat=lambda: models.ScriptedChat(["no JSON"])).run(recordings, timeline=given)
     assert [(r.speaker, r.text) for r in result.lines.orderBy("line_id").collect()] == [("S1", "4.00"), ("S2", "4.00")]
     report = result.reports.collect()
@@ -76,7 +85,17 @@ def test_separators_by_name():
 
 
 def test_tracks_are_named_by_likeness(spark):
-    rows = [("x", 0, 1, 0.2), ("x", 0, 2, 0.9), ("x", 1, 1, 0.8), ("x", 1, 2, 0.3), ("tie", 0, 1, 0.5), ("tie", 0, 2, 0.5), ("tie", 1, 1, 0.5), ("tie", 1, 2, 0.5), ("one", 0, 1, 0.5)]
+    rows = [
+        ("x", 0, 1, 0.2),
+        ("x", 0, 2, 0.9),
+        ("x", 1, 1, 0.8),
+        ("x", 1, 2, 0.3),
+        ("tie", 0, 1, 0.5),
+        ("tie", 0, 2, 0.5),
+        ("tie", 1, 1, 0.5),
+        ("tie", 1, 2, 0.5),
+        ("one", 0, 1, 0.5),
+    ]
     got = dz.match_tracks(spark.createDataFrame(rows, "rec_id string, track int, rank long, score double"), ["rec_id"]).collect()
     assert sorted((r.rec_id, r.track, r["rank"]) for r in got) == [("tie", 0, 1), ("tie", 1, 2), ("x", 0, 2), ("x", 1, 1)]
 
