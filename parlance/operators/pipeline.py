@@ -156,6 +156,17 @@ class Pipeline:
     language: str = "hi"
     least: int = 6  # frames that a turn must last
 
+    @classmethod
+    def of(cls, save: Save, *, activity: str = "energy", fingerprint: str = "timbre", separator: str | None = None, **parts) -> Pipeline:
+        """A pipeline from the names of registered parts."""
+        return cls(
+            save,
+            detect=models.registered(models.DETECTORS, activity),
+            embed=models.registered(models.EMBEDDERS, fingerprint),
+            separator=models.separator(separator),
+            **parts,
+        )
+
     def __post_init__(self) -> None:
         if self.order not in ("A", "B"):
             raise ValueError("the order is A or B")

@@ -92,6 +92,29 @@ def simulate(design: DataFrame, target: float = 60.0) -> DataFrame:
     return design.groupBy("id").applyInPandas(one, "id string, speaker string, start double, end double")
 
 
+def render(plan: pd.DataFrame, clips: dict[str, np.ndarray], *, noise: np.ndarray | None = None, snr_db: float = 10.0, peak: float = 0.9) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """(mixture, sources) of planned turns (speaker, start, end), whose speech is taken from each speaker's clip in order.
+
+    Every turn has the same active level and short fades; noise lies ``snr_db``
+    below the speech, and one gain brings the mixture to its peak, so that the
+    sources still add up to it.
+    """
+    size = int(round(plan["end"].max() * signals.RATE)) if len(plan) else 0
+    sources = {s: np.zeros(size) for s in sorted(plan["speaker"].unique())}
+    used = dict.fromkeys(sources, 0)
+    for turn in plan.sort_values("start").itertuples():
+        lo, hi = (int(round(t * signals.RATE)) for t in (turn.start, turn.end))
+        clip = np.take(clips[turn.speaker], np.arange(used[turn.speaker], used[turn.speaker] + hi - lo), mode="wrap")
+        used[turn.speaker] += hi - lo
+        fade = np.minimum(1, np.minimum(np.arange(hi - lo), np.arange(hi - lo)[::-1]) / (0.01 * signals.RATE))
+        sources[turn.speaker][lo:hi] += 0.05 * clip / max(signals.active_rms(clip), 1e-9) * fade
+    mix = sum(sources.values(), np.zeros(size))
+    if noise is not None and size:
+        mix = mix + signals.scale_to_snr(mix, np.take(noise, np.arange(size), mode="wrap"), snr_db)
+    mix, gain = signals.peak_normalised(mix, peak)
+    return mix, {s: x * gain for s, x in sources.items()}
+
+
 def pick_groups(sides: DataFrame, key: str, person: str, size: int = 2) -> DataFrame:
     """Groups of alternately ``size`` and ``size + 1`` different persons of each key, in order, none used twice."""
     kinds = f"{key} {sides.schema[key].dataType.simpleString()}, grp int, {person} {sides.schema[person].dataType.simpleString()}"

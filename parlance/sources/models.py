@@ -60,15 +60,21 @@ def outside_turns(found: DataFrame, keys: list[str]) -> DataFrame:
 
 #: Separators by name; neural ones register themselves.
 SEPARATORS: dict[str, Separator] = {"hpss": signals.hpss}
+#: What counts as activity, and what a voice is told by: the switches between speech and music.
+DETECTORS: dict[str, Detector] = {"energy": signals.energy_regions}
+EMBEDDERS: dict[str, Embedder] = {"timbre": timbre_embedder}
+
+
+def registered(kind: dict, name: str):
+    """The part of a name."""
+    if name not in kind:
+        raise ValueError(f"unknown part {name}; known are {', '.join(sorted(kind))}")
+    return kind[name]
 
 
 def separator(name: str | None) -> Separator | None:
     """The separator of a name; none for none."""
-    if name is None:
-        return None
-    if name not in SEPARATORS:
-        raise ValueError(f"unknown separator {name}; known are {', '.join(sorted(SEPARATORS))}")
-    return SEPARATORS[name]
+    return None if name is None else registered(SEPARATORS, name)
 
 
 class ModelError(RuntimeError):
@@ -133,6 +139,23 @@ def ctc_text(ids: list[int], blank: int, vocabulary: list[str]) -> str:
     return " ".join("".join(vocabulary[i] for i in kept).replace("▁", " ").split())
 
 
+def transducer_ids(frames: list, state, join: Callable, advance: Callable, blank: int, most: int = 10) -> list[int]:
+    """Greedy decoding of a transducer: on each frame the best symbols until a blank, at most ``most`` of them.
+
+    ``join(frame, state)`` scores the symbols, ``advance(state, symbol)`` is the
+    state after one.
+    """
+    out: list[int] = []
+    for frame in frames:
+        for _ in range(most):
+            symbol = int(np.argmax(join(frame, state)))
+            if symbol == blank:
+                break
+            out.append(symbol)
+            state = advance(state, symbol)
+    return out
+
+
 @dataclass
 class ScriptedChat:
     """Stand-in: gives prepared replies in order, the last again and again."""
@@ -296,6 +319,20 @@ def embedded(windows: DataFrame, embed: Callable[[list[np.ndarray]], np.ndarray]
     return windows.mapInPandas(run, f"{schema}, emb array<float>")
 
 
+def first_that_works(*translators: Callable[[list[str]], list[str]]) -> Callable[[list[str]], list[str]]:
+    """A translator that asks one after the other; what none can do stays empty."""
+
+    def translate(texts: list[str]) -> list[str]:
+        for ask in translators:
+            try:
+                return ask(texts)
+            except ModelError:
+                continue
+        return [""] * len(texts)
+
+    return translate
+
+
 def translated(lines: DataFrame, translate, keys: list[str], out: str = "english") -> DataFrame:
     """``lines`` with translations by a column function, each distinct (language, text) translated once."""
     once = lines.select(*keys).distinct().withColumn(out, translate(*(F.col(k) for k in keys)))

@@ -7,7 +7,7 @@ import wave
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -146,6 +146,19 @@ def report_json(reports: DataFrame, key: str = "conv_id") -> DataFrame:
     return reports.select(key, F.to_json(F.struct(*(c for c in reports.columns if c != key))).alias("json"))
 
 
+def cached(make: Callable[[], DataFrame], root: str, name: str, version: str, spark: SparkSession) -> DataFrame:
+    """The table of a name and version below ``root``: read where it was finished, else made and written.
+
+    The version has to tell everything that the table depends on; a table that
+    was not finished (no success mark) is made anew.
+    """
+    path = f"{root}/{name}/{version}"
+    mark = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not mark.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(mark):
+        make().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 def write_table(df: DataFrame, path: str) -> None:
     """A result table as CSV with a header."""
     df.write.mode("overwrite").option("header", True).csv(path)

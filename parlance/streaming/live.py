@@ -98,6 +98,11 @@ def enough(least_ms: int = 3000) -> Callable[[DataFrame], bool]:
     return lambda batch: (batch.agg(F.sum("talk_ms")).first()[0] or 0) >= least_ms
 
 
+def envelope_since(bins: DataFrame, offset: int) -> DataFrame:
+    """(bin, peak) from a bin on: what a page that has seen all before still needs; the last one seen may have grown."""
+    return bins.where(F.col("bin") >= max(0, offset - 1)).orderBy("bin")
+
+
 def bounded(query: StreamingQuery, most_seconds: float) -> None:
     """Let a session run for so long at most, then end it after the pass that is on."""
     if not query.awaitTermination(most_seconds):

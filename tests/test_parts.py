@@ -166,3 +166,65 @@ def test_picked_rows_reach_the_scan(spark, tmp_path, capsys):
     got.explain()
     assert "In(id, [" in capsys.readouterr().out
     assert [r.id for r in readers.take_rows(source, picks, "id", pushed=1).collect()] == [900, 7]
+
+
+def test_conversations_are_rendered():
+    plan = simulation.plan_turns(2, 0.7, 12.0, 5)
+    rng = np.random.default_rng(1)
+    clips = {s: rng.normal(size=20_000) * k for k, s in enumerate(sorted(plan["speaker"].unique()), 1)}
+    mix, sources = simulation.render(plan, clips)
+    assert np.allclose(sum(sources.values()), mix) and np.abs(mix).max() == pytest.approx(0.9)
+    for turn in plan.itertuples():  # each turn is said, at the same level whoever says it
+        part = sources[turn.speaker][int(turn.start * 16_000) + 400 : int(turn.end * 16_000) - 400]
+        assert np.sqrt((part**2).mean()) == pytest.approx(np.sqrt((sources["S0"][sources["S0"] != 0] ** 2).mean()), rel=0.15)
+    noisy, _ = simulation.render(plan, clips, noise=rng.normal(size=9000), snr_db=0)
+    assert np.abs(noisy).max() == pytest.approx(0.9) and (noisy != 0).mean() > (mix != 0).mean()
+    assert simulation.render(plan.iloc[:0], {})[0].shape == (0,)
+
+
+def test_transducers_and_fallbacks():
+    from parlance.sources import models
+
+    # The state counts symbols said: frame k says k symbols, then blanks.
+    join = lambda frame, state: [1.0, 0.0, 0.0] if state >= frame else [0.0, 0.0, 1.0]
+    assert models.transducer_ids([1, 1, 3], 0, join, lambda s, _: s + 1, blank=0) == [2, 2, 2]
+    assert models.transducer_ids([99], 0, join, lambda s, _: s + 1, blank=0, most=4) == [2] * 4
+
+    def broken(texts):
+        raise models.ModelError("no")
+
+    assert models.first_that_works(broken, lambda t: [x.upper() for x in t])(["a"]) == ["A"]
+    assert models.first_that_works(broken)(["a", "b"]) == ["", ""]
+
+
+def test_parts_by_name():
+    from parlance.operators.pipeline import Pipeline
+
+    made = Pipeline.of(None, separator="hpss", order="A")
+    assert made.separator is not None and made.order == "A"
+    with pytest.raises(ValueError, match="unknown part voice"):
+        Pipeline.of(None, fingerprint="voice")
+
+
+def test_tables_are_made_once_per_version(spark, tmp_path):
+    calls = []
+
+    def make():
+        calls.append(1)
+        return spark.range(len(calls))
+
+    get = lambda version: writers.cached(make, f"file://{tmp_path}", "t", version, spark).count()
+    assert (get("a"), get("a"), get("b"), get("a")) == (1, 1, 2, 1)
+
+
+def test_envelopes_go_on_from_an_offset(spark):
+    bins = spark.createDataFrame([(0, 5), (1, 6), (2, 7)], "bin long, peak long")
+    assert [r.bin for r in live.envelope_since(bins, 2).collect()] == [1, 2] and live.envelope_since(bins, 0).count() == 3
+
+
+def test_english_words_may_not_be_replaced(spark):
+    from parlance.operators import guardrails
+
+    df = spark.createDataFrame([("mera phone gum gaya", "mera mobile gum gaya"), ("mera phone gum gaya", "mera phone gum gaya hai")], "s string, t string")
+    reasons = [r[0] for r in df.select(guardrails.revert_reason(F.col("s"), F.col("t"), loanwords=["phone", "mobile"])).collect()]
+    assert reasons == ["replaced", None]
