@@ -80,7 +80,7 @@ def test_separators_by_name():
     harmonic, percussive = models.separator("hpss")(tone + clicks)
     assert len(harmonic) == len(t) and np.corrcoef(harmonic, tone)[0, 1] > 0.95 and np.corrcoef(percussive, clicks)[0, 1] > 0.6
     assert models.separator(None) is None
-    with pytest.raises(ValueError, match="unknown separator"):
+    with pytest.raises(ValueError, match="unknown part x"):
         models.separator("x")
 
 
