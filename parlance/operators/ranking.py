@@ -29,7 +29,9 @@ def global_row_number(df: DataFrame, order: list, name: str = "row_number") -> D
     """``df`` with 1-based numbers by a total ``order`` (columns or column names).
 
     Rows are range-partitioned and numbered inside their partition; only one
-    count per partition is summed up in one place.
+    count per partition is summed up in one place. The dealt rows are persisted,
+    as a second evaluation would sample the ranges anew; they spill to disk and
+    go with the session's cache.
     """
     ranged = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()).persist()
     inside = F.row_number().over(W.partitionBy("_part").orderBy(*order))

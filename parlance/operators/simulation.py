@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from parlance.functions import signals
+from parlance.operators.ranking import global_row_number
 
 # Overlap probability by level, and the soundscapes.
 LEVELS = {"ovl-none": 0.0, "ovl-low": 0.3, "ovl-high": 0.7}
@@ -116,18 +117,19 @@ def render(plan: pd.DataFrame, clips: dict[str, np.ndarray], *, noise: np.ndarra
 
 
 def pick_groups(sides: DataFrame, key: str, person: str, size: int = 2) -> DataFrame:
-    """Groups of alternately ``size`` and ``size + 1`` different persons of each key, in order, none used twice."""
-    kinds = f"{key} {sides.schema[key].dataType.simpleString()}, grp int, {person} {sides.schema[person].dataType.simpleString()}"
+    """Groups of alternately ``size`` and ``size + 1`` different persons of each key, in order, none used twice.
 
-    def one(frame: pd.DataFrame) -> pd.DataFrame:
-        people = sorted(frame[person].unique())
-        rows, at, group = [], 0, 0
-        while at + (n := size + group % 2) <= len(people):
-            rows += [(frame[key].iloc[0], group, p) for p in people[at : at + n]]
-            at, group = at + n, group + 1
-        return pd.DataFrame(rows, columns=[key, "grp", person])
-
-    return sides.select(key, person).distinct().groupBy(key).applyInPandas(one, kinds)
+    Places come from global numbers, so a key with very many persons is not one
+    task's work; the last group of a key stays out unless it is full.
+    """
+    people = global_row_number(sides.select(key, person).distinct(), [F.col(key), F.col(person)], "_r")
+    per = people.groupBy(key).agg(F.min("_r").alias("_first"), F.count("*").alias("_n"))
+    placed = people.join(per, key).withColumn("_p", F.col("_r") - F.col("_first"))
+    pair = 2 * size + 1
+    late = (F.col("_p") % pair >= size).cast("int")
+    grouped = placed.withColumn("grp", (2 * F.floor(F.col("_p") / pair) + late).cast("int"))
+    end = F.floor(F.col("grp") / 2) * pair + F.when(F.col("grp") % 2 == 0, size).otherwise(pair)
+    return grouped.where(end <= F.col("_n")).select(key, "grp", person)
 
 
 def plan_duo(

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from parlance.operators import statistics as st
@@ -102,8 +101,8 @@ def group_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sum("words").alias("words"),
     )
     rates = st.interval(st.resampled(per, "grp", "errors", "words", 2 * RESAMPLES))
-    everything = W.partitionBy()
-    totals = per.withColumn("te", F.sum("errors").over(everything)).withColumn("tw", F.sum("words").over(everything))
+    whole = per.agg(F.sum("errors").alias("te"), F.sum("words").alias("tw"))  # one row
+    totals = per.crossJoin(F.broadcast(whole))
     worse = totals.agg(F.count_if(F.col("errors") * F.col("tw") > F.col("te") * F.col("words")).alias("worse"), F.count("*").alias("groups"))
     return rates.withColumn("k", F.lit(1)).join(worse.withColumn("k", F.lit(1)), "k").drop("k")
 
