@@ -195,25 +195,35 @@ def nearest_tonic(hz: float, tonics: tuple[str, ...] = ("B", "C", "C#", "D", "D#
     return min(tonics, key=apart)
 
 
+def _mel(hz: np.ndarray) -> np.ndarray:
+    """The auditory scale that is linear up to 1 kHz and logarithmic beyond: 15 steps per kHz, then 27 per factor of 6.4."""
+    hz = np.asarray(hz, float)
+    return np.where(hz < 1000, hz * 3 / 200, 15 + 27 * np.log(np.maximum(hz, 1000) / 1000) / np.log(6.4))
+
+
 def _mel_bank(bands: int = 48, size: int = 1024) -> np.ndarray:
-    """Triangular filters, evenly spaced on the mel scale, over the bins of a spectrum."""
-    mel = lambda hz: 2595 * np.log10(1 + hz / 700)
-    edges = 700 * (10 ** (np.linspace(0, mel(RATE / 2), bands + 2) / 2595) - 1)
+    """Triangular filters of equal area, evenly spaced on the mel scale, over the bins of a spectrum."""
+    steps = np.linspace(0, _mel(RATE / 2), bands + 2)
+    edges = np.where(steps < 15, steps * 200 / 3, 1000 * np.exp((steps - 15) * np.log(6.4) / 27))
+    low, middle, high = edges[:-2, None], edges[1:-1, None], edges[2:, None]
     hz = np.fft.rfftfreq(size, 1 / RATE)
-    up = (hz - edges[:-2, None]) / (edges[1:-1] - edges[:-2])[:, None]
-    down = (edges[2:, None] - hz) / (edges[2:] - edges[1:-1])[:, None]
-    return np.maximum(0, np.minimum(up, down))
+    rise, fall = (hz - low) / (middle - low), (high - hz) / (high - middle)
+    return np.maximum(0, np.minimum(rise, fall)) * 2 / (high - low)
 
 
 def timbre(x: np.ndarray, size: int = 1024, hop: int = 256) -> np.ndarray:
-    """97 numbers for the colour of a sound: the mean mel spectrum and its change, both without their mean, and flatness."""
+    """97 numbers for the colour of a sound: the mean mel spectrum and its change, both without their mean, and flatness.
+
+    Frames are centred on every ``hop``-th sample, with silence around the clip.
+    """
     x = np.pad(np.asarray(x, float), (0, max(0, size - len(x))))
-    frames = np.lib.stride_tricks.sliding_window_view(x, size)[::hop] * np.hanning(size)
-    power = np.abs(np.fft.rfft(frames, axis=1)) ** 2 + 1e-10
-    mel = 10 * np.log10(power @ _mel_bank().T + 1e-10)
+    frames = np.lib.stride_tricks.sliding_window_view(np.pad(x, size // 2), size)[::hop]
+    power = np.abs(np.fft.rfft(frames * np.hanning(size + 1)[:-1], axis=1)) ** 2
+    mel = 10 * np.log10(np.maximum(power @ _mel_bank().T + 1e-10, 1e-10))
     mel = np.maximum(mel, mel.max() - 80)
     shape, change = mel.mean(0), mel.std(0)
-    flatness = np.exp(np.log(power).mean(1)) / power.mean(1)
+    floored = np.maximum(power, 1e-10)
+    flatness = np.exp(np.log(floored).mean(1)) / floored.mean(1)
     return np.concatenate([(shape - shape.mean()) / 10, (change - change.mean()) / 3, [np.log10(flatness.mean() + 1e-10)]])
 
 

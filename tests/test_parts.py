@@ -228,3 +228,32 @@ def test_english_words_may_not_be_replaced(spark):
     df = spark.createDataFrame([("mera phone gum gaya", "mera mobile gum gaya"), ("mera phone gum gaya", "mera phone gum gaya hai")], "s string, t string")
     reasons = [r[0] for r in df.select(guardrails.revert_reason(F.col("s"), F.col("t"), loanwords=["phone", "mobile"])).collect()]
     assert reasons == ["replaced", None]
+
+
+def test_a_recording_arrives_in_chunks(spark, tmp_path):
+    from parlance.functions import signals
+    from parlance.streaming import source
+
+    ship_package(spark)
+    sound = 0.5 * np.sin(np.arange(40_000) * 0.05)
+    (tmp_path / "r.wav").write_bytes(writers.wav_bytes(sound))
+    source.register(spark)
+    stream = spark.readStream.format("recording").option("path", str(tmp_path / "r.wav")).option("seconds", "1").load()
+    query = stream.writeStream.format("memory").queryName("chunks").outputMode("append").start()
+    for _ in range(60):
+        query.processAllAvailable()
+        if spark.table("chunks").count() >= 3:
+            break
+    query.stop()
+    got = spark.table("chunks").orderBy("chunk").collect()
+    assert [(r.chunk, r.at, len(r.samples)) for r in got] == [(0, 0.0, 16_000), (1, 1.0, 16_000), (2, 2.0, 8000)]
+    assert np.allclose(np.concatenate([r.samples for r in got]), sound, atol=1e-3) and signals.RATE == 16_000
+
+
+def test_mel_filters_have_equal_areas():
+    from parlance.functions import signals
+
+    bank = signals._mel_bank()
+    assert bank.shape == (48, 513) and signals._mel(np.array([0, 1000, 6400])).tolist() == [0, 15, 42]
+    wide = bank[bank.shape[0] // 2 :]  # wide enough for the bins to sum their area
+    assert np.allclose(wide.sum(1) * signals.RATE / 1024, 1, atol=0.1)
