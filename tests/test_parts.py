@@ -257,3 +257,36 @@ def test_mel_filters_have_equal_areas():
     assert bank.shape == (48, 513) and signals._mel(np.array([0, 1000, 6400])).tolist() == [0, 15, 42]
     wide = bank[bank.shape[0] // 2 :]  # wide enough for the bins to sum their area
     assert np.allclose(wide.sum(1) * signals.RATE / 1024, 1, atol=0.1)
+
+
+def test_the_page_reads_a_live_session(spark, tmp_path):
+    import threading
+    import urllib.error
+    import urllib.request
+
+    from parlance.streaming import api
+
+    bins = spark.createDataFrame([(0, 5), (1, 6), (2, 7)], "bin long, peak long")
+    session = api.Session(spark, f"file://{tmp_path}/out", lambda: bins)
+    served = api.server(session)
+    threading.Thread(target=served.serve_forever, daemon=True).start()
+
+    def call(path, body=None):
+        data = None if body is None else json.dumps(body).encode()
+        try:
+            with urllib.request.urlopen(urllib.request.Request(f"http://127.0.0.1:{served.server_port}{path}", data), timeout=60) as reply:
+                return reply.status, json.load(reply)
+        except urllib.error.HTTPError as error:
+            return error.code, json.load(error)
+
+    assert call("/api/result") == (200, []) and call("/api/state")[1]["result_version"] is None
+    assert call("/api/start", {}) == (200, {"take": 2}) and call("/api/options", {"language": "ta", "other": 1})[0] == 200
+    spark.createDataFrame([("S1", 3)], "speaker string, turns long").write.parquet(f"file://{tmp_path}/out/version=4")
+    _, state = call("/api/state?take=2&env_from=2")
+    assert (state["recording"], state["language"], state["result_version"], state["env_from"], state["env"]) == (True, "ta", 4, 1, [6, 7]) and "other" not in state
+    assert call("/api/state?take=1&env_from=2")[1]["env"] == [5, 6, 7]  # of another take: all of it
+    assert call("/api/result") == (200, [{"speaker": "S1", "turns": 3}])
+    assert call("/api/stop", {})[0] == 200 and not call("/api/state")[1]["recording"]
+    assert call("/api/nothing", {})[0] == 404 and call("/nowhere")[0] == 404 and call("/api/state?take=x")[0] == 400
+    served.shutdown()
+    served.server_close()
