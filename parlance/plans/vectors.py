@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parlance.operators import clustering as cl, diarize as dz
+from parlance.operators.separation import si_sdr
 from parlance.runtime import ship_package
 
 SIZE = 50
@@ -105,16 +106,6 @@ def separated_voices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dz.pick_voice(named, c, ["rec"]).select("rec", "unit", F.col("track").cast("long").alias("track"), F.round("score", 6).alias("score"))
 
 
-def si_sdr(est: Column, ref: Column) -> Column:
-    """Scale-invariant signal-to-distortion ratio in dB of two double arrays, from sums of products alone."""
-    n = F.size(ref)
-    total = lambda v: F.aggregate(v, F.lit(0.0), lambda s, x: s + x)
-    centred = lambda x, y: cl.dot(x, y) - total(x) * total(y) / n
-    ee, rr, er = centred(est, est), centred(ref, ref), centred(est, ref)
-    alpha = er / (rr + 1e-8)
-    return 10 * F.log10((alpha * alpha * rr + 1e-8) / (ee - 2 * alpha * er + alpha * alpha * rr + 1e-8))
-
-
 def _duo(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Neighbouring windows as two sources, with estimates that leak into each other and come out swapped for odd pairs."""
     w = windows(spark, sf_dir).select((F.floor(F.col("win_idx") / 2)).cast("long").alias("pair"), (F.col("win_idx") % 2).alias("side"), "emb")

@@ -290,3 +290,16 @@ def test_the_page_reads_a_live_session(spark, tmp_path):
     assert call("/api/nothing", {})[0] == 404 and call("/nowhere")[0] == 404 and call("/api/state?take=x")[0] == 400
     served.shutdown()
     served.server_close()
+
+
+def test_outputs_are_scored_against_their_sources(spark):
+    from parlance.operators import separation
+
+    rng = np.random.default_rng(0)
+    a, b = rng.normal(size=(2, 400))
+    rows = [("p", "hpss", (a + 0.1 * b).tolist(), (b + 0.1 * a).tolist(), True), ("p", "net", b.tolist(), (3 * a + 0.3 * b).tolist(), False), ("p", "wrong", b.tolist(), a.tolist(), True)]
+    df = spark.createDataFrame([(*r[:4], a.tolist(), b.tolist(), r[4]) for r in rows], "id string, name string, out0 array<double>, out1 array<double>, ref0 array<double>, ref1 array<double>, fixed boolean")
+    got = {r.name: r for r in separation.output_table(df, ["id"]).collect()}
+    assert abs(got["hpss"].first_db - 20) < 1 and abs(got["hpss"].second_db - 20) < 1 and not got["hpss"].swapped
+    assert got["net"].swapped and abs(got["net"].first_db - 20) < 1 and got["net"].second_db > 60
+    assert got["wrong"].first_db < 0 and not got["wrong"].swapped
