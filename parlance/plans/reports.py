@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +13,7 @@ from parlance.operators import guardrails as gr, intervals as iv, reports, simul
 from parlance.plans.conversations import _CLOCK, clocked_lines
 from parlance.plans.texts import _clock_sql, _norm_sql
 from parlance.plans.timelines import TURNS, _sweep_sql, turns
-from parlance.runtime import ship_package, spread
+from parlance.runtime import shared_folder, ship_package, spread
 from parlance.sources import writers
 from parlance.streaming import live
 
@@ -180,8 +179,7 @@ def report_build(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("end_ms") / 1000).alias("end"),
         tx.collapse(F.col("text")).alias("text"),
     )
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='parlance-')}"
-    root = f"{base.rstrip('/')}/parlance/report-{uuid.uuid4().hex}"
+    root = f"{shared_folder(spark)}/parlance/report-{uuid.uuid4().hex}"
 
     def save(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(f"{root}/{name}")
@@ -310,8 +308,7 @@ def grouped_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def streaming_talk_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Talk time per day and speaker by a stream over the events, as its last version."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='parlance-')}"
-    at = f"{base.rstrip('/')}/parlance/live-{uuid.uuid4().hex}"
+    at = f"{shared_folder(spark)}/parlance/live-{uuid.uuid4().hex}"
     pattern = f"{sf_dir}/event[s].parquet"
     live.versioned(live.talk_time(live.event_stream(spark, pattern)), f"{at}/out", f"{at}/state").awaitTermination()
     return live.latest(spark, f"{at}/out")

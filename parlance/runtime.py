@@ -9,6 +9,23 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
+_LOCAL: list[str] = []
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``, which driver and executors share.
+
+    Only a local session without that setting (tests, a laptop) gets a folder of
+    its own; on a cluster the setting is required.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base:
+        return base.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    if not _LOCAL:
+        _LOCAL.append(tempfile.mkdtemp(prefix="parlance-"))
+    return f"file://{_LOCAL[0]}"
 
 
 def ship_package(spark: SparkSession) -> None:

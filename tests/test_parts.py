@@ -303,3 +303,20 @@ def test_outputs_are_scored_against_their_sources(spark):
     assert abs(got["hpss"].first_db - 20) < 1 and abs(got["hpss"].second_db - 20) < 1 and not got["hpss"].swapped
     assert got["net"].swapped and abs(got["net"].first_db - 20) < 1 and got["net"].second_db > 60
     assert got["wrong"].first_db < 0 and not got["wrong"].swapped
+
+
+def test_clusters_need_a_shared_folder(spark, monkeypatch):
+    from parlance import runtime
+
+    class Cluster:
+        class sparkContext:
+            master = "spark://host:7077"
+
+        class conf:
+            @staticmethod
+            def get(name, default):
+                return default
+
+    assert runtime.shared_folder(spark)
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        runtime.shared_folder(Cluster)
