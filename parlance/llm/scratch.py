@@ -8,24 +8,11 @@ own, on a cluster the setting is required.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_LOCAL: list[str] = []
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The shared folder's address, or a local one where none is configured."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return base.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-    if not _LOCAL:
-        _LOCAL.append(tempfile.mkdtemp(prefix="parlance-"))
-    return f"file://{_LOCAL[0]}"
+from parlance.runtime import shared_folder
 
 
 class Scratch:
