@@ -93,7 +93,14 @@ def simulate(design: DataFrame, target: float = 60.0) -> DataFrame:
     return design.groupBy("id").applyInPandas(one, "id string, speaker string, start double, end double")
 
 
-def render(plan: pd.DataFrame, clips: dict[str, np.ndarray], *, noise: np.ndarray | None = None, snr_db: float = 10.0, peak: float = 0.9) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+def render(
+    plan: pd.DataFrame,
+    clips: dict[str, np.ndarray],
+    *,
+    noise: np.ndarray | None = None,
+    snr_db: float = 10.0,
+    peak: float = 0.9,
+) -> tuple[np.ndarray, dict[str, np.ndarray]]:
     """(mixture, sources) of planned turns (speaker, start, end), whose speech is taken from each speaker's clip in order.
 
     Every turn has the same active level and short fades; noise lies ``snr_db``

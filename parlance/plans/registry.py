@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from parlance.plans import conversations, reports, scoring, statistics, texts, timelines, vectors
+from parlance.plans import conversations, files, reports, scoring, statistics, texts, timelines, vectors
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-for _module in (conversations, timelines, texts, statistics, scoring, vectors, reports):
+for _module in (conversations, timelines, texts, statistics, scoring, vectors, reports, files):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES

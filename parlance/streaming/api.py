@@ -40,7 +40,14 @@ class Session:
         """The state, with the envelope from ``offset`` on; a page of another take gets all of it."""
         offset = offset if take == self.take else 0
         bins = live.envelope_since(self.envelope(), offset).collect() if self.envelope else []
-        return {"take": self.take, "recording": self.recording, **self.options, "result_version": self.version(), "env_from": bins[0]["bin"] if bins else 0, "env": [b["peak"] for b in bins]}
+        return {
+            "take": self.take,
+            "recording": self.recording,
+            **self.options,
+            "result_version": self.version(),
+            "env_from": bins[0]["bin"] if bins else 0,
+            "env": [b["peak"] for b in bins],
+        }
 
     def result(self) -> list[dict]:
         """The rows of the newest version: one small result, as the page shows it."""

@@ -225,7 +225,10 @@ def test_envelopes_go_on_from_an_offset(spark):
 def test_english_words_may_not_be_replaced(spark):
     from parlance.operators import guardrails
 
-    df = spark.createDataFrame([("mera phone gum gaya", "mera mobile gum gaya"), ("mera phone gum gaya", "mera phone gum gaya hai")], "s string, t string")
+    df = spark.createDataFrame(
+        [("mera phone gum gaya", "mera mobile gum gaya"), ("mera phone gum gaya", "mera phone gum gaya hai")],
+        "s string, t string",
+    )
     reasons = [r[0] for r in df.select(guardrails.revert_reason(F.col("s"), F.col("t"), loanwords=["phone", "mobile"])).collect()]
     assert reasons == ["replaced", None]
 
@@ -283,7 +286,13 @@ def test_the_page_reads_a_live_session(spark, tmp_path):
     assert call("/api/start", {}) == (200, {"take": 2}) and call("/api/options", {"language": "ta", "other": 1})[0] == 200
     spark.createDataFrame([("S1", 3)], "speaker string, turns long").write.parquet(f"file://{tmp_path}/out/version=4")
     _, state = call("/api/state?take=2&env_from=2")
-    assert (state["recording"], state["language"], state["result_version"], state["env_from"], state["env"]) == (True, "ta", 4, 1, [6, 7]) and "other" not in state
+    assert (
+        state["recording"],
+        state["language"],
+        state["result_version"],
+        state["env_from"],
+        state["env"],
+    ) == (True, "ta", 4, 1, [6, 7]) and "other" not in state
     assert call("/api/state?take=1&env_from=2")[1]["env"] == [5, 6, 7]  # of another take: all of it
     assert call("/api/result") == (200, [{"speaker": "S1", "turns": 3}])
     assert call("/api/stop", {})[0] == 200 and not call("/api/state")[1]["recording"]
@@ -297,8 +306,15 @@ def test_outputs_are_scored_against_their_sources(spark):
 
     rng = np.random.default_rng(0)
     a, b = rng.normal(size=(2, 400))
-    rows = [("p", "hpss", (a + 0.1 * b).tolist(), (b + 0.1 * a).tolist(), True), ("p", "net", b.tolist(), (3 * a + 0.3 * b).tolist(), False), ("p", "wrong", b.tolist(), a.tolist(), True)]
-    df = spark.createDataFrame([(*r[:4], a.tolist(), b.tolist(), r[4]) for r in rows], "id string, name string, out0 array<double>, out1 array<double>, ref0 array<double>, ref1 array<double>, fixed boolean")
+    rows = [
+        ("p", "hpss", (a + 0.1 * b).tolist(), (b + 0.1 * a).tolist(), True),
+        ("p", "net", b.tolist(), (3 * a + 0.3 * b).tolist(), False),
+        ("p", "wrong", b.tolist(), a.tolist(), True),
+    ]
+    df = spark.createDataFrame(
+        [(*r[:4], a.tolist(), b.tolist(), r[4]) for r in rows],
+        "id string, name string, out0 array<double>, out1 array<double>, ref0 array<double>, ref1 array<double>, fixed boolean",
+    )
     got = {r.name: r for r in separation.output_table(df, ["id"]).collect()}
     assert abs(got["hpss"].first_db - 20) < 1 and abs(got["hpss"].second_db - 20) < 1 and not got["hpss"].swapped
     assert got["net"].swapped and abs(got["net"].first_db - 20) < 1 and got["net"].second_db > 60
