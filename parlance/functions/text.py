@@ -77,6 +77,11 @@ def without_repeats(items: Column) -> Column:
     return bound(items, lambda own: F.filter(own, lambda x, i: (i == 0) | (x != F.get(own, i - 1))))
 
 
+def ctc_collapse(ids: Column, blank: int) -> Column:
+    """Greedy decoding of frame labels: repeats fall together, then blanks go."""
+    return F.filter(without_repeats(ids), lambda x: x != blank)
+
+
 def distinct_in_order(items: Column) -> Column:
     return F.array_distinct(F.filter(items, lambda x: x.isNotNull() & (x != "")))
 

@@ -10,14 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
-from parlance.functions import signals, text as tx, transliterate
+from parlance.functions import signals, text as tx, translation, transliterate
 from parlance.operators import reports
 from parlance.plans.conversations import _CLOCK, clocked_lines
 from parlance.plans.texts import _clock_sql, _collapse_sql
 from parlance.plans.timelines import TURNS, turns
 from parlance.plans.vectors import _DUO, _dot, _duo
 from parlance.runtime import shared_folder, ship_package
-from parlance.sources import readers, writers
+from parlance.sources import models, readers, writers
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -239,6 +239,54 @@ def plain_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("page_id", readers.rewrite_path(F.col("path")).alias("path"))
 
 
+#: Texts, and what a translator gets of them.
+_PROTECTED = [
+    ("Mail a@b.com, see www.x.org/p?q=1 !", "Mail <ID1>, see <ID2>!", "a@b.com www.x.org/p?q=1"),
+    ("It cost 12,500 ( or 30% ) : ok", "It cost <ID1> (or <ID2>):ok", "12,500 30%"),
+    ("plain  words", "plain words", ""),
+]
+
+
+def translation_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts with their addresses, links and figures hidden, and put back again."""
+    ship_package(spark)
+    asked = spark.createDataFrame([t for t, *_ in _PROTECTED], "string").select(
+        F.col("value").alias("asked"),
+        translation.protected("value").alias("p"),
+    )
+    back = asked.select(
+        "asked",
+        "p.text",
+        F.array_join("p.parts", " ").alias("parts"),
+        translation.restored(F.col("p.text"), F.col("p.parts")).alias("back"),
+    )
+    return back.select("asked", "text", "parts", "back")
+
+
+def clip_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clips of up to a second, transcribed by the stand-in that says their length; those below a tenth stay empty."""
+    ship_package(spark)
+
+    def run(frames):
+        for frame in frames:
+            clips = [np.zeros(int(n), np.float32) for n in frame["n"]]
+            yield frame[["s_suppkey"]].assign(text=models.transcribe(clips, models.DurationRecogniser()))
+
+    clips = _table(spark, sf_dir, "supplier").select(
+        F.col("s_suppkey").cast("long").alias("s_suppkey"),
+        (F.col("s_suppkey") * 613 % 16_000).alias("n"),
+    )
+    return clips.mapInPandas(run, "s_suppkey long, text string")
+
+
+def report_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Small reports as JSON documents; what is missing stays out."""
+    c = _table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count("*").alias("lines"), F.min("role").alias("title"))
+    return writers.report_json(
+        c.select("conv_id", "title", F.when(F.col("lines") > 4, F.col("lines")).alias("lines"), F.array("title").alias("keywords"))
+    )
+
+
 _FOLDED = [("ज़मीन", "जमीन"), ("हाँ", "हां"), ("क‍ष", "कष"), ("plain", "plain"), ("é", "é")]
 
 
@@ -272,6 +320,9 @@ QUERIES = {
         transcript_fingerprints,
         plain_paths,
         folded_spellings,
+        translation_parts,
+        clip_texts,
+        report_documents,
     )
 }
 _TAGLESS = _collapse_sql(f"regexp_replace(coalesce(text, ''), '{tx.TAGS}', ' ', 'g')")
@@ -295,5 +346,17 @@ SELECT rec_id, to_json(list({{'start': {_clock_sql("s")}, 'end': {_clock_sql("e"
     "mixture_gains": _DUO + f", d AS (SELECT pair, {_dot('e0', 'e0')} AS xx, {_dot('e1', 'e1')} AS yy, {_dot('e0', 'e1')} AS xy, {_dot('e0', 'mix')} AS xm, {_dot('e1', 'mix')} AS ym FROM ab), r AS (SELECT *, 0.001::DOUBLE * (xx + yy) / 2 + 1e-12::DOUBLE AS ridge FROM d) SELECT pair, round((xm * (yy + ridge) - ym * xy) / ((xx + ridge) * (yy + ridge) - xy * xy), 6) AS g0, round((ym * (xx + ridge) - xm * xy) / ((xx + ridge) * (yy + ridge) - xy * xy), 6) AS g1 FROM r",
     "transcript_fingerprints": _CLOCK + "SELECT conv_id, sha256(to_json(list({'line_id': turn, 'speaker': role, 'start': start_ms // 1000, 'end': end_ms // 1000, 'text': length(text)::VARCHAR} ORDER BY turn))::VARCHAR) AS sha FROM lines GROUP BY conv_id",
     "plain_paths": "SELECT page_id, CASE WHEN page_id % 2 = 0 THEN '' ELSE 'old/data/' END || url AS path FROM pages",
+    "translation_parts": "SELECT * FROM (VALUES " + ", ".join(
+        f"('{a}', '{b}', '{c}', '{d}')" for a, b, c, d in (
+            (
+                a,
+                b,
+                c,
+                {0: "Mail a@b.com, see www.x.org/p?q=1!", 1: "It cost 12,500 (or 30%):ok", 2: "plain words"}[k],
+            ) for k, (a, b, c) in enumerate(_PROTECTED)
+        )
+    ) + ") v(asked, text, parts, back)",
+    "clip_texts": "SELECT s_suppkey::BIGINT AS s_suppkey, CASE WHEN s_suppkey * 613 % 16000 < 1600 THEN '' ELSE printf('%.2f', (s_suppkey * 613 % 16000) / 16000.0::DOUBLE) END AS text FROM supplier",
+    "report_documents": "WITH c AS (SELECT conv_id, count(*) AS n, min(role) AS title FROM conversations GROUP BY conv_id) SELECT conv_id, CASE WHEN n > 4 THEN to_json({'title': title, 'lines': n, 'keywords': [title]})::VARCHAR ELSE to_json({'title': title, 'keywords': [title]})::VARCHAR END AS json FROM c",
     "folded_spellings": "SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in _FOLDED) + ") v(word, folded)",
 }

@@ -32,7 +32,10 @@ def _replies(lines: DataFrame) -> DataFrame:
     """What the stand-in answers: by turn it repairs, drops, adds, rewrites, skips or changes a word; once per line twice, once for no line."""
     w = F.split("text", " ")
     kind = F.col("turn") % 6
-    text = F.when(kind == 0, F.concat("text", F.lit("!"))).when(kind == 1, F.array_join(F.slice(w, F.lit(2), F.greatest(F.size(w) - 1, F.lit(0))), " ")).when(
+    text = F.when(kind == 0, F.concat("text", F.lit("!"))).when(
+        kind == 1,
+        F.array_join(F.slice(w, F.lit(2), F.greatest(F.size(w) - 1, F.lit(0))), " "),
+    ).when(
         kind == 2,
         F.concat("text", F.lit(" extra words that nobody said at any time here or there or anywhere else in all the world today or tomorrow")),
     ).when(kind == 3, F.lit("completely other text")).otherwise(F.concat(
@@ -165,6 +168,27 @@ class CountingChat:
         return json.dumps({"lines": lines, "summary": f"{len(lines)} lines", "keywords": [], "actions": []})
 
 
+class ShortChat(CountingChat):
+    """Answers for two lines at most."""
+
+    def complete(self, system: str, user: str, max_tokens: int, schema: dict | None = None) -> str:
+        return super().complete(system, user, max_tokens, schema) if user.rsplit(":\n", 1)[1].count("\n") < 2 else "cut of"
+
+
+def halved_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replies for chunks of up to seven lines by a model that manages two: how many lines each reply has."""
+    ship_package(spark)
+    lines = spread(spark.read.parquet(f"{sf_dir}/conversations.parquet")).select(
+        "conv_id",
+        F.expr("cast(turn div 7 as int)").alias("chunk"),
+        (F.col("turn") + 1).alias("line_id"),
+        F.col("role").alias("speaker"),
+        tx.collapse(F.col("text")).alias("text"),
+    )
+    said = reports.call_chunks(lines, ShortChat, "conv_id", "hi").where("line_id is not null")
+    return said.groupBy("conv_id", "chunk", "pos").agg(F.count("*").alias("lines"), F.min("line_id").alias("first"))
+
+
 REPORT_BUDGET = 900
 
 
@@ -359,6 +383,7 @@ QUERIES = {
         action_validation,
         synthesis_fallback,
         report_build,
+        halved_chunks,
         report_cache_reuse,
         dedup_translate,
         live_payload,
@@ -399,6 +424,10 @@ k AS (SELECT conv_id, chunk, count(*) AS n FROM f GROUP BY ALL),
 p AS (SELECT conv_id, count(*) AS parts, sum(n)::BIGINT AS lines, string_agg(n || ' lines', '; ' ORDER BY chunk) AS said FROM k GROUP BY conv_id)
 SELECT conv_id, CASE WHEN parts > 1 THEN parts || ' parts' ELSE 'Conversation report' END AS title, said AS summary, lines, lines AS uncertain, parts = 1 AS failed FROM p
 UNION ALL SELECT DISTINCT conv_id, 'Conversation report', '{reports.NO_SPEECH}', NULL, NULL, NULL FROM lines WHERE conv_id NOT IN (SELECT conv_id FROM sp)""",
+    "halved_chunks": """WITH c AS (SELECT conv_id, (turn // 7)::INT AS chunk, min(turn) AS lo, count(*) AS n FROM conversations GROUP BY ALL),
+h AS (SELECT conv_id, chunk, lo, CASE n WHEN 1 THEN [1] WHEN 2 THEN [2] WHEN 3 THEN [1, 2] WHEN 4 THEN [2, 2] WHEN 5 THEN [2, 1, 2] WHEN 6 THEN [1, 2, 1, 2] ELSE [1, 2, 2, 2] END AS parts FROM c),
+p AS (SELECT conv_id, chunk, lo, parts, unnest(range(1, len(parts) + 1)) AS i FROM h)
+SELECT conv_id, chunk, (i - 1)::INT AS pos, parts[i]::BIGINT AS lines, lo + 1 + coalesce(list_sum(parts[1 : i - 1]), 0)::BIGINT AS first FROM p""",
     "report_cache_reuse": """WITH d AS (SELECT doc_id AS id, sha256(text) AS sha FROM documents),
 c AS (SELECT doc_id AS report_id, sha, CASE WHEN toxic = 1 THEN 'r1' WHEN quality = 1 THEN 'r2' END AS revision, CASE WHEN doc_id % 5 = 0 THEN 8192 WHEN doc_id % 5 = 1 THEN 4096 END AS context FROM labels JOIN d ON id = doc_id),
 r AS (SELECT sha, min(report_id) AS reused_from FROM c WHERE coalesce(revision, 'r2') = 'r2' AND coalesce(context, 4096) = 4096 GROUP BY sha)

@@ -148,6 +148,17 @@ def render_srt(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _WORDS = [
+    ("বাংলা", "baanla"),
+    ("ਪੰਜਾਬੀ", "panjabee"),
+    ("ગુજરાતી", "gujaratee"),
+    ("தமிழ்", "tamizh"),
+    ("తెలుగు", "telugu"),
+    ("ಕನ್ನಡ", "kannada"),
+    ("മലയാളം", "malayalam"),
+    ("اردو", "ardo"),
+    ("پاکستان", "pakstan"),
+    ("شکریہ", "shukriya"),
+    ("ᱥᱟᱱᱛᱟᱲᱤ", "santari"),
     ("कमरा", "kamra"),
     ("समझना", "samajhna"),
     ("मतलब", "matlab"),

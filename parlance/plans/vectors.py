@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from parlance.functions import text as tx
 from parlance.operators import clustering as cl, diarize as dz
 from parlance.operators.separation import si_sdr
 from parlance.runtime import ship_package
@@ -106,6 +107,12 @@ def separated_voices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dz.pick_voice(named, c, ["rec"]).select("rec", "unit", F.col("track").cast("long").alias("track"), F.round("score", 6).alias("score"))
 
 
+def ctc_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frame labels from 0 to 3 of each window, decoded greedily; 0 is the blank."""
+    ids = F.transform("emb", lambda x: F.floor(F.abs(x) * 8) % 4)
+    return windows(spark, sf_dir).select("win_idx", F.array_join(tx.ctc_collapse(ids, 0).cast("array<string>"), "").alias("said"))
+
+
 def _duo(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Neighbouring windows as two sources, with estimates that leak into each other and come out swapped for odd pairs."""
     w = windows(spark, sf_dir).select((F.floor(F.col("win_idx") / 2)).cast("long").alias("pair"), (F.col("win_idx") % 2).alias("side"), "emb")
@@ -198,6 +205,7 @@ QUERIES = {
         streams_assign,
         best_voice_pick,
         separated_voices,
+        ctc_frames,
         si_sdr_pairs,
         separation_gain,
         signal_levels,
@@ -223,12 +231,15 @@ ORACLES = {
     "separated_voices": _W + _C.format(
         n="ct",
         k="rec, label",
-    ) + f", cu AS (SELECT rec, label, list_transform(c, lambda x: x / (sqrt({_dot('c', 'c')}) + 1e-9::DOUBLE)) AS c FROM ct), who AS (SELECT rec, win_idx - win_idx % 2 AS unit, max(label) FILTER (win_idx % 2 = 0) AS speaker, max(label) FILTER (win_idx % 2 = 1) AS second FROM un GROUP BY ALL), s AS (SELECT un.rec, unit, win_idx % 2 AS track, round({
+    ) + f", cu AS (SELECT rec, label, list_transform(c, lambda x: x / (sqrt({
+        _dot('c', 'c')
+    }) + 1e-9::DOUBLE)) AS c FROM ct), who AS (SELECT rec, win_idx - win_idx % 2 AS unit, max(label) FILTER (win_idx % 2 = 0) AS speaker, max(label) FILTER (win_idx % 2 = 1) AS second FROM un GROUP BY ALL), s AS (SELECT un.rec, unit, win_idx % 2 AS track, round({
         _dot('u', 'a.c')
     } - CASE WHEN second <> speaker THEN coalesce({_dot(
         'u',
         'b.c',
     )}, 0) ELSE 0 END, 9) AS score FROM un JOIN who ON un.rec = who.rec AND unit = win_idx - win_idx % 2 JOIN cu a ON a.rec = un.rec AND a.label = speaker LEFT JOIN cu b ON b.rec = un.rec AND b.label = second) SELECT rec, unit, track, round(score, 6) AS score FROM s QUALIFY row_number() OVER (PARTITION BY rec, unit ORDER BY score DESC, track) = 1",
+    "ctc_frames": "WITH w AS (SELECT vec_id AS win_idx, list_transform(embedding::DOUBLE[], lambda x: floor(abs(x) * 8)::BIGINT % 4) AS f FROM embeddings) SELECT win_idx, array_to_string(list_filter(list_filter(f, lambda x, i: i = 1 OR x <> f[i - 1]), lambda x: x <> 0), '') AS said FROM w",
     "si_sdr_pairs": _DUO + "SELECT pair, round(greatest(straight, crossed), 4) AS si_sdr, crossed > straight AS swapped FROM pv",
     "separation_gain": _DUO + "SELECT pair, round(mix, 4) AS si_sdr_mix, round(greatest(straight, crossed) - mix, 4) AS gain FROM pv",
     "signal_levels": "WITH w AS (SELECT vec_id AS win_idx, embedding::DOUBLE[] AS emb FROM embeddings), f AS (SELECT *, list_transform(range(8), lambda i: " + _dot(
