@@ -330,6 +330,34 @@ def grouped_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simulation.pick_groups(spark.read.parquet(f"{sf_dir}/customer.parquet"), "c_mktsegment", "c_custkey")
 
 
+def tuned_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers of all nations but the one that was tuned on."""
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_nationkey")
+    return simulation.without_tuning(c, "c_nationkey")
+
+
+def _streamed(result: DataFrame, spark: SparkSession) -> DataFrame:
+    """All that a stream in append mode gives for what is there."""
+    at = f"{shared_folder(spark)}/parlance/stream-{uuid.uuid4().hex}"
+    writer = result.writeStream.outputMode("append").format("parquet").option("checkpointLocation", f"{at}/state").option("path", f"{at}/out")
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(result.schema).parquet(f"{at}/out")
+
+
+def streamed_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts that a stream of lines has to have translated: each of a role once."""
+    lines = spark.readStream.schema("conv_id long, turn long, role string, text string").parquet(f"{sf_dir}/conversation[s].parquet")
+    timed = lines.select(F.timestamp_seconds(F.col("turn") + 1).alias("at"), F.col("role").alias("lang"), "text").withWatermark("at", "1 day")
+    return _streamed(live.new_texts(timed), spark).select(F.col("lang").alias("role"), "text")
+
+
+def settled_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions of users by a stream over the events: those that ended three seconds or more before the newest event."""
+    out = _streamed(live.settled(live.event_stream(spark, f"{sf_dir}/event[s].parquet")), spark)
+    ms = lambda c: F.unix_millis(c).alias(f"{c}_ms")
+    return out.select("user_id", ms("start"), ms("end"), "turns")
+
+
 def streaming_talk_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Talk time per day and speaker by a stream over the events, as its last version."""
     at = f"{shared_folder(spark)}/parlance/live-{uuid.uuid4().hex}"
@@ -395,6 +423,9 @@ QUERIES = {
         turn_simulation,
         grouped_sampling,
         streaming_talk_time,
+        tuned_groups,
+        streamed_texts,
+        settled_sessions,
     )
 }
 ORACLES = {
@@ -448,5 +479,12 @@ UNION ALL SELECT rec_id, 'oracle', line_id, speaker, "start", "end", length(text
     "tuning_settings": "SELECT * FROM (VALUES ('A'), ('B')) a(\"order\"), (VALUES ('spectral'), ('gmm')) b(method), (VALUES (true), (false)) c(overlap_aware), (VALUES (0.5::DOUBLE), (0.6::DOUBLE), (0.7::DOUBLE)) d(merge) WHERE NOT (\"order\" = 'A' AND NOT overlap_aware)",
     "noise_plan": "SELECT format('test_g{:02d}_{}spk_{}_{}', g, 2 + g % 2, o, n) AS id, g AS grp, (2 + g % 2)::INT AS n_speakers, o AS overlap_level, n AS noise FROM range(8) t(g), (VALUES ('ovl-none'), ('ovl-low'), ('ovl-high')) a(o), (VALUES ('clean'), ('village10'), ('market5')) b(n)",
     "grouped_sampling": "WITH p AS (SELECT c_mktsegment, c_custkey, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) - 1 AS p FROM (SELECT DISTINCT c_mktsegment, c_custkey FROM customer)), g AS (SELECT c_mktsegment, (2 * (p // 5) + CASE WHEN p % 5 >= 2 THEN 1 ELSE 0 END)::INT AS grp, c_custkey FROM p) SELECT * FROM g QUALIFY count(*) OVER (PARTITION BY c_mktsegment, grp) = 2 + grp % 2",
+    "tuned_groups": "SELECT c_custkey, c_nationkey FROM customer WHERE c_nationkey <> 7",
+    "streamed_texts": "SELECT DISTINCT role, text FROM conversations",
+    "settled_sessions": """WITH e AS (SELECT user_id, epoch_us(ts) AS t FROM events),
+f AS (SELECT *, CASE WHEN t < lag(t) OVER (PARTITION BY user_id ORDER BY t) + 600000000 THEN 0 ELSE 1 END AS fresh FROM e),
+g AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS s FROM f),
+w AS (SELECT user_id, min(t) AS a, max(t) + 600000000 AS b, count(*) AS turns FROM g GROUP BY user_id, s)
+SELECT user_id, a // 1000 AS start_ms, b // 1000 AS end_ms, turns FROM w WHERE b <= (SELECT max(t) FROM e) // 1000 * 1000 - 3000000""",
     "streaming_talk_time": "SELECT strftime(ts, '%Y-%m-%d') AS day, (user_id % 8)::VARCHAR AS grp, 'S' || ((user_id // 8) % 3) AS speaker, count(*) AS turns, sum(floor(value * 20000)::BIGINT)::BIGINT AS talk_ms FROM events GROUP BY ALL",
 }

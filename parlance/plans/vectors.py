@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from parlance.functions import text as tx
 from parlance.operators import clustering as cl, diarize as dz
-from parlance.operators.separation import si_sdr
+from parlance.operators.separation import output_table, si_sdr
 from parlance.runtime import ship_package
 
 SIZE = 50
@@ -140,6 +140,33 @@ def si_sdr_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("pair", F.round(F.greatest("straight", "crossed"), 4).alias("si_sdr"), (F.col("crossed") > F.col("straight")).alias("swapped"))
 
 
+def output_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of each pair's outputs against both sources, outputs without an order being matched."""
+    d = _duo(spark, sf_dir).select(
+        "pair",
+        F.lit("leak").alias("name"),
+        F.col("e0").alias("out0"),
+        F.col("e1").alias("out1"),
+        F.col("a").alias("ref0"),
+        F.col("b").alias("ref1"),
+        (F.col("pair") % 3 == 0).alias("fixed"),
+    )
+    return output_table(d, ["pair"])
+
+
+def matched_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first two windows of a recording as tracks, named after the next two as speakers."""
+    w = windows(spark, sf_dir).withColumn("place", F.col("win_idx") % SIZE).where("place < 4").select(
+        "rec",
+        "place",
+        cl.normalised(F.col("emb")).alias("u"),
+    )
+    tracks = w.where("place < 2").select("rec", F.col("place").cast("int").alias("track"), "u")
+    speakers = w.where("place >= 2").select("rec", (F.col("place") - 1).alias("rank"), F.col("u").alias("v"))
+    scores = tracks.join(speakers, "rec").select("rec", "track", "rank", F.round(cl.dot(F.col("u"), F.col("v")), 9).alias("score"))
+    return dz.match_tracks(scores, ["rec"])
+
+
 def separation_gain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How much the best order improves on the mixture."""
     d = _duo(spark, sf_dir)
@@ -208,6 +235,8 @@ QUERIES = {
         ctc_frames,
         si_sdr_pairs,
         separation_gain,
+        output_scores,
+        matched_tracks,
         signal_levels,
     )
 }
@@ -241,6 +270,20 @@ ORACLES = {
     )}, 0) ELSE 0 END, 9) AS score FROM un JOIN who ON un.rec = who.rec AND unit = win_idx - win_idx % 2 JOIN cu a ON a.rec = un.rec AND a.label = speaker LEFT JOIN cu b ON b.rec = un.rec AND b.label = second) SELECT rec, unit, track, round(score, 6) AS score FROM s QUALIFY row_number() OVER (PARTITION BY rec, unit ORDER BY score DESC, track) = 1",
     "ctc_frames": "WITH w AS (SELECT vec_id AS win_idx, list_transform(embedding::DOUBLE[], lambda x: floor(abs(x) * 8)::BIGINT % 4) AS f FROM embeddings) SELECT win_idx, array_to_string(list_filter(list_filter(f, lambda x, i: i = 1 OR x <> f[i - 1]), lambda x: x <> 0), '') AS said FROM w",
     "si_sdr_pairs": _DUO + "SELECT pair, round(greatest(straight, crossed), 4) AS si_sdr, crossed > straight AS swapped FROM pv",
+    "output_scores": _DUO
+    + """, k AS (SELECT pair, max(s) FILTER (k = '0a') AS s00, max(s) FILTER (k = '1b') AS s11, max(s) FILTER (k = '1a') AS s10, max(s) FILTER (k = '0b') AS s01 FROM db GROUP BY pair),
+c AS (SELECT *, pair % 3 <> 0 AND s10 + s01 > s00 + s11 AS swapped FROM k)
+SELECT pair, 'leak' AS name, round(CASE WHEN swapped THEN s10 ELSE s00 END, 1) AS first_db, round(CASE WHEN swapped THEN s01 ELSE s11 END, 1) AS second_db, swapped FROM c""",
+    "matched_tracks": _W
+    + ", p AS (SELECT a.rec, round("
+    + _dot("a.u", "c.u")
+    + " , 9) AS s01, round("
+    + _dot("a.u", "d.u")
+    + ", 9) AS s02, round("
+    + _dot("b.u", "c.u")
+    + ", 9) AS s11, round("
+    + _dot("b.u", "d.u")
+    + ", 9) AS s12 FROM un a JOIN un b ON a.rec = b.rec AND a.win_idx % 50 = 0 AND b.win_idx % 50 = 1 JOIN un c ON c.rec = a.rec AND c.win_idx % 50 = 2 JOIN un d ON d.rec = a.rec AND d.win_idx % 50 = 3) SELECT rec, unnest([0, 1]) AS track, unnest(CASE WHEN s02 + s11 > s01 + s12 THEN [2, 1] ELSE [1, 2] END)::BIGINT AS rank FROM p",
     "separation_gain": _DUO + "SELECT pair, round(mix, 4) AS si_sdr_mix, round(greatest(straight, crossed) - mix, 4) AS gain FROM pv",
     "signal_levels": "WITH w AS (SELECT vec_id AS win_idx, embedding::DOUBLE[] AS emb FROM embeddings), f AS (SELECT *, list_transform(range(8), lambda i: " + _dot(
         "emb[i * 8 + 1 : i * 8 + 8]",
