@@ -58,7 +58,7 @@ def refreshed_references(tracks: DataFrame, top_db: float = 40.0) -> DataFrame:
 def music_design(recordings: DataFrame, per_raga: int = 2) -> DataFrame:
     """(raga, place, singer, recording, amount): for each raga pieces by different singers, each in three amounts of accompaniment."""
     first = recordings.groupBy("raga", "singer").agg(F.min("recording").alias("recording"))
-    place = F.row_number().over(W.partitionBy("raga").orderBy(F.xxhash64("raga", "singer"), "singer"))
+    place = F.row_number().over(W.partitionBy("raga").orderBy(F.md5(F.concat_ws("/", "raga", "singer").cast("binary")), "singer"))
     chosen = first.withColumn("place", place.cast("long")).where(F.col("place") <= per_raga)
     return chosen.select("raga", "place", "singer", "recording", F.explode(F.array(*(F.lit(x) for x in ("solo", "some", "full")))).alias("amount"))
 

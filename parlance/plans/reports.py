@@ -476,6 +476,7 @@ UNION ALL SELECT rec_id, 'oracle', line_id, speaker, "start", "end", length(text
   SELECT rec_id, list({'speaker': speaker, 'start': floor("start")::BIGINT, 'end': floor("end")::BIGINT, 'text': length(text)::VARCHAR, 'latin': 'x'} ORDER BY floor("start"), line_id) AS ls,
     (SELECT list(v.s ORDER BY v.p) FROM (SELECT s, min(p) AS p FROM (SELECT unnest(q) AS s, generate_subscripts(q, 1) AS p) GROUP BY s) v) AS list_distinct_ordered
   FROM (SELECT *, list(speaker) OVER (PARTITION BY rec_id ORDER BY floor("start"), line_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS q FROM ref WHERE line_id % 2 = 0) GROUP BY rec_id, q) h USING (rec_id) GROUP BY rec_id, list_distinct_ordered""",
+    "music_set": "WITH f AS (SELECT c_mktsegment AS raga, c_nationkey::VARCHAR AS singer, min(c_custkey) AS recording FROM customer GROUP BY ALL), p AS (SELECT *, row_number() OVER (PARTITION BY raga ORDER BY md5(raga || '/' || singer), singer) AS place FROM f) SELECT raga, place, singer, recording, unnest(['solo', 'some', 'full']) AS amount FROM p WHERE place <= 2",
     "tuning_settings": "SELECT * FROM (VALUES ('A'), ('B')) a(\"order\"), (VALUES ('spectral'), ('gmm')) b(method), (VALUES (true), (false)) c(overlap_aware), (VALUES (0.5::DOUBLE), (0.6::DOUBLE), (0.7::DOUBLE)) d(merge) WHERE NOT (\"order\" = 'A' AND NOT overlap_aware)",
     "noise_plan": "SELECT format('test_g{:02d}_{}spk_{}_{}', g, 2 + g % 2, o, n) AS id, g AS grp, (2 + g % 2)::INT AS n_speakers, o AS overlap_level, n AS noise FROM range(8) t(g), (VALUES ('ovl-none'), ('ovl-low'), ('ovl-high')) a(o), (VALUES ('clean'), ('village10'), ('market5')) b(n)",
     "grouped_sampling": "WITH p AS (SELECT c_mktsegment, c_custkey, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) - 1 AS p FROM (SELECT DISTINCT c_mktsegment, c_custkey FROM customer)), g AS (SELECT c_mktsegment, (2 * (p // 5) + CASE WHEN p % 5 >= 2 THEN 1 ELSE 0 END)::INT AS grp, c_custkey FROM p) SELECT * FROM g QUALIFY count(*) OVER (PARTITION BY c_mktsegment, grp) = 2 + grp % 2",
