@@ -1,7 +1,8 @@
 """Text functions as column expressions.
 
-Texts are expected in Unicode NFC; ``parlance.functions.transliterate.to_nfc``
-brings them there where that is not certain.
+Texts are expected in Unicode NFC; ``parlance.functions.transliterate.composed``
+brings them there where that is not certain, and leaves the JVM only for rows
+that need it.
 """
 
 from __future__ import annotations

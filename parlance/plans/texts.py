@@ -10,7 +10,7 @@ from parlance.functions import languages, text as tx, transliterate
 from parlance.operators import lexicon
 from parlance.operators.ranking import global_row_number
 from parlance.plans.conversations import _CLOCK, clocked_lines
-from parlance.runtime import spread
+from parlance.runtime import ship_package, spread
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,14 +34,17 @@ def line_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def normalise_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scoring form of every document and line."""
+    """Scoring form of every document and line, and of each document taken apart into letters and marks."""
+    ship_package(spark)
     lines = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(
         F.lit("line").alias("kind"),
         (F.col("conv_id") * 1000 + F.col("turn")).alias("id"),
         "text",
     )
-    both = _docs(spark, sf_dir).select(F.lit("document").alias("kind"), F.col("doc_id").alias("id"), "text").unionByName(lines)
-    return both.select("kind", "id", tx.normalise(F.col("text")).alias("form"))
+    docs = _docs(spark, sf_dir).select(F.lit("document").alias("kind"), F.col("doc_id").alias("id"), "text")
+    apart = F.replace(F.replace("text", F.lit("é"), F.lit("e\u0301")), F.lit("ü"), F.lit("u\u0308"))
+    both = docs.unionByName(docs.select(F.lit("apart").alias("kind"), "id", apart.alias("text"))).unionByName(lines)
+    return transliterate.composed(both, "text").select("kind", "id", tx.normalise(F.col("text")).alias("form"))
 
 
 def content_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -183,7 +186,6 @@ _WORDS = [
 
 
 def _shipped(spark: SparkSession) -> SparkSession:
-    from parlance.runtime import ship_package
 
     ship_package(spark)
     return spark
@@ -471,7 +473,7 @@ QUERIES = {
 _CATALOGUE_SQL = ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else str(x) for x in row) + ")" for row in languages.CATALOGUE)
 ORACLES = {
     "line_records": _CLOCK + f"SELECT conv_id, turn + 1 AS line_id, coalesce(role, 'Speaker_?') AS speaker, start_ms / 1000.0::DOUBLE AS start_s, end_ms / 1000.0::DOUBLE AS end_s, {_clock_sql('start_ms')} AS \"from\", {_clock_sql('end_ms')} AS \"to\", trim(text) AS text FROM lines WHERE {_norm_sql('text')} <> ''",
-    "normalise_text": f"SELECT 'document' AS kind, doc_id AS id, {_norm_sql('text')} AS form FROM documents UNION ALL SELECT 'line', conv_id * 1000 + turn, {_norm_sql('text')} FROM conversations",
+    "normalise_text": f"WITH t AS (SELECT 'document' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'apart', doc_id, replace(replace(text, 'é', 'e' || chr(769)), 'ü', 'u' || chr(776)) FROM documents UNION ALL SELECT 'line', conv_id * 1000 + turn, text FROM conversations), n AS (SELECT kind, id, nfc_normalize(text) AS text FROM t) SELECT kind, id, {_norm_sql('text')} AS form FROM n",
     "content_tokens": f"WITH d AS (SELECT doc_id, {_TOKENS_SQL} AS t, {_CONTENT_SQL} AS c FROM documents) SELECT doc_id, len(t) AS n_tokens, len(c) AS n_content, len(list_distinct(c)) AS n_distinct, len(list_filter(t, lambda x, i: i = 1 OR x <> t[i - 1])) AS n_without_repeats FROM d",
     "script_detect": f"WITH d AS (SELECT doc_id, text FROM documents UNION ALL SELECT * FROM (VALUES {_SAMPLE_SQL}) v(doc_id, text)), c AS (SELECT doc_id, list_max({_SCRIPT_COUNTS}) AS b FROM d) SELECT doc_id, CASE WHEN b.n > 0 THEN b.s END AS script FROM c",
     "tag_clean": "SELECT page_id, " + _collapse_sql(f"regexp_replace(coalesce(html, ''), '{tx.TAGS}', ' ', 'g')") + " AS clean FROM pages",

@@ -2,6 +2,7 @@
 
 import itertools
 import json
+import re
 
 import numpy as np
 import pytest
@@ -336,3 +337,24 @@ def test_clusters_need_a_shared_folder(spark, monkeypatch):
     assert runtime.shared_folder(spark)
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         runtime.shared_folder(Cluster)
+
+
+def test_only_what_may_compose_is_composed(spark):
+    import unicodedata
+
+    from parlance.functions import transliterate
+
+    ship_package(spark)
+    texts = ["plain", "é", "क़ा", "क़", "각", "가", "Å", "ü", None, "ொ", "ạ̇"]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "id long, text string")
+    got = {r.id: r.text for r in transliterate.composed(df, "text").collect()}
+    assert got == {k: None if t is None else unicodedata.normalize("NFC", t) for k, t in enumerate(texts)}
+    # No character outside the class changes anything before or after it.
+    odd = re.compile(re.sub(r"\\x\{([0-9A-F]+)\}", lambda m: f"\\U{int(m[1], 16):08X}", transliterate._composing()))
+    quiet = [chr(k) for k in range(0x10000) if not 0xD800 <= k < 0xE000 and not odd.match(chr(k))]
+    assert all(
+        unicodedata.normalize("NFC", c) == c and unicodedata.normalize(
+            "NFC",
+            "e" + c,
+        ) == "e" + c and unicodedata.normalize("NFC", "ক" + c) == "ক" + c for c in quiet
+    )
