@@ -20,9 +20,15 @@ def draw(b: Column, j: Column, n: Column) -> Column:
     return ((j * 1103515245 + b * 8191 + j * b * 7 + 12345) % 2147483647) % n
 
 
-def hashed_draw(b: Column, j: Column, n: Column) -> Column:
-    """As ``draw``, from a hash: draws of one resample are independent of each other."""
-    return F.pmod(F.xxhash64(F.lit(0), b, j), n)
+#: A prime below 2^31, so that squares of remainders fit a long.
+PRIME = 2147483647
+
+
+def mixed_draw(b: Column, j: Column, n: Column) -> Column:
+    """As ``draw``, from squares of remainders: draws of one resample are independent of each other, and still arithmetic."""
+    u = (j * 1103515245 + b * 747796405 + 12345) % PRIME
+    v = (u * u + 1013904223) % PRIME
+    return (v * v + u) % PRIME % n
 
 
 def resampled(

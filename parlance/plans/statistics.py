@@ -118,7 +118,7 @@ def _differences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _difference_interval(d: DataFrame, resamples: int) -> DataFrame:
     """(mean_diff, lo, hi, resamples) of (item, d), items resampled."""
-    rates = st.interval(st.resampled(d.withColumn("one", F.lit(1)), "item", "d", "one", resamples, index=st.hashed_draw))
+    rates = st.interval(st.resampled(d.withColumn("one", F.lit(1)), "item", "d", "one", resamples, index=st.mixed_draw))
     return d.agg(F.round(F.avg("d"), 6).alias("mean_diff")).crossJoin(rates)  # one row each
 
 
@@ -136,7 +136,7 @@ def group_diff_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean difference of systems A and R with its interval by resampling whole nations, and in how many nations A is worse."""
     customers = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("item"), F.col("c_nationkey").alias("grp"))
     groups = _differences(spark, sf_dir).join(customers, "item").groupBy("grp").agg(F.sum("d").alias("d"), F.count("*").alias("n"))
-    rates = st.interval(st.resampled(groups, "grp", "d", "n", 2 * RESAMPLES, index=st.hashed_draw))
+    rates = st.interval(st.resampled(groups, "grp", "d", "n", 2 * RESAMPLES, index=st.mixed_draw))
     totals = groups.agg(
         F.round(F.sum("d") / F.sum("n"), 6).alias("mean_diff"),
         F.count_if(F.col("d") > 0).alias("worse"),
@@ -265,14 +265,20 @@ def busiest_recordings(spark: SparkSession, sf_dir: str) -> DataFrame:
 _DRAW_SQL = "((j * 1103515245 + b * 8191 + j * b * 7 + 12345) % 2147483647) % n"
 
 
-def _boot_sql(items: str, key: str, resamples: int) -> str:
+_MIXED_SQL = "((v * v + u) % 2147483647) % n FROM (SELECT b, n, u, (u * u + 1013904223) % 2147483647 AS v FROM (SELECT b, n, (j * 1103515245 + b * 747796405 + 12345) % 2147483647 AS u"
+
+
+def _boot_sql(items: str, key: str, resamples: int, mixed: bool = False) -> str:
+    drawn = _MIXED_SQL.replace(" % n FROM", " % n AS i FROM", 1) if mixed else f"{_DRAW_SQL} AS i"
     return f""", num AS (SELECT *, row_number() OVER (ORDER BY {key}) - 1 AS i, count(*) OVER () AS n FROM {items}),
-dr AS (SELECT b, {_DRAW_SQL} AS i FROM (SELECT DISTINCT n FROM num), generate_series(0, {resamples - 1}) t(b), generate_series(0, n - 1) u(j)),
+dr AS (SELECT b, {drawn} FROM (SELECT DISTINCT n FROM num), generate_series(0, {resamples - 1}) t(b), generate_series(0, n - 1) s(j){"))" if mixed else ""}),
 rt AS (SELECT b, sum(errors) / greatest(sum(words), 1) AS rate FROM dr JOIN num USING (i) GROUP BY b),
 ci AS (SELECT round(quantile_cont(rate, 0.025), 6) AS lo, round(quantile_cont(rate, 0.975), 6) AS hi, count(*) AS resamples FROM rt)
 """
 
 
+#: Differences of systems A and R by item; ``errors`` over ``words`` is then their mean.
+_DIFF_SQL = ", own AS (SELECT a.item, a.errors / greatest(a.words, 1) - r.errors / greatest(r.words, 1) AS errors, 1 AS words FROM per a JOIN per r ON a.item = r.item AND a.system = 'A' AND r.system = 'R')"
 _RATE = "round(sum(errors) / greatest(sum(words), 1), 6)"
 QUERIES = {
     f.__name__: f for f in (
@@ -309,6 +315,23 @@ ORACLES = {
         "grp",
         2 * RESAMPLES,
     ) + "SELECT ci.*, (SELECT count(*) FROM own WHERE errors * (SELECT sum(words) FROM own) > words * (SELECT sum(errors) FROM own)) AS worse, (SELECT count(*) FROM own) AS groups FROM ci",
+    "paired_diff_ci": FACTS + _DIFF_SQL + _boot_sql(
+        "own",
+        "item",
+        RESAMPLES,
+        True,
+    ) + "SELECT (SELECT round(avg(errors), 6) FROM own) AS mean_diff, ci.* FROM ci",
+    "plain_diff_ci": FACTS + _DIFF_SQL + _boot_sql(
+        "own",
+        "item",
+        PLAIN_RESAMPLES,
+        True,
+    ) + "SELECT (SELECT round(avg(errors), 6) FROM own) AS mean_diff, ci.* FROM ci",
+    "group_diff_ci": FACTS
+    + _DIFF_SQL
+    + ", g AS (SELECT c_nationkey AS grp, sum(errors) AS errors, count(*) AS words FROM own JOIN customer ON c_custkey = item GROUP BY 1)"
+    + _boot_sql("g", "grp", 2 * RESAMPLES, True)
+    + "SELECT (SELECT round(sum(errors) / sum(words), 6) FROM g) AS mean_diff, ci.*, (SELECT count(*) FROM g WHERE errors > 0) AS worse, (SELECT count(*) FROM g) AS groups FROM ci",
     "grid_argmin": f"WITH g AS (SELECT l_returnflag AS system, round(l_discount * 100)::BIGINT AS setting, floor(l_quantity)::BIGINT AS words, floor(l_extendedprice)::BIGINT % (floor(l_quantity)::BIGINT + 1) AS errors FROM lineitem), r AS (SELECT system, setting, {_RATE} AS rate, max(errors) AS spread FROM g GROUP BY ALL) SELECT system, setting, rate, spread, max(rate) FILTER (setting = 0) OVER (PARTITION BY system) AS default_rate FROM r QUALIFY row_number() OVER (PARTITION BY system ORDER BY rate, spread, setting) = 1",
     "median_row": "WITH r AS (SELECT o_orderpriority, o_totalprice, o_orderkey, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY o_orderpriority) AS n FROM orders WINDOW w AS (PARTITION BY o_orderpriority ORDER BY o_totalprice, o_orderkey)) SELECT o_orderpriority, o_totalprice, o_orderkey FROM r WHERE i = n // 2",
     "anti_join_speakers": "SELECT c_custkey, c_mktsegment FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT') AND c_mktsegment IN (SELECT c_mktsegment FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT'))",

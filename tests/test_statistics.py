@@ -4,6 +4,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from parlance.operators import statistics as st
 from parlance.plans import registry
@@ -58,4 +59,18 @@ def test_interval_of_differences_by_group(spark, differences):
 
 def test_no_items_give_no_interval(spark):
     none = spark.createDataFrame([], "item long, d double, one int")
-    assert st.interval(st.resampled(none, "item", "d", "one", 10, index=st.hashed_draw)).first().lo is None
+    assert st.interval(st.resampled(none, "item", "d", "one", 10, index=st.mixed_draw)).first().lo is None
+
+
+def test_mixed_draws_are_even_and_independent(spark):
+    """Counts of single draws, and of neighbouring pairs of draws, are as even as of any fair die."""
+    n = 16
+    rows = spark.range(40_000).select((F.col("id") / 200).cast("long").alias("b"), (F.col("id") % 200).alias("j"))
+    d = np.array([r[0] for r in rows.orderBy("b", "j").select(st.mixed_draw(F.col("b"), F.col("j"), F.lit(n).cast("long"))).collect()])
+    for cells in (
+        np.bincount(d, minlength=n),
+        np.bincount(d[:-1] * n + d[1:], minlength=n * n),
+        np.bincount(d[:-200] * n + d[200:], minlength=n * n),
+    ):
+        expected = cells.sum() / len(cells)
+        assert ((cells - expected) ** 2 / expected).sum() < len(cells) + 5 * (2 * len(cells)) ** 0.5
