@@ -12,7 +12,7 @@ from pyspark.sql.types import ArrayType, BooleanType
 
 from parlance.functions import text as tx
 from parlance.operators import assignment, intervals as iv
-from parlance.plans.texts import _hypothesis, _shipped
+from parlance.plans.texts import _WORDS_SQL, _hypothesis, _shipped
 from parlance.plans.timelines import K, MERGED, TURNS, merged, turns
 from parlance.runtime import ship_package, spread
 
@@ -23,9 +23,10 @@ def _matched(ref: pd.Series, hyp: pd.Series) -> pd.Series:
 
 
 def matched_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many words of each line its altered form meets, and at every third place (the tagged words)."""
+    """How many words of each line its altered form meets, and of every third word (the tagged ones, each a word of its own)."""
     ship_package(spark)
-    lines = spread(spark.read.parquet(f"{sf_dir}/conversations.parquet")).select("conv_id", "turn", tx.words(F.col("text")).alias("ref"))
+    words = F.transform(tx.words(F.col("text")), lambda w, i: F.when(i % 3 == 0, F.concat(w, F.lit("_"), i.cast("string"))).otherwise(w))
+    lines = spread(spark.read.parquet(f"{sf_dir}/conversations.parquet")).select("conv_id", "turn", words.alias("ref"))
     m = lines.withColumn("ok", _matched("ref", _hypothesis(F.col("ref"))))
     count = lambda a: F.size(F.filter(a, lambda x: x)).cast("long")
     tagged = F.filter("ok", lambda x, i: i % 3 == 0)
@@ -121,6 +122,8 @@ bm AS (SELECT rec_id, m, matched FROM sc QUALIFY row_number() OVER (PARTITION BY
 
 QUERIES = {f.__name__: f for f in (matched_tokens, cp_error, der_components, jer)}
 ORACLES = {
+    # Every seventh word is left out and every other fifth one replaced; a tagged word can only meet itself.
+    "matched_tokens": f"WITH w AS (SELECT conv_id, turn, len({_WORDS_SQL}) AS n FROM conversations) SELECT conv_id, turn, n - n // 7 - n // 5 + n // 35 AS matched, len(list_filter(range(0, n, 3), lambda i: (i + 1) % 7 <> 0 AND (i + 1) % 5 <> 0)) AS tagged_matched, (n + 2) // 3 AS tagged FROM w",
     "der_components": _DER_SQL + "SELECT rec_id, total, missed, false_alarm, paired - matched AS confusion, (missed + false_alarm + paired - matched) * 1000000 // greatest(total, 1) AS der_ppm FROM p JOIN bm USING (rec_id)",
     "jer": _DER_SQL + """, rt AS (SELECT rec_id, label, sum(e - s)::BIGINT AS t FROM ref GROUP BY ALL), ht AS (SELECT rec_id, label, sum(e - s)::BIGINT AS u FROM hyp GROUP BY ALL),
 x AS (SELECT rt.rec_id, t, coalesce(u, 0) AS u, coalesce(ms, 0) AS bo FROM rt JOIN bm USING (rec_id) LEFT JOIN ht ON ht.rec_id = rt.rec_id AND ht.label = m[rt.label + 1] LEFT JOIN ol ON ol.rec_id = rt.rec_id AND i = rt.label AND j = m[rt.label + 1])
