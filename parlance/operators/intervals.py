@@ -10,9 +10,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Length of a time cell where none is given: an hour in milliseconds.
-CELL = 3_600_000
-
 
 def islands(df: DataFrame, keys: list[str], gap: float = 0, order: str | None = None, inclusive: bool = True) -> DataFrame:
     """``df`` with an ``island`` number: rows whose start is within ``gap`` of what came before share one."""
@@ -114,13 +111,15 @@ def filled(df: DataFrame, keys: list[str], order: str, column: str) -> Column:
 
 
 def nearest_inactive(regions: DataFrame, turns: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, start, end, speaker, double_distance): the speaker who is not active in a region and whose turn is nearest to its middle.
+    """(keys, start, end, busy, speaker, double_distance): the speaker who is not active in a region and whose turn is nearest to its middle.
 
     ``turns`` (keys, speaker, start, end) are disjoint for each speaker, so the
     last turn that starts before a region ends says whether the speaker is
     active, and else is the nearest before; the next turn is the nearest after.
     That is one window per speaker over turns and regions. Distances are doubled
     to stay whole; ties go to the earlier turn, then to the lesser name.
+    ``busy`` says whether anybody is active; regions without an inactive speaker
+    do not appear.
     """
     who = turns.select(*keys, "speaker").distinct()
     probes = regions.select(*keys, "start", "end").join(who, keys).select(
@@ -144,7 +143,8 @@ def nearest_inactive(regions: DataFrame, turns: DataFrame, keys: list[str]) -> D
     running = W.unboundedPreceding, -1
     before = F.last("turn", ignorenulls=True).over(own.orderBy("at", "kind").rowsBetween(*running))
     after = F.last("turn", ignorenulls=True).over(own.orderBy(F.desc("at"), F.desc("kind")).rowsBetween(*running))
-    met = probes.unionByName(said).withColumn("before", before).withColumn("after", after).where("kind = 0 and (before is null or before.end <= r0)")
+    met = probes.unionByName(said).withColumn("before", before).withColumn("after", after).where("kind = 0")
+    idle = F.col("before").isNull() | (F.col("before.end") <= F.col("r0"))
     middle = F.col("r0") + F.col("r1")
     reach = lambda t: F.when(
         t.isNotNull(),
@@ -154,11 +154,12 @@ def nearest_inactive(regions: DataFrame, turns: DataFrame, keys: list[str]) -> D
             F.col("speaker").alias("speaker"),
         ),
     )
-    best = F.min(F.least(reach(F.col("before")), reach(F.col("after"))))
-    return met.groupBy(*keys, "r0", "r1").agg(best.alias("b")).select(
+    best = F.min(F.when(idle, F.least(reach(F.col("before")), reach(F.col("after")))))
+    return met.groupBy(*keys, "r0", "r1").agg(best.alias("b"), F.max(~idle).alias("busy")).where("b is not null").select(
         *keys,
         F.col("r0").alias("start"),
         F.col("r1").alias("end"),
+        "busy",
         F.col("b.speaker").alias("speaker"),
         F.col("b.distance").alias("double_distance"),
     )
@@ -167,12 +168,7 @@ def nearest_inactive(regions: DataFrame, turns: DataFrame, keys: list[str]) -> D
 def add_overlap_speakers(turns: DataFrame, overlaps: DataFrame, keys: list[str]) -> DataFrame:
     """Turns with, in every overlap in which somebody is active, the nearest other speaker as a second one; touching turns are merged."""
     merged = merge_turns(turns.select(*keys, "speaker", "start", "end"), keys).select(*keys, "speaker", "start", "end")
-    busy = intersecting(overlaps.select(*keys, "start", "end"), merged, keys, CELL).select(
-        *keys,
-        F.col("start_a").alias("start"),
-        F.col("end_a").alias("end"),
-    ).distinct()
-    extra = nearest_inactive(busy, merged, keys).select(*keys, "speaker", "start", "end")
+    extra = nearest_inactive(overlaps.where(F.col("end") > F.col("start")), merged, keys).where("busy").select(*keys, "speaker", "start", "end")
     return merge_turns(merged.unionByName(extra), keys).select(*keys, "speaker", "start", "end")
 
 
