@@ -7,7 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.llm import decontaminate, exact_duplicates, language, mixing, near_duplicates, packing, pii, quality, token_counts, tokens, url_filter
+from parlance.llm import (
+    decontaminate,
+    exact_duplicates,
+    filter_audit,
+    language,
+    licenses,
+    mixing,
+    near_duplicates,
+    packing,
+    pii,
+    quality,
+    token_counts,
+    tokens,
+    url_filter,
+    whitening,
+)
 from parlance.runtime import ship_package
 
 
@@ -90,6 +105,18 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_filters(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.summarise(licenses.scan_licenses(_table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_near_duplicates": op1_near_duplicates,
@@ -102,11 +129,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_url_filter": op8_url_filter,
         "op9_quality": op9_quality,
         "op10_decontamination": op10_decontamination,
+        "op11_filter_audit": op11_filter_audit,
+        "op12_whitening": op12_whitening,
+        "op13_license_scan": op13_license_scan,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_near_duplicates": _NEAR_SQL, "op6_exact_duplicates": _EXACT_SQL, "op8_url_filter": _url_sql(), "op10_decontamination": _WINDOW_SQL}
+    return {"op1_near_duplicates": _NEAR_SQL, "op6_exact_duplicates": _EXACT_SQL, "op8_url_filter": _url_sql(), "op10_decontamination": _WINDOW_SQL, "op11_filter_audit": _AUDIT_SQL, "op13_license_scan": _license_sql()}
 
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -191,3 +221,61 @@ SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN distrust > trust T
        CASE WHEN rule IS NOT NULL THEN 'rule' WHEN trust + distrust > 0 THEN 'links' ELSE 'nothing' END AS decided_by, trust, distrust
 FROM scored
 """
+
+
+_AUDIT_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w, min(doc_id) OVER (PARTITION BY text) AS least FROM d),
+marks AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+j AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+         [len(w) < 50, 100 * list_unique(w) < 65 * len(w), 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 5 * length(text),
+          regexp_matches(text, '[#$%&*|]'), coalesce(doc_id > least, false)] AS fails
+  FROM w LEFT JOIN marks USING (doc_id)),
+v AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM j GROUP BY ALL),
+f(k) AS (SELECT unnest([1, 2, 3, 4, 5])),
+o AS (SELECT [a.k, b.k, c.k, d.k, e.k] AS o FROM f a, f b, f c, f d, f e WHERE list_unique([a.k, b.k, c.k, d.k, e.k]) = 5),
+s AS (
+  SELECT part, array_to_string(list_transform(o, lambda k: substr('ABCDE', k, 1)), '') AS filter_order, step, o[step] AS k, n, good, toxic, fails[o[step]] AS hit,
+         list_count(list_filter(o[1 : step - 1], lambda x: fails[x])) > 0 AS gone, list_count(list_filter(fails, lambda x: x)) AS failed
+  FROM v, o, f AS steps(step)),
+g AS (
+  SELECT part, filter_order, step, k, sum(n) FILTER (NOT gone AND NOT hit) AS kept, sum(n) FILTER (hit AND NOT gone) AS removed,
+         sum(n) FILTER (hit AND gone) AS redundant, sum(n) FILTER (hit AND failed = 1) AS unique_fails,
+         sum(good) FILTER (hit AND NOT gone) AS good_lost, sum(toxic) FILTER (hit AND NOT gone) AS toxic_lost
+  FROM s GROUP BY ALL)
+SELECT part, filter_order, step::INT AS step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed, coalesce(redundant, 0)::BIGINT AS redundant,
+       coalesce(unique_fails, 0)::BIGINT AS unique_fails, coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost,
+       (sum(coalesce(removed, 0)) OVER (PARTITION BY part, k))::BIGINT AS shapley
+FROM g
+"""
+
+
+def _license_sql() -> str:
+    """Votes of word pairs by diagonal; pairs are compared as they are."""
+    listed = licenses.NAMES + licenses.NOTICES
+    rows = ", ".join(f"({k}, '{t.label}', '{' '.join(t.words)}', {t.threshold}::DOUBLE)" for k, t in enumerate(listed))
+    return f"""
+WITH t AS (SELECT * FROM (VALUES {rows}) v(template, label, phrase, threshold)),
+tw AS (SELECT *, string_split(phrase, ' ') AS w FROM t),
+tg AS (SELECT template, label, threshold, len(w) AS size, len(w) - 1 AS grams, CASE WHEN threshold >= 1 THEN 0 ELSE greatest(1, len(w) // 5) END AS slack, i - 1 AS tpos, w[i] || ' ' || w[i + 1] AS gram
+       FROM (SELECT *, unnest(range(1, len(w))) AS i FROM tw)),
+d AS (SELECT doc_id, row_number() OVER () AS nr, {_WORDS} AS w FROM documents),
+dg AS (SELECT nr, i - 1 AS pos, w[i] || ' ' || w[i + 1] AS gram FROM (SELECT nr, w, unnest(range(1, len(w))) AS i FROM d)),
+lines AS (
+  SELECT nr, template, label, threshold, size, grams, slack, pos - tpos AS diagonal, min(pos) AS first, max(pos) + 1 AS last, list(tpos) AS covered
+  FROM dg JOIN tg USING (gram) GROUP BY ALL HAVING count(*) >= least(2, grams)),
+marked AS (SELECT *, len(covered) >= threshold * grams AS alone, coalesce(diagonal - lag(diagonal) OVER along > slack, true) AS apart FROM lines WINDOW along AS (PARTITION BY nr, template ORDER BY diagonal)),
+cut AS (SELECT *, apart OR alone OR coalesce(lag(alone) OVER along, false) AS starts FROM marked WINDOW along AS (PARTITION BY nr, template ORDER BY diagonal)),
+grouped AS (SELECT *, sum(starts::INT) OVER (PARTITION BY nr, template ORDER BY diagonal) AS span FROM cut),
+spans AS (
+  SELECT nr, template, label, threshold, size, span, min(first) AS first, max(last) AS last, list_unique(flatten(list(covered))) / any_value(grams)::DOUBLE AS coverage
+  FROM grouped GROUP BY nr, template, label, threshold, size, span),
+places AS (SELECT *, template < {len(licenses.NAMES)} AS base FROM spans WHERE coverage >= threshold AND last - first < {licenses.STRETCH} * size),
+sums AS (
+  SELECT nr, count(*) FILTER (base) AS n_base, min(first) FILTER (base) AS first_word, max(first) FILTER (base) AS last_word, max(coverage) AS score,
+         string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels
+  FROM places GROUP BY nr)
+SELECT doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0)::DOUBLE AS score
+FROM d LEFT JOIN sums USING (nr)
+"""
