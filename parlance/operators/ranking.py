@@ -6,39 +6,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from parlance.runtime import written
 
-#: Numbers that one row of a counted range makes.
-STRIDE = 1 << 16
 
-
-def counted(rows: DataFrame, count: str, name: str) -> DataFrame:
-    """``rows`` with every number from 0 to ``count`` - 1, made stride by stride, so that no row holds a long array.
-
-    A few bytes here become very many rows: the number of partitions is set.
-    """
-    parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    first = F.col("_stride") * STRIDE
-    strides = rows.where(F.col(count) > 0).withColumn(
-        "_stride",
-        F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(count) - 1) / STRIDE))),
-    ).repartition(parts)
-    return strides.withColumn(name, F.explode(F.sequence(first, F.least(F.col(count), first + STRIDE) - 1))).drop("_stride")
+#: Bits of a row's place in its partition, as ``monotonically_increasing_id`` packs it.
+_PLACE = 33
 
 
 def global_row_number(df: DataFrame, order: list, name: str = "row_number") -> DataFrame:
     """``df`` with 1-based numbers by a total ``order`` (columns or column names).
 
-    Rows are range-partitioned and numbered inside their partition; only one
-    count per partition is summed up in one place. The dealt rows are persisted,
-    as a second evaluation would sample the ranges anew; they spill to disk and
-    go with the session's cache.
+    Rows are range-partitioned, sorted and written once with their place in
+    their partition, as a second evaluation would sample the ranges anew. The
+    counts of the partitions, one row each, are summed up in one place.
     """
-    ranged = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()).persist()
-    inside = F.row_number().over(W.partitionBy("_part").orderBy(*order))
-    counts = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
+    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
+    ranged = written(placed, "ranges")
+    part, place = F.shiftright("_id", _PLACE), F.col("_id").bitwiseAND((1 << _PLACE) - 1)
+    counts = ranged.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
     offset = F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    offsets = counts.select("_part", offset.alias("_offset"))
-    return ranged.withColumn("_inside", inside).join(offsets, "_part").withColumn(
-        name,
-        F.col("_inside") + F.col("_offset"),
-    ).drop("_part", "_inside", "_offset")
+    offsets = F.broadcast(counts.select("_part", offset.alias("_offset")))  # a row per partition
+    numbered = ranged.withColumn("_part", part).join(offsets, "_part")
+    return numbered.withColumn(name, place + F.col("_offset") + 1).drop("_part", "_offset", "_id")

@@ -118,7 +118,7 @@ def _differences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _difference_interval(d: DataFrame, resamples: int) -> DataFrame:
     """(mean_diff, lo, hi, resamples) of (item, d), items resampled."""
-    rates = st.interval(st.resampled(d.withColumn("one", F.lit(1)), "item", "d", "one", resamples, index=st.mixed_draw))
+    rates = st.interval(st.resampled(d.withColumn("one", F.lit(1)), "item", "d", "one", resamples))
     return d.agg(F.round(F.avg("d"), 6).alias("mean_diff")).crossJoin(rates)  # one row each
 
 
@@ -136,7 +136,7 @@ def group_diff_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean difference of systems A and R with its interval by resampling whole nations, and in how many nations A is worse."""
     customers = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("item"), F.col("c_nationkey").alias("grp"))
     groups = _differences(spark, sf_dir).join(customers, "item").groupBy("grp").agg(F.sum("d").alias("d"), F.count("*").alias("n"))
-    rates = st.interval(st.resampled(groups, "grp", "d", "n", 2 * RESAMPLES, index=st.mixed_draw))
+    rates = st.interval(st.resampled(groups, "grp", "d", "n", 2 * RESAMPLES))
     totals = groups.agg(
         F.round(F.sum("d") / F.sum("n"), 6).alias("mean_diff"),
         F.count_if(F.col("d") > 0).alias("worse"),
@@ -262,16 +262,26 @@ def busiest_recordings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facts(spark, sf_dir).groupBy("item").agg(F.sum("words").alias("words")).orderBy(F.desc("words"), "item").limit(20)
 
 
-_DRAW_SQL = "((j * 1103515245 + b * 8191 + j * b * 7 + 12345) % 2147483647) % n"
+def _fifth_sql(name: str, of: str) -> str:
+    """Columns that end in ``name``: the fifth power of ``of`` modulo the prime of the draws."""
+    p = st.PRIME
+    return f"({of}) % {p} AS {name}1, {name}1 * {name}1 % {p} AS {name}2, ({name}2 * {name}2 % {p}) * {name}1 % {p} AS {name}"
 
 
-_MIXED_SQL = "((v * v + u) % 2147483647) % n FROM (SELECT b, n, u, (u * u + 1013904223) % 2147483647 AS v FROM (SELECT b, n, (j * 1103515245 + b * 747796405 + 12345) % 2147483647 AS u"
+def _uniforms_sql(rows: str, stream: str, place: str) -> str:
+    """``rows`` (b and what ``stream`` and ``place`` read) with u, as ``statistics.uniforms`` has it."""
+    o = st.OFFSETS
+    keys = ", ".join(_fifth_sql(n, x) for n, x in (("fa", f"b + {o[0]}"), ("ga", f"{stream} + {o[1]}"), ("fb", f"b + {o[2]}"), ("gb", f"{stream} + {o[3]}"), ("ka", "fa + ga"), ("kb", "fb + gb")))
+    return f"SELECT *, {keys}, {_fifth_sql('start', f'{place} + {o[4]}')}, {_fifth_sql('mid', 'start + ka')}, {_fifth_sql('u', 'mid + kb')} FROM {rows}"
 
 
-def _boot_sql(items: str, key: str, resamples: int, mixed: bool = False) -> str:
-    drawn = _MIXED_SQL.replace(" % n FROM", " % n AS i FROM", 1) if mixed else f"{_DRAW_SQL} AS i"
-    return f""", num AS (SELECT *, row_number() OVER (ORDER BY {key}) - 1 AS i, count(*) OVER () AS n FROM {items}),
-dr AS (SELECT b, {drawn} FROM (SELECT DISTINCT n FROM num), generate_series(0, {resamples - 1}) t(b), generate_series(0, n - 1) s(j){"))" if mixed else ""}),
+def _boot_sql(items: str, key: str, resamples: int) -> str:
+    return f""", num AS (SELECT *, row_number() OVER (ORDER BY {key}) - 1 AS i, count(*) OVER () AS n, greatest({st.BLOCK}, (count(*) OVER () + {st.MOST_BLOCKS - 1}) // {st.MOST_BLOCKS}) AS size FROM {items}),
+whole AS (SELECT DISTINCT n, size FROM num),
+first AS ({_uniforms_sql(f"(SELECT n, size, b::BIGINT AS b, d // {1 << 20} AS strip, d % {1 << 20} AS place FROM whole, generate_series(0, {resamples - 1}) t(b), generate_series(0, n - 1) s(d))", "2 * strip + 1", "place")}),
+chosen AS (SELECT n, size, b, CASE WHEN n > size THEN u * n // {st.PRIME} // size ELSE 0 END AS blk, strip, place FROM first),
+placed AS (SELECT n, size, b, blk, row_number() OVER (PARTITION BY b, blk ORDER BY strip, place) - 1 AS j FROM chosen),
+dr AS (SELECT b, blk * size + u % least(size, n - blk * size) AS i FROM ({_uniforms_sql("placed", "2 * blk", "j")})),
 rt AS (SELECT b, sum(errors) / greatest(sum(words), 1) AS rate FROM dr JOIN num USING (i) GROUP BY b),
 ci AS (SELECT round(quantile_cont(rate, 0.025), 6) AS lo, round(quantile_cont(rate, 0.975), 6) AS hi, count(*) AS resamples FROM rt)
 """
@@ -319,18 +329,16 @@ ORACLES = {
         "own",
         "item",
         RESAMPLES,
-        True,
     ) + "SELECT (SELECT round(avg(errors), 6) FROM own) AS mean_diff, ci.* FROM ci",
     "plain_diff_ci": FACTS + _DIFF_SQL + _boot_sql(
         "own",
         "item",
         PLAIN_RESAMPLES,
-        True,
     ) + "SELECT (SELECT round(avg(errors), 6) FROM own) AS mean_diff, ci.* FROM ci",
     "group_diff_ci": FACTS
     + _DIFF_SQL
     + ", g AS (SELECT c_nationkey AS grp, sum(errors) AS errors, count(*) AS words FROM own JOIN customer ON c_custkey = item GROUP BY 1)"
-    + _boot_sql("g", "grp", 2 * RESAMPLES, True)
+    + _boot_sql("g", "grp", 2 * RESAMPLES)
     + "SELECT (SELECT round(sum(errors) / sum(words), 6) FROM g) AS mean_diff, ci.*, (SELECT count(*) FROM g WHERE errors > 0) AS worse, (SELECT count(*) FROM g) AS groups FROM ci",
     "grid_argmin": f"WITH g AS (SELECT l_returnflag AS system, round(l_discount * 100)::BIGINT AS setting, floor(l_quantity)::BIGINT AS words, floor(l_extendedprice)::BIGINT % (floor(l_quantity)::BIGINT + 1) AS errors FROM lineitem), r AS (SELECT system, setting, {_RATE} AS rate, max(errors) AS spread FROM g GROUP BY ALL) SELECT system, setting, rate, spread, max(rate) FILTER (setting = 0) OVER (PARTITION BY system) AS default_rate FROM r QUALIFY row_number() OVER (PARTITION BY system ORDER BY rate, spread, setting) = 1",
     "median_row": "WITH r AS (SELECT o_orderpriority, o_totalprice, o_orderkey, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY o_orderpriority) AS n FROM orders WINDOW w AS (PARTITION BY o_orderpriority ORDER BY o_totalprice, o_orderkey)) SELECT o_orderpriority, o_totalprice, o_orderkey FROM r WHERE i = n // 2",

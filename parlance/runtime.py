@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -10,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
 _LOCAL: list[str] = []
+_FOLDERS: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -28,6 +30,27 @@ def shared_folder(spark: SparkSession) -> str:
     return f"file://{_LOCAL[0]}"
 
 
+def fresh_folder(spark: SparkSession, name: str) -> str:
+    """A folder of its own below the shared one, until ``clean_up``."""
+    _FOLDERS.append(f"{shared_folder(spark)}/parlance/{name}-{uuid.uuid4().hex}")
+    return _FOLDERS[-1]
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once and read back: its rows and their order in files stay, a lost executor costs one step."""
+    path = fresh_folder(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Delete the folders made so far. For when their results have been read: they are lazy, so nothing else can know."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    while _FOLDERS:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_FOLDERS.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Send this package's sources to the executors, once per application."""
     context = spark.sparkContext

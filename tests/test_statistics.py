@@ -59,18 +59,94 @@ def test_interval_of_differences_by_group(spark, differences):
 
 def test_no_items_give_no_interval(spark):
     none = spark.createDataFrame([], "item long, d double, one int")
-    assert st.interval(st.resampled(none, "item", "d", "one", 10, index=st.mixed_draw)).first().lo is None
-
-
-def test_mixed_draws_are_even_and_independent(spark):
-    """Counts of single draws, and of neighbouring pairs of draws, are as even as of any fair die."""
-    n = 16
-    rows = spark.range(40_000).select((F.col("id") / 200).cast("long").alias("b"), (F.col("id") % 200).alias("j"))
-    d = np.array([r[0] for r in rows.orderBy("b", "j").select(st.mixed_draw(F.col("b"), F.col("j"), F.lit(n).cast("long"))).collect()])
-    for cells in (
-        np.bincount(d, minlength=n),
-        np.bincount(d[:-1] * n + d[1:], minlength=n * n),
-        np.bincount(d[:-200] * n + d[200:], minlength=n * n),
-    ):
-        expected = cells.sum() / len(cells)
-        assert ((cells - expected) ** 2 / expected).sum() < len(cells) + 5 * (2 * len(cells)) ** 0.5
+    assert st.interval(st.resampled(none, "item", "d", "one", 10)).first().lo is None
+
+
+def even(cells):
+    """Whether counts are as even as those of any fair die."""
+    expected = cells.sum() / len(cells)
+    return ((cells - expected) ** 2 / expected).sum() < len(cells) + 5 * (2 * len(cells)) ** 0.5
+
+
+def test_draws_are_even_and_independent():
+    n, draws = 16, 200
+    start = st.places(draws)
+    d = np.concatenate([st.uniforms(b, s, start) % n for b in range(100) for s in (0, 1, 2)])
+    high = np.concatenate([st.uniforms(b, s, start) * n // st.PRIME for b in range(100) for s in (0, 1, 2)])
+    for x in (d, high):
+        assert even(np.bincount(x, minlength=n))
+        for shift in (1, draws, 3 * draws):  # next draw, next stream, next resample
+            assert even(np.bincount(x[:-shift] * n + x[shift:], minlength=n * n))
+
+
+def test_no_resample_repeats_another_at_ten_million_items():
+    start = st.places(64)
+    seen = {tuple(st.uniforms(b, s, start)[:2]) for b in range(0, 5000, 7) for s in range(0, 1300, 13)}
+    assert len(seen) == len(range(0, 5000, 7)) * len(range(0, 1300, 13))
+    long = st.places(1 << 20)
+    a, b = (np.unique(st.uniforms(k, 0, long)) for k in (3, 4))
+    assert len(a) == len(b) == 1 << 20  # places of a stream stay apart
+    assert len(np.intersect1d(a, b)) == pytest.approx((1 << 40) / st.PRIME, rel=0.2)  # two streams meet by chance alone
+
+
+def drawn_by_loops(n, size, b):
+    """Counts of the items in resample b, draw by draw in plain integers."""
+    p, o = st.PRIME, st.OFFSETS
+    fifth = lambda x: pow(x % p, 5, p)
+
+    def u(stream, place):
+        key = lambda k: fifth(fifth(b + o[k]) + fifth(stream + o[k + 1]))
+        return fifth(fifth(fifth(place + o[4]) + key(0)) + key(2))
+
+    counts, blocks = np.zeros(n), defaultdict(int)
+    for d in range(n):
+        blocks[u(1, d) * n // p // size if n > size else 0] += 1
+    for blk, k in blocks.items():
+        for j in range(k):
+            counts[blk * size + u(2 * blk, j) % min(size, n - blk * size)] += 1
+    return counts
+
+
+@pytest.mark.parametrize("block", [7, 64, 1000])
+def test_blocks_draw_as_loops_do(spark, block):
+    n, resamples = 200, 520  # more than one chunk of resamples
+    items = spark.range(n).select(F.col("id").alias("item"), (F.col("id") * F.col("id")).alias("x"), (F.col("id") % 5).alias("w")).repartition(5)
+    got = {r.b: r.rate for r in st.resampled(items, "item", "x", "w", resamples, block=block).collect()}
+    assert sorted(got) == list(range(resamples))
+    x, w = np.arange(n) ** 2, np.arange(n) % 5
+    for b in (0, 1, 511, 512, 519):
+        counts = drawn_by_loops(n, block, b)
+        assert counts.sum() == n and got[b] == pytest.approx((counts @ x) / (counts @ w))
+
+
+def test_resamples_are_multinomial(spark):
+    """Shares of distinct items and standard errors of a mean, of 20,000 items in several blocks."""
+    n, resamples = 20_000, 400
+    rng = np.random.default_rng(5)
+    values = rng.exponential(size=n)
+    items = spark.createDataFrame([(k, float(v), 1) for k, v in enumerate(values)], "item long, x double, one int")
+    rates = np.array([r.rate for r in st.resampled(items, "item", "x", "one", resamples).collect()])
+    error = values.std() / n**0.5
+    assert rates.std() == pytest.approx(error, rel=3 / (2 * resamples) ** 0.5)
+    assert abs(rates.mean() - values.mean()) < 4 * error / resamples**0.5
+    size = st.block_size(n)
+    distinct, deviations = [], []
+    for b in range(20):
+        first = st.uniforms(b, 1, st.places(n)) * n // st.PRIME // size
+        counts = np.zeros(n)
+        for blk, k in zip(*np.unique(first, return_counts=True), strict=True):
+            lo = blk * size
+            counts[lo : lo + size] = np.bincount(st.uniforms(b, 2 * blk, st.places(k)) % min(size, n - lo), minlength=min(size, n - lo))
+        distinct.append((counts > 0).mean())
+        deviations.append((first == 0).sum() / n - size / n)
+    assert np.mean(distinct) == pytest.approx(1 - np.exp(-1), abs=0.002)
+    p = size / n
+    assert 0.4 < np.std(deviations) / (p * (1 - p) / n) ** 0.5 < 1.7
+
+
+def test_standard_error_within_five_percent(spark):
+    n, resamples = 3000, 4000
+    values = np.random.default_rng(6).normal(size=n)
+    items = spark.createDataFrame([(k, float(v), 1) for k, v in enumerate(values)], "item long, x double, one int")
+    rates = [r.rate for r in st.resampled(items, "item", "x", "one", resamples, block=512).collect()]
+    assert np.std(rates) == pytest.approx(values.std() / n**0.5, rel=0.05)
