@@ -12,9 +12,9 @@ their own input first, so of a text with any number of copies a task sends one.
 masks, for all rows, for good and for toxic ones. All orders are read off these
 vectors; no document is looked at again.
 
-Bounds: a task's own chains are sent on once they hold ``HELD_BYTES``; there are
-at least as many routed partitions as input splits, so one holds the different
-texts of about one split.
+Bounds: a task's own chains are sent on once they hold ``HELD_BYTES``; the bytes
+of all texts are summed up first, and there are as many routed partitions as
+keeps the texts of each at ``ROUTED_BYTES`` on average.
 
 Edge cases: a null text is empty, and all empty texts are equal; a null source
 is the part with the empty name; a null id is not smaller than any other, nor any
@@ -40,6 +40,7 @@ from pyspark.sql.types import IntegerType, LongType, StringType, StructField, St
 FILTERS = "ABCDE"
 _COPY = 1 << FILTERS.index("E")
 HELD_BYTES = 16 << 20
+ROUTED_BYTES = 64 << 20
 
 _UPPER, _MARKS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"#$%&*|"
 _FOLLOWING = bytes(range(0x80, 0xC0))
@@ -140,7 +141,8 @@ def document_masks(
     empty = F.lit("")
     rows = documents.select(F.col(doc_id).alias("doc_id"), F.coalesce(part, empty).alias("part"), F.coalesce(text, empty).alias("text"))
     if partitions is None:
-        partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows.rdd.getNumPartitions())
+        size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0  # one number
+        partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // ROUTED_BYTES)
     routed: RDD = rows.rdd.mapPartitions(_send(fingerprint)).partitionBy(partitions, lambda at: at)
     schema = StructType([rows.schema["doc_id"], StructField("part", StringType()), StructField("mask", IntegerType()), StructField("n", LongType())])
     return spark.createDataFrame(routed.mapPartitions(_judge), schema, verifySchema=False)
