@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import itertools
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parlance.functions import text as tx
-from parlance.operators import intervals as iv
+from parlance.operators import alignment, intervals as iv
 
 
 def cheapest(cost: np.ndarray) -> list[int]:
@@ -46,7 +43,9 @@ def cheapest(cost: np.ndarray) -> list[int]:
 def assign_costs(costs: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, ref, hyp, cost) of the cheapest assignment per key from rows (keys, ref, hyp, cost).
 
-    Every ref must be crossed with every hyp; null stands for a missing side.
+    A pair without a row costs nothing; null stands for a missing side. Of equally
+    cheap assignments of up to six a side the first is taken, in order of the
+    hyp of the first ref, then of the second and so on; beyond six, one of them.
     """
     schema = costs.select(*keys, "ref", "hyp", F.col("cost").cast("long").alias("cost")).schema
 
@@ -61,7 +60,9 @@ def assign_costs(costs: DataFrame, keys: list[str]) -> DataFrame:
         }
         of = lambda names, i: names[i] if i < len(names) else None
         matrix = np.array([[table.get((of(refs, i), of(hyps, j)), 0) for j in range(n)] for i in range(n)], float).reshape(n, n)
-        rows = [(*(frame[k].iloc[0] for k in keys), of(refs, i), of(hyps, j), int(matrix[i, j])) for i, j in enumerate(cheapest(matrix))]
+        spread = n**n if n <= 6 else 1
+        order = np.array([[j * n ** (n - 1 - i) if n <= 6 else 0 for j in range(n)] for i in range(n)], float).reshape(n, n)
+        rows = [(*(frame[k].iloc[0] for k in keys), of(refs, i), of(hyps, j), int(matrix[i, j])) for i, j in enumerate(cheapest(matrix * spread + order))]
         return pd.DataFrame(rows, columns=schema.names)
 
     return costs.groupBy(*keys).applyInPandas(solve, schema)
@@ -72,13 +73,14 @@ def cp_errors(ref: DataFrame, hyp: DataFrame, keys: list[str], unit: str = "word
 
     Both sides have (keys, speaker, words). A side with fewer speakers is filled
     up with silence. ``unit`` word counts words, char the characters of the words.
+    Speakers of a recording are paired, not lines, and of any length.
     """
     none = F.lit(None).cast("string")
     filled = lambda df, s, w: df.select(*keys, F.col("speaker").cast("string").alias(s), F.col("words").alias(w)).unionByName(
         ref.select(*keys).union(hyp.select(*keys)).distinct().select(*keys, none.alias(s), F.array().cast("array<string>").alias(w))
     )
     text = lambda c: F.array_join(c, "")
-    cost = tx.word_edits(F.col("rw"), F.col("hw")) if unit == "word" else F.levenshtein(text("rw"), text("hw")).cast("long")
+    cost = alignment.edits(F.col("rw"), F.col("hw"), unit)
     pairs = filled(ref, "ref", "rw").join(filled(hyp, "hyp", "hw"), keys).where("ref is not null or hyp is not null")
     size = F.size("words") if unit == "word" else F.length(text("words"))
     counted = ref.groupBy(*keys).agg(F.sum(size).alias("n_ref"))
@@ -87,28 +89,40 @@ def cp_errors(ref: DataFrame, hyp: DataFrame, keys: list[str], unit: str = "word
     return per.join(counted, keys, "left").withColumn("n_ref", F.coalesce("n_ref", F.lit(0).cast("long")))
 
 
-def der_parts(reference: DataFrame, hypothesis: DataFrame, keys: list[str], speakers: int = 3, collar: int = 0, cell: int = 3_600_000) -> DataFrame:
-    """Diarization error parts per key, by elementary slices and the best mapping of speaker numbers.
+def _outside_collar(reference: DataFrame, hypothesis: DataFrame, keys: list[str], collar: int, cell: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides as (keys, label, start, end), labels as text, without the time around the reference's boundaries."""
+    named = lambda df: df.select(*keys, F.col("label").cast("string").alias("label"), "start", "end")
+    reference, hypothesis = named(reference), named(hypothesis)
+    if not collar:
+        return reference, hypothesis
+    half = collar // 2
+    edges = reference.select(*keys, F.explode(F.array("start", "end")).alias("t"))
+    near = iv.regions_of(edges.select(*keys, (F.col("t") - half).alias("start"), (F.col("t") + half).alias("end")), keys)
+    cut = lambda df: iv.subtract(df.withColumnRenamed("label", "speaker"), near, keys, cell).select(*keys, F.col("speaker").alias("label"), "start", "end")
+    return cut(reference), cut(hypothesis)
+
+
+def speaker_mapping(reference: DataFrame, hypothesis: DataFrame, keys: list[str], cell: int = 3_600_000) -> DataFrame:
+    """(keys, ref, hyp, shared): the one-to-one mapping of labels with most shared time; pairs that share none are left out.
+
+    Only pairs of labels that meet are rows, any number of labels a side.
+    """
+    met = iv.intersecting(reference.select(*keys, "label", "start", "end"), hypothesis.select(*keys, "label", "start", "end"), keys, cell)
+    shared = met.groupBy(*keys, F.col("label_a").alias("ref"), F.col("label_b").alias("hyp")).agg(
+        (-F.sum(F.least("end_a", "end_b") - F.greatest("start_a", "start_b"))).alias("cost")
+    )
+    return assign_costs(shared, keys).where("cost < 0").select(*keys, "ref", "hyp", (-F.col("cost")).alias("shared"))
+
+
+def der_parts(reference: DataFrame, hypothesis: DataFrame, keys: list[str], collar: int = 0, cell: int = 3_600_000) -> DataFrame:
+    """(keys, total, missed, false_alarm, paired, matched): diarization error parts by elementary slices.
 
-    Both sides have (keys, label, start, end) with labels 0..speakers-1 and
-    disjoint intervals per label. With a collar, time within half of it around
-    every reference boundary is left out.
+    Both sides have (keys, label, start, end) with disjoint intervals per label
+    and any number of labels; ``matched`` is the time of the best mapping, and
+    ``paired - matched`` is confused. With a collar, time within half of it
+    around every reference boundary is left out.
     """
-    if collar:
-        half = collar // 2
-        edges = reference.select(*keys, F.explode(F.array("start", "end")).alias("t")).select(
-            *keys,
-            (F.col("t") - half).alias("start"),
-            (F.col("t") + half).alias("end"),
-        )
-        near = iv.regions_of(edges, keys)
-        cut = lambda df: iv.subtract(df.select(*keys, F.col("label").cast("string").alias("speaker"), "start", "end"), near, keys, cell).select(
-            *keys,
-            F.col("speaker").cast("int").alias("label"),
-            "start",
-            "end",
-        )
-        reference, hypothesis = cut(reference), cut(hypothesis)
+    reference, hypothesis = _outside_collar(reference, hypothesis, keys, collar, cell)
     both = reference.select(*keys, "start", "end", F.lit(1).alias("r"), F.lit(0).alias("h")).unionByName(
         hypothesis.select(*keys, "start", "end", F.lit(0).alias("r"), F.lit(1).alias("h"))
     )
@@ -117,51 +131,16 @@ def der_parts(reference: DataFrame, hypothesis: DataFrame, keys: list[str], spea
         F.sum(size * F.col("r")).alias("total"), F.sum(size * F.greatest(F.lit(0), F.col("r") - F.col("h"))).alias("missed"),
         F.sum(size * F.greatest(F.lit(0), F.col("h") - F.col("r"))).alias("false_alarm"), F.sum(size * F.least("r", "h")).alias("paired"),
     )
-    shared = iv.intersecting(reference.select(*keys, "label", "start", "end"), hypothesis.select(*keys, "label", "start", "end"), keys, cell)
-    overlap = shared.withColumn("ms", F.least("end_a", "end_b") - F.greatest("start_a", "start_b"))
-    cell_sum = lambda i, j: F.coalesce(F.sum(F.when((F.col("label_a") == i) & (F.col("label_b") == j), F.col("ms"))), F.lit(0)).alias(f"o{i}{j}")
-    matrix = overlap.groupBy(*keys).agg(*(cell_sum(i, j) for i in range(speakers) for j in range(speakers)))
-    return parts.join(matrix, keys, "left")
-
-
-def best_mapping(speakers: int = 3) -> Column:
-    """struct(matched, order, mapping): the permutation with most shared time, the first of equals."""
-    o = lambda i, j: F.coalesce(F.col(f"o{i}{j}"), F.lit(0))
-    options = [
-        F.struct(
-            sum((o(i, p[i]) for i in range(1, speakers)), o(0, p[0])).alias("matched"),
-            F.lit(-k).alias("order"),
-            F.array(*(F.lit(x) for x in p)).alias("mapping"),
-        )
-        for k, p in enumerate(itertools.permutations(range(speakers)))
-    ]
-    return F.array_max(F.array(*options))
-
-
-def matched_tokens(ref: list[str], hyp: list[str]) -> list[bool]:
-    """For each reference token whether an alignment of least edits meets it with an equal token.
-
-    Walking back, a diagonal step is preferred, then a deletion.
-    """
-    grid = np.zeros((len(ref) + 1, len(hyp) + 1), np.int64)
-    grid[0] = np.arange(len(hyp) + 1)
-    names = {w: k for k, w in enumerate(dict.fromkeys([*ref, *hyp]))}
-    own = np.array([names[w] for w in hyp], np.int64)
-    place = np.arange(1, len(hyp) + 1)
-    for i, word in enumerate(ref, 1):
-        # A row without insertions, then insertions as a running minimum of value minus place.
-        free = np.minimum(grid[i - 1, 1:] + 1, grid[i - 1, :-1] + (own != names[word]))
-        grid[i, 0] = i
-        grid[i, 1:] = np.minimum.accumulate(np.concatenate(([i], free - place)))[1:] + place
-    out = [False] * len(ref)
-    i, j = len(ref), len(hyp)
-    while i and j:
-        same = ref[i - 1] == hyp[j - 1]
-        if grid[i, j] == grid[i - 1, j - 1] + (not same):
-            out[i - 1] = same
-            i, j = i - 1, j - 1
-        elif grid[i, j] == grid[i - 1, j] + 1:
-            i -= 1
-        else:
-            j -= 1
-    return out
+    matched = speaker_mapping(reference, hypothesis, keys, cell).groupBy(*keys).agg(F.sum("shared").alias("matched"))
+    return parts.join(matched, keys, "left").withColumn("matched", F.coalesce("matched", F.lit(0).cast("long")))
+
+
+def jaccard_parts(reference: DataFrame, hypothesis: DataFrame, keys: list[str], collar: int = 0, cell: int = 3_600_000) -> DataFrame:
+    """(keys, label, own, other, shared) of every reference label: its time, that of its mapped label, and what they share."""
+    reference, hypothesis = _outside_collar(reference, hypothesis, keys, collar, cell)
+    time = F.sum(F.col("end") - F.col("start"))
+    own = reference.where("end > start").groupBy(*keys, "label").agg(time.alias("own"))
+    other = hypothesis.where("end > start").groupBy(*keys, F.col("label").alias("hyp")).agg(time.alias("other"))
+    mapping = speaker_mapping(reference, hypothesis, keys, cell).withColumnRenamed("ref", "label")
+    joined = own.join(mapping, [*keys, "label"], "left").join(other, [*keys, "hyp"], "left")
+    return joined.select(*keys, "label", "own", *(F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("other", "shared")))
