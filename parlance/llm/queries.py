@@ -82,7 +82,8 @@ RULES = [
 
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filter.judge(_table(spark, sf_dir, "pages"), RULES)
+    judged = url_filter.judge(_table(spark, sf_dir, "pages"), RULES)
+    return judged.withColumns({c: F.round(c, 9) for c in ("trust", "distrust")})  # as they are shown, not as they are compared
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -193,9 +194,9 @@ def _propagation(name: str, edges: str, seeds: str) -> str:
 {name}_flow AS (
   SELECT 0 AS round, host, seed / (SELECT sum(seed) FROM {seeds}) AS flow FROM {seeds}
   UNION ALL
-  SELECT round + 1, dst, sum(flow * share) FROM {name}_flow JOIN {name}_share ON host = src GROUP BY round, dst HAVING sum(flow * share) > 1e-13),
+  SELECT round + 1, dst, sum(flow * share) FROM {name}_flow JOIN {name}_share ON host = src GROUP BY round, dst HAVING sum(flow * share) > 1e-300),
 {name}_all AS (SELECT host, sum(flow) * 0.15::DOUBLE / (1 - coalesce(any_value(loop), 0)) AS score FROM {name}_flow LEFT JOIN {name}_out ON host = src GROUP BY host),
-{name} AS (SELECT host, round(score / (SELECT sum(score) FROM {name}_all), 9) AS score FROM {name}_all)"""
+{name} AS (SELECT host, score / (SELECT sum(score) FROM {name}_all) AS score FROM {name}_all)"""
 
 
 def _url_sql() -> str:
@@ -217,8 +218,8 @@ bad AS (SELECT host, count(*)::DOUBLE AS seed FROM ruled WHERE verdict = 'block'
 {_propagation("tr", "edges", "good")},
 {_propagation("di", "turned", "bad")},
 scored AS (SELECT page_id, r.host, path, rule, verdict, coalesce(tr.score, 0.0::DOUBLE) AS trust, coalesce(di.score, 0.0::DOUBLE) AS distrust FROM ruled r LEFT JOIN tr ON tr.host = r.host LEFT JOIN di ON di.host = r.host)
-SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN distrust > trust THEN 'block' ELSE 'allow' END) AS verdict,
-       CASE WHEN rule IS NOT NULL THEN 'rule' WHEN trust + distrust > 0 THEN 'links' ELSE 'nothing' END AS decided_by, trust, distrust
+SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN distrust > trust * (1 + {url_filter.MARGIN}) THEN 'block' ELSE 'allow' END) AS verdict,
+       CASE WHEN rule IS NOT NULL THEN 'rule' WHEN trust + distrust > 0 THEN 'links' ELSE 'nothing' END AS decided_by, round(trust, 9) AS trust, round(distrust, 9) AS distrust
 FROM scored
 """
 

@@ -3,8 +3,12 @@
 Rules decide the addresses they fit. Every other address gets the verdict of its
 host: trust flows from hosts with allowed addresses along host edges
 (personalised PageRank), distrust flows from hosts with blocked addresses
-against them. A host whose distrust exceeds ``ratio`` times its trust is blocked.
-Both run until they converge, so a host is judged at any distance from a seed.
+against them. A host whose distrust exceeds ``ratio`` times its trust is blocked,
+by more than ``MARGIN`` of it, so that the order of sums decides nothing. Scores
+are compared as they are, never rounded, and both run until what is under way to
+any host is small against that host's own score. So neither the number of hosts
+nor the distance from a seed decides; only beyond some 4,000 links a score is
+too small for a double.
 
 Host edges are the hyperlinks of the pages: absolute and ``//`` links lead to
 their host, relative ones back to the page's own. Only where ``hierarchy`` is
@@ -12,7 +16,7 @@ on, a host is also tied to its parent domain in both directions; unrelated sites
 below one parent would then share their verdicts, so it is off by default.
 
 Edge cases: a null address, or one without ``://``, has an empty host and path,
-fits no rule and is allowed; a null page has no links; links of other schemes
+fits no rule and is allowed; a null page_id is kept; a null page has no links; links of other schemes
 (``mailto:``, ``data:``) are none; a host without any edge or seed is allowed;
 of fitting rules of equal length the one with the longer host wins, then the one
 later in code point order; repeated pages count as often as they occur; extra
@@ -25,6 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from parlance.llm import skew
 from parlance.llm.scratch import Scratch
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -34,8 +39,8 @@ _ABSOLUTE, _SCHEME = r"^(?i)(?:[a-z][a-z0-9+.-]*:)?//", r"^(?i)[a-z][a-z0-9+.-]*
 
 #: Most rounds per written table.
 _STEP = 8
-#: Digits that scores are given and compared with.
-DIGITS = 9
+#: Least relative difference of scores that counts.
+MARGIN = 1e-9
 
 Rule = tuple[str, str, str]  # verdict, host, path
 
@@ -117,8 +122,10 @@ def propagate(
     a part settles there, the rest moves on. What a host without out-edges
     cannot pass on returns to the seeds: that scales all scores alike, so it is
     done at the end by dividing by their sum. A score is what has settled on a
-    host and what is still under way. Without ``rounds`` it ends when all that
-    is under way is at most ``tolerance`` and no further host was reached.
+    host and what is still under way. Without ``rounds`` it ends when at each
+    host the part under way is at most ``tolerance`` of its score and no further
+    host was reached, which takes a round per link of the longest way and, with
+    circles, a few dozen more.
 
     A round is one join and one aggregation on hosts; every few rounds are
     written, so that lineage stays flat.
@@ -146,7 +153,8 @@ def propagate(
     state = scratch.save(start, f"{name}-0")
     done, hosts, step = 0, -1, 1
     while rounds is None or done < rounds:
-        rest, reached = state.agg(F.coalesce(F.sum("flow"), F.lit(0.0)), F.count("*")).first()  # two numbers
+        under_way = F.max(F.when(F.col("flow") > 0, F.col("flow") / (F.col("flow") + F.col("settled"))))
+        rest, reached = state.agg(F.coalesce(under_way, F.lit(0.0)), F.count("*")).first()  # two numbers
         if rounds is None and rest <= tolerance and reached == hosts:
             break
         hosts, last = reached, done
@@ -200,9 +208,14 @@ def judge(
         name,
         rounds=rounds,
         tolerance=tolerance,
-    ).select("host", F.round("score", DIGITS).alias(name))
-    scores = score(edges, "allow", "trust").join(score(turned, "block", "distrust"), "host", "full")
-    joined = ruled.join(scores, "host", "left").select(
+    ).select("host", F.col("score").alias(name))
+    scores = scratch.save(score(edges, "allow", "trust").join(score(turned, "block", "distrust"), "host", "full"), "scores")
+    # Hosts with very many pages are looked up without gathering these.
+    sizes = ruled.groupBy("host").agg(F.count("*").alias("n"))
+    common = sizes.where(F.col("n") > skew.limit(ruled, ruled.count())).join(scores, "host", "left")
+    kept = ruled.withColumn("own", F.col("host"))
+    found = skew.lookup(kept, scores, common, ["host"], ["trust", "distrust"], F.xxhash64("page_id", "path").cast("string"))
+    joined = found.withColumnRenamed("own", "host").select(
         "page_id",
         "host",
         "path",
@@ -210,7 +223,7 @@ def judge(
         "verdict",
         *(F.coalesce(c, F.lit(0.0)).alias(c) for c in ("trust", "distrust")),
     )
-    method = F.when(F.col("distrust") > ratio * F.col("trust"), "block").otherwise("allow")
+    method = F.when(F.col("distrust") > ratio * (1 + MARGIN) * F.col("trust"), "block").otherwise("allow")
     by = F.when(F.col("rule").isNotNull(), "rule").when(F.col("trust") + F.col("distrust") > 0, "links").otherwise("nothing")
     return joined.select(
         "page_id",
