@@ -9,8 +9,8 @@ and every window of the bucket is compared word by word. Cursors of all lanes
 advance together in numpy, so the table look-ups are vectorised.
 
 The tables of a block of items are built once, on the driver, and broadcast; a
-Python worker reads them once for all its tasks. The items are read block by
-block, so the driver never holds more than one.
+Python worker reads them once for all its tasks. The items are read and searched
+block by block, so neither driver nor executors hold more than one.
 
 Edge cases: a null or empty text has no words and is not contaminated; an item
 without words gives no window; an item shorter than the window is one window of
@@ -178,10 +178,21 @@ def _items(benchmark: DataFrame, id_col: str, text_col: str, block_chars: int) -
     yield block
 
 
-def _broadcasts(benchmark: DataFrame, id_col: str, text_col: str, block_chars: int, window: int) -> list:
-    """The broadcast tables of every block."""
-    context = benchmark.sparkSession.sparkContext
-    return [context.broadcast(Index(block, window)) for block in _items(benchmark, id_col, text_col, block_chars)]
+def _one_by_one(benchmark: DataFrame, id_col: str, text_col: str, block_chars: int, window: int, use) -> object:
+    """``use(broadcast, number, last)`` for one block of items after the other, and what the last call gives.
+
+    A table that the next block does not need is destroyed before that is built,
+    so driver and executors hold one at a time, whatever the number of items.
+    """
+    context, blocks = benchmark.sparkSession.sparkContext, _items(benchmark, id_col, text_col, block_chars)
+    block, number = next(blocks), 0
+    while True:
+        held, following = context.broadcast(Index(block, window)), next(blocks, None)
+        made = use(held, number, following is None)
+        if following is None:
+            return made
+        held.destroy()
+        block, number = following, number + 1
 
 
 _SCHEMA = "doc_id {}, n_words long, n_hit long, items array<string>"
@@ -203,17 +214,26 @@ def find_contamination(
     The items are a stated query set. They are searched in blocks of at most
     ``block_chars`` characters, each block's tables being broadcast; every block
     is matched against all documents. With one block nothing is shuffled. With
-    more, rows are numbered and written once, each block yields hit positions,
-    and those of a row, one list per block, are merged.
+    more, rows are numbered and written once, each block's hit positions are
+    written before the next block's tables are built, and those of a row, one
+    list per block, are merged. A null doc_id is kept.
     """
     kind = documents.schema[doc_id].dataType.simpleString()
     source = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    blocks = _broadcasts(benchmark, item_id, item_text, block_chars, window)
-    if len(blocks) == 1:
-        return source.mapInArrow(_scanner(blocks[0]), _SCHEMA.format(kind))
     schema = f"doc_id {kind}, row long, n_words long, spans array<struct<lo:long,hi:long>>, items array<string>"
-    rows = Scratch(documents.sparkSession, "contamination").save(source.withColumn("row", F.monotonically_increasing_id()), "rows")
-    every = reduce(DataFrame.unionByName, [rows.mapInArrow(_positions(b), schema) for b in blocks])
+    scratch, rows, hits = Scratch(documents.sparkSession, "contamination"), [], []
+
+    def search(held, number: int, last: bool) -> DataFrame:
+        if last and not number:
+            return source.mapInArrow(_scanner(held), _SCHEMA.format(kind))
+        if not rows:
+            rows.append(scratch.save(source.withColumn("row", F.monotonically_increasing_id()), "rows"))
+        hits.append(scratch.save(rows[0].mapInArrow(_positions(held), schema), f"hits-{number}"))
+        return reduce(DataFrame.unionByName, hits)
+
+    every = _one_by_one(benchmark, item_id, item_text, block_chars, window, search)
+    if not hits:
+        return every
     merged = every.groupBy("row").agg(
         F.first("doc_id").alias("doc_id"),
         F.max("n_words").alias("n_words"),
@@ -285,10 +305,17 @@ def items_digest(items: Column) -> Column:
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame, *, window: int = 10, block_chars: int = 16_000_000) -> DataFrame:
     """The documents (columns doc_id and text, all others kept) without a word inside a benchmark window."""
-    kept = documents
-    for held in _broadcasts(benchmark, "item_id", "text", block_chars, window):
-        kept = kept.mapInArrow(_filter(held), documents.schema)
-    return kept
+    scratch, kept = Scratch(documents.sparkSession, "clean"), [documents]
+
+    def clean(held, number: int, last: bool) -> DataFrame:
+        left = kept[-1].mapInArrow(_filter(held), documents.schema)
+        if last:
+            return left
+        kept.append(scratch.save(left, f"kept-{number}"))
+        scratch.drop(f"kept-{number - 1}")
+        return kept[-1]
+
+    return _one_by_one(benchmark, "item_id", "text", block_chars, window, clean)
 
 
 def _filter(held):

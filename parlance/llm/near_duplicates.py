@@ -17,12 +17,11 @@ borrow the register of a bucket drawn for them (optimal densification).
    shingles a sample, again with a margin of six standard errors), every pair
    across components is looked at, and links that join what is still apart in
    the block come out for confirmation on full sets. Buckets of more than
-   ``huge`` classes are first split by each further band, as similar sets share
-   about twelve of all bands.
+   ``huge`` classes are first split by the rarest shingles of their sets, in
+   which two similar sets meet for certain.
 
 So a link between documents is found unless the bands miss it (chance below 1e-6
-at 0.8; 2e-5 where all bands that two sets share are huge), and no group's pairs
-are ever written out. A pivot's own text or sketch is sent once for each bounded
+at 0.8), and no group's pairs are ever written out. A pivot's own text or sketch is sent once for each bounded
 part of its pairs, not once per pair.
 
 Edge cases: a text without words, empty or null has an empty set and links with
@@ -42,7 +41,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from parlance.llm import skew
@@ -58,7 +57,7 @@ _BITS = 64 - int(math.log2(REGISTERS))
 _SAMPLE = 1024  # larger sets are compared inside blocks by a sample of about this size or half of it
 _BLOCK = 512
 _SMALL = 64  # sets up to this size go to confirmation without an estimate
-_HUGE = _BLOCK * BANDS  # above this many classes, a bucket's blocks would be more than its further bands
+_HUGE = _BLOCK * BANDS  # above this many classes, a bucket has as many blocks as there are bands
 
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _S33 = np.uint64(33)
@@ -387,10 +386,10 @@ def near_duplicates(
     pairs = members.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
     edges = links(pairs, "links-0")
     roots = connected_components(edges, scratch, "roots-0")
-    edges = edges.unionByName(links(_open_pairs(members, classes, texts, roots, scratch, threshold, words, huge), "links-1"))
+    edges = edges.unionByName(links(_open_pairs(members, texts, roots, scratch, threshold, words, huge), "links-1"))
     roots = connected_components(edges, scratch, "roots-1")
     # The result reads only the sketches, the classes and the roots.
-    scratch.drop("members", "texts", "open", *(f"links-{k}{part}" for k in (0, 1) for part in ("", "-likely", "-pairs")))
+    scratch.drop("members", "texts", "open", "open-split", "thinned", *(f"links-{k}{part}" for k in (0, 1) for part in ("", "-likely", "-pairs")))
 
     rooted = classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select(
         "rep",
@@ -429,7 +428,6 @@ def drop_near_duplicates(documents: DataFrame, *, threshold: float = 0.8, words:
 
 def _open_pairs(
     members: DataFrame,
-    classes: DataFrame,
     texts: DataFrame,
     roots: DataFrame,
     scratch: Scratch,
@@ -446,31 +444,60 @@ def _open_pairs(
         F.coalesce("root", "rep").alias("root"),
     )
     open_ = scratch.save(_several(rooted), "open")
-    if (open_.agg(F.max("m")).first()[0] or 0) > huge:
-        # Classes of a huge bucket meet where they share a further band.
-        large = open_.where(F.col("m") > huge).drop("m")
-        further = bands(classes.join(large.select("rep").distinct(), "rep", "left_semi")).select("rep", F.col("key").alias("other"))
-        split = large.join(further, "rep").where("key <> other").withColumn("key", F.xxhash64("key", "other")).drop("other")
-        sizes = split.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
-        open_ = scratch.save(open_.where(F.col("m") <= huge).unionByName(_several(split.join(sizes, "key"))), "open-split")
-    needed = texts.join(open_.select("rep").distinct(), "rep", "left_semi")
-    rows = open_.join(_thinned_sets(needed, words), "rep")
+    needed = scratch.save(_thinned_sets(texts.join(open_.select("rep").distinct(), "rep", "left_semi"), words), "thinned")
     blocks = F.ceil(F.col("m") / _BLOCK).cast("int")
-    spread = rows.withColumn("own", F.pmod(F.xxhash64("rep"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    own, other = F.pmod(F.xxhash64("rep"), blocks).cast("int"), F.explode(F.sequence(F.lit(0), blocks - 1))
+    dealt = open_.where(F.col("m") <= huge).withColumn("own", own).withColumn("other", other)
     side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
-    spread = spread.select(
+    spread = dealt.select("key", "rep", "n", "root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), side.alias("side"))
+    if (open_.agg(F.max("m")).first()[0] or 0) > huge:
+        split = scratch.save(_by_rare_shingles(open_.where(F.col("m") > huge), texts, words, threshold), "open-split")
+        for kind, role, mine, theirs, number in ((F.col("first"), "i", "first_m", "m", 0), (F.lit(True), "j", "m", "first_m", 1)):
+            count = lambda c: F.ceil(F.col(c) / _BLOCK).cast("int")
+            place = F.pmod(F.xxhash64("rep"), count(mine)).cast("int").alias(role)
+            beside = F.explode(F.sequence(F.lit(0), count(theirs) - 1)).alias("j" if role == "i" else "i")
+            spread = spread.unionByName(split.where(kind).select("key", "rep", "n", "root", place, beside, F.lit(number).alias("side")))
+    rows = spread.join(needed, "rep").select("rep", "n", "root", "level", "items", "key", "i", "j", "side")
+    grouped = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return grouped.mapInArrow(_across(threshold), "a long, b long").distinct()
+
+
+def _by_rare_shingles(large: DataFrame, texts: DataFrame, words: int, threshold: float) -> DataFrame:
+    """(key, rep, n, root, first, m, first_m): huge buckets split by shingles, without losing a pair.
+
+    A set's shingles are put in order, those that fewest sets of the bucket have
+    first. Two sets at the threshold share one of the first ``n - ceil(t n) + 1``
+    of the larger and of the first ``n - ceil(2 t n / (1 + t)) + 1`` of the smaller
+    one (``first``): what many sets have in common stands behind both. So a part
+    holds the sets that a rare shingle leads to, and only its ``first`` sets have
+    to meet the others.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            sets = [shingle_set(t, words).view(np.int64) for t in batch.column("text").to_pylist()]
+            offsets = pa.array(np.concatenate(([0], np.cumsum([len(x) for x in sets]))).astype(np.int32))
+            items = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(sets), pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column("rep"), items], ["rep", "items"])
+
+    sets = texts.join(large.select("rep").distinct(), "rep", "left_semi").select("rep", "text").mapInArrow(run, "rep long, items array<long>")
+    each = large.select("key", "rep", "n", "root").join(sets, "rep").select("key", "rep", "n", "root", F.explode("items").alias("item"))
+    often = each.groupBy("key", "item").agg(F.count("*").alias("often"))
+    total = int(large.agg(F.sum("n")).first()[0] or 0)
+    heavy = often.where(F.col("often") > skew.limit(large, total))
+    kept = each.withColumn("bucket", F.col("key")).withColumn("shingle", F.col("item"))
+    known = skew.lookup(kept, often, heavy, ["key", "item"], ["often"], F.xxhash64("rep", "shingle"))
+    place = F.row_number().over(Window.partitionBy("bucket", "rep").orderBy("often", "shingle"))
+    percent = round(100 * threshold)
+    led = known.withColumn("place", place).where(f"place <= n - (({percent} * n + 99) div 100) + 1").select(
+        F.xxhash64("bucket", "shingle").alias("key"),
         "rep",
         "n",
         "root",
-        "level",
-        "items",
-        "key",
-        F.least("own", "other").alias("i"),
-        F.greatest("own", "other").alias("j"),
-        side.alias("side"),
+        F.expr(f"place <= n - ((2 * {percent} * n + {99 + percent}) div {100 + percent}) + 1").alias("first"),
     )
-    grouped = spread.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return grouped.mapInArrow(_across(threshold), "a long, b long").distinct()
+    sizes = led.groupBy("key").agg(F.count("*").alias("m"), F.count_if("first").alias("first_m"), F.min("root").alias("r0"), F.max("root").alias("r1"))
+    return led.join(sizes.where("first_m > 0 and r0 <> r1").select("key", "m", "first_m"), "key")
 
 
 def _several(rows: DataFrame) -> DataFrame:

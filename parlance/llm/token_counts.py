@@ -8,16 +8,20 @@ file, stitches that. Only the blocks' summaries are windowed, never the tokens.
 Edge cases: an empty or null text is a document of 0 tokens; tokens after the
 last separator belong to no document; a document longer than a block, or many
 blocks, is stitched as any other; a file without separators has no documents;
-rows that share a doc_id, and rows without one, are documents of their own; an
-empty table gives an empty result.
+rows that share a doc_id, and rows without one, are documents of their own;
+columns but file, block, ids and doc_ids are ignored; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -82,26 +86,27 @@ def count_tokens(blocks: DataFrame, *, end: int = END_OF_DOCUMENT, dtype: str =
 
 
 def read_token_files(spark: SparkSession, path: str, *, block_tokens: int = 1 << 20, dtype: str = "<u2") -> DataFrame:
-    """(file, block, ids) of token files under ``path``.
+    """(file, block, ids) of token files of any size under ``path``.
 
-    A file is read as one row, which Spark limits to 2 GB; longer streams have to
-    come in several files. A document cannot go on from one file to the next.
+    Spark lists the files without reading them; every block is a row of (file,
+    offset, length), and the task that has it reads that range and no more. The
+    store must be one that Arrow's file systems open. A document cannot go on
+    from one file to the next; bytes that are no whole token at a file's end are
+    left out.
     """
     width = np.dtype(dtype).itemsize
-    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "content")
+    step = block_tokens * width
+    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), F.expr(f"length div {width} * {width}").alias("length"))
+    ranges = files.where("length > 0").select("file", "length", F.explode(F.expr(f"sequence(0L, (length - 1) div {step})")).alias("block"))
+    ranges = ranges.select("file", "block", (F.col("block") * step).alias("offset"), F.expr(f"least({step}L, length - block * {step})").alias("size"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for file, content in zip(batch.column(0), batch.column(1), strict=True):
-                raw = content.as_buffer()
-                for block, lo in enumerate(range(0, len(raw), block_tokens * width)):
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array([file.as_py()]),
-                            pa.array([block], pa.int64()),
-                            pa.array([raw[lo : lo + block_tokens * width].to_pybytes()], pa.binary()),
-                        ],
-                        ["file", "block", "ids"],
-                    )
-
-    return files.mapInArrow(run, "file string, block long, ids binary")
+            for row in batch.to_pylist():
+                name = re.sub(r"^file:/+", "file:///", row["file"])
+                store, at = fs.FileSystem.from_uri(quote(name, safe="/:@"))
+                with store.open_input_file(at) as source:
+                    ids = source.read_at(row["size"], row["offset"])
+                yield pa.RecordBatch.from_arrays([pa.array([row["file"]]), pa.array([row["block"]], pa.int64()), pa.array([ids], pa.binary())], ["file", "block", "ids"])
+
+    return ranges.repartition("file", "block").mapInArrow(run, "file string, block long, ids binary")

@@ -51,6 +51,31 @@ def test_corpus_and_blocks(spark, documents, corpus):
     assert clean == {i for i, w in want.items() if not w[1]}
 
 
+def test_one_block_of_items_is_held_at_a_time(spark, table, monkeypatch):
+    """Each item a block: the next block's tables are built when the last ones are gone, with equal results."""
+    bench = spark.createDataFrame([(k, f"item{k} and its own words number {k}") for k in range(6)], "item_id long, text string")
+    rows = [(k, f"x item{k} and its own words number {k} y" if k % 2 else f"plain text {k}") for k in range(12)]
+    live, most, context = set(), [], spark.sparkContext
+    make = context.broadcast
+
+    def broadcast(value):
+        held = make(value)
+        live.add(held)
+        most.append(len(live))
+        gone = held.destroy
+        held.destroy = lambda *a: (live.discard(held), gone(*a))
+        return held
+
+    monkeypatch.setattr(context, "broadcast", broadcast)
+    want = {r.doc_id: (r.n_words, r.n_hit, list(r["items"])) for r in dc.find_contamination(table(rows), bench).collect()}
+    live.clear(), most.clear()
+    got = {r.doc_id: (r.n_words, r.n_hit, list(r["items"])) for r in dc.find_contamination(table(rows), bench, block_chars=1).collect()}
+    assert got == want and [hit for _, hit, _ in want.values()].count(6) == 0 and set(most) == {1} and len(most) == 6
+    live.clear(), most.clear()
+    assert {r.doc_id for r in dc.decontaminate(table(rows), bench, block_chars=1).collect()} == {k for k, (_, hit, _) in want.items() if not hit}
+    assert set(most) == {1} and len(most) == 6
+
+
 def test_edges(spark, table):
     bench = spark.createDataFrame([(1, "one two"), (2, None), (3, ""), (1, "one two"), (4, "Two")], "item_id long, text string")
     rows = [(1, None), (2, ""), (3, "say ONE, two."), (3, "say ONE, two."), (None, "two"), (5, "three")]

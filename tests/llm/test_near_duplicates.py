@@ -155,12 +155,35 @@ def templates(seed, count, length=150, kept=0.8):
 
 @pytest.mark.parametrize("huge", [8, nd._HUGE])
 def test_template_buckets_are_searched(table, huge):
-    """Also where buckets are split by further bands."""
+    """Also where buckets are split by rare shingles."""
     rows = templates(5, 300)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in nd.near_duplicates(table(rows), words=4, huge=huge).collect()}
     assert got == brute(rows, 4)
 
 
+def test_rare_shingles_lose_no_pair_and_split_templates(spark, monkeypatch):
+    """Every pair at the threshold of one bucket meets in a part, a smaller set as first one; sets of one template do not meet."""
+    rng = np.random.default_rng(8)
+    frame = [f"t{k}" for k in range(85)]
+    sets = [[*frame, *(f"own{k}_{j}" for j in range(15))] for k in range(40)]  # unlinked: 0.74 in common
+    for k in range(60):  # linked to one of them or to each other
+        base = list(sets[rng.integers(len(sets))])
+        for at in rng.choice(len(base), rng.integers(0, 12), replace=False):
+            base[at] = f"new{k}_{at}"
+        sets.append(base[: len(base) - rng.integers(0, 12)])
+    texts = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(sets)], "rep long, text string")
+    large = spark.createDataFrame([(9, k, len(x), 100 + len(sets), 1000 + k) for k, x in enumerate(sets)], "key long, rep long, n int, m int, root long")
+    parts = {}
+    for r in nd._by_rare_shingles(large, texts, 1, 0.8).collect():
+        parts.setdefault(r.key, []).append(r)
+        assert r.m >= r.first_m > 0
+    met = {(a.rep, b.rep) for rows in parts.values() for a in rows if a.first for b in rows}
+    close = [(i, j) for i in range(len(sets)) for j in range(len(sets)) if i != j and len(sets[i]) <= len(sets[j]) and 5 * len({*sets[i]} & {*sets[j]}) >= 4 * len({*sets[i]} | {*sets[j]})]
+    assert close and all((i, j) in met or (j, i) in met for i, j in close) and all((i, j) in met for i, j in close if len(sets[i]) < len(sets[j]))
+    plain = large.where("rep < 40")
+    assert nd._by_rare_shingles(plain, texts, 1, 0.8).count() == 0
+
+
 def test_pivots_head_each_part_of_their_pairs(spark):
     pairs = spark.createDataFrame([(1, b) for b in range(2, 2000)] + [(5000, 5001)], "a long, b long")
     own = spark.range(6000).select(F.col("id").alias("rep"), (F.col("id") * 10).alias("v"))

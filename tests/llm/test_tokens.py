@@ -35,6 +35,17 @@ def test_token_files(spark, tmp_path):
     assert found == {"a.bin": [3, 0, 50], "b.bin": [1]}
 
 
+def test_token_files_are_read_by_ranges(spark, tmp_path):
+    """One row per range of a long file, no more tokens than a block in each, and an odd byte at the end left out."""
+    ids = np.random.default_rng(1).integers(0, 1000, 100_003).astype("<u2")
+    (tmp_path / "long name.bin").write_bytes(ids.tobytes() + b"x")
+    df = tc.read_token_files(spark, f"file://{tmp_path}/*.bin", block_tokens=4096)
+    rows = sorted(df.collect(), key=lambda r: r.block)
+    assert [len(r.ids) for r in rows] == [8192] * 24 + [2 * (100_003 % 4096)]
+    assert np.array_equal(np.frombuffer(b"".join(r.ids for r in rows), "<u2"), ids)
+    assert "ReadSchema: struct<path:string,length:bigint>" in df._jdf.queryExecution().executedPlan().toString()  # no contents
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.integers(1, 30), max_size=60))
 def test_best_fit_decreasing(lengths):
