@@ -27,14 +27,14 @@ def windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten most similar windows (itself included) of each window in its recording."""
     ship_package(spark)
-    return cl.nearest_windows(windows(spark, sf_dir), "rec", "win_idx", 10)
+    return cl.nearest_windows(windows(spark, sf_dir), "rec", "win_idx", 10).drop("sim")
 
 
 def affinity_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tenth percentile of the pair similarities of each recording and whether it passes as one speaker."""
     ship_package(spark)
-    p = cl.pair_similarities(windows(spark, sf_dir), "rec", "win_idx").groupBy("rec").agg(F.percentile("sim", F.lit(0.1)).alias("p"))
-    return p.select("rec", F.round("p", 6).alias("p10"), (F.col("p") > 0.55).alias("one_speaker"))
+    p = cl.similarity_percentile(windows(spark, sf_dir), "rec", "win_idx", 0.1)
+    return p.select("rec", F.round("value", 6).alias("p10"), (F.col("value") > 0.55).alias("one_speaker"))
 
 
 def label_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:

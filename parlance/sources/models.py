@@ -190,18 +190,49 @@ class Usage:
 
 
 # Words of a refusal that tell what the server minds.
-SCHEMA_WORDS = re.compile(r"response_format|schema|grammar", re.IGNORECASE)
-CONTEXT_WORDS = re.compile(r"context|too long|maximum.{0,20}tokens|n_ctx", re.IGNORECASE)
+_FORM = re.compile(r"response_format|schema|grammar", re.IGNORECASE)
+_LENGTH = re.compile(r"context|too long|maximum.{0,20}tokens|n_ctx", re.IGNORECASE)
+
+#: What a call comes to, the first that fits: a status range, or a kind of failure, words of the answer, and what follows.
+#: ``plain`` is the same call without a schema, ``split`` may fit in smaller parts, ``stop`` is for the caller.
+OUTCOMES: tuple[tuple[str, re.Pattern | None, str], ...] = (
+    ("ok", None, "read"),
+    ("status 503", None, "wait"),
+    ("status", _LENGTH, "split"),
+    ("status 400", _FORM, "plain"),
+    ("status 422", _FORM, "plain"),
+    ("status 500", _FORM, "plain"),
+    ("status", None, "refuse"),
+    ("late", None, "split"),
+    ("lost", None, "stop"),
+)
+#: Errors that end a call, by what follows.
+ENDS = {"split": TooLong, "plain": Refused, "refuse": Refused, "wait": ConnectionFailed, "stop": ConnectionFailed}
+
+
+@dataclass(frozen=True)
+class Seen:
+    """One exchange: ``ok`` with a body, ``status N`` with one, ``late`` or ``lost``."""
+
+    kind: str
+    body: str = ""
+
+    def follows(self) -> str:
+        return next(then for kind, words, then in OUTCOMES if f"{self.kind} ".startswith(f"{kind} ") and (words is None or words.search(self.body)))
+
+    def error(self) -> ModelError:
+        told, status = f"{self.kind}: {self.body[:1000]}", self.kind.removeprefix("status ")
+        kind = ENDS[self.follows()]
+        return kind(told, int(status)) if issubclass(kind, Refused) and status.isdigit() else kind(told)
 
 
 @dataclass
 class HttpChat:
     """Client of a chat-completions server.
 
-    A busy server (503) is waited for and, in the end, given up like one that
-    cannot be reached. A prompt that is too long, or not answered in time, may
-    fit in smaller parts. The schema is dropped for good once the server has
-    refused it by name and answered without it.
+    Every exchange is classified by ``OUTCOMES``. Waits double and end with the
+    ``tries``; a schema that was refused by name is left out for good once the
+    same call without it has been answered.
     """
 
     url: str
@@ -212,74 +243,57 @@ class HttpChat:
     pause: Callable[[float], None] = time.sleep
     usage: Usage = field(default_factory=Usage)
 
+    def exchange(self, path: str, body: dict | None, timeout: float) -> Seen:
+        data = None if body is None else json.dumps(body).encode()
+        call = urllib.request.Request(self.url + path, data, {"Content-Type": "application/json"})
+        try:
+            with urllib.request.urlopen(call, timeout=timeout) as reply:
+                return Seen("ok", reply.read().decode("utf-8", "replace"))
+        except urllib.error.HTTPError as error:
+            return Seen(f"status {error.code}", error.read().decode("utf-8", "replace"))
+        except (OSError, http.client.HTTPException) as error:
+            late = isinstance(error, TimeoutError) or isinstance(getattr(error, "reason", None), TimeoutError)
+            return Seen("late" if late else "lost", str(error))
+
     def ping(self, wait: float = 120, every: float = 5) -> None:
-        """Return once the server answers; one that is still loading (503) gets ``wait`` seconds."""
-        for left in range(max(1, int(wait / every)), -1, -1):
-            try:
-                with urllib.request.urlopen(f"{self.url}/models", timeout=10):
-                    return
-            except urllib.error.HTTPError as error:
-                if error.code != 503:
-                    return
-                if not left:
-                    raise ConnectionFailed("the server stays busy") from error
-                self.pause(every)
-            except OSError as error:
-                raise ConnectionFailed(str(error)) from error
+        """Return once the server answers at all; one that is still loading gets ``wait`` seconds."""
+        waits = [every] * max(1, int(wait / every))
+        while (seen := self.exchange("/models", None, 10)).follows() == "wait" and waits:
+            self.pause(waits.pop())
+        if seen.follows() == "wait" or not seen.kind.startswith(("ok", "status")):
+            raise ConnectionFailed(f"{seen.kind}: {seen.body[:1000]}")
 
     def complete(self, system: str, user: str, max_tokens: int, schema: dict | None = None) -> str:
-        body = {
-            "model": self.model,
-            "temperature": 0,
-            "seed": 0,
-            "max_tokens": max_tokens,
-            "messages": [{"role": "system", "content": system}, {"role": "user", "content": user}],
-        }
-        if schema and self.use_schema:
-            try:
-                return self._answer(body | {"response_format": {"type": "json_object", "schema": schema}})
-            except Refused as error:
-                if error.status not in (400, 422, 500) or not SCHEMA_WORDS.search(str(error)):
-                    raise
-            said = self._answer(body)
-            self.use_schema = False
-            return said
-        return self._answer(body)
-
-    def _answer(self, body: dict) -> str:
-        began = time.monotonic()
-        reply = self._post(body)
+        said = [{"role": "system", "content": system}, {"role": "user", "content": user}]
+        body = {"model": self.model, "temperature": 0, "seed": 0, "max_tokens": max_tokens, "messages": said}
+        form = {"response_format": {"type": "json_object", "schema": schema}} if schema and self.use_schema else {}
+        waits, dropped, began = [2.0**k for k in range(self.tries)], False, time.monotonic()
+        while (then := (seen := self.exchange("/chat/completions", body | form, self.timeout)).follows()) != "read":
+            if then == "wait" and waits:
+                self.pause(waits.pop(0))
+            elif then == "plain" and form:
+                form, dropped, waits, began = {}, True, [2.0**k for k in range(self.tries)], time.monotonic()
+            else:
+                raise seen.error()
+        text = self.content(seen.body, time.monotonic() - began)
+        self.use_schema &= not dropped
+        return text
+
+    def content(self, body: str, seconds: float) -> str:
+        """The text of a reply, whose use is counted; one that is cut off is none."""
         try:
-            choice = reply["choices"][0]
-            said = choice["message"]["content"]
-        except (KeyError, IndexError, TypeError) as error:
+            reply = json.loads(body)
+        except ValueError as error:
+            raise ModelError("a reply that is no JSON") from error
+        try:
+            first, used = reply["choices"][0], reply.get("usage")
+            text, cut = first["message"]["content"], first.get("finish_reason") == "length"
+        except (AttributeError, KeyError, IndexError, TypeError) as error:
             raise ModelError("a reply of unknown form") from error
-        self.usage.add(time.monotonic() - began, reply.get("usage"))
-        if choice.get("finish_reason") == "length" or not isinstance(said, str):
+        self.usage.add(seconds, used)
+        if cut or not isinstance(text, str):
             raise ModelError("reply cut off at the token limit")
-        return said.strip()
-
-    def _post(self, body: dict) -> dict:
-        request = urllib.request.Request(f"{self.url}/chat/completions", json.dumps(body).encode(), {"Content-Type": "application/json"})
-        for attempt in range(self.tries + 1):
-            try:
-                with urllib.request.urlopen(request, timeout=self.timeout) as reply:
-                    return json.load(reply)
-            except urllib.error.HTTPError as error:
-                detail = error.read().decode("utf-8", "replace")[:1000]
-                if error.code != 503:
-                    raise (TooLong if CONTEXT_WORDS.search(detail) else Refused)(f"HTTP {error.code}: {detail}", error.code) from error
-                if attempt < self.tries:
-                    self.pause(2**attempt)
-            except ValueError as error:
-                raise ModelError("a reply that is no JSON") from error
-            except OSError as error:
-                if isinstance(error, TimeoutError) or isinstance(getattr(error, "reason", None), TimeoutError):
-                    raise TooLong(f"no answer within {self.timeout} s") from error
-                raise ConnectionFailed(str(error)) from error
-            except http.client.HTTPException as error:
-                raise ConnectionFailed(str(error)) from error
-        raise ConnectionFailed("the server stays busy")
+        return text.strip()
 
 
 def json_object(text: str) -> dict:
