@@ -14,13 +14,17 @@ from pyspark.sql.types import ArrayType, FloatType
 RATE = 16_000
 
 
+def pcm(raw: bytes, width: int, channels: int) -> np.ndarray:
+    """The mean of all channels of interleaved samples of ``width`` bytes."""
+    kind = {1: "u1", 2: "<i2", 4: "<i4"}[width]
+    x = np.frombuffer(raw, kind).astype(float).reshape(-1, channels)
+    return ((x - 128) / 128 if width == 1 else x / float(1 << (8 * width - 1))).mean(1)
+
+
 def decode_wav(raw: bytes, rate: int = RATE) -> np.ndarray:
     """Mono samples of a PCM file at ``rate``."""
     with wave.open(io.BytesIO(raw)) as w:
-        kind = {1: "u1", 2: "<i2", 4: "<i4"}[w.getsampwidth()]
-        x = np.frombuffer(w.readframes(w.getnframes()), kind).astype(float).reshape(-1, w.getnchannels())
-        x = (x - 128) / 128 if kind == "u1" else x / float(1 << (8 * w.getsampwidth() - 1))
-        return resample(x.mean(1), w.getframerate(), rate)
+        return resample(pcm(w.readframes(w.getnframes()), w.getsampwidth(), w.getnchannels()), w.getframerate(), rate)
 
 
 @F.pandas_udf(ArrayType(FloatType()))
