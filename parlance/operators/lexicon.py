@@ -18,7 +18,7 @@ def mine(
 ) -> DataFrame:
     """(dev, eng, total, n): the spelling that tags give a word most often (of equals the one seen first).
 
-    ``tagged`` has (dev, eng, at), ``words`` has (word) of every occurrence. A
+    ``tagged`` has (dev, eng, at; at in any type with an order), ``words`` has (word) of every occurrence. A
     word needs ``least`` tags, of which ``agreement`` give that spelling, and
     ``share`` of its occurrences tagged. The ``blocked`` most frequent words
     (ties by word) without the ``manual`` ones, and the manual ones themselves,
@@ -29,7 +29,7 @@ def mine(
     # A set of ``blocked`` words at most, so it is fit to broadcast.
     frequent = counts.orderBy(F.desc("seen"), "word").limit(blocked).where(~F.array_contains(known, F.col("word"))).select(F.col("word").alias("dev"))
     pairs = tagged.groupBy("dev", "eng").agg(F.count("*").alias("n"), F.min("at").alias("first"))
-    best = pairs.groupBy("dev").agg(F.sum("n").alias("total"), F.max(F.struct("n", (-F.col("first")).alias("late"), "eng")).alias("b"))
+    best = pairs.groupBy("dev").agg(F.sum("n").alias("total"), F.min(F.struct((-F.col("n")).alias("less"), "first", "eng", "n")).alias("b"))
     kept = best.where((F.col("total") >= least) & (F.col("b.n") >= agreement * F.col("total")) & ~F.array_contains(known, F.col("dev")))
     kept = kept.join(F.broadcast(frequent), "dev", "left_anti").join(counts.withColumnRenamed("word", "dev"), "dev", "left")
     enough = F.col("total") >= share * F.greatest(F.coalesce("seen", F.lit(0)), F.col("total"))

@@ -41,9 +41,13 @@ def rttm_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.read_rttm(spark, path).select("rec_id", "speaker", ms("start"), ms("end"))
 
 
+#: Documents of a file.
+_PER_FILE = 256
+
+
 def _documents(docs: DataFrame, key: str, path: str) -> None:
-    """One JSON array of documents per file."""
-    dealt = docs.withColumn("_file", F.pmod(F.xxhash64(key), F.lit(8)))
+    """JSON arrays of documents, of about ``_PER_FILE`` in each file."""
+    dealt = docs.withColumn("_file", F.pmod(F.xxhash64(key), F.lit(max(8, docs.count() // _PER_FILE))))
     per = dealt.groupBy("_file").agg(F.to_json(F.collect_list(F.struct(*docs.columns))).alias("value"))
     per.repartition("_file").write.partitionBy("_file").text(path)
 

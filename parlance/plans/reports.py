@@ -147,7 +147,7 @@ def synthesis_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     ordered = F.array_sort(F.collect_list(F.struct("turn", "text", tx.content_tokens(F.col("text")).alias("c"))))
     per = lines.groupBy("conv_id").agg(ordered.alias("l"))
     words = F.slice(F.array_distinct(F.flatten(F.transform("l", lambda x: x["c"]))), 1, 8)
-    parts = F.left(F.array_join(F.transform("l", lambda x: F.left(x["text"], F.lit(60))), " "), F.lit(1500))
+    parts = F.array_join(F.transform("l", lambda x: x["text"]), " ")
     answered = F.col("conv_id") % 3 != 0
     return per.select(
         "conv_id",
@@ -444,8 +444,8 @@ SELECT conv_id, pos, owner, action, 1::BIGINT AS evidence FROM k QUALIFY row_num
     "synthesis_fallback": _LINES + f""", c AS (SELECT *, {_content(_norm_sql("text"))} AS ct FROM l),
 wd AS (SELECT conv_id, turn, unnest(ct) AS w, generate_subscripts(ct, 1) AS i FROM c), fw AS (SELECT conv_id, w, min((turn, i)) AS p FROM wd GROUP BY ALL),
 kw AS (SELECT conv_id, list(w ORDER BY p) AS ws FROM fw GROUP BY conv_id),
-s AS (SELECT conv_id, arg_min(text, turn) AS first, string_agg(left(text, 60), ' ' ORDER BY turn) AS parts FROM l GROUP BY conv_id)
-SELECT s.conv_id, CASE WHEN s.conv_id % 3 <> 0 THEN left(first, 90) ELSE 'Conversation report' END AS title, coalesce(array_to_string(ws[1:8], ','), '') AS keywords, CASE WHEN s.conv_id % 3 <> 0 THEN 'a summary' ELSE left(parts, 1500) END AS summary FROM s LEFT JOIN kw USING (conv_id)""",
+s AS (SELECT conv_id, arg_min(text, turn) AS first, string_agg(text, ' ' ORDER BY turn) AS parts FROM l GROUP BY conv_id)
+SELECT s.conv_id, CASE WHEN s.conv_id % 3 <> 0 THEN left(first, 90) ELSE 'Conversation report' END AS title, coalesce(array_to_string(ws[1:8], ','), '') AS keywords, CASE WHEN s.conv_id % 3 <> 0 THEN 'a summary' ELSE parts END AS summary FROM s LEFT JOIN kw USING (conv_id)""",
     "report_build": _CLOCK.replace("WITH clock", "WITH RECURSIVE clock", 1) + f""", sp AS (SELECT conv_id, turn, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS text FROM lines WHERE {_norm_sql("text")} <> ''),
 c AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i, 3 * {_tok("text")} + 24 AS cost FROM sp),
 f(conv_id, i, chunk, used, n) AS (SELECT conv_id, i, 0, cost, 1 FROM c WHERE i = 1

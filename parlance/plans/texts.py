@@ -323,10 +323,11 @@ def keyword_grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keyword_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Set overlap of each document's content words with a benchmark item's; both empty is 1."""
-    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", F.array_distinct(tx.content_tokens(F.col("text"))).alias("b"))
+    bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    items = bench.select("item_id", F.array_distinct(tx.content_tokens(F.col("text"))).alias("b"))
     docs = _docs(spark, sf_dir).select(
         "doc_id",
-        (F.col("doc_id") % 40).alias("item_id"),
+        (F.col("doc_id") % max(1, bench.count())).alias("item_id"),
         F.array_distinct(tx.content_tokens(F.col("text"))).alias("a"),
     )
     both = F.size(F.array_intersect("a", "b")).cast("long")
@@ -384,7 +385,7 @@ def lexicon_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id",
         F.posexplode(F.arrays_zip(F.slice("w", F.lit(1), rest).alias("dev"), F.slice("w", F.lit(2), rest).alias("eng"))).alias("i", "p"),
     )
-    tagged = pairs.where("length(p.eng) > length(p.dev)").select("p.dev", "p.eng", (F.col("doc_id") * 1_000_000 + F.col("i")).alias("at"))
+    tagged = pairs.where("length(p.eng) > length(p.dev)").select("p.dev", "p.eng", F.struct("doc_id", "i").alias("at"))
     return lexicon.mine(tagged, said.select(F.explode("w").alias("word")), MANUAL)
 
 
@@ -502,15 +503,18 @@ SELECT asked, k.code, name, script, latin_name, has_ctc FROM k LEFT JOIN cat ON
         "t"
     ) + " AS t FROM p), j AS (SELECT conv_id, turn, string_agg(t, ' ' ORDER BY i) AS text, count(*) AS pieces FROM q WHERE t <> '' GROUP BY ALL) SELECT c.conv_id, c.turn, coalesce(j.text, '') AS text, coalesce(pieces, 0) AS pieces FROM conversations c LEFT JOIN j USING (conv_id, turn)",
     "keyword_grounding": f"WITH said AS (SELECT DISTINCT unnest({_CONTENT_SQL}) AS word FROM documents), i AS (SELECT item_id, unnest(list_distinct({_CONTENT_SQL})) AS word FROM benchmark) SELECT item_id, count(*) AS words, count(said.word) AS grounded, count(*) = count(said.word) AS all_grounded FROM i LEFT JOIN said USING (word) GROUP BY item_id",
-    "keyword_f1": f"WITH b AS (SELECT item_id, list_distinct({_CONTENT_SQL}) AS b FROM benchmark), a AS (SELECT doc_id, doc_id % 40 AS item_id, list_distinct({_CONTENT_SQL}) AS a FROM documents), x AS (SELECT *, len(list_intersect(a, b)) AS shared FROM a JOIN b USING (item_id)) SELECT doc_id, item_id, shared, CASE WHEN len(a) + len(b) = 0 THEN 1000000 ELSE 2 * shared * 1000000 // (len(a) + len(b)) END AS f1_ppm, shared = len(a) AS contained FROM x",
+    "keyword_f1": f"WITH b AS (SELECT item_id, list_distinct({_CONTENT_SQL}) AS b FROM benchmark), a AS (SELECT doc_id, doc_id % (SELECT count(*) FROM benchmark) AS item_id, list_distinct({_CONTENT_SQL}) AS a FROM documents), x AS (SELECT *, len(list_intersect(a, b)) AS shared FROM a JOIN b USING (item_id)) SELECT doc_id, item_id, shared, CASE WHEN len(a) + len(b) = 0 THEN 1000000 ELSE 2 * shared * 1000000 // (len(a) + len(b)) END AS f1_ppm, shared = len(a) AS contained FROM x",
     "json_reply_parse": "SELECT event_id, (props->>'$.k')::BIGINT AS value FROM events",
     "batch_plan": "WITH r AS (SELECT doc_id, length(text) AS chars, row_number() OVER (ORDER BY length(text) DESC, doc_id) - 1 AS r FROM documents) SELECT doc_id, chars, r // 32 AS batch, r % 32 AS place FROM r",
     "seeded_sample": "SELECT doc_id, source, (doc_id * 2654435761 + 97) % 1000003 AS draw FROM documents WHERE length(text) BETWEEN 50 AND 5000 ORDER BY draw, doc_id LIMIT 50",
-    "lexicon_mining": f"""WITH d AS (SELECT doc_id, {_WORDS_SQL} AS w FROM documents), e AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d), o AS (SELECT doc_id, i, w[i] AS dev, w[i + 1] AS eng FROM e),
+    "lexicon_mining": f"""WITH t AS (SELECT doc_id, {_norm_sql("text")} AS t FROM documents), d AS (SELECT doc_id, string_split(t, ' ') AS w FROM t WHERE t <> ''),
+e AS (SELECT doc_id, unnest(w) AS dev, generate_subscripts(w, 1) AS i FROM d), o AS (SELECT doc_id, i, dev, lead(dev) OVER (PARTITION BY doc_id ORDER BY i) AS eng FROM e),
 c AS (SELECT dev, count(*) AS seen FROM o GROUP BY dev), f AS (SELECT dev FROM c ORDER BY seen DESC, dev LIMIT 2500),
-p AS (SELECT dev, eng, count(*) AS n, min(doc_id * 1000000 + i) AS first FROM o WHERE length(eng) > length(dev) GROUP BY ALL),
-b AS (SELECT dev, sum(n)::BIGINT AS total, arg_max(eng, (n, -first)) AS eng, max(n) AS n FROM p GROUP BY dev)
-SELECT dev, eng, total, n FROM b JOIN c USING (dev) WHERE total >= 2 AND n >= 0.7::DOUBLE * total AND total >= 0.5::DOUBLE * seen AND dev NOT IN {tuple(MANUAL)} AND dev NOT IN (SELECT dev FROM f WHERE dev NOT IN {tuple(MANUAL)})""",
+p AS (SELECT dev, eng, count(*) AS n, min((doc_id, i)) AS first FROM o WHERE length(eng) > length(dev) GROUP BY ALL),
+b AS (SELECT dev, sum(n)::BIGINT AS total, arg_min(eng, (-n, first)) AS eng, max(n) AS n FROM p GROUP BY dev),
+m(dev) AS (VALUES {", ".join(f"('{w}')" for w in MANUAL)})
+SELECT dev, eng, total, n FROM b JOIN c USING (dev) ANTI JOIN m USING (dev) ANTI JOIN (SELECT dev FROM f ANTI JOIN m USING (dev)) g USING (dev)
+WHERE total >= 2 AND n >= 0.7::DOUBLE * total AND total >= 0.5::DOUBLE * seen""",
     "identity_counts": """WITH j AS (SELECT doc_id, sha256(text) AS sha, lang, quality, toxic FROM documents JOIN labels USING (doc_id)),
 g AS (SELECT *, first_value(quality) OVER w AS q, first_value(toxic) OVER w AS t, first_value(lang) OVER w AS l, count(*) OVER (PARTITION BY sha) AS copies, min(quality) OVER (PARTITION BY sha) <> max(quality) OVER (PARTITION BY sha) AS mixed FROM j WINDOW w AS (PARTITION BY sha ORDER BY doc_id))
 SELECT count(*) AS n, count(*) FILTER (copies > 1) AS copied, count(*) FILTER (quality = q) AS same_quality, count(*) FILTER (quality = q AND toxic = t AND lang = l) AS same_all, count(*) FILTER (mixed) AS mixed FROM g""",

@@ -155,16 +155,16 @@ def output_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def matched_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first two windows of a recording as tracks, named after the next two as speakers."""
-    w = windows(spark, sf_dir).withColumn("place", F.col("win_idx") % SIZE).where("place < 4").select(
-        "rec",
-        "place",
+    """Four windows after the other: the first two as tracks, named after the next two as speakers."""
+    w = windows(spark, sf_dir).select(
+        F.floor(F.col("win_idx") / 4).cast("long").alias("unit"),
+        (F.col("win_idx") % 4).alias("place"),
         cl.normalised(F.col("emb")).alias("u"),
     )
-    tracks = w.where("place < 2").select("rec", F.col("place").cast("int").alias("track"), "u")
-    speakers = w.where("place >= 2").select("rec", (F.col("place") - 1).alias("rank"), F.col("u").alias("v"))
-    scores = tracks.join(speakers, "rec").select("rec", "track", "rank", F.round(cl.dot(F.col("u"), F.col("v")), 9).alias("score"))
-    return dz.match_tracks(scores, ["rec"])
+    tracks = w.where("place < 2").select("unit", F.col("place").cast("int").alias("track"), "u")
+    speakers = w.where("place >= 2").select("unit", (F.col("place") - 1).alias("rank"), F.col("u").alias("v"))
+    scores = tracks.join(speakers, "unit").select("unit", "track", "rank", F.round(cl.dot(F.col("u"), F.col("v")), 9).alias("score"))
+    return dz.match_tracks(scores, ["unit"])
 
 
 def separation_gain(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -275,7 +275,7 @@ ORACLES = {
 c AS (SELECT *, pair % 3 <> 0 AND s10 + s01 > s00 + s11 AS swapped FROM k)
 SELECT pair, 'leak' AS name, round(CASE WHEN swapped THEN s10 ELSE s00 END, 1) AS first_db, round(CASE WHEN swapped THEN s01 ELSE s11 END, 1) AS second_db, swapped FROM c""",
     "matched_tracks": _W
-    + ", p AS (SELECT a.rec, round("
+    + ", p AS (SELECT a.win_idx // 4 AS unit, round("
     + _dot("a.u", "c.u")
     + " , 9) AS s01, round("
     + _dot("a.u", "d.u")
@@ -283,7 +283,7 @@ SELECT pair, 'leak' AS name, round(CASE WHEN swapped THEN s10 ELSE s00 END, 1) A
     + _dot("b.u", "c.u")
     + ", 9) AS s11, round("
     + _dot("b.u", "d.u")
-    + ", 9) AS s12 FROM un a JOIN un b ON a.rec = b.rec AND a.win_idx % 50 = 0 AND b.win_idx % 50 = 1 JOIN un c ON c.rec = a.rec AND c.win_idx % 50 = 2 JOIN un d ON d.rec = a.rec AND d.win_idx % 50 = 3) SELECT rec, unnest([0, 1]) AS track, unnest(CASE WHEN s02 + s11 > s01 + s12 THEN [2, 1] ELSE [1, 2] END)::BIGINT AS rank FROM p",
+    + ", 9) AS s12 FROM un a JOIN un b ON a.win_idx % 4 = 0 AND b.win_idx = a.win_idx + 1 JOIN un c ON c.win_idx = a.win_idx + 2 JOIN un d ON d.win_idx = a.win_idx + 3) SELECT unit, unnest([0, 1]) AS track, unnest(CASE WHEN s02 + s11 > s01 + s12 THEN [2, 1] ELSE [1, 2] END)::BIGINT AS rank FROM p",
     "separation_gain": _DUO + "SELECT pair, round(mix, 4) AS si_sdr_mix, round(greatest(straight, crossed) - mix, 4) AS gain FROM pv",
     "signal_levels": "WITH w AS (SELECT vec_id AS win_idx, embedding::DOUBLE[] AS emb FROM embeddings), f AS (SELECT *, list_transform(range(8), lambda i: " + _dot(
         "emb[i * 8 + 1 : i * 8 + 8]",
