@@ -249,3 +249,31 @@ def smooth_runs(runs: DataFrame, keys: list[str], least: int, passes: int = 3) -
             F.sum("_fresh").over(by.rowsBetween(W.unboundedPreceding, 0)),
         ).groupBy(*keys, "_run", "label").agg(F.min("first").alias("first"), F.max("last").alias("last")).drop("_run")
     return runs
+
+
+def hysteresis(
+    frames: DataFrame,
+    keys: list[str],
+    *,
+    on: float,
+    off: float,
+    least_on: int = 1,
+    least_off: int = 1,
+    frame: str = "frame",
+    score: str = "score",
+) -> DataFrame:
+    """(keys, start, end) of active stretches of frames (end exclusive), from scores with two thresholds.
+
+    A stretch begins with a score of at least ``on`` and lasts until one below
+    ``off``; in between, what was goes on. Pauses shorter than ``least_off`` frames
+    are filled, then stretches shorter than ``least_on`` dropped. A missing frame
+    ends a stretch, a null score changes nothing.
+    """
+    along = W.partitionBy(*keys).orderBy(frame)
+    fresh = F.coalesce((F.col(frame) - F.lag(frame).over(along) > 1).cast("long"), F.lit(1))
+    told = frames.withColumn("_fresh", fresh).withColumn("_part", F.sum("_fresh").over(along.rowsBetween(W.unboundedPreceding, 0)))
+    here = W.partitionBy(*keys, "_part").orderBy(frame)
+    decided = F.when(F.col(score) >= on, True).when(F.col(score) < off, False)
+    active = told.withColumn("_on", F.coalesce(F.last(decided, ignorenulls=True).over(here.rowsBetween(W.unboundedPreceding, 0)), F.lit(False)))
+    kept = active.where("_on").select(*keys, F.col(frame).alias("start"), (F.col(frame) + 1).alias("end"))
+    return regions_of(kept, keys, least_off - 1).where(F.col("end") - F.col("start") >= least_on).select(*keys, "start", "end")

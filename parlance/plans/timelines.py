@@ -150,6 +150,29 @@ def overlap_speakers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return iv.add_overlap_speakers(run_length(spark, sf_dir), overlaps, K)
 
 
+def overlap_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stretches of a recording's events where the level of five neighbours stays high, by two thresholds."""
+    by = W.partitionBy("rec_id").orderBy("seq")
+    frames = turns(spark, sf_dir).select(
+        "rec_id",
+        (F.row_number().over(by) - 1).alias("frame"),
+        F.sum(F.col("amp") % 100).over(by.rowsBetween(-2, 2)).alias("score"),
+    )
+    found = iv.hysteresis(frames, K, on=280, off=200, least_on=3, least_off=3)
+    return found.select("rec_id", *(F.col(c).cast("long").alias(c) for c in ("start", "end")))
+
+
+def detected_overlap_speakers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The voted turns, with the nearest other speaker added where the detector, not the turns, tells an overlap."""
+    by = W.partitionBy("rec_id").orderBy("seq")
+    placed = turns(spark, sf_dir).select("rec_id", (F.row_number().over(by) - 1).alias("frame"), F.col("start").alias("from"), F.col("end").alias("to"))
+    found = overlap_detection(spark, sf_dir)
+    first = found.withColumn("frame", F.col("start")).join(placed.select("rec_id", "frame", "from"), ["rec_id", "frame"])
+    both = first.drop("frame").withColumn("frame", F.col("end") - 1).join(placed.select("rec_id", "frame", "to"), ["rec_id", "frame"])
+    overlaps = iv.regions_of(both.select("rec_id", F.col("from").alias("start"), F.col("to").alias("end")).where("end > start"), K)
+    return iv.add_overlap_speakers(run_length(spark, sf_dir), overlaps, K)
+
+
 def overlap_partner(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each turn the other speaker with whom it shares most time."""
     return iv.max_overlap_partner(merged(spark, sf_dir), K, CELL)
@@ -407,6 +430,8 @@ QUERIES = {
         overlap_pairs,
         nearest_other_speaker,
         overlap_speakers,
+        overlap_detection,
+        detected_overlap_speakers,
         overlap_partner,
         main_speakers,
         cluster_timeline,
@@ -427,7 +452,21 @@ QUERIES = {
         distinct_counts,
     )
 }
+_DETECTED_SQL = """, fr AS (SELECT rec_id, row_number() OVER w - 1 AS frame, sum(amp % 100) OVER (w ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS score FROM turns WINDOW w AS (PARTITION BY rec_id ORDER BY seq)),
+st AS (SELECT rec_id, frame, coalesce(last_value(CASE WHEN score >= 280 THEN true WHEN score < 200 THEN false END IGNORE NULLS) OVER (PARTITION BY rec_id ORDER BY frame ROWS UNBOUNDED PRECEDING), false) AS active FROM fr),
+br AS (SELECT rec_id, frame, CASE WHEN frame - lag(frame) OVER (PARTITION BY rec_id ORDER BY frame) <= 3 THEN 0 ELSE 1 END AS fresh FROM st WHERE active),
+gr AS (SELECT *, sum(fresh) OVER (PARTITION BY rec_id ORDER BY frame ROWS UNBOUNDED PRECEDING) AS g FROM br),
+dt AS (SELECT rec_id, min(frame) AS f0, max(frame) AS f1 FROM gr GROUP BY rec_id, g HAVING max(frame) + 1 - min(frame) >= 3)"""
+#: The detected stretches as times, united.
+_DETECTED_TIMES_SQL = _DETECTED_SQL + """, pl AS (SELECT rec_id, row_number() OVER (PARTITION BY rec_id ORDER BY seq) - 1 AS frame, s, e FROM turns),
+o0 AS (SELECT dt.rec_id, a.s, b.e FROM dt JOIN pl a ON a.rec_id = dt.rec_id AND a.frame = f0 JOIN pl b ON b.rec_id = dt.rec_id AND b.frame = f1 WHERE b.e > a.s),
+o1 AS (SELECT *, CASE WHEN s <= max(e) OVER (PARTITION BY rec_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM o0),
+o2 AS (SELECT *, sum(fresh) OVER (PARTITION BY rec_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS g FROM o1),
+ov AS (SELECT rec_id, min(s) AS s, max(e) AS e FROM o2 GROUP BY rec_id, g)"""
+
 ORACLES = {
+    "overlap_detection": TURNS + _DETECTED_SQL + 'SELECT rec_id, f0 AS "start", f1 + 1 AS "end" FROM dt',
+    "detected_overlap_speakers": TURNS + SPEECH + RUNS + _DETECTED_TIMES_SQL + ", tn AS (SELECT rec_id, 'Speaker_' || chr(65 + label) AS speaker, f * 60000 AS s, (l + 1) * 60000 AS e FROM runs)" + ADDED,
     "turns_merge": TURNS + MERGED + 'SELECT rec_id, speaker, s AS "start", e AS "end", n, stream FROM merged',
     "running_max_merge": TURNS + "SELECT rec_id, seq, max(e) OVER p AS reach, s - max(e) OVER p AS gap, lead(s) OVER (PARTITION BY rec_id ORDER BY s, e, seq) AS next_start FROM turns WINDOW p AS (PARTITION BY rec_id ORDER BY s, e, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)",
     "concurrency_sweep": TURNS + _sweep_sql("turns", "ov") + 'SELECT rec_id, s AS "start", e AS "end" FROM ov',

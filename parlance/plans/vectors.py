@@ -70,6 +70,25 @@ def streams_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cl.cluster_windows(w, ["rec"], method="gmm").withColumn("stream", F.col("win_idx") % 2)
 
 
+def joint_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both streams of a recording clustered together, without what leaks from one into the other.
+
+    Neighbouring windows are one frame of both streams; their power is the mean
+    square of their values.
+    """
+    ship_package(spark)
+    w = windows(spark, sf_dir)
+    told = cl.cluster_windows(w, ["rec"], method="gmm").join(w.select("win_idx", "emb"), "win_idx")
+    frames = told.select(
+        "rec",
+        F.floor(F.col("win_idx") / 2).cast("long").alias("frame"),
+        (F.col("win_idx") % 2).alias("stream"),
+        F.col("cluster").alias("speaker"),
+        F.round(cl.dot(F.col("emb"), F.col("emb")) * 1_000_000 / F.size("emb")).cast("long").alias("power"),
+    )
+    return dz.prune_leakage(frames, ["rec"])
+
+
 def best_voice_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each window the label of its recording whose mean fingerprint is nearest, and the gap to its own."""
     w = windows(spark, sf_dir).withColumn("u", cl.normalised(F.col("emb")))
@@ -230,6 +249,7 @@ QUERIES = {
         relabel_first_seen,
         cluster_assign,
         streams_assign,
+        joint_streams,
         best_voice_pick,
         separated_voices,
         ctc_frames,

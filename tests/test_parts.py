@@ -358,3 +358,40 @@ def test_only_what_may_compose_is_composed(spark):
             "e" + c,
         ) == "e" + c and unicodedata.normalize("NFC", "ক" + c) == "ক" + c for c in quiet
     )
+
+
+def test_hysteresis_of_scores(spark):
+    """Against a walk over the frames; a missing frame ends a stretch, a null score changes nothing."""
+    from parlance.operators import intervals
+
+    rng = np.random.default_rng(4)
+    rows = [(rec, k, None if rng.random() < 0.05 else float(rng.random())) for rec in "abc" for k in range(200) if rec != "b" or k % 37]
+
+    def walk(own):
+        on, last, spans = False, None, []
+        for k, x in own:
+            if last is not None and k != last + 1:
+                on = False
+            on = on if x is None else True if x >= 0.7 else False if x < 0.3 else on
+            if on:
+                if spans and k - spans[-1][1] < 3:
+                    spans[-1][1] = k + 1
+                else:
+                    spans.append([k, k + 1])
+            last = k
+        return [tuple(s) for s in spans if s[1] - s[0] >= 4]
+
+    df = spark.createDataFrame(rows, "rec string, frame int, score double").repartition(3)
+    got = intervals.hysteresis(df, ["rec"], on=0.7, off=0.3, least_on=4, least_off=3).collect()
+    for rec in "abc":
+        assert sorted((r.start, r.end) for r in got if r.rec == rec) == walk([(k, x) for i, k, x in rows if i == rec])
+
+
+def test_joint_streams_hold_no_leaks(spark):
+    from parlance.plans import registry
+
+    rows = registry.QUERIES["joint_streams"](spark, "/root/testdata/sf0.001").collect()
+    by = {}
+    for r in rows:
+        by.setdefault((r.rec, r.frame), []).append(r)
+    assert rows and all(len({r.speaker for r in own}) == len(own) and min(r.power for r in own) * 4 >= max(r.power for r in own) for own in by.values())
