@@ -136,17 +136,22 @@ def plan_chunks(lines: DataFrame, keys: list[str], budget: int, most: int = 6) -
     return per.select(*keys, F.inline(tx.bound(pair, numbered)))
 
 
-def valid_actions(actions: DataFrame, lines: DataFrame, keys: list[str], owners: list[str]) -> DataFrame:
-    """Actions (keys, pos, owner, action, ids) with a known owner, real evidence and a content word in common with it."""
+def valid_actions(actions: DataFrame, lines: DataFrame, keys: list[str], owners: list[str], phrase: Column | None = None) -> DataFrame:
+    """Actions (keys, pos, owner, action, ids) with a known owner, real evidence and a content word in common with it.
+
+    ``phrase`` is the wording that has to be a commitment, where that is not the
+    action itself: one without the words it only names.
+    """
     blank = F.lower(tx.collapse(F.col("owner"))).isin("", "unspecified", "unknown", "none")
     a = actions.select(
         *keys,
         "pos",
         F.when(blank, "unspecified").otherwise(tx.collapse(F.col("owner"))).alias("owner"),
         tx.collapse(F.col("action")).alias("action"),
+        (F.col("action") if phrase is None else phrase).alias("phrase"),
         F.explode(F.array_distinct("ids")).alias("line_id"),
     )
-    a = a.where(~tx.is_non_commitment(F.col("action")) & F.col("owner").isin(*owners, "unspecified"))
+    a = a.where(~tx.is_non_commitment(tx.collapse(F.col("phrase"))) & F.col("owner").isin(*owners, "unspecified"))
     evidence = a.join(lines.select(*keys, "line_id", tx.tokens(F.col("text")).alias("said")), [*keys, "line_id"])
     shared = F.size(F.array_intersect(tx.content_tokens(F.col("action")), F.flatten(F.collect_list("said")))) > 0
     kept = evidence.groupBy(*keys, "pos", "owner", "action").agg(F.array_sort(F.collect_set("line_id")).alias("ids"), shared.alias("ok")).where("ok")
