@@ -186,8 +186,11 @@ def timeline_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def result_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns and lines written as a bundle partitioned by recording, and counted in it."""
     path = _folder(spark, "bundle")
-    t = _timed(spark, sf_dir).withColumn("rec_id", F.substring("rec_id", 1, 10))
-    writers.write_bundle({"turns": t, "long": t.where("end - start > 600")}, path)
+    # Turns are told long by their whole milliseconds: a difference of seconds is not exact.
+    long = F.col("end") - F.col("start") > 600_000
+    seconds = [(F.col(c) / 1000).alias(c) for c in ("start", "end")]
+    t = turns(spark, sf_dir).select(F.substring("rec_id", 1, 10).alias("rec_id"), "speaker", *seconds, long.alias("long"))
+    writers.write_bundle({"turns": t.drop("long"), "long": t.where("long").drop("long")}, path)
     parts = [
         spark.read.parquet(f"{path}/{kind}").withColumn("rec_id", F.col("rec_id").cast("string")).groupBy("rec_id").agg(
             F.count("*").alias("n"),

@@ -1,5 +1,7 @@
 """Queries against their SQL on rows that only larger tables hold."""
 
+import datetime as dt
+
 import duckdb
 
 from parlance.plans import registry
@@ -30,3 +32,13 @@ def test_action_of_a_conversation_of_a_thousand_turns(spark, tmp_path):
     rows = [(1, t, "user", f"boxes{t} came") for t in range(1001)]
     got, want = differences(spark, tmp_path, "action_validation", "conversations", rows, CONVERSATIONS)
     assert got == want
+
+
+EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double"
+
+
+def test_turns_of_exactly_ten_minutes_are_not_long(spark, tmp_path):
+    day = dt.datetime(2024, 1, 1)
+    rows = [(i, day + dt.timedelta(milliseconds=ms), 8 * i, "view", v) for i, (ms, v) in enumerate(((429707, 30.0), (432698, 30.0), (80000001, 30.0), (5, 30.1)))]
+    got, want = differences(spark, tmp_path, "result_bundle", "events", rows, EVENTS)
+    assert got == want
