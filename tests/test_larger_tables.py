@@ -4,6 +4,7 @@ import datetime as dt
 
 import duckdb
 
+from parlance.operators import intervals as iv
 from parlance.plans import registry
 
 
@@ -42,3 +43,21 @@ def test_turns_of_exactly_ten_minutes_are_not_long(spark, tmp_path):
     rows = [(i, day + dt.timedelta(milliseconds=ms), 8 * i, "view", v) for i, (ms, v) in enumerate(((429707, 30.0), (432698, 30.0), (80000001, 30.0), (5, 30.1)))]
     got, want = differences(spark, tmp_path, "result_bundle", "events", rows, EVENTS)
     assert got == want
+
+
+def test_turns_sharing_a_minute(spark, tmp_path):
+    day = dt.datetime(2024, 1, 1)
+    turns = [(0, 0, 3.0), (1, 8, 3.0), (2, 16, 2.99995), (3, 8, 200.0), (4, 16, 182.99995), (5, 0, 0.5)]
+    rows = [(i, day + dt.timedelta(seconds=10 * (i // 3)), u, "view", v) for i, u, v in turns]
+    got, want = differences(spark, tmp_path, "overlap_pairs", "events", rows, EVENTS)
+    assert got == want
+
+
+def test_what_is_too_short_for_a_pair_is_not_spread(spark):
+    spans = [(0, 60), (1, 60), (0, 59), (59, 119), (100, 160), (30, 400), (341, 401)]
+    t = spark.createDataFrame([("r", i, s, e) for i, (s, e) in enumerate(spans)], "rec_id string, seq long, start long, end long")
+    pairs = iv.sharing(t, t, ["rec_id"], 50, 60)
+    got = sorted((r.seq_a, r.seq_b, r.shared) for r in pairs.collect())
+    shared = lambda a, b: min(a[1], b[1]) - max(a[0], b[0])
+    assert got == sorted((i, j, shared(a, b)) for i, a in enumerate(spans) for j, b in enumerate(spans) if shared(a, b) >= 60)
+    assert not {1, 2} & {i for i, _, _ in got}
