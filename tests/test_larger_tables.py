@@ -61,3 +61,21 @@ def test_what_is_too_short_for_a_pair_is_not_spread(spark):
     shared = lambda a, b: min(a[1], b[1]) - max(a[0], b[0])
     assert got == sorted((i, j, shared(a, b)) for i, a in enumerate(spans) for j, b in enumerate(spans) if shared(a, b) >= 60)
     assert not {1, 2} & {i for i, _, _ in got}
+
+
+def test_a_large_table_is_shared_out_over_more_tasks(spark, tmp_path):
+    long = "id % 500 = 0"
+    spark.range(900_000).selectExpr(
+        "id as event_id",
+        "cast(timestamp_micros(1704067200000000 + (id % 300) * 86400000000 + cast(rand(1) * 86400000000 as long)) as timestamp_ntz) as ts",
+        "cast(rand(2) * 1000000000 as long) as user_id",
+        "'view' as event_type",
+        f"if({long}, 900, 2) * rand(3) as value",
+    ).write.parquet(f"{tmp_path}/events.parquet")
+    got = registry.QUERIES["overlap_pairs"](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({registry.ORACLES['overlap_pairs']})").fetchall()
+    assert want and sorted(map(tuple, got.collect())) == sorted(want)
+    # As many as the bytes ask for, though so few turns are long enough for a pair that they would fill one.
+    assert got.rdd.getNumPartitions() > int(spark.conf.get("spark.sql.shuffle.partitions"))
